@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash
+from . import decontaminate, langid, packing, quality, simhash, spans, urlfilter
 from .shared import documents
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+SITE_RULES = [
+    urlfilter.site_rule("allow", "org", "/"),
+    urlfilter.site_rule("block", "example.org", "/es/"),
+    urlfilter.site_rule("block", "example.org", "/en/1"),
+    urlfilter.site_rule("allow", "com", "/fr/"),
+    urlfilter.site_rule("block", "com", "/de/"),
+]
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = spans.dedup_substrings(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "text", "n_sentences", "n_removed", "source_ids")
+
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=2, shingle=3)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), VOCABULARY, size=1024, end_id=2)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge(pages, [*SITE_RULES, *urlfilter.PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(documents(spark, sf_dir))
 
@@ -20,5 +49,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op9_language_id, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter, op8_benchmark_decontamination, op9_language_id, op10_quality_classifier)
+}
+
+ORACLE_SQL = {
+    "op6_url_filter": r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM cut
+), ruled AS (
+  SELECT *, host = 'org' OR ends_with(host, '.org') AS org, host = 'com' OR ends_with(host, '.com') AS com,
+         host = 'example.org' OR ends_with(host, '.example.org') AS example
+  FROM parts
+), named AS (
+  SELECT *, CASE WHEN example AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN example AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN com AND starts_with(path, '/de/') THEN 'com/de/' WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN org AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM ruled
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(host || path, '/(login|signup|cart|checkout|wp-login\.php|xmlrpc\.php)([^A-Za-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(casino|porn)([^A-Za-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(host || path, '\.(zip|exe|iso)$') THEN 'block'
+            WHEN regexp_matches(host || path, '^([^/]*\.)?(ads|tracker)\..*\.') THEN 'block' ELSE 'allow' END AS verdict
+FROM named""",
+}
