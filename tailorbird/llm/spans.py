@@ -125,6 +125,8 @@ def repeats(docs: DataFrame, sentences: int = 2, words: int = 14) -> DataFrame:
     # doc_id is null where row_key says it already, so that it takes no room in the shuffle
     spans = map_rows(docs.select("row_key", "doc_id", "text"), run, "h long, g int, row_key long, at int, end int, other_id long")
     first = spans.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "at", "other_id")).alias("first")).filter("n > 1").drop("n")
+    # written, so that both sides of the join are dealt out anew and Spark can split a hash that many rows share
+    first = written(first, "repeated-spans")
     later = spans.drop("other_id").join(first.hint("merge"), ["h", "g"]).filter((F.col("row_key") != F.col("first.row_key")) | (F.col("at") != F.col("first.at")))
     source = F.coalesce("first.other_id", "first.row_key")
     return later.groupBy("row_key").agg(F.collect_list(F.struct("at", "end")).alias("spans"), F.collect_set(source).alias("sources"))
