@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, quality, simhash, spans, urlfilter
-from .shared import documents
+import corpus_pipeline
+
+from . import decontaminate, langid, packing, quality, simhash, spans, topk, urlfilter, warc
+from .shared import documents, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +22,12 @@ SITE_RULES = [
 ]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "archives")
+    warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), archives, min_bytes=0)
+    return warc.page_records(warc.read_archives(spark, archives, payload="digest"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = spans.dedup_substrings(documents(spark, sf_dir))
     return cleaned.select("doc_id", "text", "n_sentences", "n_removed", "source_ids")
@@ -37,6 +46,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, [*SITE_RULES, *urlfilter.PATTERNS]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -49,12 +62,41 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter, op8_benchmark_decontamination, op9_language_id, op10_quality_classifier)
+    for f in (
+        op1_warc, op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter, op7_exact_top_k, op8_benchmark_decontamination, op9_language_id,
+        op10_quality_classifier, pipeline,
+    )
 }
 
 ORACLE_SQL = {
+    "op1_warc": r"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to, CASE WHEN page_id = keeper THEN TRUE END AS digest_ok
+FROM named""",
+    "op7_exact_top_k": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS rank
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op6_url_filter": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
