@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, packing, quality, simhash, spans, topk, urlfilter, warc
+from . import decontaminate, langid, packing, quality, simhash, spans, tokenfile, topk, urlfilter, warc
 from .shared import documents, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_archives(spark, archives, payload="digest"))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = scratch_path(spark, "token-ids")
+    tokenfile.write(documents(spark, sf_dir), files, VOCABULARY, end_id=2)
+    return tokenfile.read(spark, files, ids=False).drop("ids")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = spans.dedup_substrings(documents(spark, sf_dir))
     return cleaned.select("doc_id", "text", "n_sentences", "n_removed", "source_ids")
@@ -69,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc, op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter, op7_exact_top_k, op8_benchmark_decontamination, op9_language_id,
+        op1_warc, op2_token_ids, op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter, op7_exact_top_k, op8_benchmark_decontamination, op9_language_id,
         op10_quality_classifier, pipeline,
     )
 }

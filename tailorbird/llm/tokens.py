@@ -90,11 +90,11 @@ class WordCache:
         return b"".join([*map(self._word, self._words_of(first)), *map(self._piece, rest)])
 
 
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, capacity: int = CACHE_SIZE) -> WordCache:
     """The worker's cache for a vocabulary file; Python workers are reused, so it outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
     if path not in _loaded:
-        _loaded[path] = WordCache(path)
+        _loaded[path] = WordCache(path, capacity)
     return _loaded[path]
 
 
