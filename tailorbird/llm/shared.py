@@ -65,7 +65,7 @@ def map_rows(df: DataFrame, f: Callable[[list[list]], Iterator[list]], schema: s
     return df.mapInArrow(run, target)
 
 
-def cut(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes; a single larger row stays whole."""
     rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
     for i in range(0, batch.num_rows, rows):
