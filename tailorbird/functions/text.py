@@ -10,12 +10,13 @@ from unicodedata import normalize
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import BOUNDS
 from .patterns import FIBER_NAMES
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     """Compatibility normalisation: full-width to half-width, units in one sign to letters, and so on.
 
@@ -24,7 +25,7 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([v if v is None or v.isascii() else normalize("NFKC", v) for v in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def html_to_text(html: pa.Array) -> pa.Array:
     """The text of HTML fragments, one line per piece of text; scripts and styles are left out."""
     from html.parser import HTMLParser

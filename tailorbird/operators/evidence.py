@@ -78,8 +78,9 @@ def build_package(captures: DataFrame) -> DataFrame:
 
 def nest_evidence(evidence: DataFrame) -> DataFrame:
     """item_id and evidence_blocks in their order: the stored form."""
-    block = F.struct("pos", "source", "text", "block_type", "confidence", "metadata")
-    return evidence.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]).alias("evidence_blocks"))
+    block = F.struct("pos", "source", "text", "block_type", "confidence", F.map_entries("metadata").alias("entries"))
+    plain = lambda b: F.struct(b["source"].alias("source"), b["text"].alias("text"), b["block_type"].alias("block_type"), b["confidence"].alias("confidence"), F.map_from_entries(b["entries"]).alias("metadata"))
+    return evidence.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(block)), plain).alias("evidence_blocks"))
 
 
 def flatten_packages(packages: DataFrame) -> DataFrame:

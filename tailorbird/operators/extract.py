@@ -355,4 +355,5 @@ def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), nor
         rows = narrow_size_table(rows).withColumn("size_place", place("size"))
     rows = rows.withColumns({k: v for name in which for k, v in EXTRACTORS[name][0]().items()})
     grouped = rows.groupBy("item_id").agg(*[v.alias(k) for name in which for k, v in EXTRACTORS[name][1]().items()])
-    return grouped.select("item_id", *[EXTRACTORS[name][2]().alias(name) for name in which])
+    # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves
+    return grouped.select("item_id", F.inline(F.array(F.struct(*[EXTRACTORS[name][2]().alias(name) for name in which]))))

@@ -26,7 +26,7 @@ NG_FIBERS = {
 NG_STYLE = {"double": "NG: ダブルブレスト", "one": "NG: 1ボタンジャケット", "gold": "NG: 金ボタン", "silver": "NG: 銀ボタン"}
 SEVERE_STAIN = "NG: ひどい汚れあり"
 HOLE = "NG: 穴・破れあり"
-LOST_BUY_NOW = "即決価格がなくなりました"
+LOST_BUY_NOW = "即決価格が削除されました (ステータス再確認時に検出)"
 VERDICTS = ("MATCH", "REVIEW", "NO_MATCH")
 
 
@@ -162,7 +162,8 @@ def decide(attributes: DataFrame, rules: Rules = RULES) -> DataFrame:
     (jacket, jacket_notes), (pants, pants_notes), (material, material_notes) = rule_jacket(rules), rule_pants(rules), rule_material()
     blocking = F.concat(rule_price(rules), rule_status(), jacket, pants, material, rule_style(), rule_condition())
     reasons = F.concat(jacket_notes, pants_notes, material_notes)
-    rows = attributes.withColumns({"blocking_reasons": blocking, "reasons": reasons})
+    # a generator of one row, so that filters on a verdict don't copy all rules into themselves
+    rows = attributes.select("*", F.inline(F.array(F.struct(blocking.alias("blocking_reasons"), reasons.alias("reasons")))))
     unknown = reduce(lambda a, b: a + b, [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")])
     rows = rows.withColumns({"score": score(), "unknown_count": unknown})
     verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when((F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score), "REVIEW").otherwise("MATCH")
