@@ -100,6 +100,11 @@ def spans_of(texts: list[str | None], sentences: int, words: int) -> list[list[t
                 if end > n:
                     break
                 out.append((*_TWO(digest(b"".join(digests[i:end]))), i, end))
+            if out[-1][3] < n:  # a short end that no span has reached yet: the shortest span that ends there
+                i = n - sentences
+                while counts[n] - counts[i] < words:
+                    i -= 1
+                out.append((*_TWO(digest(b"".join(digests[i:n]))), i, n))
         found.append(out)
     return found
 
