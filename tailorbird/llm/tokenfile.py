@@ -119,6 +119,8 @@ class TokenFileReader(DataSourceReader):
 
     def read(self, partition):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         store, top = file_system(self.path)
         with store.open_input_file(f"{top}/{partition.name}") as f:
             tail = struct.calcsize(_FOOTER) + len(_MAGIC)
