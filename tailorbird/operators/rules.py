@@ -6,9 +6,10 @@ the extraction. A missing attribute struct counts as one without values.
 
 from __future__ import annotations
 
+from dataclasses import asdict, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RULES, Rules
@@ -30,6 +31,19 @@ LOST_BUY_NOW = "即決価格が削除されました (ステータス再確認
 VERDICTS = ("MATCH", "REVIEW", "NO_MATCH")
 
 
+def rules_frame(spark: SparkSession, rules: Rules = RULES) -> DataFrame:
+    """The thresholds as rows of rule, lo and hi; a threshold without an upper end has a null there."""
+    pairs = {k: v if isinstance(v, tuple) else (v, None) for k, v in asdict(rules).items()}
+    return spark.createDataFrame([(k, float(lo), None if hi is None else float(hi)) for k, (lo, hi) in pairs.items()], "rule string, lo double, hi double")
+
+
+def rules_from_frame(frame: DataFrame) -> Rules:
+    """Thresholds from such rows; rules that are missing keep their defaults, unknown names are left out."""
+    kinds = asdict(RULES)
+    rows = [r for r in frame.limit(len(kinds) * 2).collect() if r["rule"] in kinds]
+    return replace(RULES, **{r["rule"]: (r["lo"], r["hi"]) if isinstance(kinds[r["rule"]], tuple) else type(kinds[r["rule"]])(r["lo"]) for r in rows})
+
+
 def _texts(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 

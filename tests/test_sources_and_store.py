@@ -79,6 +79,13 @@ def test_rules_recheck_and_goldens(spark):
     assert [r[0] for r in none.select(rules.needs_recheck(F.lit("NO_MATCH"), F.col("r"))).collect()] == [True, True, False]
 
 
+def test_rules_as_a_table(spark):
+    frame = rules.rules_frame(spark)
+    assert rules.rules_from_frame(frame) == rules.RULES
+    changed = rules.rules_from_frame(frame.withColumn("lo", F.when(F.col("rule") == "max_price", 9.0).otherwise(F.col("lo"))))
+    assert changed.max_price == 9 and changed.chest == (51.0, 53.0)
+
+
 def test_store_changes(spark):
     payload = "struct<verdict:string,blocking_reasons:array<string>,needs_recheck:boolean,status:struct<normalized_status:string,raw_status:string,evidence:string,confidence:double,warnings:array<string>>>"
     up = spark.createDataFrame([("u", 1, "REVIEW"), ("v", 1, "MATCH"), ("u", 5, "MATCH")], "url string, seq long, verdict string")
