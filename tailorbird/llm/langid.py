@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod4, cut
+from .shared import crc_mod4, cut, free_name
 
 #: Language codes of some families; any other code is a family of its own.
 FAMILIES = {
@@ -156,11 +156,11 @@ def learn(docs: DataFrame, per_language: int = 1200) -> LanguageModel:
     return fit(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(float) if rows else np.zeros((0, BUCKETS)), [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score added; all other columns pass through."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
-    schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with the language and the score added; all other columns pass through, those of these two names are replaced."""
+    docs = docs.drop(lang_name, score_name)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select("*").schema.add(lang_name, "string").add(score_name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 if rows:
                     for i, name, s in zip(rows, *known.predict(np.stack([found[i] for i in rows]))):
                         lang[i], score[i] = name, float(s)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
     return docs.mapInArrow(run, schema)
 
@@ -185,5 +185,6 @@ def predicted(docs: DataFrame, per_language: int = 1200) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, least_score: float = 0.0, per_language: int = 1200) -> DataFrame:
     """The rows whose text has a language: not `und`, and a score of at least `least_score`."""
-    out = identify(docs, learn(docs, per_language))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    out = identify(docs, learn(docs, per_language), lang, score)
+    return out.filter((F.col(lang) != "und") & (F.col(score) >= least_score)).drop(lang, score)

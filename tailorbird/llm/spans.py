@@ -146,8 +146,11 @@ def without(whole: str, places: list[int], spans: list[tuple[int, int]]) -> tupl
 
 
 def dedup_substrings(docs: DataFrame, sentences: int = 2, words: int = 14) -> DataFrame:
-    """docs with `text` cleaned and n_sentences, n_removed and source_ids (documents with the first copies) added."""
-    docs = _keyed(docs)
+    """docs with `text` cleaned and n_sentences, n_removed and source_ids (documents with the first copies) added.
+
+    Columns of these three names, and of those used on the way, are replaced.
+    """
+    docs = _keyed(docs.drop("row_key", "spans", "sources", "n_sentences", "n_removed", "source_ids"))
     joined = docs.join(repeats(docs, sentences, words).hint("merge"), "row_key", "left")
     names = [c for c in docs.columns if c != "row_key"]
     schema = docs.select(*names).schema.add("n_sentences", IntegerType()).add("n_removed", IntegerType()).add("source_ids", ArrayType(LongType()))

@@ -240,6 +240,8 @@ def test_substring_dedup(docs, nothing):
         assert by[i]["n_removed"] and by[i]["source_ids"] == [3] and " ".join(passage[25:45]) not in by[i]["text"]
     assert by[10]["n_removed"] == 0 and by[60]["text"] == "" and set(docs.columns) <= set(got.columns)
     assert spans.dedup_substrings(nothing).count() == 0
+    clashing = docs.withColumns({"spans": F.lit(1), "row_key": F.lit("x"), "n_removed": F.lit("y")})
+    assert spans.dedup_substrings(clashing).agg(F.sum("n_removed")).first() == got.agg(F.sum("n_removed")).first()
 
 
 # --- decontamination ----------------------------------------------------------------------------------------
@@ -412,6 +414,8 @@ def test_language_id(spark, nothing):
     hidden = table.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, "xx").otherwise(F.col("lang")))
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predicted(hidden).collect()} == {i: r["lang_pred"] for i, r in by.items()}  # held-out labels teach nothing
     assert langid.predicted(nothing).count() == 0
+    clashing = langid.keep_known_languages(table.withColumns({"score": F.lit("x"), "lang_pred": F.lit("und")}))
+    assert clashing.count() == len(rows) - 3 and clashing.filter("score = 'x'").count() == len(rows) - 3
     assert {r["lang_pred"] for r in langid.predicted(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert {r["lang_pred"] for r in langid.predicted(table.filter("lang = 'en'")).collect()} == {"en", "und"}
 
@@ -436,3 +440,16 @@ def test_quality(spark, nothing):
 def test_isotonic_is_the_best_non_decreasing_fit():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.1, 0.4, 0.2, 0.9, 0.8]), np.ones(5))
     assert y.tolist() == pytest.approx([0.1, 0.3, 0.85]) and x.tolist() == [0.0, 1.5, 3.5]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from tailorbird.llm import shared
+
+    table = shared.written(spark.range(5), "kept-for-a-while")
+    assert table.count() == 5 and shared.free_name(spark.range(1).withColumn("Id_", F.lit(1)), "id") == "id__"
+    before = list(shared._scratch)
+    shared._scratch[:] = before[-1:]
+    shared.clear_scratch(spark)
+    shared._scratch[:] = before[:-1]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(before[-1]).count()
