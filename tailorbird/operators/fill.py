@@ -15,6 +15,7 @@ from ..config import FIELD_LABELS, RULES, Rules
 from ..functions.text import implausible_message, plausible
 from .extract import FIBER, MEASURE
 
+#: Confidence and source of values that a result filled in.
 CONFIDENCE = 0.4
 SOURCE = "llm_gemini"
 JACKET = {"jacket_shoulder_cm": "shoulder_cm", "jacket_chest_width_cm": "chest_width_cm", "jacket_length_cm": "length_cm", "jacket_sleeve_cm": "sleeve_cm"}
