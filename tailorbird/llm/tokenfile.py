@@ -34,15 +34,13 @@ from .warc import file_system
 _MAGIC = b"TBIDS001"
 _FOOTER = "<QQQ"
 _SPAN = rangecoder.BLOCK * rangecoder.LANES
-#: Pieces and words that a writing task remembers; less than elsewhere, as the coder needs memory too.
-CACHE_SIZE = 350_000
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Write docs (doc_id, text) as a folder of token-id files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_cache(vocabulary, CACHE_SIZE).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = word_cache(vocabulary).encode, np.array([end_id], "<u4").tobytes()
         store, top = file_system(path)
         name = f"part-{uuid.uuid4().hex}.ids"
         ids, sizes, waiting, total, at = [], [], bytearray(), 0, len(_MAGIC)

@@ -20,8 +20,8 @@ import numpy as np
 #: A space after a non-space character.
 _CUT = re.compile(r"(?<=\S) ")
 
-#: Pieces, and words, that one Python worker remembers before it starts anew (about 170 bytes each).
-CACHE_SIZE = 700_000
+#: Pieces, and words, that one Python worker remembers before it starts anew (about 210 bytes each).
+CACHE_SIZE = 400_000
 
 _loaded: dict[str, "WordCache"] = {}
 
@@ -68,8 +68,11 @@ class WordCache:
         """The ids of a piece behind a space."""
         ids = self._pieces.get(piece)
         if ids is None:
-            ids = b"".join(map(self._word, self._words_of(" " + piece)))
-            if piece and not piece[-1].isspace():
+            words = self._words_of(" " + piece)
+            seen = all(map(self._words.__contains__, words))
+            ids = b"".join(map(self._word, words))
+            # a piece with a word that is new here seldom comes again: it waits for its second time
+            if seen and piece and not piece[-1].isspace():
                 if len(self._pieces) >= self._capacity:
                     self._pieces.clear()
                 self._pieces[piece] = ids
