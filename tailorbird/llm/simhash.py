@@ -71,7 +71,8 @@ def links(classes: DataFrame, radius: int = 2, small_bucket: int = 64) -> DataFr
     """
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))])
     keyed = classes.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # sums that are joined back are written first: then both sides are dealt out anew and Spark can split a hot key
+    sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     members = written(keyed.join(sizes.hint("merge"), ["t", "key"]), "simhash-buckets")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
     small = (
@@ -85,7 +86,7 @@ def links(classes: DataFrame, radius: int = 2, small_bucket: int = 64) -> DataFr
     if radius != 2:
         large = large.select(F.assert_true(F.lit(False), "a bucket is too large for this radius").alias("x"), "fp").select("fp")
     hubs = large.select("fp", F.explode(F.concat(F.array("fp"), F.array(*[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(BITS)]))).alias("hub"))
-    least = hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z")
+    least = written(hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z"), "simhash-hubs")
     starred = hubs.join(least.hint("merge"), "hub").filter("fp != a").select("a", F.col("fp").alias("b"))
     return small.unionByName(starred).distinct()
 
@@ -103,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         else:
             both = both.union(both.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         paired = both.join(least.hint("merge"), "u")
         out = paired.filter("v > u" if not small else "v != m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         if small:
@@ -127,7 +128,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
     named = classes.join(linked.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     classes = written(named.join(ids.hint("merge"), "component").select("fp", "component_id"), "classes")
     return prints.join(classes.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
