@@ -66,8 +66,8 @@ def masks(radius: int) -> list[int]:
 def links(classes: DataFrame, radius: int = 2, small_bucket: int = 64) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the radius, enough to connect all that are linked.
 
-    The way for large buckets needs a radius of 2; others compare within buckets of any size only up to
-    `small_bucket` members and raise beyond it.
+    The linear way for large buckets needs a radius of 2; at others a large bucket is compared block by block,
+    all pairs of it, with about two blocks of `small_bucket` members in memory.
     """
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))])
     keyed = classes.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
@@ -75,16 +75,19 @@ def links(classes: DataFrame, radius: int = 2, small_bucket: int = 64) -> DataFr
     sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     members = written(keyed.join(sizes.hint("merge"), ["t", "key"]), "simhash-buckets")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
-    small = (
-        members.filter(F.col("n") <= small_bucket)
-        .groupBy("t", "key")
-        .agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-        .select(F.explode(F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-        .select("p.a", "p.b")
-    )
-    large = members.filter(F.col("n") > small_bucket).select("fp").distinct()
-    if radius != 2:
-        large = large.select(F.assert_true(F.lit(False), "a bucket is too large for this radius").alias("x"), "fp").select("fp")
+
+    def compared(buckets: DataFrame) -> DataFrame:
+        found = F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+        return buckets.select(F.explode(F.flatten(found)).alias("p")).select("p.a", "p.b")
+
+    small = compared(members.filter(F.col("n") <= small_bucket).groupBy("t", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps")))
+    large = members.filter(F.col("n") > small_bucket)
+    if radius != 2:  # every two blocks of a large bucket meet once, a block with itself in each of its meetings
+        blocks = F.ceil(F.col("n") / small_bucket).cast("int")
+        own = large.select("fp", "t", "key", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+        met = own.groupBy("t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+        return small.unionByName(compared(met)).distinct()
+    large = large.select("fp").distinct()
     hubs = large.select("fp", F.explode(F.concat(F.array("fp"), F.array(*[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(BITS)]))).alias("hub"))
     least = written(hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z"), "simhash-hubs")
     starred = hubs.join(least.hint("merge"), "hub").filter("fp != a").select("a", F.col("fp").alias("b"))

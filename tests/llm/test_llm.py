@@ -205,6 +205,22 @@ def test_links_connect_what_is_near_in_buckets_of_any_size(spark, small_bucket):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("radius, small_bucket", [(1, 1), (3, 1), (3, 5)])
+def test_links_at_other_radii_in_large_buckets(spark, radius, small_bucket):
+    r = random.Random(3)
+    values = {0}
+    while len(values) < 80:
+        v = r.choice(sorted(values))
+        for bit in r.sample(range(64), r.randint(1, 4)):
+            v ^= 1 << bit
+        values.add(v)
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius=radius, small_bucket=small_bucket).collect()
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+    assert len(found) == len(want) and {tuple(x) for x in found} == want
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
