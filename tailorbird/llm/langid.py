@@ -138,7 +138,8 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
 def learn(docs: DataFrame, per_language: int = 1200) -> LanguageModel:
     """A model from rows whose crc32(doc_id) mod 4 is not 2. `per_language` bounds the sample of each language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod4(F.col("doc_id")), F.lit(0)) != 2))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    # a row for each language: its different texts, as copies are picked together
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(sizes.items())], F.lit(0.0)) if sizes else F.lit(0.0)
     # by the text, so that copies count once or not at all, whichever their ids
     picked = known.filter(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")

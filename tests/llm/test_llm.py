@@ -436,6 +436,13 @@ def test_language_id(spark, nothing):
     assert {r["lang_pred"] for r in langid.predicted(table.filter("lang = 'en'")).collect()} == {"en", "und"}
 
 
+def test_copies_take_no_share_of_the_sample(spark, monkeypatch):
+    rows = [(i, tongue("en", 20, i), "en", "s", 0) for i in range(60)] + [(100 + i, tongue("de", 20, i), "de", "s", 0) for i in range(60)]
+    rows += [(1000 + i, rows[60][1], "de", "s", 0) for i in range(3000)]
+    monkeypatch.setattr(langid, "fit", lambda x, langs: Counter(langs))
+    assert min(langid.learn(spark.createDataFrame(rows, DOCS), per_language=60)[lang] for lang in ("en", "de")) > 30
+
+
 def test_quality(spark, nothing):
     rows, labels = [], []
     for i in range(400):
