@@ -14,36 +14,49 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_rows, written
-from .tokens import crc32, word_cache
+from .shared import cut, map_rows, written
+from .tokens import CHUNK, crc32, encoder
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), and part and rank: the task and the piece's rank in it by length."""
-
-    def run(columns, end=np.array([end_id], "<u4").tobytes(), counts={}):  # noqa: B006
-        task = TaskContext.get()
-        seen = counts.setdefault((task.taskAttemptId(), task.partitionId()), np.zeros(size + 1, np.int64))
-        encode, rows = word_cache(vocabulary).encode, []
-        for doc_id, text in zip(*columns):
-            ids = encode(text) + end
-            total = len(ids) // 4
-            first = total if total <= size else total % size or size
-            cuts = [0, *range(first, total + 1, size)]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                rows.append((doc_id, k, a, b - a, crc32(ids[4 * a : 4 * b]), task.partitionId(), int(seen[b - a]), *([ids[4 * a : 4 * b]] if with_ids else [])))
-                seen[b - a] += 1
-        yield [list(c) for c in zip(*rows)]
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
-    return map_rows(docs.select("doc_id", "text"), run, schema + ", ids binary" * with_ids)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, part = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        encode = encoder(vocabulary).encode
+        for batch in batches:
+            for rows in cut(batch, CHUNK):
+                ids, at = encode(rows.column(1), (end_id,))
+                totals = np.diff(at)
+                each = -(-totals // size)
+                doc = np.repeat(np.arange(len(totals)), each)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+                # only the first piece may be shorter
+                end = totals[doc] - size * (each[doc] - 1 - piece)
+                start = np.maximum(end - size, 0)
+                length = end - start
+                order = np.argsort(length, kind="stable")
+                by_length = np.bincount(length, minlength=size + 1)
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = np.arange(len(doc)) - np.repeat(np.cumsum(by_length) - by_length, by_length)
+                rank += seen[length]
+                seen += by_length
+                own = [ids[a:b] for a, b in zip((at[doc] + start).tolist(), (at[doc] + end).tolist())]
+                columns = [rows.column(0).cast(pa.int64()).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(list(map(crc32, own)), pa.int64())]
+                columns += [pa.array(np.full(len(doc), part, np.int32)), pa.array(rank), *([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(columns)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -120,8 +133,8 @@ def plan(counts: np.ndarray, size: int) -> Plan:
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id and offset of every piece."""
-    cut = written(pieces(docs, vocabulary, size, end_id, with_ids), "pieces")
-    by_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
+    placed = written(pieces(docs, vocabulary, size, end_id, with_ids), "pieces")
+    by_task = placed.groupBy("part", "length").agg(F.count("*").alias("n"))
     by_task = written(by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")), "piece-counts")
     counts = np.zeros(size + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
@@ -134,7 +147,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, wi
         sequence, offset = shared.value.place(np.array(rest[3], np.int64), np.array(rank, np.int64))
         yield [*rest, sequence, offset]
 
-    ranked = cut.join(by_task.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = placed.join(by_task.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return map_rows(ranked.select(*keep, "rank"), run, schema + ", sequence_id long, offset long")
 

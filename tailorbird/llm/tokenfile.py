@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import rangecoder
 from .shared import cut
-from .tokens import crc32, word_cache
+from .tokens import CHUNK, crc32, encoder
 from .warc import file_system
 
 _MAGIC = b"TBIDS001"
@@ -40,7 +40,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Write docs (doc_id, text) as a folder of token-id files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_cache(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(vocabulary).encode
         store, top = file_system(path)
         name = f"part-{uuid.uuid4().hex}.ids"
         ids, sizes, waiting, total, at = [], [], bytearray(), 0, len(_MAGIC)
@@ -57,19 +57,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
             return n
 
         for batch in batches:
-            for part in cut(batch):
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                    got = encode(text) + end
-                    ids.append(doc_id)
-                    sizes.append(len(got) // 4)
-                    total += len(got) // 4
-                    waiting += got
-                    if len(waiting) >= 4 * _SPAN:
-                        if out is None:
-                            store.create_dir(top, recursive=True)
-                            out = store.open_output_stream(f"{top}/{name}", compression=None)
-                            out.write(_MAGIC)
-                        at += flush(_SPAN)
+            for part in cut(batch, CHUNK):
+                got, ends = encode(part.column(1), (end_id,))
+                ids += part.column(0).to_pylist()
+                sizes += np.diff(ends).tolist()
+                total += len(got)
+                waiting += got.astype("<u4").tobytes()
+                if len(waiting) >= 4 * _SPAN:
+                    if out is None:
+                        store.create_dir(top, recursive=True)
+                        out = store.open_output_stream(f"{top}/{name}", compression=None)
+                        out.write(_MAGIC)
+                    at += flush(_SPAN)
         if ids:
             if out is None:
                 store.create_dir(top, recursive=True)

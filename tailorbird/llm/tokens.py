@@ -1,29 +1,34 @@
 """Whole-text tokenization with a public vocabulary, shared by the token output and the packer.
 
-A byte-level BPE never merges across the word boundaries of its pre-tokenizer, so a text's ids are the
-ids of its words one after the other.  `WordCache` cuts a text in front of every space that follows a
-non-space character (always such a boundary), has each distinct word encoded once per worker by the
-tokenizers library's model, and joins the remembered ids.  The tests hold it against encoding whole
-texts with the library in one call.
-
-Cases: a null text is an empty one; the strings of special tokens inside a text are ordinary text.
+A byte-level BPE never merges across the word boundaries of its pre-tokenizer, so a text's ids are the ids
+of its words one after the other.  `Encoder` cuts a batch of texts in front of every space that follows a
+character other than white space (always such a boundary), finds the distinct pieces with Arrow, has each
+one's words encoded by the tokenizers library's own model, and puts the ids together with NumPy: Python runs
+per distinct piece, not per word.  A vocabulary file whose pre-tokenizer, normalizer or model is of another
+kind, and a text that holds the string of a special token, go through the library's whole-text call.
+
+Cases: a null text is an empty one; the string of a special token inside a text becomes that token, as in the
+library's own call with add_special_tokens=False, or ordinary text with `special=False`.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space after a non-space character.
-_CUT = re.compile(r"(?<=\S) ")
-
-#: Pieces, and words, that one Python worker remembers before it starts anew (about 210 bytes each).
+#: Distinct words that one Python worker remembers before it starts anew (about 200 bytes each).
 CACHE_SIZE = 400_000
 
-_loaded: dict[str, "WordCache"] = {}
+#: Bytes of text that go through at a time; a single larger text stays whole.
+CHUNK = 8 << 20
+
+_loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,74 +38,150 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordCache:
-    """Ids of pieces as little-endian unsigned 32-bit bytes.
+def _is_plain(config: dict) -> bool:
+    """Whether a vocabulary file is a byte-level BPE with the pre-tokenizer that `Encoder` knows."""
+    model, before = config["model"], config.get("pre_tokenizer") or {}
+    known = {"type": "ByteLevel", "add_prefix_space": False}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk")
+    return model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in odd) and not config.get("normalizer") and all(before.get(k) == v for k, v in known.items()) and before.get("use_regex", True)
+
+
+#: Classes of bytes: 1 letters and digits, 2 other printable ASCII, 3 white space; 0 is all else, near which only a space cuts.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 2
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_CLASS[[9, 10, 11, 12, 13, 32]] = 3
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """A mark at every byte of UTF-8 text in front of which a word surely begins, whatever stands around.
 
-    `_pieces` holds pieces that follow a space, without it, and never one that is empty or ends in
-    white space: a text with irregular spaces then misses the quick way by itself.
+    That is white space behind another character, a sign behind a letter or digit, and a letter or digit behind
+    a single line end; two white spaces in a row hang together, as the pre-tokenizer looks ahead there.
     """
+    kind = _CLASS[data]
+    solid = (kind == 1) | (kind == 2)
+    space = kind == 3
+    marks = np.zeros(len(data), bool)
+    marks[1:] = space[1:] & solid[:-1]
+    marks[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+    marks[2:] |= (kind[2:] == 1) & (data[1:-1] == 10) & solid[:-2]
+    # the last two bytes of some white space beyond ASCII also end other characters, which then aren't cut behind
+    wide = np.flatnonzero(data[:-1] >= 128)
+    wide = wide[data[wide + 1] == 32]
+    marks[wide + 1] = ~np.isin(data[np.maximum(wide - 1, 0)], (0xC2, 0x80, 0x81, 0x9A))
+    return marks
+
+
+class _Words(dict):
+    """Words to their numbers in the order in which they came; `new` are those that have no ids yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Encoder:
+    """Ids of whole texts by one vocabulary file."""
 
-    def __init__(self, path: str, capacity: int = CACHE_SIZE):
+    def __init__(self, path: str, special: bool = True, capacity: int = CACHE_SIZE):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.plain = _is_plain(config)
+        self._special = [t["content"] for t in config.get("added_tokens", []) if special or not t.get("special")]
+        self._model = self.tokenizer.model
         self._words_of = regex.compile(public_tokenizers.PATTERN).findall
         self._letters = _byte_letters()
         self._capacity = capacity
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self._words.get(word)
-        if ids is None:
-            if len(self._words) >= self._capacity:
-                self._words.clear()
-            letters = word.encode("utf-8", "replace").decode("latin-1").translate(self._letters)
-            ids = np.array([t.id for t in self._model.tokenize(letters)], "<u4").tobytes()
-            self._words[word] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece behind a space."""
-        ids = self._pieces.get(piece)
-        if ids is None:
-            words = self._words_of(" " + piece)
-            seen = all(map(self._words.__contains__, words))
-            ids = b"".join(map(self._word, words))
-            # a piece with a word that is new here seldom comes again: it waits for its second time
-            if seen and piece and not piece[-1].isspace():
-                if len(self._pieces) >= self._capacity:
-                    self._pieces.clear()
-                self._pieces[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of one whole text, without an end id."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        head = b"".join(map(self._word, self._words_of(first)))
-        if first and not first[-1].isspace():
-            try:
-                return head + b"".join(map(self._pieces.__getitem__, rest))
-            except KeyError:
-                pass
-        first, *rest = _CUT.split(text)
-        return b"".join([*map(self._word, self._words_of(first)), *map(self._piece, rest)])
-
-
-def word_cache(path: str, capacity: int = CACHE_SIZE) -> WordCache:
-    """The worker's cache for a vocabulary file; Python workers are reused, so it outlives a task."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words, self._ids, self._sizes = _Words(), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+
+    def _split(self, piece: str) -> list[str]:
+        """A piece's words; most pieces are one."""
+        return [piece] if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()) else self._words_of(piece)
+
+    def _learn(self) -> None:
+        """Encode the words that are new. Byte 255 never stands in UTF-8, so it can part them."""
+        words, self._words.new = self._words.new, []
+        if not words:
+            return
+        letters = b"\xff".join([w.encode("utf-8", "replace") for w in words]).decode("latin-1").translate(self._letters).split("\xff")
+        found = [[t.id for t in tokens] for tokens in map(self._model.tokenize, letters)]
+        self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, found), np.int32, len(found))])
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+
+    def encode(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the ids of `end` behind it; and where each text's begin,
+        with their end as the last."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.full(len(texts), not self.plain)
+        for token in self._special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if odd.any():
+            return self._each(texts.to_pylist(), odd, end)
+        n, offsets = len(texts), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] if n else 0 : offsets[-1] if n else 0]
+        offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
+        marks = _cuts(data)
+        marks[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        edges = np.append(np.flatnonzero(marks), len(data))
+        first = np.searchsorted(edges[:-1], offsets)  # the first piece of each text
+        if len(self._words) > self._capacity:
+            self._forget()
+        pieces = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        split = list(map(self._split, coded.dictionary.to_pylist()))
+        of_piece = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(self._words.__getitem__, chain.from_iterable(split)), np.int64)
+        self._learn()
+        # the ids of each distinct piece, then those of the end, in one table
+        table = np.append(_runs(self._ids, self._sizes, words)[0], np.array(end, np.uint32))
+        word_ends = np.append(0, np.cumsum(self._sizes[words], dtype=np.int64))
+        piece_ends = word_ends[np.append(0, np.cumsum(of_piece))]
+        sizes = np.append(np.diff(piece_ends), len(end)).astype(np.int32)
+        which = np.insert(coded.indices.to_numpy(), first[1:], len(sizes) - 1)
+        ids, ends = _runs(table, sizes, which)
+        return ids, np.append(0, ends[first[1:] + np.arange(n)])
+
+    def _each(self, texts: list[str], odd: np.ndarray, end: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, text by text, odd ones by the library's whole-text call."""
+        found = []
+        for text, whole in zip(texts, odd.tolist()):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if whole else self.encode(pa.array([text]))[0]
+            found.append(np.append(np.array(ids, "<u4"), np.array(end, "<u4")))
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])
+
+
+def _runs(table: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs named by `which`, one after the other, of a table of consecutive runs; and where each ends."""
+    begin = np.cumsum(sizes, dtype=np.int64) - sizes
+    lengths = sizes[which]
+    ends = np.cumsum(lengths, dtype=np.int64)
+    source = np.repeat(begin[which] - (ends - lengths), lengths)
+    source += np.arange(len(source))
+    return table[source], ends
+
+
+def encoder(path: str, special: bool = True) -> Encoder:
+    """The worker's encoder for a vocabulary file; Python workers are reused, so it outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-    if path not in _loaded:
-        _loaded[path] = WordCache(path, capacity)
-    return _loaded[path]
+    if (path, special) not in _loaded:
+        _loaded[path, special] = Encoder(path, special)
+    return _loaded[path, special]
 
 
 def crc32(ids: bytes | np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids if isinstance(ids, bytes) else np.ascontiguousarray(ids, "<u4").tobytes())
+    return zlib.crc32(ids if isinstance(ids, bytes) else np.ascontiguousarray(ids, "<u4"))

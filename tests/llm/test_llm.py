@@ -4,11 +4,13 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -53,7 +55,6 @@ def nothing(spark):
 
 def whole(texts):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -64,8 +65,28 @@ def test_tokens_equal_whole_texts():
     parts = [" ", "  ", "\n", " \n", "a", "Ab", "'s", "n't", "é", "12", ". ", "!?", "\t", "日本", "😀", "\r\n", "\x85", "<|endoftext|>", "\x1c", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [None, prose(500, 1)]
     for capacity in (10, 100_000):
-        cache = tokens.WordCache(VOCABULARY, capacity)
-        assert [np.frombuffer(cache.encode(t), "<u4").tolist() for t in texts] == whole(texts)
+        encoder, want = tokens.Encoder(VOCABULARY, capacity=capacity), whole(texts)
+        for i in range(0, len(texts), 900):
+            ids, at = encoder.encode(pa.array([None, *texts[i : i + 900]]).slice(1), (2, 7))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*w, 2, 7] for w in want[i : i + 900]]
+    assert encoder.encode(pa.array([], pa.string()), (2,))[1].tolist() == [0]
+
+
+def test_special_tokens_as_in_the_library_or_as_text():
+    text = ["a<|endoftext|>b", "plain text"]
+    assert tokens.Encoder(VOCABULARY).encode(pa.array(text))[0].tolist() == [64, 50256, 65, *whole(text)[1]]
+    plain = Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    assert tokens.Encoder(VOCABULARY, special=False).encode(pa.array(text[:1]))[0].tolist() == plain.encode(text[0], add_special_tokens=False).ids
+
+
+def test_another_kind_of_vocabulary_goes_through_the_library():
+    path, text = public_tokenizers.path("word_bpe_49k.json"), ["Some Words,  here\n and there.", "日本 x"]
+    encoder = tokens.Encoder(path)
+    assert not encoder.plain
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(text, add_special_tokens=False)]
+    ids, at = encoder.encode(pa.array(text))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
 
 
 @pytest.mark.parametrize("n, block", [(0, 10), (1, 10), (999, 100), (1000, 100), (5000, 512)])
@@ -287,8 +308,22 @@ def test_tiling_equals_trying_everything():
     r = random.Random(3)
     for _ in range(150):
         item, doc = (np.array([r.randrange(3) for _ in range(r.randint(3, 18))], np.uint64) for _ in range(2))
-        seeds = [(i, j) for i in range(len(item) - 2) for j in range(len(doc) - 2) if (item[i : i + 3] == doc[j : j + 3]).all()]
-        assert sum(t[0] for t in decontaminate.tiles(item, doc, seeds, 3)) == plain_tiling(item.tolist(), doc.tolist(), 3)
+        at = [[j for j in range(len(doc) - 2) if (item[i : i + 3] == doc[j : j + 3]).all()] for i in range(len(item) - 2)]
+        places = np.array([i for i, js in enumerate(at) if js], int)
+        n = np.array([len(at[i]) for i in places], int)
+        found = np.array([j for js in at for j in js], int)
+        for most in (1, 7, 1000):  # laid out in slices of any size
+            runs = decontaminate.runs_of(places, np.cumsum(n) - n, np.cumsum(n), found, 3, most)
+            assert sum(t[0] for t in decontaminate.tiles(item, doc, runs, 3)) == plain_tiling(item.tolist(), doc.tolist(), 3)
+
+
+def test_repeated_words_dont_stall_tiling():
+    item, doc = "ha " * 800, "ha " * 16_000
+    index = decontaminate.Index(5, [7], [decontaminate.words_of(item)])
+    began = time.process_time()
+    assert index.leaks(doc, 0.8) == [(7, 1.0, 1, 800)]
+    assert index.leaks("ha " * 600, 0.8) == [] and index.leaks("ha " * 700, 0.8) == [(7, 700 / 800, 1, 700)]
+    assert time.process_time() - began < 10
 
 
 def test_decontamination(spark, docs, nothing):
@@ -436,11 +471,25 @@ def test_language_id(spark, nothing):
     assert {r["lang_pred"] for r in langid.predicted(table.filter("lang = 'en'")).collect()} == {"en", "und"}
 
 
-def test_copies_take_no_share_of_the_sample(spark, monkeypatch):
+def test_copies_take_no_share_of_the_sample(spark):
     rows = [(i, tongue("en", 20, i), "en", "s", 0) for i in range(60)] + [(100 + i, tongue("de", 20, i), "de", "s", 0) for i in range(60)]
     rows += [(1000 + i, rows[60][1], "de", "s", 0) for i in range(3000)]
-    monkeypatch.setattr(langid, "fit", lambda x, langs: Counter(langs))
-    assert min(langid.learn(spark.createDataFrame(rows, DOCS), per_language=60)[lang] for lang in ("en", "de")) > 30
+    sizes, picked = langid.sample(spark.createDataFrame(rows, DOCS), per_language=60)
+    found = Counter(r["lang"] for r in picked.collect())
+    assert set(sizes) == {"en", "de"} and min(found[lang] for lang in ("en", "de")) > 30
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(i, tongue(lang, 30, i), lang, "s", 0) for i, lang in enumerate(["en", "fr"] * 40)] + [(100, "²½ Ⅷ", None, "s", 0), (101, "m² the", None, "s", 0)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predicted(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[100] == "und" and got[101] != "und"
+
+
+def test_families_and_machines():
+    families, wanted = langid.tasks({"en": 10, "de": 10**6, "fr": 5, "xx": 7}, 100)
+    assert families == {"germanic": ("de", "en"), "romance": ("fr",), "xx": ("xx",)}
+    assert [(t.yes, t.no, t.family) for t in wanted] == [("germanic", "romance", None), ("germanic", "xx", None), ("romance", "xx", None), ("de", "en", "germanic")]
+    assert wanted[3].sides["de"][1] == int(1e-4 * (1 << 20)) and wanted[0].sides["de"][1] == int(5e-5 * (1 << 20))
 
 
 def test_quality(spark, nothing):
