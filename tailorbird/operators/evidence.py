@@ -3,6 +3,9 @@
 Signals are rows of item_id, url, source_site and the eight text buckets. Evidence is long: item_id, pos,
 source, block_type, text, confidence, metadata. Buckets that are null or blank give no evidence; a null
 item_id is a group like any other.
+
+Whole runs go through `captured_evidence` instead: there every capture is a group of its own, so that a page
+that was looked at twice isn't mixed up, and its other columns ride along on a block without text.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SITE, PRIORITIES, SIGNALS, SITES
-from ..functions.text import clean_text
+from ..functions.text import nfkc, norm_colon, norm_ws, strip_tags
 
 
 def detect_site(url: Column) -> Column:
@@ -35,8 +38,17 @@ def site_item_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"/([A-Za-z0-9_-]*\d[A-Za-z0-9_-]*)/?$", 1), F.lit(""))
 
 
-def signals_to_evidence(signals: DataFrame) -> DataFrame:
-    """A cleaned block for each bucket that isn't blank; a description gives one for each of its lines."""
+_PART = "\x00"
+
+
+def _each_nfkc(texts: Column) -> Column:
+    """An array of texts, all normalised in one call: they go to Python as one text and are cut apart again."""
+    whole = F.array_join(F.transform(texts, lambda t: F.translate(t, _PART, " ")), _PART)
+    return F.split(nfkc(whole), _PART)
+
+
+def cleaned_blocks() -> Column:
+    """The array of a page's cleaned blocks: one for each bucket that isn't blank, and one for each line of its description."""
 
     def block(source: str, kind: str, confidence: float, text: Column) -> Column:
         return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("block_type"), text.alias("raw"), F.lit(confidence).alias("confidence"))
@@ -49,12 +61,52 @@ def signals_to_evidence(signals: DataFrame) -> DataFrame:
         else:
             parts.append(F.array(block(source, kind, confidence, text)))
     blocks = F.filter(F.concat(*parts), lambda b: b["raw"].rlike(r"(?U)\S"))
-    rows = signals.select("item_id", F.posexplode(blocks).alias("pos", "b"))
-    cleaned = rows.select("item_id", "pos", "b.source", "b.block_type", clean_text(F.col("b.raw")).alias("text"), "b.confidence")
+    texts = _each_nfkc(F.transform(blocks, lambda b: strip_tags(b["raw"])))
+    # without blocks there still is one text, an empty one
+    both = F.filter(F.arrays_zip(blocks.alias("b"), texts.alias("t")), lambda x: x["b"].isNotNull())
+    return F.transform(
+        both,
+        lambda x, i: F.struct(
+            i.cast("int").alias("pos"), x["b"]["source"].alias("source"), x["b"]["block_type"].alias("block_type"), norm_ws(norm_colon(x["t"])).alias("text"), x["b"]["confidence"].alias("confidence")
+        ),
+    )
+
+
+def page_blocks() -> Column:
+    """The same in the form that `captured_evidence` takes. A description line of nothing but tags is no block."""
+    there = F.filter(cleaned_blocks(), lambda b: (b["source"] != "description") | (b["text"] != ""))
+    fields = ("pos", "source", "text", "confidence")
+    return F.transform(there, lambda b: F.struct(*[b[f].alias(f) for f in fields], b["text"].alias("t")))
+
+
+def signals_to_evidence(signals: DataFrame) -> DataFrame:
+    """A cleaned block for each bucket that isn't blank; a description gives one for each of its lines."""
+    cleaned = signals.select("item_id", F.explode(cleaned_blocks()).alias("b")).select("item_id", "b.*")
     # a description line of nothing but tags leaves no block; other buckets keep an empty one
     return cleaned.filter((F.col("source") != "description") | (F.col("text") != "")).withColumn("metadata", F.create_map().cast("map<string,string>"))
 
 
+def captured_evidence(rows: DataFrame, blocks: Column, carry: list[str]) -> DataFrame:
+    """Long evidence of each row apart: item_id is a hash of all that the row holds, so rows alike count once.
+
+    `blocks` is an array of pos, source, text, confidence and t (the text to extract from). The columns named by
+    `carry` come along, as c0, c1 and so on, on a block without source and text at pos -1, which every row has.
+    All further work by item_id needs no other shuffle.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string") if kind not in ("map", "struct", "array") else F.to_json(F.col(c)), F.lit("\x01")) for c, kind in _kinds(rows)])
+    held = rows.select(F.sha2(text, 256).alias("item_id"), blocks.alias("blocks"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    dealt = held.repartition("item_id")
+    kind = "struct<pos:int,source:string,text:string,confidence:double,t:string>"
+    bare = F.array(F.struct(F.lit(-1), *[F.lit(None)] * 4).cast(kind))
+    given = F.coalesce(F.col("blocks"), F.array().cast(f"array<{kind}>"))
+    long = dealt.select("item_id", *[f"c{i}" for i in range(len(carry))], F.explode(F.concat(bare, given)).alias("b"))
+    return long.select("item_id", "b.*", *[F.when(F.col("b.pos") < 0, F.col(f"c{i}")).alias(f"c{i}") for i in range(len(carry))])
+
+
+def _kinds(rows: DataFrame) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.typeName()) for f in rows.schema.fields]
+
+
 def drop_noise(evidence: DataFrame) -> DataFrame:
     """Without blocks of fewer than three characters or of digits alone."""
     return evidence.filter((F.length("text") >= 3) & ~F.col("text").rlike(r"(?U)^\d+$"))
@@ -71,6 +123,15 @@ def clean_blocks(evidence: DataFrame) -> DataFrame:
     return dedup_evidence(drop_noise(evidence))
 
 
+def clean_captured(evidence: DataFrame) -> DataFrame:
+    """The same for `captured_evidence`, whose blocks without text stay; columns that ride along can still be pruned."""
+    noise = (F.length("text") < 3) | F.col("text").rlike(r"(?U)^\d+$")
+    rows = evidence.filter(F.col("pos").eqNullSafe(-1) | ~F.coalesce(noise, F.lit(True)))
+    own, carried = ["pos", "source", "confidence", "t"], [c for c in evidence.columns if c not in ("item_id", "pos", "source", "text", "confidence", "t")]
+    best = F.max_by(F.struct(*own), F.struct("confidence", -F.col("pos"))).alias("best")
+    return rows.groupBy("item_id", "text").agg(best, *[F.first(c, ignorenulls=True).alias(c) for c in carried]).select("item_id", "text", "best.*", *carried)
+
+
 def build_package(captures: DataFrame) -> DataFrame:
     """captures (url and signals) with a deterministic item_id and the source site."""
     return captures.withColumns({"item_id": item_id(F.col("url")), "source_site": detect_site(F.col("url"))})
@@ -89,14 +150,31 @@ def flatten_packages(packages: DataFrame) -> DataFrame:
     return rows.select("item_id", "pos", "b.source", "b.block_type", "b.text", F.col("b.confidence").alias("confidence"), "b.metadata")
 
 
+def stored_blocks() -> Column:
+    """The array of a stored package's blocks; their texts are taken as they are, and normalised to extract from."""
+    blocks = F.col("evidence_blocks")
+    texts = _each_nfkc(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))))
+    both = F.filter(F.arrays_zip(blocks.alias("b"), texts.alias("t")), lambda x: x["b"].isNotNull())
+    return F.transform(
+        both,
+        lambda x, i: F.struct(
+            i.cast("int").alias("pos"), x["b"]["source"].alias("source"), x["b"]["text"].alias("text"), x["b"]["confidence"].cast("double").alias("confidence"), norm_ws(x["t"]).alias("t")
+        ),
+    )
+
+
 def priority(extractor: str, source: str = "source") -> Column:
     """A source's place in an extractor's order; unknown sources come last."""
-    order = F.create_map(*[F.lit(x) for i, s in enumerate(PRIORITIES[extractor]) for x in (s, i)])
-    return F.coalesce(F.try_element_at(order, F.col(source)), F.lit(99))
+    return F.expr(_priority(extractor, source))
+
+
+def _priority(extractor: str, source: str = "source") -> str:
+    places = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(PRIORITIES[extractor]))
+    return f"CASE {source} {places} ELSE 99 END"
 
 
 def place(extractor: str) -> Column:
-    return F.struct(priority(extractor).alias("prio"), F.col("pos").alias("pos"))
+    return F.expr(f"named_struct('prio', {_priority(extractor)}, 'pos', pos)")
 
 
 def first_match(value: Column, key: Column) -> Column:

@@ -7,13 +7,16 @@ whose texts say nothing about an attribute gets nulls, empty arrays and the name
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import BOUNDS
 from ..functions import patterns as P
-from ..functions.text import found, implausible_message, norm_ja, parse_jpy, plausible
+from ..functions.text import found, implausible_message, norm_ja, parse_jpy
 from .evidence import concat_evidence, first_match, place
 
 _T = F.col
@@ -56,68 +59,95 @@ def narrow_size_table(evidence: DataFrame) -> DataFrame:
     """evidence with `size_text`: a block with a table of two or more sizes is cut to the row of the size on
     sale, or null without one; and `narrowed`, the size by which any block of the item was cut."""
     item = Window.partitionBy("item_id")
-    size = target_size(_T("t"))
-    in_title = F.min_by(F.struct(size.alias("size")), F.when(_T("source") == "title", _T("pos"))).over(item)["size"]
-    elsewhere = F.min_by(size, F.when(_T("source").isin("description", "all_text") & size.isNotNull(), _T("pos"))).over(item)
-    rows = evidence.withColumns({"target": F.coalesce(in_title, elsewhere), "rows": size_table(_T("t"))})
-    is_table = (F.size(F.array_distinct(F.transform("rows", lambda r: r["size"]))) >= 2) & _T("target").isNotNull()
+    titled = F.col("source").isin("title", "description", "all_text")
+    bracket = _T("t").rlike(r"[【\[]")
+    rows = evidence.select("*", F.when(titled, target_size(_T("t"))).alias("token"), F.when(bracket, size_table(_T("t"))).alias("rows"))
+    rows = rows.withColumn("many", F.size(F.array_distinct(F.transform("rows", lambda r: r["size"]))) >= 2)
+    in_title = F.min_by(F.struct("token"), F.when(_T("source") == "title", _T("pos"))).over(item)["token"]
+    elsewhere = F.min_by("token", F.when((_T("source") != "title") & _T("token").isNotNull(), _T("pos"))).over(item)
+    target = F.coalesce(in_title, elsewhere)
+    rows = rows.withColumns({"target": target, "any_table": F.coalesce(F.bool_or("many").over(item), F.lit(False))})
     row = F.try_element_at(F.filter("rows", lambda r: r["size"] == _T("target")), F.lit(-1))["row"]
-    rows = rows.withColumn("is_table", is_table)
-    narrowed = F.max(F.when(_T("is_table"), _T("target"))).over(item)
-    return rows.withColumns({"size_text": F.when(_T("is_table"), row).otherwise(_T("t")), "narrowed": narrowed}).drop("rows", "target", "is_table")
+    is_table = _T("many") & _T("target").isNotNull()
+    size_text = F.when(F.coalesce(is_table, F.lit(False)), row).otherwise(_T("t"))
+    narrowed = F.when(_T("any_table"), _T("target"))
+    return rows.select("*", size_text.alias("size_text"), narrowed.alias("narrowed")).drop("rows", "target", "many", "token", "any_table")
 
 
 def size_blocks() -> dict[str, Column]:
-    text = _T("size_text")
-    hit = lambda value, evidence: F.struct(value.alias("value"), evidence.alias("evidence"), "source", "confidence")
-    out = {}
-    for name, pattern in P.MEASURES.items():
-        number = found(text, pattern, 1).try_cast("double")
-        out[f"s_{name}"] = F.when(number.isNotNull(), hit(number, F.regexp_extract(text, pattern, 0)))
-    out["s_hem"] = _first_of((text.rlike(p), hit(F.lit(v), F.regexp_extract(text, p, 0))) for p, v in ((P.HEM_DOUBLE, "double"), (P.HEM_SINGLE, "single")))
-    return out
+    """A struct for each measure that a block names. A cheap look for the label goes before its pattern."""
+
+    def hit(name: str, pattern: str) -> str:
+        labels = " OR ".join(f"contains(lower(size_text), {sql_text(label.lower())})" for label in P.LABELS[name])
+        number = f"try_cast(regexp_extract(size_text, {sql_text(pattern)}, 1) AS double)"
+        found = f"named_struct('value', {number}, 'evidence', regexp_extract(size_text, {sql_text(pattern)}, 0), 'source', source, 'confidence', confidence)"
+        return f"CASE WHEN {labels} THEN CASE WHEN size_text RLIKE {sql_text(pattern)} THEN {found} END END"
+
+    def hem(value: str, pattern: str) -> str:
+        return f"WHEN size_text RLIKE {sql_text(pattern)} THEN named_struct('value', '{value}', 'evidence', regexp_extract(size_text, {sql_text(pattern)}, 0), 'source', source, 'confidence', confidence)"
+
+    out = {f"s_{name}": F.expr(hit(name, pattern)) for name, pattern in P.MEASURES.items()}
+    return out | {"s_hem": F.expr(f"CASE {hem('double', P.HEM_DOUBLE)} {hem('single', P.HEM_SINGLE)} END")}
 
 
 def size_aggregates() -> dict[str, Column]:
     return {f"s_{n}": first_match(_T(f"s_{n}"), _T("size_place")) for n in [*P.MEASURES, "hem"]} | {"narrowed": F.max("narrowed")}
 
 
+_PLAIN = ("s_waist_flat IS NULL AND s_waist_girth IS NULL", "s_waist.value <= 60")
+
+#: What each measure is taken from, in SQL over the first matches.
+_FROM = {
+    "jacket_shoulder_cm": "s_shoulder",
+    "jacket_chest_width_cm": "coalesce(s_chest, CASE WHEN s_girth IS NOT NULL THEN named_struct('value', bround(s_girth.value / 2, 1), "
+    "'evidence', concat(s_girth.evidence, ' (胸囲→身幅 ÷2)'), 'source', s_girth.source, 'confidence', s_girth.confidence) END)",
+    "jacket_length_cm": "s_length",
+    "jacket_sleeve_cm": "s_sleeve",
+    "pants_waist_flat_cm": f"coalesce(s_waist_flat, CASE WHEN {_PLAIN[0]} AND {_PLAIN[1]} THEN s_waist END)",
+    "pants_waist_circ_cm": f"coalesce(CASE WHEN s_waist_flat IS NULL THEN s_waist_girth END, CASE WHEN {_PLAIN[0]} AND NOT {_PLAIN[1]} THEN s_waist END)",
+    "pants_rise_cm": "s_rise",
+    "pants_inseam_cm": "s_inseam",
+    "pants_hem_width_cm": "s_hem_width",
+    "pants_thigh_cm": "s_thigh",
+    "pants_total_length_cm": "s_total_length",
+}
+
+
+def size_hits() -> dict[str, Column]:
+    """The match of each measure, plausible or not."""
+    return {f"h_{field}": F.expr(sql) for field, sql in _FROM.items()}
+
+
+def size_values() -> dict[str, Column]:
+    """The measures whose matches are plausible."""
+
+    def value(field: str) -> str:
+        h, (lo, hi, _) = f"h_{field}", BOUNDS[field]
+        made = f"named_struct('value', {h}.value, 'unit', 'cm', 'confidence', bround({h}.confidence * 0.9D, 3), 'evidence', {h}.evidence, 'source', {h}.source)"
+        return f"CAST(CASE WHEN {h}.value BETWEEN {lo}D AND {hi}D THEN {made} END AS {MEASURE})"
+
+    return {f"v_{field}": F.expr(value(field)) for field in _FROM}
+
+
 def size_result() -> Column:
-    warnings, unknown, made = [F.when(_T("narrowed").isNotNull(), F.concat(F.lit("サイズ表を検出: '"), _T("narrowed"), F.lit("' 行のみを使用して判定しました")))], [], {}
-
-    def measure(field: str, hit: Column, when: Column = F.lit(True), needed: bool = True) -> None:
-        warnings.append(F.when(when, implausible_message(field, hit["value"])))
-        confidence = F.bround(hit["confidence"] * 0.9, 3)
-        value = F.struct(hit["value"].alias("value"), F.lit("cm").alias("unit"), confidence.alias("confidence"), hit["evidence"].alias("evidence"), hit["source"].alias("source"))
-        made[field] = F.when(when & hit.isNotNull() & plausible(field, hit["value"]), value).cast(MEASURE)
-        if needed:
-            unknown.append(F.when(made[field].isNull(), field))
-
-    measure("jacket_shoulder_cm", _T("s_shoulder"))
-    chest, girth = _T("s_chest"), _T("s_girth")
-    halved = F.struct(
-        F.bround(girth["value"] / 2, 1).alias("value"), F.concat(girth["evidence"], F.lit(" (胸囲→身幅 ÷2)")).alias("evidence"), girth["source"].alias("source"), girth["confidence"].alias("confidence"),
-    )
-    warnings.append(
-        F.when(chest.isNull() & girth.isNotNull(), F.concat(F.lit("胸囲 "), girth["value"].cast("string"), F.lit("cm → 身幅 "), F.format_string("%.1f", girth["value"] / 2), F.lit("cm に換算して判定")))
-    )
-    measure("jacket_chest_width_cm", F.coalesce(chest, F.when(girth.isNotNull(), halved)))
-    measure("jacket_length_cm", _T("s_length"))
-    measure("jacket_sleeve_cm", _T("s_sleeve"))
-    flat, around, plain = _T("s_waist_flat"), _T("s_waist_girth"), _T("s_waist")
-    named = flat.isNotNull() | around.isNotNull()
-    small = plain["value"] <= 60
-    is_flat, is_girth = flat.isNotNull() | (~named & small), (flat.isNull() & around.isNotNull()) | (~named & ~small)
-    measure("pants_waist_flat_cm", F.coalesce(flat, F.when(~named & small, plain)), F.coalesce(is_flat, F.lit(False)), needed=False)
-    measure("pants_waist_circ_cm", F.coalesce(F.when(flat.isNull(), around), F.when(~named & ~small, plain)), F.coalesce(is_girth, F.lit(False)), needed=False)
-    assumed = F.when(small, "平置きと仮定").otherwise("周囲と仮定")
-    warnings.append(F.when(~named & plain.isNotNull(), F.concat(F.lit("ウエスト "), plain["value"].cast("string"), F.lit("cm: "), assumed, F.lit(" (明示なし)"))))
-    unknown.append(F.when(~named & plain.isNull(), "pants_waist_flat_cm"))
-    for field, name in (("pants_rise_cm", "rise"), ("pants_inseam_cm", "inseam"), ("pants_hem_width_cm", "hem_width"), ("pants_thigh_cm", "thigh"), ("pants_total_length_cm", "total_length")):
-        measure(field, _T(f"s_{name}"))
-    hem = _T("s_hem")
-    hem_finish = F.when(hem.isNotNull(), F.struct(hem["value"].alias("value"), F.bround(hem["confidence"] * 0.9, 3).alias("confidence"), hem["evidence"].alias("evidence"), hem["source"].alias("source")))
-    unknown.append(F.when(hem.isNull(), "pants_hem_finish"))
+    warnings, unknown = [F.when(_T("narrowed").isNotNull(), F.concat(F.lit("サイズ表を検出: '"), _T("narrowed"), F.lit("' 行のみを使用して判定しました")))], []
+    made = {field: _T(f"v_{field}") for field in _FROM}
+    said = lambda field: implausible_message(field, F.expr(f"h_{field}.value"))
+    missing = lambda field: F.when(made[field].isNull(), field)
+    girth = F.expr("CASE WHEN s_chest IS NULL THEN s_girth.value END")
+    warnings += [
+        said("jacket_shoulder_cm"),
+        F.concat(F.lit("胸囲 "), girth.cast("string"), F.lit("cm → 身幅 "), F.format_string("%.1f", girth / 2), F.lit("cm に換算して判定")),
+        *[said(f) for f in ("jacket_chest_width_cm", "jacket_length_cm", "jacket_sleeve_cm", "pants_waist_flat_cm", "pants_waist_circ_cm")],
+        F.expr(f"CASE WHEN {_PLAIN[0]} THEN concat('ウエスト ', CAST(s_waist.value AS string), 'cm: ', CASE WHEN {_PLAIN[1]} THEN '平置きと仮定' ELSE '周囲と仮定' END, ' (明示なし)') END"),
+    ]
+    unknown += [missing(f) for f in ("jacket_shoulder_cm", "jacket_chest_width_cm", "jacket_length_cm", "jacket_sleeve_cm")]
+    unknown.append(F.expr(f"CASE WHEN {_PLAIN[0]} AND s_waist IS NULL THEN 'pants_waist_flat_cm' END"))
+    for field in ("pants_rise_cm", "pants_inseam_cm", "pants_hem_width_cm", "pants_thigh_cm", "pants_total_length_cm"):
+        warnings.append(said(field))
+        unknown.append(missing(field))
+    unknown.append(F.expr("CASE WHEN s_hem IS NULL THEN 'pants_hem_finish' END"))
+    hem_finish = F.expr("CASE WHEN s_hem IS NOT NULL THEN named_struct('value', s_hem.value, 'confidence', bround(s_hem.confidence * 0.9D, 3), 'evidence', s_hem.evidence, 'source', s_hem.source) END")
     required = ("jacket_shoulder_cm", "jacket_chest_width_cm", "jacket_sleeve_cm", "pants_inseam_cm")
     confidence = F.bround(reduce(lambda a, b: a + b, [made[f].isNotNull().cast("int") for f in required]) / 4, 3)
     jacket = {"shoulder_cm": "jacket_shoulder_cm", "chest_width_cm": "jacket_chest_width_cm", "length_cm": "jacket_length_cm", "sleeve_cm": "jacket_sleeve_cm"}
@@ -145,11 +175,14 @@ def price_aggregates() -> dict[str, Column]:
     return {"p_text": concat_evidence(_T("t"), place("price")), "p_any": first_match(_T("p_any"), place("price"))}
 
 
-def price_result() -> Column:
+def price_values() -> dict[str, Column]:
     amount = lambda pattern: parse_jpy(found(_T("p_text"), pattern, 1))
     current = F.coalesce(amount(P.CURRENT), amount(P.WINNING), _T("p_any"))
-    buy_now, fixed, shipping = amount(P.BUY_NOW), amount(P.FIXED), amount(P.SHIPPING)
-    free = _T("p_text").rlike(P.SHIPPING_FREE)
+    return {"v_current": current, "v_buy_now": amount(P.BUY_NOW), "v_fixed": amount(P.FIXED), "v_shipping": amount(P.SHIPPING), "v_free": _T("p_text").rlike(P.SHIPPING_FREE)}
+
+
+def price_result() -> Column:
+    current, buy_now, fixed, shipping, free = (_T(f"v_{n}") for n in ("current", "buy_now", "fixed", "shipping", "free"))
     only_fixed = buy_now.isNull() & current.isNull() & fixed.isNotNull()
     kind = _first_of(
         [
@@ -186,7 +219,7 @@ def status_aggregates() -> dict[str, Column]:
     }
 
 
-def status_result() -> Column:
+def status_values() -> dict[str, Column]:
     def said(text: Column, state: str, confidence: float, which: tuple[str, ...]) -> tuple[Column, Column]:
         evidence = F.coalesce(*[found(text, p) for p in which])
         return evidence.isNotNull(), F.struct(F.lit(state).alias("state"), evidence.alias("evidence"), F.lit(confidence).alias("confidence"))
@@ -197,7 +230,11 @@ def status_result() -> Column:
         said(other, "sold", 0.8, P.SOLD), said(other, "ended", 0.75, P.ENDED), said(other, "active", 0.75, P.ACTIVE),
     ]
     raw = F.substring(F.when(status != "", status).otherwise(other), 1, 80)
-    got = _first_of(rules, F.struct(F.lit("unknown").alias("state"), raw.alias("evidence"), F.lit(0.3).alias("confidence")))
+    return {"v_state": _first_of(rules, F.struct(F.lit("unknown").alias("state"), raw.alias("evidence"), F.lit(0.3).alias("confidence")))}
+
+
+def status_result() -> Column:
+    got = _T("v_state")
     return F.struct(
         got["state"].alias("normalized_status"), got["evidence"].alias("raw_status"), got["evidence"].alias("evidence"), got["confidence"].alias("confidence"),
         _texts(F.when(got["state"] == "unknown", F.lit("販売状態を特定できませんでした"))).alias("warnings"),
@@ -207,15 +244,20 @@ def status_result() -> Column:
 # --- material -----------------------------------------------------------------------------------------------
 
 
-def fibers_of(text: Column) -> Column:
-    """The fibres of a text in their fixed order, each once, with the first percentage that is given for it."""
+def sql_text(value: str) -> str:
+    """A text as a literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fibers_of(text: str) -> Column:
+    """The fibres of a column of texts in their fixed order, each once, with the first percentage that is given for it."""
 
-    def one(fiber: str) -> Column:
-        shares = F.regexp_extract_all(text, F.lit(P.fiber_share(fiber)), F.lit(1))
-        share = F.try_element_at(F.filter(shares, lambda x: x != ""), F.lit(1)).try_cast("int")
-        return F.when(F.size(shares) > 0, F.struct(F.lit(fiber).alias("fiber"), share.alias("percentage")))
+    def one(fiber: str) -> str:
+        shares = f"regexp_extract_all({text}, {sql_text(P.fiber_share(fiber))}, 1)"
+        share = f"try_cast(try_element_at(filter({shares}, x -> x != ''), 1) AS int)"
+        return f"CASE WHEN {text} RLIKE {sql_text('(?iU)' + P.FIBERS[fiber])} THEN named_struct('fiber', '{fiber}', 'percentage', {share}) END"
 
-    return F.array_compact(F.array(*[one(f) for f in P.FIBERS])).cast(FIBER)
+    return F.expr(f"array_compact(array({', '.join(map(one, P.FIBERS))}))").cast(FIBER)
 
 
 def infer_100(fibers: Column) -> Column:
@@ -237,11 +279,16 @@ def split_outer_lining(text: Column) -> tuple[Column, Column]:
     return outer_text, lining_text
 
 
+def material_texts() -> dict[str, Column]:
+    outer, lining = split_outer_lining(_T("t"))
+    fibrous = _T("t").rlike(P.ANY_FIBER)
+    return {"m_outer_text": F.when(fibrous, outer), "m_lining_text": F.when(fibrous, lining)}
+
+
 def material_blocks() -> dict[str, Column]:
-    text = _T("t")
-    outer_text, lining_text = split_outer_lining(text)
-    fibrous = text.rlike(P.ANY_FIBER)
-    return {"m_outer": F.when(fibrous, fibers_of(outer_text)), "m_lining": F.when(fibrous, fibers_of(lining_text)), "m_marked": text.rlike(P.OUTER) | text.rlike(P.LINING) | text.rlike(P.SECTION)}
+    marked = reduce(lambda a, b: a | b, [_T("t").rlike(p) for p in (P.OUTER, P.LINING, P.SECTION)])
+    fibers = lambda text: F.when(F.col(text) != "", fibers_of(text)).when(F.col(text).isNotNull(), F.array().cast(FIBER))
+    return {"m_outer": fibers("m_outer_text"), "m_lining": fibers("m_lining_text"), "m_marked": F.when(_T("m_outer_text").isNotNull(), marked)}
 
 
 def material_aggregates() -> dict[str, Column]:
@@ -338,22 +385,49 @@ def condition_result() -> Column:
 
 # --- all together -------------------------------------------------------------------------------------------
 
+#: For each attribute its columns over blocks, the aggregates of an item, values over these in one or more steps, and the result.
 EXTRACTORS = {
-    "size": (size_blocks, size_aggregates, size_result),
-    "price": (price_blocks, price_aggregates, price_result),
-    "status": (dict, status_aggregates, status_result),
-    "material": (material_blocks, material_aggregates, material_result),
-    "style": (style_blocks, style_aggregates, style_result),
-    "condition": (condition_blocks, condition_aggregates, condition_result),
+    "size": (size_blocks, size_aggregates, (size_hits, size_values), size_result),
+    "price": (price_blocks, price_aggregates, (price_values,), price_result),
+    "status": (dict, status_aggregates, (status_values,), status_result),
+    "material": (material_blocks, material_aggregates, (), material_result),
+    "style": (style_blocks, style_aggregates, (), style_result),
+    "condition": (condition_blocks, condition_aggregates, (), condition_result),
 }
 
 
 def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), normalized: bool = False) -> DataFrame:
-    """item_id and a struct of each of the named attributes. `normalized` says that texts went through `norm_ja`."""
-    rows = evidence.select("item_id", "pos", "source", "confidence", (_T("text") if normalized else norm_ja(_T("text"))).alias("t"))
+    """item_id and a struct of each of the named attributes.
+
+    Texts are normalised unless `normalized` says that they are, or a column `t` holds them so. Columns of
+    `captured_evidence` that ride along come out as they are, and `n_blocks` counts the blocks with a text.
+    """
+    carried = [c for c in evidence.columns if re.fullmatch(r"c\d+", c)]
+    text = _T("t") if "t" in evidence.columns else _T("text") if normalized else norm_ja(_T("text"))
+    rows = evidence.select("item_id", "pos", "source", "confidence", text.alias("t"), *carried)
     if "size" in which:
-        rows = narrow_size_table(rows).withColumn("size_place", place("size"))
-    rows = rows.withColumns({k: v for name in which for k, v in EXTRACTORS[name][0]().items()})
-    grouped = rows.groupBy("item_id").agg(*[v.alias(k) for name in which for k, v in EXTRACTORS[name][1]().items()])
+        rows = narrow_size_table(rows)
+    built = [built_columns(name) for name in which]
+    if "material" in which:
+        rows = rows.select("*", *[v.alias(k) for k, v in material_texts().items()])
+    rows = rows.select("*", *([place("size").alias("size_place")] if "size" in which else []), *[v.alias(k) for blocks, *_ in built for k, v in blocks.items()])
+    aggregates = [v.alias(k) for _, found, _, _ in built for k, v in found.items()]
+    more = [F.first(c, ignorenulls=True).alias(c) for c in carried] + ([F.count("t").alias("n_blocks")] if carried else [])
+    grouped = rows.groupBy("item_id").agg(*aggregates, *more)
+    for step in range(max(len(steps) for _, _, steps, _ in built)):
+        grouped = grouped.select("*", *[v.alias(k) for _, _, steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())])
     # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves
-    return grouped.select("item_id", F.inline(F.array(F.struct(*[EXTRACTORS[name][2]().alias(name) for name in which]))))
+    result = F.inline(F.array(F.struct(*[b[3].alias(name) for name, b in zip(which, built)])))
+    return grouped.select("item_id", *carried, *(["n_blocks"] if carried else []), result)
+
+
+_built: dict[tuple[int, str], tuple] = {}
+
+
+def built_columns(name: str) -> tuple[dict[str, Column], dict[str, Column], list[dict[str, Column]], Column]:
+    """The columns of an extractor, built once for each connection to Spark: they hold names only, no table."""
+    key = (id(SparkContext._gateway), name)
+    if key not in _built:
+        blocks, aggregates, steps, result = EXTRACTORS[name]
+        _built[key] = (blocks(), aggregates(), [step() for step in steps], result())
+    return _built[key]

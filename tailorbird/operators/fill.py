@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIELD_LABELS, RULES, Rules
-from ..functions.text import implausible_message, plausible
+from ..functions.patterns import FIBER_NAMES
+from ..functions.text import alias_lookup, implausible_message, plausible
 from .extract import FIBER, MEASURE
 
 #: Confidence and source of values that a result filled in.
@@ -38,8 +39,8 @@ def ml_fill_candidates(attributes: DataFrame, images: bool = False, rules: Rules
     return attributes.filter(((_unknown() > rules.fill_above) | no_fibers) & (text != ""))
 
 
-def ml_fill_requests(candidates: DataFrame, images: bool = False) -> DataFrame:
-    """item_id, pass, about (size or material), prompt and images: a row for each question about a candidate."""
+def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """item_id, pass, about (size or material), prompt and images: a row for each question about a candidate. Columns of `keep` come along."""
     labels = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])
     asked = F.filter(F.col("size")["unknown_fields"], lambda f: F.try_element_at(labels, f).isNotNull())
     lines = F.array_join(F.transform(asked, lambda f: F.concat(F.lit('  "'), f, F.lit('": '), F.try_element_at(labels, f), F.lit(" — number or null"))), "\n")
@@ -47,7 +48,12 @@ def ml_fill_requests(candidates: DataFrame, images: bool = False) -> DataFrame:
     given = F.lit("The pictures show the listing.") if images else F.concat(F.lit("Listing text:\n"), text)
     size = F.concat(F.lit("Read the garment's measures in centimetres from a second-hand suit listing. Answer in JSON only, with these keys:\n"), lines, F.lit("\n"), given)
     material = F.concat(
-        F.lit('Read the fibres from a second-hand suit listing. Answer in JSON only: {"outer_fibers": [{"fiber": name, "percentage": whole number or null}], "lining_fibers": [...]}\n'), given
+        F.lit(
+            'Read the fibres from a second-hand suit listing. Answer in JSON only: {"outer_fibers": [{"fiber": name, "percentage": whole number or null}], "lining_fibers": [...]}\n'
+            f"A name is one of {', '.join(FIBER_NAMES)}.\n"
+            'For example, of 表地 ウール60% ポリエステル40%: {"outer_fibers": [{"fiber": "wool", "percentage": 60}, {"fiber": "polyester", "percentage": 40}], "lining_fibers": []}\n'
+        ),
+        given,
     )
     ask = F.array_compact(
         F.array(
@@ -56,8 +62,8 @@ def ml_fill_requests(candidates: DataFrame, images: bool = False) -> DataFrame:
         )
     )
     pictures = F.slice("image_urls", 1, 4) if images else F.lit(None).cast("array<string>")
-    rows = candidates.select("item_id", F.lit("image" if images else "text").alias("pass"), F.explode(ask).alias("a"), pictures.alias("images"))
-    return rows.select("item_id", "pass", "a.about", "a.prompt", "images")
+    rows = candidates.select("item_id", F.lit("image" if images else "text").alias("pass"), F.explode(ask).alias("a"), pictures.alias("images"), *keep)
+    return rows.select("item_id", "pass", "a.about", "a.prompt", "images", *keep)
 
 
 def fill_size(size: Column, result: Column) -> Column:
@@ -107,7 +113,8 @@ def fill_size(size: Column, result: Column) -> Column:
 
 def fill_material(material: Column, result: Column) -> Column:
     """A material struct with its empty fibre lists filled from a result; only the outer ones stop being unknown."""
-    fibers = lambda key: F.try_variant_get(result, f"$.{key}", FIBER)
+    # whatever name a result gives, it goes by its canonical one, so that rules see it
+    fibers = lambda key: F.transform(F.try_variant_get(result, f"$.{key}", FIBER), lambda f: f.withField("fiber", alias_lookup(F.trim(f["fiber"]))))
     outer, lining = fibers("outer_fibers"), fibers("lining_fibers")
     new_outer = (F.size(material["outer_fibers"]) <= 0) & (F.size(outer) > 0)
     new_lining = (F.size(material["lining_fibers"]) <= 0) & (F.size(lining) > 0)
@@ -122,7 +129,7 @@ def fill_material(material: Column, result: Column) -> Column:
 def ml_fill_join(attributes: DataFrame, results: DataFrame, passes: tuple[str, ...] = ("text", "image")) -> DataFrame:
     """attributes with size and material filled from the results of each pass in turn; an item has one result a pass."""
     results = results.filter(F.col("pass").isin(*passes)).groupBy("item_id").pivot("pass", list(passes)).agg(F.first(F.to_json("result"), ignorenulls=True))
-    out = attributes.join(results, "item_id", "left")
+    out = attributes.join(results.hint("merge"), "item_id", "left")
 
     def apply(rows: DataFrame, name: str) -> DataFrame:
         result = F.try_parse_json(F.col(name))

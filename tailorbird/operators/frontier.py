@@ -91,13 +91,13 @@ def dedup_frontier(found: DataFrame) -> DataFrame:
 
 
 def not_in_seen(frontier: DataFrame, seen: DataFrame) -> DataFrame:
-    return frontier.join(seen.select("url"), "url", "left_anti")
+    return frontier.join(seen.select("url").hint("merge"), "url", "left_anti")
 
 
 def frontier_join_store(frontier: DataFrame, listings: DataFrame) -> DataFrame:
     """frontier with what the store knows of each URL, under `stored`; null for URLs that it doesn't have."""
     known = listings.select("url", F.struct("verdict", "needs_recheck", "retrieved_at").alias("stored"))
-    return frontier.join(known, "url", "left")
+    return frontier.join(known.hint("merge"), "url", "left")
 
 
 def route_action(stored: Column, now: Column, recrawl_after_days: int = 3) -> Column:
@@ -123,4 +123,4 @@ def batch_summary(outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("total"), count("action", "crawled").alias("crawled"), count("action", "status_rechecked").alias("status_rechecked"), count("action", "skipped").alias("skipped"),
         count("action", "error").alias("errors"), count("verdict", "MATCH").alias("matches"), count("verdict", "REVIEW").alias("reviews"), count("verdict", "NO_MATCH").alias("no_matches"),
     )
-    return totals.join(verdicts, "run_id", "left")
+    return totals.join(verdicts.hint("merge"), "run_id", "left")

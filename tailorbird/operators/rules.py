@@ -30,6 +30,9 @@ HOLE = "NG: 穴・破れあり"
 LOST_BUY_NOW = "即決価格が削除されました (ステータス再確認時に検出)"
 VERDICTS = ("MATCH", "REVIEW", "NO_MATCH")
 
+#: The columns that `decide` adds.
+DECIDED = ("blocking_reasons", "reasons", "score", "verdict", "needs_llm_review", "needs_human_review", "confidence", "needs_recheck", "warnings")
+
 
 def rules_frame(spark: SparkSession, rules: Rules = RULES) -> DataFrame:
     """The thresholds as rows of rule, lo and hi; a threshold without an upper end has a null there."""
@@ -148,22 +151,25 @@ def needs_recheck(verdict: Column, blocking: Column) -> Column:
     return F.when(verdict == "REVIEW", True).when(verdict == "NO_MATCH", F.forall(blocking, lambda r: r == NO_PRICE)).otherwise(False)
 
 
+_NAMES = "cast(array() as array<string>)"
+_FIBERS = "cast(array() as array<struct<fiber:string,percentage:int>>)"
+
+#: Attributes without values, for rows that lack them.
+EMPTY = {
+    "material": f"named_struct('outer_fibers', {_FIBERS}, 'lining_fibers', {_FIBERS}, 'unknown_fields', {_NAMES}, 'warnings', {_NAMES}, 'confidence', 0.0D)",
+    "style": "named_struct('button_type', cast(null as string), 'button_count', cast(null as int), 'button_color', cast(null as string), "
+    f"'unknown_fields', {_NAMES}, 'warnings', {_NAMES}, 'confidence', 0.0D)",
+    "condition": "named_struct('grade', cast(null as string), 'has_stain', cast(null as boolean), 'has_hole', cast(null as boolean), "
+    f"'unknown_fields', {_NAMES}, 'warnings', {_NAMES}, 'confidence', 0.0D)",
+}
+
+
 def merge_attributes(rows: DataFrame) -> DataFrame:
     """rows with all six attribute structs; those that are missing or null become ones without values."""
-    types = {}
-    for name, (blocks, aggregates, result) in EXTRACTORS.items():
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None))
-        types[name] = rows.schema[name].dataType
-    empty = {
-        "material": "named_struct('outer_fibers', cast(array() as array<struct<fiber:string,percentage:int>>), 'lining_fibers', cast(array() as array<struct<fiber:string,percentage:int>>), "
-        "'unknown_fields', cast(array() as array<string>), 'warnings', cast(array() as array<string>), 'confidence', 0.0D)",
-        "style": "named_struct('button_type', cast(null as string), 'button_count', cast(null as int), 'button_color', cast(null as string), "
-        "'unknown_fields', cast(array() as array<string>), 'warnings', cast(array() as array<string>), 'confidence', 0.0D)",
-        "condition": "named_struct('grade', cast(null as string), 'has_stain', cast(null as boolean), 'has_hole', cast(null as boolean), "
-        "'unknown_fields', cast(array() as array<string>), 'warnings', cast(array() as array<string>), 'confidence', 0.0D)",
-    }
-    return rows.withColumns({name: F.coalesce(F.col(name), F.expr(sql)) for name, sql in empty.items()})
+    there = set(rows.columns)
+    made = {name: F.lit(None) for name in EXTRACTORS if name not in there and name not in EMPTY}
+    made |= {name: F.expr(f"coalesce({name}, {sql})" if name in there else sql) for name, sql in EMPTY.items()}
+    return rows.withColumns(made)
 
 
 def all_warnings() -> Column:
@@ -179,15 +185,14 @@ def decide(attributes: DataFrame, rules: Rules = RULES) -> DataFrame:
     # a generator of one row, so that filters on a verdict don't copy all rules into themselves
     rows = attributes.select("*", F.inline(F.array(F.struct(blocking.alias("blocking_reasons"), reasons.alias("reasons")))))
     unknown = reduce(lambda a, b: a + b, [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")])
-    rows = rows.withColumns({"score": score(), "unknown_count": unknown})
+    rows = rows.select("*", score().alias("score"), unknown.alias("unknown_count"))
     verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when((F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score), "REVIEW").otherwise("MATCH")
-    rows = rows.withColumn("verdict", verdict)
-    return rows.withColumns(
-        {
-            "needs_llm_review": F.coalesce(F.size(F.col("size")["unknown_fields"]) > rules.fill_above, F.lit(False)),
-            "needs_human_review": F.col("verdict") == "REVIEW",
-            "confidence": F.col("score"),
-            "needs_recheck": needs_recheck(F.col("verdict"), F.col("blocking_reasons")),
-            "warnings": all_warnings(),
-        }
-    ).drop("unknown_count")
+    rows = rows.select("*", verdict.alias("verdict"))
+    return rows.select(
+        *[c for c in rows.columns if c != "unknown_count"],
+        F.coalesce(F.size(F.col("size")["unknown_fields"]) > rules.fill_above, F.lit(False)).alias("needs_llm_review"),
+        (F.col("verdict") == "REVIEW").alias("needs_human_review"),
+        F.col("score").alias("confidence"),
+        needs_recheck(F.col("verdict"), F.col("blocking_reasons")).alias("needs_recheck"),
+        all_warnings().alias("warnings"),
+    )

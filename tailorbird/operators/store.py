@@ -85,7 +85,7 @@ def fold_changes(changes: DataFrame) -> DataFrame:
 
 def upsert_listings(current: DataFrame, changed: DataFrame) -> DataFrame:
     """current without the URLs of changed, and changed: a new snapshot of tables that keep no log."""
-    return current.join(changed.select("url").distinct(), "url", "left_anti").unionByName(changed)
+    return current.join(changed.select("url").distinct().hint("merge"), "url", "left_anti").unionByName(changed)
 
 
 def jst_day(day: str) -> tuple[Column, Column]:
@@ -110,7 +110,7 @@ def recheck_join(stored: DataFrame, captured: DataFrame) -> DataFrame:
     from .rules import LOST_BUY_NOW
 
     new = captured.select("url", F.col("status").alias("new_status"), F.col("price").alias("new_price"))
-    joined = stored.join(new, "url")
+    joined = stored.join(new.hint("merge"), "url")
     lost = F.col("price")["buy_now_price_jpy"].isNotNull() & F.col("new_price")["buy_now_price_jpy"].isNull()
     return joined.select(
         "url", F.lit("status_rechecked").alias("action"), F.when(lost, "NO_MATCH").otherwise(F.col("verdict")).alias("verdict"),
@@ -161,7 +161,7 @@ def report(listings: DataFrame) -> DataFrame:
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("source_site", "verdict").orderBy(F.col("k").desc(), "reason"))).filter("r <= 3")
     top = ranked.groupBy("source_site", "verdict").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "reason", "k"))), lambda x: F.struct(x["reason"].alias("reason"), x["k"].alias("n"))).alias("top_reasons"))
     same = totals["source_site"].eqNullSafe(top["source_site"]) & totals["verdict"].eqNullSafe(top["verdict"])
-    return totals.join(top, same, "left").select(totals["source_site"], totals["verdict"], "n", "mean_score", "top_reasons")
+    return totals.join(top.hint("merge"), same, "left").select(totals["source_site"], totals["verdict"], "n", "mean_score", "top_reasons")
 
 
 def listing_view(listings: DataFrame) -> DataFrame:

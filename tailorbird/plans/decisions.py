@@ -1,14 +1,19 @@
-"""Whole runs: captures or stored packages in, decided listings out, as one lazy plan with one shuffle by item."""
+"""Whole runs: captures or stored packages in, decided listings out, as one lazy plan with one shuffle by item.
+
+Every row is decided by what it holds itself, so a page that was captured twice gives two decisions; rows alike
+in every column count once. A row without usable evidence, as one whose url and texts are null, gets an error
+and no decision. Other columns pass; those with the name of a result are replaced by it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RULES, Rules
-from ..operators.evidence import build_package, clean_blocks, flatten_packages, signals_to_evidence
-from ..operators.extract import extract
-from ..operators.rules import decide, merge_attributes
+from ..operators.evidence import build_package, captured_evidence, clean_blocks, clean_captured, page_blocks, stored_blocks
+from ..operators.extract import EXTRACTORS, extract
+from ..operators.rules import DECIDED, decide, merge_attributes
 from ..sources.sites import captures_to_signals
 
 
@@ -17,12 +22,30 @@ def decide_evidence(evidence: DataFrame, rules: Rules = RULES, normalized: bool
     return decide(merge_attributes(extract(clean_blocks(evidence), normalized=normalized)), rules)
 
 
+def extract_rows(rows: DataFrame, blocks: Column, which: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
+    """rows with the named attributes of each; n_blocks says how many blocks of evidence there were."""
+    kept = [c for c in rows.columns if c.lower() not in {*EXTRACTORS, "n_blocks"}]
+    found = extract(clean_captured(captured_evidence(rows, blocks, kept)), which)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *which, "n_blocks")
+
+
+def _decide_rows(rows: DataFrame, blocks: Column, rules: Rules) -> DataFrame:
+    rows = rows.drop(*DECIDED, "error")
+    whole = decide(merge_attributes(extract_rows(rows, blocks)), rules)
+    none = F.col("n_blocks") == 0
+    made = {c: F.when(~none, F.col(c)) for c in (*EXTRACTORS, *DECIDED)}
+    kept = [c for c in whole.columns if c not in made and c != "n_blocks"]
+    return whole.select(*kept, *[v.alias(c) for c, v in made.items()], F.when(none, "no evidence").alias("error"))
+
+
+def extract_signals(signals: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
+    """signals (url and text buckets) with item_id, source_site and the named attributes."""
+    return extract_rows(build_package(signals), page_blocks(), which)
+
+
 def decide_signals(signals: DataFrame, rules: Rules = RULES) -> DataFrame:
     """signals (url and text buckets) with the decision of each; a page without any evidence gets an error instead."""
-    packages = build_package(signals)
-    decided = decide_evidence(signals_to_evidence(packages), rules, normalized=True)
-    whole = packages.join(decided, "item_id", "left")
-    return whole.withColumn("error", F.when(F.col("verdict").isNull(), "no evidence"))
+    return _decide_rows(build_package(signals), page_blocks(), rules)
 
 
 def decide_captures(captures: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -31,7 +54,5 @@ def decide_captures(captures: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 def reparse(packages: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Stored packages decided anew, for when rules change. Items without usable evidence get an error, not a decision."""
-    decided = decide_evidence(flatten_packages(packages), rules)
-    rest = [c for c in ("item_id", "url", "source_site", "retrieved_at") if c in packages.columns]
-    whole = packages.select(*rest).join(decided, "item_id", "left")
-    return whole.withColumn("error", F.when(F.col("verdict").isNull(), "no evidence"))
+    decided = _decide_rows(packages, stored_blocks(), rules)
+    return decided.drop("evidence_blocks", "page_signals")

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import fill, frontier, rules, store
 from ..operators.extract import extract
-from .decisions import decide_evidence, decide_signals
+from .decisions import decide_signals, extract_signals, reparse
 from .listings import EXPECTED_SQL, listing_signals
 
 #: The moment that routing and views take for now.
@@ -25,10 +25,8 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attributes(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    """p_partkey and the named attributes of every listing."""
-    signals = _signals(spark, sf_dir)
-    attributes = extract(E.clean_blocks(E.signals_to_evidence(signals)), which, normalized=True)
-    return signals.select("item_id", F.col("p_partkey").alias("k")).join(attributes, "item_id")
+    """Every listing with its key k and the named attributes."""
+    return extract_signals(listing_signals(_table(spark, sf_dir, "part")).withColumnRenamed("p_partkey", "k"), which)
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +99,10 @@ def target_limit(spark, sf_dir):
 
 
 def frontier_not_seen(spark, sf_dir):
-    return frontier.not_in_seen(_routed(spark, sf_dir), _table(spark, sf_dir, "orders").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"))).select("url")
+    """Parts whose key no order of the first half of a five-day cycle of keys has."""
+    k = F.col("o_orderkey")
+    seen = _table(spark, sf_dir, "orders").filter(k % 5 < 3).select(F.concat(F.lit("u"), k.cast("string")).alias("url"))
+    return frontier.not_in_seen(_routed(spark, sf_dir), seen).select("url")
 
 
 def batch_summary(spark, sf_dir):
@@ -135,9 +136,9 @@ def fiber_aliases(spark, sf_dir):
 
 
 def listing_evidence(spark, sf_dir):
-    signals = _signals(spark, sf_dir)
-    blocks = E.clean_blocks(E.signals_to_evidence(signals)).join(signals.select("item_id", "p_partkey"), "item_id")
-    return blocks.groupBy(F.col("p_partkey").alias("k"), "source").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    signals = _signals(spark, sf_dir).withColumn("item_id", F.col("p_partkey").cast("string"))
+    blocks = E.clean_blocks(E.signals_to_evidence(signals))
+    return blocks.groupBy(F.col("item_id").cast("long").alias("k"), "source").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
 
 def listing_sizes(spark, sf_dir):
@@ -188,9 +189,9 @@ def listing_reasons(spark, sf_dir):
 
 def reparse_packages(spark, sf_dir):
     """Packages stored as nested, raw blocks and decided anew."""
-    signals = _signals(spark, sf_dir)
-    packages = E.nest_evidence(E.signals_to_evidence(signals)).join(signals.select("item_id", F.col("p_partkey").alias("k")), "item_id")
-    return packages.select("item_id", "k").join(decide_evidence(E.flatten_packages(packages)), "item_id").select("k", "verdict", "score")
+    signals = _signals(spark, sf_dir).withColumn("item_id", F.col("p_partkey").cast("string"))
+    packages = E.nest_evidence(E.signals_to_evidence(signals))
+    return reparse(packages).select(F.col("item_id").cast("long").alias("k"), "verdict", "score")
 
 
 def listing_view(spark, sf_dir):
@@ -231,9 +232,8 @@ def recheck_downgrade(spark, sf_dir):
     """Listings looked at again after every third lost its buy-now price."""
     part = _table(spark, sf_dir, "part")
     stored = _decided(spark, sf_dir).select("url", "verdict", "price")
-    again = E.build_package(listing_signals(part, changed=True))
-    found = extract(E.clean_blocks(E.signals_to_evidence(again)), ("status", "price"), normalized=True)
-    return store.recheck_join(stored, again.select("url", "item_id").join(found, "item_id")).select("url", "verdict", "is_active", "reason")
+    again = extract_signals(listing_signals(part, changed=True), ("status", "price"))
+    return store.recheck_join(stored, again).select("url", "verdict", "is_active", "reason")
 
 
 def store_fold(spark, sf_dir):
@@ -267,7 +267,7 @@ def active_matches(spark, sf_dir):
 
 
 def jst_day_delete(spark, sf_dir):
-    """The events that are left of the first user's once those of a day in Japan are deleted."""
+    """The events that are left once those of a day in Japan are deleted."""
     events = _table(spark, sf_dir, "events")
     return store.delete_jst_day(events, "2024-01-02", "ts").select("event_id")
 
@@ -280,8 +280,7 @@ def find_listing(spark, sf_dir):
 
 
 def fill_candidates(spark, sf_dir):
-    rows = _attributes(spark, sf_dir, "size", "material").join(_signals(spark, sf_dir).select("item_id", "specs_text", "description_text", "image_urls"), "item_id")
-    asked = fill.ml_fill_requests(fill.ml_fill_candidates(rows)).join(rows.select("item_id", "k"), "item_id")
+    asked = fill.ml_fill_requests(fill.ml_fill_candidates(_attributes(spark, sf_dir, "size", "material")), keep=("k",))
     return asked.select("k", "about", F.col("prompt").contains("null").alias("asks"))
 
 
@@ -295,7 +294,8 @@ def fill_merge(spark, sf_dir):
             F.array(F.struct(F.lit("silk").alias("fiber"), F.lit(100).alias("percentage"))).alias("outer_fibers"),
         )
     )
-    results = rows.select("item_id", F.lit("text").alias("pass"), F.parse_json(result).alias("result"))
+    items = _signals(spark, sf_dir).withColumnRenamed("p_partkey", "k")
+    results = items.select("item_id", F.lit("text").alias("pass"), F.parse_json(result).alias("result"))
     out = fill.ml_fill_join(rows, results)
     size, value = F.col("size"), lambda part, f: F.col("size")[part][f]["value"]
     return out.select(
@@ -361,7 +361,7 @@ WITH r AS (SELECT p_partkey AS k, CASE WHEN s.o_orderkey IS NULL THEN 'full_craw
   WHEN s.o_orderkey % 5 IN (3, 4) AND s.o_orderkey % 150 < 72 THEN 'skip' ELSE 'full_crawl' END AS action
 FROM part LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) s ON s.o_orderkey = p_partkey)
 SELECT 'u' || k AS url, k % 12 + 1 AS page, action FROM r WHERE action <> 'skip' AND k % 12 + 1 <= 10 ORDER BY k % 12 + 1, k LIMIT 50""",
-    "frontier_not_seen": "SELECT 'u' || p_partkey AS url FROM part WHERE p_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL)",
+    "frontier_not_seen": "SELECT 'u' || p_partkey AS url FROM part WHERE p_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 < 3)",
     "batch_summary": """
 WITH o AS (SELECT user_id AS run_id, ['crawled', 'status_rechecked', 'skipped', 'error'][event_id % 4 + 1] AS action,
   CASE WHEN event_id % 4 < 2 THEN ['MATCH', 'REVIEW', 'NO_MATCH'][event_id % 3 + 1] END AS verdict FROM events)

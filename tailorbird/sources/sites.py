@@ -15,7 +15,8 @@ from ..functions.text import found, html_to_text, strip_tags
 from ..operators.evidence import detect_site
 from .captures import embedded_json
 
-Signals = dict[str, Column]
+#: Buckets and pictures; `html` holds the fragments that make up the description and `more` lines behind them.
+Signals = dict[str, Column | tuple[Column, ...]]
 BUCKETS = ("title_text", "price_text", "status_text", "description_text", "all_text", "specs_text", "brand_text", "category_text")
 
 
@@ -35,11 +36,6 @@ def _list(item: Column, *paths: str) -> Column:
     return F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays])
 
 
-def _plain(html: Column) -> Column:
-    """Text of an HTML fragment; what has no tag is taken as it is."""
-    return F.when(html.contains("<"), html_to_text(html)).otherwise(html)
-
-
 def _yen(label: str, value: Column) -> Column:
     return F.when(value > 0, F.format_string(f"{label} %,d円", value))
 
@@ -65,9 +61,8 @@ def map_auction_item(item: Column) -> Signals:
     remaining = F.when(left < 3600, F.concat(F.lit("残り"), whole(60), F.lit("分"))).when(left < 86400, F.concat(F.lit("残り"), whole(3600), F.lit("時間"))).otherwise(
         F.concat(F.lit("残り"), whole(86400), F.lit("日"))
     )
-    description = html_to_text(_text(item, "$.descriptionHtml", "$.description"))
     return {
-        "title_text": _text(item, "$.title"), "description_text": description, "all_text": description,
+        "title_text": _text(item, "$.title"), "html": (_text(item, "$.descriptionHtml", "$.description"),),
         "price_text": F.concat_ws("\n", _yen("即決", at_once), F.when((bids > 0) | (at_once == 0), _yen("現在", price)), F.when(_text(item, "$.chargeForShipping") == "seller", "送料込み")),
         "status_text": F.when(state == "open", remaining).when(state == "close", "終了").otherwise(state),
         "specs_text": F.concat(F.lit("商品の状態: "), _text(item, "$.conditionName")),
@@ -76,7 +71,6 @@ def map_auction_item(item: Column) -> Signals:
 
 def map_mercari_item(item: Column) -> Signals:
     state, payer = F.lower(_text(item, "$.status")), _text(item, "$.shipping_payer.name")
-    description = html_to_text(_text(item, "$.description"))
     included = payer.contains("出品者") | payer.contains("込み")
     photo = lambda p: _text(p, "$.image_urls.large", "$.image_urls.medium", "$.image_urls.small", "$.image_urls", "$")
     images = F.filter(F.transform(_list(item, "$.photos", "$.thumbnails"), photo), lambda u: u.isNotNull() & ~u.startswith("{"))
@@ -84,7 +78,7 @@ def map_mercari_item(item: Column) -> Signals:
     parents = F.array_compact(F.array(_text(item, "$.item_category.parent.name"), _text(item, "$.item_category.name")))
     price = _number(item, "$.price")
     return {
-        "title_text": _text(item, "$.name"), "description_text": description, "all_text": description,
+        "title_text": _text(item, "$.name"), "html": (_text(item, "$.description"),),
         "price_text": F.concat_ws("\n", _yen("即決", price), F.when((price > 0) & included, "送料込み")),
         "status_text": F.when(state == "on_sale", "出品中").when(state.isin("sold_out", "trading", "stop"), "終了").otherwise(state),
         "image_urls": images, "category_text": F.array_join(F.coalesce(names, parents), " > "), "brand_text": _text(item, "$.brand.name"),
@@ -94,9 +88,8 @@ def map_mercari_item(item: Column) -> Signals:
 
 def map_flea_item(item: Column) -> Signals:
     state, bought = F.upper(_text(item, "$.status")), F.coalesce(_text(item, "$.isPurchased").try_cast("boolean"), F.lit(False))
-    description = html_to_text(_text(item, "$.description"))
     return {
-        "title_text": _text(item, "$.title"), "description_text": description, "all_text": description, "price_text": _yen("即決", _number(item, "$.price")),
+        "title_text": _text(item, "$.title"), "html": (_text(item, "$.description"),), "price_text": _yen("即決", _number(item, "$.price")),
         "status_text": F.when(bought | state.isin("SOLD", "CLOSED", "CLOSE"), "終了").when(state == "OPEN", "出品中").otherwise(state),
         "image_urls": F.array_compact(F.transform(_list(item, "$.images"), lambda i: _text(i, "$.url"))),
         "category_text": F.array_join(F.array_compact(F.transform(_list(item, "$.categoryList"), lambda c: _text(c, "$.name"))), " "),
@@ -106,13 +99,11 @@ def map_flea_item(item: Column) -> Signals:
 
 def map_shopping_item(item: Column) -> Signals:
     labels = {"brandName": "ブランド", "colorName": "カラー", "sizeName": "サイズ", "materialDescription": "素材"}
-    parts = [_plain(_text(item, f"$.{k}")) for k in ("freeSpace1", "freeSpace2", "information")]
-    parts += [F.concat(F.lit(f"{label}: "), _text(item, f"$.{k}")) for k, label in labels.items()]
-    description = F.concat_ws("\n", *parts)
+    parts = [F.concat(F.lit(f"{label}: "), _text(item, f"$.{k}")) for k, label in labels.items()]
     there = F.lower(_text(item, "$.availability", "$.inStock"))
     scalar = lambda v: F.when(~v.startswith("{"), v)
     return {
-        "title_text": _text(item, "$.name", "$.title"), "description_text": description, "all_text": description,
+        "title_text": _text(item, "$.name", "$.title"), "html": tuple(_text(item, f"$.{k}") for k in ("freeSpace1", "freeSpace2", "information")), "more": F.concat_ws("\n", *parts),
         "price_text": _yen("即決", _number(item, "$.price.value", "$.price.selling", "$.price")),
         "status_text": F.when(there.isin("false", "0", "outofstock"), "終了").otherwise("出品中"),
         "image_urls": F.array_compact(F.transform(_list(item, "$.images"), lambda i: _text(i, "$.url"))),
@@ -130,10 +121,14 @@ def _images(html: Column, host: str) -> Column:
 IMAGE_HOSTS = {"mercari": r"mercdn\.net", "yahoo_shopping": r"item-shopping\.c\.yimg\.jp", "yahoo_auctions": r"auctions\.c\.yimg\.jp", "paypay_flea_market": r"yimg\.jp"}
 
 
-def html_fallback_signals(site: str, html: Column) -> Signals:
-    """What can be had from the page itself where its data don't say it."""
+def html_body(html: Column) -> Column:
+    """What stands between a page's body tags, or the whole page."""
     inside = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    body = html_to_text(F.when(inside != "", inside).otherwise(html))
+    return F.when(inside != "", inside).otherwise(html)
+
+
+def html_fallback_signals(site: str, html: Column, body: Column) -> Signals:
+    """What can be had from the page itself, and the text of its body, where its data don't say it."""
     heading = F.nullif(F.trim(F.regexp_replace(strip_tags(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), r"(?U)\s+", " ")), F.lit(""))
     out = {"title_text": heading, "image_urls": _images(html, IMAGE_HOSTS[site])}
     if site == "yahoo_shopping":
@@ -158,36 +153,52 @@ MAPPERS: dict[str, Callable[[Column], Signals]] = {
 }
 
 
-def item_signals(item: Column, site: str) -> Signals:
-    """A site's mapping of an item, with empty texts and an empty array for what it lacks."""
-    mapped = MAPPERS[site](item)
-    return {b: F.coalesce(mapped.get(b, F.lit(None)), F.lit("")) for b in BUCKETS} | {"image_urls": F.coalesce(mapped.get("image_urls", F.lit(None)).cast("array<string>"), F.array().cast("array<string>"))}
+def _by_site(values: dict[str, Column]) -> Column:
+    """The value of a row's own site."""
+    out = F.lit(None)
+    for site, value in values.items():
+        out = F.when(F.col("source_site") == site, value).otherwise(out)
+    return out
 
 
 def captures_to_signals(captures: DataFrame) -> DataFrame:
-    """captures (url, html, retrieved_at) with source_site and all signals."""
-    rows = captures.withColumns({"source_site": detect_site(F.col("url")), "_data": embedded_json(F.col("html"))})
-    out = None
-    for site in MAPPERS:
-        own = rows.filter(F.col("source_site") == site).withColumn("_item", locate_item(site, F.col("_data")))
-        mapped, fallback = item_signals(F.col("_item"), site), html_fallback_signals(site, F.col("html"))
-        # a page whose data hold an item keeps that item's texts, even empty ones, but for title, price and pictures
-        filled = {}
-        for name, value in mapped.items():
-            other = fallback.get(name)
-            if other is None:
-                filled[name] = value
-            elif name == "image_urls":
-                filled[name] = F.when(F.size(value) > 0, value).otherwise(other)
-            elif site == "yahoo_shopping":
-                filled[name] = F.when(F.col("_item").isNull(), F.coalesce(other, F.lit(""))).otherwise(value)
-            else:
-                filled[name] = F.coalesce(F.nullif(value, F.lit("")), other, F.lit(""))
-        if site == "yahoo_shopping":  # its status is a guess without an item
-            filled["status_text"] = F.when(F.col("_item").isNull(), F.lit("")).otherwise(mapped["status_text"])
-        part = own.select("url", "source_site", "retrieved_at", *[v.alias(k) for k, v in filled.items()])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """captures (url, html, retrieved_at) with source_site and all signals, in one pass over the pages.
+
+    Each row goes through its own site's mapping only; texts of HTML leave the JVM once for all sites together.
+    A page whose data hold an item keeps that item's texts, even empty ones, but for title, price and pictures.
+    """
+    rows = captures.select("url", "html", "retrieved_at", detect_site(F.col("url")).alias("source_site"), embedded_json(F.col("html")).alias("_data"))
+    rows = rows.select("url", "html", "retrieved_at", "source_site", _by_site({s: locate_item(s, F.col("_data")) for s in MAPPERS}).alias("_item"))
+    mapped = {site: mapper(F.col("_item")) for site, mapper in MAPPERS.items()}
+    fragments = [_by_site({s: m["html"][k] for s, m in mapped.items() if k < len(m["html"])}) for k in range(max(len(m["html"]) for m in mapped.values()))]
+    # the page itself is only taken to pieces where it may be needed
+    page = F.when((F.col("source_site") == "mercari") | F.col("_item").isNull(), html_body(F.col("html")))
+    rows = rows.select("*", *[f.alias(f"_html{k}") for k, f in enumerate(fragments)], page.alias("_page"))
+    # what has no tag in a shop's fields is taken as it is
+    tagged = lambda k: F.when((F.col("source_site") != "yahoo_shopping") | F.col(f"_html{k}").contains("<"), F.col(f"_html{k}"))
+    texts = [F.coalesce(html_to_text(tagged(k)), F.col(f"_html{k}")).alias(f"_text{k}") for k in range(len(fragments))]
+    rows = rows.select("url", "html", "retrieved_at", "source_site", "_item", *texts, html_to_text(F.col("_page")).alias("_body"))
+    empty, none = F.lit(""), F.array().cast("array<string>")
+
+    def values(site: str, name: str) -> Column:
+        item, other = mapped[site], html_fallback_signals(site, F.col("html"), F.col("_body")).get(name)
+        if name in ("description_text", "all_text"):
+            value = F.concat_ws("\n", *[f"_text{k}" for k in range(len(item["html"]))], *([F.nullif(item["more"], empty)] if "more" in item else []))
+        else:
+            value = item.get(name, F.lit(None))
+        if name == "image_urls":
+            value = F.coalesce(value.cast("array<string>"), none)
+            return F.when(F.size(value) > 0, value).otherwise(other)
+        value = F.coalesce(value, empty)
+        if site == "yahoo_shopping" and name == "status_text":  # a guess without an item
+            return F.when(F.col("_item").isNotNull(), value).otherwise(empty)
+        if other is None:
+            return value
+        if site == "yahoo_shopping":
+            return F.when(F.col("_item").isNotNull(), value).otherwise(F.coalesce(other, empty))
+        return F.coalesce(F.nullif(value, empty), other, empty)
+
+    return rows.select("url", "source_site", "retrieved_at", *[_by_site({s: values(s, name) for s in MAPPERS}).alias(name) for name in (*BUCKETS, "image_urls")])
 
 
 #: Class or tag of each bucket on pages of the auction site.
