@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,42 +60,70 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seed places (i in item, j in doc): (length, i, j) of each tile, longest first."""
-    diagonals = defaultdict(list)
-    for i, j in seeds:
-        if (item[i : i + least] == doc[j : j + least]).all():
-            diagonals[j - i].append(i)
-    heap = []
-    for d, places in diagonals.items():
-        places.sort()
-        begin = last = places[0]
-        for i in [*places[1:], None]:
-            if i is None or i > last + 1:
-                heap.append((-(last - begin + least), begin, begin + d))
-                begin = i
-            last = i
-    heapq.heapify(heap)
-    in_item, in_doc, found = bytearray(len(item)), bytearray(len(doc)), []
-    while heap:
-        length, i, j = heapq.heappop(heap)
-        length = -length
-        begin = None
-        free = [not (in_item[i + k] or in_doc[j + k]) for k in range(length)]
-        if all(free):
-            in_item[i : i + length] = in_doc[j : j + length] = b"\1" * length
-            found.append((length, i, j))
-            continue
-        for k, is_free in enumerate([*free, False]):
-            if is_free and begin is None:
-                begin = k
-            elif not is_free and begin is not None:
-                if k - begin >= least:
-                    heapq.heappush(heap, (-(k - begin), i + begin, j + begin))
-                begin = None
+def runs_of(places: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray, least: int, most: int = 1 << 20) -> np.ndarray:
+    """The matches (length, i, j) that seeds make along their diagonals.
+
+    Seed k stands at `places[k]` of the item, in ascending order, and at found[begin[k]:end[k]] of the document.
+    About `most` pairs of places are laid out at a time, so memory follows the matches, not the pairs.
+    """
+    counts = end - begin
+    slices = np.append(np.flatnonzero(np.diff(np.append(-1, np.cumsum(counts) // most))), len(places))
+    out, held_d, held_i, held_at = [], np.zeros(0, np.int64), np.zeros(0, np.int64), -2
+    for a, b in zip(slices, slices[1:]):
+        n = counts[a:b]
+        i = np.repeat(places[a:b], n)
+        j = found[np.repeat(begin[a:b] - (np.cumsum(n) - n), n) + np.arange(len(i))]
+        d = j - i
+        order = np.lexsort((i, d))
+        i, d = i[order], d[order]
+        new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)))
+        d, first, last = d[new], i[new], i[np.append(new[1:], len(i)) - 1]
+        # matches that reached the end of the slice before go on here
+        on = np.flatnonzero((first == held_at + 1) & np.isin(d, held_d))
+        at = np.searchsorted(held_d, d[on])
+        first[on] = held_i[at]
+        over = np.ones(len(held_d), bool)
+        over[at] = False
+        out.append(np.stack([held_at - held_i[over] + least, held_i[over], held_i[over] + held_d[over]]))
+        held_at = int(places[b - 1])
+        open_ = last == held_at
+        out.append(np.stack([last - first + least, first, first + d])[:, ~open_])
+        held_d, held_i = d[open_], first[open_]
+    out.append(np.stack([held_at - held_i + least, held_i, held_i + held_d]))
+    return np.concatenate(out, axis=1)
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, runs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling from matches (length, i in item, j in doc): the tiles, longest first."""
+    length, i, j = runs[:, np.lexsort((runs[2], runs[1], -runs[0]))].tolist()
+    whole, parts = iter(zip([-n for n in length], i, j)), []  # matches by their length, and what is left of some
+    free_item, free_doc, found = np.ones(len(item), bool), np.ones(len(doc), bool), []
+    ahead = next(whole, None)
+    while ahead or parts:
+        if ahead and (not parts or ahead <= parts[0]):
+            n, i, j = ahead
+            ahead = next(whole, None)
+        else:
+            n, i, j = heapq.heappop(parts)
+        n = -n
+        free = free_item[i : i + n] & free_doc[j : j + n] & (item[i : i + n] == doc[j : j + n])
+        if free.all():
+            free_item[i : i + n] = free_doc[j : j + n] = False
+            found.append((n, i, j))
+            if not len(_stretches(free_item, least)):  # no tile has room any more
+                break
+        else:
+            for a, b in _stretches(free, least).tolist():
+                heapq.heappush(parts, (a - b, i + a, j + a))
     return found
 
 
+def _stretches(free: np.ndarray, least: int) -> np.ndarray:
+    """The [begin, end) of every run of at least `least` true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))).reshape(-1, 2)
+    return edges[edges[:, 1] - edges[:, 0] >= least]
+
+
 @dataclass
 class Index:
     """The seeds of some test items."""
@@ -127,22 +154,30 @@ class Index:
         if not len(at):
             return []
         lo, hi = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
-        by_item = defaultdict(list)
-        for j, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            for k in range(a, b):
-                by_item[int(self.owners[k])].append((int(self.places[k]), j))
+        order = np.flatnonzero(hi > lo)
+        order = order[lo[order].argsort(kind="stable")]
+        found, lo, hi = at[order], lo[order], hi[order]  # the places of each hash in the document stand together
+        if not len(found):
+            return []
+        begin = np.flatnonzero(np.append(True, lo[1:] != lo[:-1]))
+        end, n = np.append(begin[1:], len(found)), (hi - lo)[begin]
+        entry = np.repeat(lo[begin] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        group = np.repeat(np.arange(len(begin)), n)
+        order = np.lexsort((self.places[entry], self.owners[entry]))
+        owner, place, group = self.owners[entry][order], self.places[entry][order], group[order]
+        firsts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        # no tiling covers more of an item than its seeds do
+        most = np.add.reduceat(np.where(np.append(owner[1:] == owner[:-1], False), np.minimum(np.diff(place, append=0), self.least), self.least), firsts)
         out = []
-        for owner, seeds in by_item.items():
-            item = self.items[owner]
-            most = np.zeros(len(item), bool)  # no tiling covers more than the seeds do
-            for i in {i for i, _ in seeds}:
-                most[i : i + self.least] = True
-            if most.sum() < coverage * len(item):
+        for a, b, reach in zip(firsts, np.append(firsts[1:], len(owner)), most):
+            item = self.items[owner[a]]
+            if reach < coverage * len(item):
                 continue
-            found = tiles(item, doc, seeds, self.least)
-            covered = sum(t[0] for t in found)
+            g = group[a:b]
+            tiled = tiles(item, doc, runs_of(place[a:b], begin[g], end[g], found, self.least), self.least)
+            covered = sum(t[0] for t in tiled)
             if covered >= coverage * len(item):
-                out.append((self.ids[owner], covered / len(item), len(found), max(t[0] for t in found)))
+                out.append((self.ids[owner[a]], covered / len(item), len(tiled), max(t[0] for t in tiled)))
         return out
 
 
