@@ -4,8 +4,10 @@ Features are counts of letter n-grams (1 to 3 letters of the lower-cased text, w
 buckets, as square roots scaled to length one.  A linear machine per pair of families picks the family;
 one-versus-one linear support vector machines then separate the languages within it, by votes and margins.
 
-Counting covers whole texts.  Fitting takes a bounded sample of the labelled rows (`per_language` rows of
-each language, chosen by a hash of the id), so the driver holds at most that many feature rows.
+Counting covers whole texts.  Fitting takes a bounded sample of the labelled rows: about `per_language`
+different texts for either side of a machine, chosen by a hash of the text.  Each machine is fitted in a task
+of its own from the sample of its two sides; only weights (8 KB a machine) reach the driver.  The number of
+machines grows with the pairs of families and the pairs of languages within a family.
 
 Cases: a null text or one without a letter is `und` with score 0; rows with a null language teach nothing;
 with no labelled row everything is `und`; with one language every text with a letter is that one; repeated
@@ -34,12 +36,21 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BUCKETS = 2048
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+_HASHES = 1 << 20
+
+
+def _words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    words = _WORDS.findall(text.lower())
+    if words and not "".join(words).isalpha():  # numbers such as ² or Ⅷ are word characters, but no letters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
 
 
 def features(text: str | None) -> np.ndarray | None:
     """The scaled n-gram counts of one whole text; None if it has no letter."""
-    words = _LETTERS.findall(text.lower()) if text else []
+    words = _words_of(text) if text else []
     if not words:
         return None
     counts = np.zeros(BUCKETS)
@@ -119,42 +130,71 @@ def _svm(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 12, batch: i
     return mean_w / max(1, steps), mean_b / max(1, steps)
 
 
-def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
-    """Machines for each pair of families and for each pair of languages of one family."""
-    langs = np.array(langs, object)
-    family = np.array([_FAMILY.get(code, code) for code in langs], object)
-    families = {f: tuple(sorted(set(langs[family == f]))) for f in sorted(set(family))}
+@dataclass(frozen=True)
+class Task:
+    """A machine to fit: what stands for yes and no, and for each language its side and its share of hashes."""
 
-    def machines(names, of) -> tuple[Machine, ...]:
-        found = []
-        for a, b in combinations(names, 2):
-            rows = np.flatnonzero((of == a) | (of == b))
-            found.append(Machine(a, b, *_svm(x[rows], np.where(of[rows] == a, 1.0, -1.0))))
-        return tuple(found)
+    yes: str
+    no: str
+    family: str | None  # whose languages it separates; None: it separates families
+    sides: dict[str, tuple[float, int]]
 
-    return LanguageModel(families, machines(tuple(families), family), {f: machines(names, langs) for f, names in families.items()})
 
+def tasks(sizes: dict[str, int], per_language: int) -> tuple[dict[str, tuple[str, ...]], list[Task]]:
+    """The languages of each family, and the machines: one for each pair of families, and of languages of one family."""
+    families: dict[str, list[str]] = {}
+    for lang in sorted(sizes):
+        families.setdefault(_FAMILY.get(lang, lang), []).append(lang)
+    families = {f: tuple(names) for f, names in sorted(families.items())}
 
-def learn(docs: DataFrame, per_language: int = 1200) -> LanguageModel:
-    """A model from rows whose crc32(doc_id) mod 4 is not 2. `per_language` bounds the sample of each language."""
+    def side(y: float, names: tuple[str, ...]) -> dict[str, tuple[float, int]]:
+        return {n: (y, int(min(1.0, per_language / len(names) / sizes[n]) * _HASHES)) for n in names}
+
+    found = [Task(a, b, None, side(1.0, families[a]) | side(-1.0, families[b])) for a, b in combinations(families, 2)]
+    found += [Task(a, b, f, side(1.0, (a,)) | side(-1.0, (b,))) for f, names in families.items() for a, b in combinations(names, 2)]
+    return families, found
+
+
+def sample(docs: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame]:
+    """About how many different texts each language has, and those that may teach: lang, text and a hash below 2^20."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod4(F.col("doc_id")), F.lit(0)) != 2))
     # a row for each language: its different texts, as copies are picked together
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(sizes.items())], F.lit(0.0)) if sizes else F.lit(0.0)
+    sizes = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
+    most = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * _HASHES))) for lang, n in sorted(sizes.items())], F.lit(0))
     # by the text, so that copies count once or not at all, whichever their ids
-    picked = known.filter(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    picked = known.select("lang", "text", F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(_HASHES)).alias("hash"))
+    return sizes, picked.filter(F.col("hash") < most).dropDuplicates()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def learn(docs: DataFrame, per_language: int = 1200) -> LanguageModel:
+    """A model from rows whose crc32(doc_id) mod 4 is not 2, with about `per_language` texts on either side of a machine."""
+    sizes, picked = sample(docs, per_language)
+    families, wanted = tasks(sizes, per_language)
+    if not wanted:
+        return LanguageModel(families, (), {f: () for f in families})
+    of_lang = {lang: [(k, *t.sides[lang]) for k, t in enumerate(wanted) if lang in t.sides] for lang in sizes}
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch):
-                rows = [(lang, f.astype("<f4").tobytes()) for lang, t in zip(*(c.to_pylist() for c in part.columns)) if (f := features(t)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
-
-    # the hash gives `per_language` rows of a language in the mean; the limit makes that a bound
-    kept = picked.dropDuplicates().mapInArrow(run, "lang string, x binary")
-    rows = kept.orderBy(F.xxhash64("x"), "lang").limit(2 * per_language * max(1, len(sizes))).collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return fit(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(float) if rows else np.zeros((0, BUCKETS)), [r["lang"] for r in rows])
+                rows = []
+                for lang, text, h in zip(*(c.to_pylist() for c in part.columns)):
+                    if (f := features(text)) is not None:
+                        x = f.astype("<f2").tobytes()
+                        rows += [(k, y, x) for k, y, most in of_lang[lang] if h < most]
+                machine, y, x = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(machine, pa.int32()), pa.array(y, pa.float64()), pa.array(x, pa.binary())], names=["machine", "y", "x"])
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        both = sorted(zip(rows.column("y").to_pylist(), rows.column("x").to_pylist()))  # the order that the seed shuffles
+        weights, bias = _svm(np.stack([np.frombuffer(x, "<f2") for _, x in both]).astype(float), np.array([y for y, _ in both]))
+        return pa.table({"machine": rows.column("machine")[:1], "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": [bias]})
+
+    rows = picked.mapInArrow(described, "machine int, y double, x binary")
+    done = rows.groupBy("machine").applyInArrow(fitted, "machine int, weights binary, bias double").collect()  # a row for each machine
+    machines = {r["machine"]: Machine(wanted[r["machine"]].yes, wanted[r["machine"]].no, np.frombuffer(r["weights"], "<f4").astype(float), r["bias"]) for r in done}
+    of = lambda family: tuple(machines[k] for k, t in enumerate(wanted) if t.family == family and k in machines)
+    return LanguageModel(families, of(None), {f: of(f) for f in families})
 
 
 def identify(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
