@@ -51,7 +51,10 @@ def cleaned_blocks() -> Column:
     """The array of a page's cleaned blocks: one for each bucket that isn't blank, and one for each line of its description."""
 
     def block(source: str, kind: str, confidence: float, text: Column) -> Column:
-        return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("block_type"), text.alias("raw"), F.lit(confidence).alias("confidence"))
+        return F.struct(
+            F.lit(source).alias("source"), F.lit(kind).alias("block_type"), text.alias("raw"),
+            F.lit(confidence).alias("confidence"),
+        )
 
     parts = []
     for source, column, kind, confidence in SIGNALS:
@@ -67,7 +70,8 @@ def cleaned_blocks() -> Column:
     return F.transform(
         both,
         lambda x, i: F.struct(
-            i.cast("int").alias("pos"), x["b"]["source"].alias("source"), x["b"]["block_type"].alias("block_type"), norm_ws(norm_colon(x["t"])).alias("text"), x["b"]["confidence"].alias("confidence")
+            i.cast("int").alias("pos"), x["b"]["source"].alias("source"), x["b"]["block_type"].alias("block_type"),
+            norm_ws(norm_colon(x["t"])).alias("text"), x["b"]["confidence"].alias("confidence")
         ),
     )
 
@@ -83,24 +87,29 @@ def signals_to_evidence(signals: DataFrame) -> DataFrame:
     """A cleaned block for each bucket that isn't blank; a description gives one for each of its lines."""
     cleaned = signals.select("item_id", F.explode(cleaned_blocks()).alias("b")).select("item_id", "b.*")
     # a description line of nothing but tags leaves no block; other buckets keep an empty one
-    return cleaned.filter((F.col("source") != "description") | (F.col("text") != "")).withColumn("metadata", F.create_map().cast("map<string,string>"))
+    return cleaned.filter((F.col("source") != "description") | (F.col("text") != "")).withColumn(
+        "metadata", F.create_map().cast("map<string,string>"),
+    )
 
 
 def captured_evidence(rows: DataFrame, blocks: Column, carry: list[str]) -> DataFrame:
     """Long evidence of each row apart: item_id is a hash of all that the row holds, so rows alike count once.
 
     `blocks` is an array of pos, source, text, confidence and t (the text to extract from). The columns named by
-    `carry` come along, as c0, c1 and so on, on a block without source and text at pos -1, which every row has.
+    `carry` come along, as carried_0 and so on, on a block without source and text at pos -1, which every row has.
     All further work by item_id needs no other shuffle.
     """
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string") if kind not in ("map", "struct", "array") else F.to_json(F.col(c)), F.lit("\x01")) for c, kind in _kinds(rows)])
-    held = rows.select(F.sha2(text, 256).alias("item_id"), blocks.alias("blocks"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    text = F.concat_ws(
+        "\x1f",
+        *[F.coalesce(F.col(c).cast("string") if kind not in ("map", "struct", "array", "variant") else F.to_json(F.col(c)), F.lit("\x01")) for c, kind in _kinds(rows)]
+    )
+    held = rows.select(F.sha2(text, 256).alias("item_id"), blocks.alias("blocks"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     dealt = held.repartition("item_id")
     kind = "struct<pos:int,source:string,text:string,confidence:double,t:string>"
     bare = F.array(F.struct(F.lit(-1), *[F.lit(None)] * 4).cast(kind))
     given = F.coalesce(F.col("blocks"), F.array().cast(f"array<{kind}>"))
-    long = dealt.select("item_id", *[f"c{i}" for i in range(len(carry))], F.explode(F.concat(bare, given)).alias("b"))
-    return long.select("item_id", "b.*", *[F.when(F.col("b.pos") < 0, F.col(f"c{i}")).alias(f"c{i}") for i in range(len(carry))])
+    long = dealt.select("item_id", *[f"carried_{i}" for i in range(len(carry))], F.explode(F.concat(bare, given)).alias("b"))
+    return long.select("item_id", "b.*", *[F.when(F.col("b.pos") < 0, F.col(f"carried_{i}")).alias(f"carried_{i}") for i in range(len(carry))])
 
 
 def _kinds(rows: DataFrame) -> list[tuple[str, str]]:

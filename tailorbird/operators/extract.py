@@ -50,7 +50,10 @@ def target_size(text: Column) -> Column:
 def size_table(text: Column) -> Column:
     """The rows of a size table in a text: an array of (size, row), sizes by their canonical names."""
     names = F.create_map(*[F.lit(x) for pair in P.SIZE_NAMES.items() for x in pair])
-    rows = F.arrays_zip(F.regexp_extract_all(text, F.lit(P.SIZE_ROW), F.lit(1)).alias("raw"), F.regexp_extract_all(text, F.lit(P.SIZE_ROW), F.lit(2)).alias("row"))
+    rows = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(P.SIZE_ROW), F.lit(1)).alias("raw"),
+        F.regexp_extract_all(text, F.lit(P.SIZE_ROW), F.lit(2)).alias("row"),
+    )
     named = F.transform(rows, lambda r: F.struct(F.try_element_at(names, F.lower(r["raw"])).alias("size"), F.trim(r["row"]).alias("row")))
     return F.filter(named, lambda r: r["size"].isNotNull())
 
@@ -139,7 +142,9 @@ def size_result() -> Column:
         said("jacket_shoulder_cm"),
         F.concat(F.lit("胸囲 "), girth.cast("string"), F.lit("cm → 身幅 "), F.format_string("%.1f", girth / 2), F.lit("cm に換算して判定")),
         *[said(f) for f in ("jacket_chest_width_cm", "jacket_length_cm", "jacket_sleeve_cm", "pants_waist_flat_cm", "pants_waist_circ_cm")],
-        F.expr(f"CASE WHEN {_PLAIN[0]} THEN concat('ウエスト ', CAST(s_waist.value AS string), 'cm: ', CASE WHEN {_PLAIN[1]} THEN '平置きと仮定' ELSE '周囲と仮定' END, ' (明示なし)') END"),
+        F.expr(
+            f"CASE WHEN {_PLAIN[0]} THEN concat('ウエスト ', CAST(s_waist.value AS string), 'cm: ', CASE WHEN {_PLAIN[1]} THEN '平置きと仮定' ELSE '周囲と仮定' END, ' (明示なし)') END"
+        ),
     ]
     unknown += [missing(f) for f in ("jacket_shoulder_cm", "jacket_chest_width_cm", "jacket_length_cm", "jacket_sleeve_cm")]
     unknown.append(F.expr(f"CASE WHEN {_PLAIN[0]} AND s_waist IS NULL THEN 'pants_waist_flat_cm' END"))
@@ -147,12 +152,18 @@ def size_result() -> Column:
         warnings.append(said(field))
         unknown.append(missing(field))
     unknown.append(F.expr("CASE WHEN s_hem IS NULL THEN 'pants_hem_finish' END"))
-    hem_finish = F.expr("CASE WHEN s_hem IS NOT NULL THEN named_struct('value', s_hem.value, 'confidence', bround(s_hem.confidence * 0.9D, 3), 'evidence', s_hem.evidence, 'source', s_hem.source) END")
+    hem_finish = F.expr(
+        "CASE WHEN s_hem IS NOT NULL THEN named_struct('value', s_hem.value, 'confidence', bround(s_hem.confidence * 0.9D, 3), 'evidence', s_hem.evidence, 'source', s_hem.source) END"
+    )
     required = ("jacket_shoulder_cm", "jacket_chest_width_cm", "jacket_sleeve_cm", "pants_inseam_cm")
     confidence = F.bround(reduce(lambda a, b: a + b, [made[f].isNotNull().cast("int") for f in required]) / 4, 3)
-    jacket = {"shoulder_cm": "jacket_shoulder_cm", "chest_width_cm": "jacket_chest_width_cm", "length_cm": "jacket_length_cm", "sleeve_cm": "jacket_sleeve_cm"}
+    jacket = {
+        "shoulder_cm": "jacket_shoulder_cm", "chest_width_cm": "jacket_chest_width_cm", "length_cm": "jacket_length_cm",
+        "sleeve_cm": "jacket_sleeve_cm",
+    }
     pants = {
-        "waist_flat_cm": "pants_waist_flat_cm", "waist_circumference_cm": "pants_waist_circ_cm", "rise_cm": "pants_rise_cm", "inseam_cm": "pants_inseam_cm",
+        "waist_flat_cm": "pants_waist_flat_cm", "waist_circumference_cm": "pants_waist_circ_cm", "rise_cm": "pants_rise_cm",
+        "inseam_cm": "pants_inseam_cm",
         "hem_width_cm": "pants_hem_width_cm", "thigh_cm": "pants_thigh_cm", "total_length_cm": "pants_total_length_cm",
     }
     return F.struct(
@@ -178,7 +189,10 @@ def price_aggregates() -> dict[str, Column]:
 def price_values() -> dict[str, Column]:
     amount = lambda pattern: parse_jpy(found(_T("p_text"), pattern, 1))
     current = F.coalesce(amount(P.CURRENT), amount(P.WINNING), _T("p_any"))
-    return {"v_current": current, "v_buy_now": amount(P.BUY_NOW), "v_fixed": amount(P.FIXED), "v_shipping": amount(P.SHIPPING), "v_free": _T("p_text").rlike(P.SHIPPING_FREE)}
+    return {
+        "v_current": current, "v_buy_now": amount(P.BUY_NOW), "v_fixed": amount(P.FIXED), "v_shipping": amount(P.SHIPPING),
+        "v_free": _T("p_text").rlike(P.SHIPPING_FREE),
+    }
 
 
 def price_result() -> Column:
@@ -196,10 +210,12 @@ def price_result() -> Column:
     sent = F.when(free, F.lit(0)).otherwise(shipping)
     yen = lambda label, value: F.concat(F.lit(label), value.cast("string"), F.lit("円"))
     said = _texts(
-        yen("現在価格: ", current), yen("即決: ", buy_now), F.when(free, F.lit("送料込み")).otherwise(yen("送料: ", shipping)), F.when(only_fixed, yen("販売価格: ", fixed)),
+        yen("現在価格: ", current), yen("即決: ", buy_now), F.when(free, F.lit("送料込み")).otherwise(yen("送料: ", shipping)),
+        F.when(only_fixed, yen("販売価格: ", fixed)),
     )
     unknown = _texts(
-        F.when(kind.isNull(), "listing_type"), F.when(now.isNull(), "current_price_jpy"), F.when(at_once.isNull(), "buy_now_price_jpy"), F.when(sent.isNull(), "shipping_price_jpy"),
+        F.when(kind.isNull(), "listing_type"), F.when(now.isNull(), "current_price_jpy"),
+        F.when(at_once.isNull(), "buy_now_price_jpy"), F.when(sent.isNull(), "shipping_price_jpy"),
     )
     return F.struct(
         kind.alias("listing_type"), now.alias("current_price_jpy"), at_once.alias("buy_now_price_jpy"), sent.alias("shipping_price_jpy"),
@@ -222,7 +238,9 @@ def status_aggregates() -> dict[str, Column]:
 def status_values() -> dict[str, Column]:
     def said(text: Column, state: str, confidence: float, which: tuple[str, ...]) -> tuple[Column, Column]:
         evidence = F.coalesce(*[found(text, p) for p in which])
-        return evidence.isNotNull(), F.struct(F.lit(state).alias("state"), evidence.alias("evidence"), F.lit(confidence).alias("confidence"))
+        return evidence.isNotNull(), F.struct(
+            F.lit(state).alias("state"), evidence.alias("evidence"), F.lit(confidence).alias("confidence"),
+        )
 
     status, other = _T("t_status"), _T("t_other")
     rules = [
@@ -236,7 +254,8 @@ def status_values() -> dict[str, Column]:
 def status_result() -> Column:
     got = _T("v_state")
     return F.struct(
-        got["state"].alias("normalized_status"), got["evidence"].alias("raw_status"), got["evidence"].alias("evidence"), got["confidence"].alias("confidence"),
+        got["state"].alias("normalized_status"), got["evidence"].alias("raw_status"), got["evidence"].alias("evidence"),
+        got["confidence"].alias("confidence"),
         _texts(F.when(got["state"] == "unknown", F.lit("販売状態を特定できませんでした"))).alias("warnings"),
     )
 
@@ -263,7 +282,10 @@ def fibers_of(text: str) -> Column:
 def infer_100(fibers: Column) -> Column:
     """A single fibre without a percentage makes up all."""
     only = fibers[0]
-    return F.when((F.size(fibers) == 1) & only["percentage"].isNull(), F.array(F.struct(only["fiber"].alias("fiber"), F.lit(100).alias("percentage")))).otherwise(fibers)
+    return F.when(
+        (F.size(fibers) == 1) & only["percentage"].isNull(),
+        F.array(F.struct(only["fiber"].alias("fiber"), F.lit(100).alias("percentage"))),
+    ).otherwise(fibers)
 
 
 def split_outer_lining(text: Column) -> tuple[Column, Column]:
@@ -274,7 +296,10 @@ def split_outer_lining(text: Column) -> tuple[Column, Column]:
     end = F.length(text) + 1
     part = lambda a, b: F.substring(text, a, F.greatest(b - a, F.lit(0)))
     both, none = (outer > 0) & (lining > 0), (outer == 0) & (lining == 0)
-    outer_text = _first_of([(both & (outer < lining), part(behind_outer, lining)), (outer > 0, part(behind_outer, end)), (none, text)], F.lit(""))
+    outer_text = _first_of(
+        [(both & (outer < lining), part(behind_outer, lining)), (outer > 0, part(behind_outer, end)), (none, text)],
+        F.lit(""),
+    )
     lining_text = _first_of([(both & (lining < outer), part(behind_lining, outer)), (lining > 0, part(behind_lining, end))], F.lit(""))
     return outer_text, lining_text
 
@@ -288,7 +313,10 @@ def material_texts() -> dict[str, Column]:
 def material_blocks() -> dict[str, Column]:
     marked = reduce(lambda a, b: a | b, [_T("t").rlike(p) for p in (P.OUTER, P.LINING, P.SECTION)])
     fibers = lambda text: F.when(F.col(text) != "", fibers_of(text)).when(F.col(text).isNotNull(), F.array().cast(FIBER))
-    return {"m_outer": fibers("m_outer_text"), "m_lining": fibers("m_lining_text"), "m_marked": F.when(_T("m_outer_text").isNotNull(), marked)}
+    return {
+        "m_outer": fibers("m_outer_text"), "m_lining": fibers("m_lining_text"),
+        "m_marked": F.when(_T("m_outer_text").isNotNull(), marked),
+    }
 
 
 def material_aggregates() -> dict[str, Column]:
@@ -341,7 +369,10 @@ def style_result() -> Column:
     sure = lambda c: F.coalesce(F.bround(c["confidence"] * 0.9, 3), F.lit(0.0))
     return F.struct(
         kind["value"].alias("button_type"), count["value"].alias("button_count"), color["value"].alias("button_color"),
-        _texts(F.when(kind.isNull(), "button_type"), F.when(count.isNull(), "button_count"), F.when(color.isNull(), "button_color")).alias("unknown_fields"),
+        _texts(
+            F.when(kind.isNull(), "button_type"), F.when(count.isNull(), "button_count"),
+            F.when(color.isNull(), "button_color"),
+        ).alias("unknown_fields"),
         F.array().cast("array<string>").alias("warnings"), F.greatest(sure(kind), sure(count)).alias("confidence"),
     )
 
@@ -353,7 +384,10 @@ def condition_blocks() -> dict[str, Column]:
     text = _T("t")
 
     def row(value: Column, weight: float, warning: str | None = None) -> Column:
-        return F.struct(value.alias("value"), (_T("confidence") * weight).alias("confidence"), F.lit(warning).cast("string").alias("warning"), place("condition").alias("key"))
+        return F.struct(
+            value.alias("value"), (_T("confidence") * weight).alias("confidence"),
+            F.lit(warning).cast("string").alias("warning"), place("condition").alias("key"),
+        )
 
     return {
         "c_grade": _first_of((text.rlike(p), row(F.lit(g), 0.85)) for g, p in P.GRADES.items()),
@@ -374,11 +408,15 @@ def condition_aggregates() -> dict[str, Column]:
 
 def condition_result() -> Column:
     grade, stain, hole = _T("c_grade"), _T("c_stain"), _T("c_hole")
-    warnings = F.when(hole["key"] < stain["key"], _texts(hole["warning"], stain["warning"])).otherwise(_texts(stain["warning"], hole["warning"]))
+    warnings = F.when(
+        hole["key"] < stain["key"], _texts(hole["warning"], stain["warning"]),
+    ).otherwise(_texts(stain["warning"], hole["warning"]))
     confidence = F.bround(F.greatest(F.lit(0.0), grade["confidence"], stain["confidence"], hole["confidence"]), 3)
     return F.struct(
         grade["value"].alias("grade"), stain["value"].alias("has_stain"), hole["value"].alias("has_hole"),
-        _texts(F.when(grade.isNull(), "grade"), F.when(stain.isNull(), "has_stain"), F.when(hole.isNull(), "has_hole")).alias("unknown_fields"),
+        _texts(
+            F.when(grade.isNull(), "grade"), F.when(stain.isNull(), "has_stain"), F.when(hole.isNull(), "has_hole"),
+        ).alias("unknown_fields"),
         warnings.alias("warnings"), confidence.alias("confidence"),
     )
 
@@ -402,7 +440,7 @@ def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), nor
     Texts are normalised unless `normalized` says that they are, or a column `t` holds them so. Columns of
     `captured_evidence` that ride along come out as they are, and `n_blocks` counts the blocks with a text.
     """
-    carried = [c for c in evidence.columns if re.fullmatch(r"c\d+", c)]
+    carried = [c for c in evidence.columns if re.fullmatch(r"carried_\d+", c)]
     text = _T("t") if "t" in evidence.columns else _T("text") if normalized else norm_ja(_T("text"))
     rows = evidence.select("item_id", "pos", "source", "confidence", text.alias("t"), *carried)
     if "size" in which:
@@ -410,12 +448,17 @@ def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), nor
     built = [built_columns(name) for name in which]
     if "material" in which:
         rows = rows.select("*", *[v.alias(k) for k, v in material_texts().items()])
-    rows = rows.select("*", *([place("size").alias("size_place")] if "size" in which else []), *[v.alias(k) for blocks, *_ in built for k, v in blocks.items()])
+    rows = rows.select(
+        "*", *([place("size").alias("size_place")] if "size" in which else []),
+        *[v.alias(k) for blocks, *_ in built for k, v in blocks.items()]
+    )
     aggregates = [v.alias(k) for _, found, _, _ in built for k, v in found.items()]
     more = [F.first(c, ignorenulls=True).alias(c) for c in carried] + ([F.count("t").alias("n_blocks")] if carried else [])
     grouped = rows.groupBy("item_id").agg(*aggregates, *more)
     for step in range(max(len(steps) for _, _, steps, _ in built)):
-        grouped = grouped.select("*", *[v.alias(k) for _, _, steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())])
+        grouped = grouped.select(
+            "*", *[v.alias(k) for _, _, steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())]
+        )
     # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves
     result = F.inline(F.array(F.struct(*[b[3].alias(name) for name, b in zip(which, built)])))
     return grouped.select("item_id", *carried, *(["n_blocks"] if carried else []), result)

@@ -19,9 +19,13 @@ from .extract import FIBER, MEASURE
 #: Confidence and source of values that a result filled in.
 CONFIDENCE = 0.4
 SOURCE = "llm_gemini"
-JACKET = {"jacket_shoulder_cm": "shoulder_cm", "jacket_chest_width_cm": "chest_width_cm", "jacket_length_cm": "length_cm", "jacket_sleeve_cm": "sleeve_cm"}
+JACKET = {
+    "jacket_shoulder_cm": "shoulder_cm", "jacket_chest_width_cm": "chest_width_cm", "jacket_length_cm": "length_cm",
+    "jacket_sleeve_cm": "sleeve_cm",
+}
 PANTS = {
-    "pants_waist_flat_cm": "waist_flat_cm", "pants_waist_circ_cm": "waist_circumference_cm", "pants_rise_cm": "rise_cm", "pants_inseam_cm": "inseam_cm",
+    "pants_waist_flat_cm": "waist_flat_cm", "pants_waist_circ_cm": "waist_circumference_cm", "pants_rise_cm": "rise_cm",
+    "pants_inseam_cm": "inseam_cm",
     "pants_hem_width_cm": "hem_width_cm", "pants_thigh_cm": "thigh_cm", "pants_total_length_cm": "total_length_cm",
 }
 
@@ -43,10 +47,16 @@ def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[st
     """item_id, pass, about (size or material), prompt and images: a row for each question about a candidate. Columns of `keep` come along."""
     labels = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])
     asked = F.filter(F.col("size")["unknown_fields"], lambda f: F.try_element_at(labels, f).isNotNull())
-    lines = F.array_join(F.transform(asked, lambda f: F.concat(F.lit('  "'), f, F.lit('": '), F.try_element_at(labels, f), F.lit(" — number or null"))), "\n")
+    lines = F.array_join(
+        F.transform(asked, lambda f: F.concat(F.lit('  "'), f, F.lit('": '), F.try_element_at(labels, f), F.lit(" — number or null"))),
+        "\n",
+    )
     text = F.trim(F.concat_ws("\n", F.nullif("specs_text", F.lit("")), F.nullif("description_text", F.lit(""))))
     given = F.lit("The pictures show the listing.") if images else F.concat(F.lit("Listing text:\n"), text)
-    size = F.concat(F.lit("Read the garment's measures in centimetres from a second-hand suit listing. Answer in JSON only, with these keys:\n"), lines, F.lit("\n"), given)
+    size = F.concat(
+        F.lit("Read the garment's measures in centimetres from a second-hand suit listing. Answer in JSON only, with these keys:\n"),
+        lines, F.lit("\n"), given,
+    )
     material = F.concat(
         F.lit(
             'Read the fibres from a second-hand suit listing. Answer in JSON only: {"outer_fibers": [{"fiber": name, "percentage": whole number or null}], "lining_fibers": [...]}\n'
@@ -62,7 +72,10 @@ def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[st
         )
     )
     pictures = F.slice("image_urls", 1, 4) if images else F.lit(None).cast("array<string>")
-    rows = candidates.select("item_id", F.lit("image" if images else "text").alias("pass"), F.explode(ask).alias("a"), pictures.alias("images"), *keep)
+    rows = candidates.select(
+        "item_id", F.lit("image" if images else "text").alias("pass"), F.explode(ask).alias("a"), pictures.alias("images"),
+        *keep
+    )
     return rows.select("item_id", "pass", "a.about", "a.prompt", "images", *keep)
 
 
@@ -75,7 +88,10 @@ def fill_size(size: Column, result: Column) -> Column:
 
     def made(value: Column) -> Column:
         evidence = F.concat(F.lit("LLM抽出: "), value.cast("string"), F.lit("cm"))
-        return F.struct(value.alias("value"), F.lit("cm").alias("unit"), F.lit(CONFIDENCE).alias("confidence"), evidence.alias("evidence"), F.lit(SOURCE).alias("source")).cast(MEASURE)
+        return F.struct(
+            value.alias("value"), F.lit("cm").alias("unit"), F.lit(CONFIDENCE).alias("confidence"),
+            evidence.alias("evidence"), F.lit(SOURCE).alias("source"),
+        ).cast(MEASURE)
 
     def take(part: Column, field: str, name: str, alternative: Column | None = None) -> Column:
         value = number(field)
@@ -106,7 +122,9 @@ def fill_size(size: Column, result: Column) -> Column:
         else:
             pants = pants.withField(name, take(before, field, name))
     got = F.array_compact(F.array(*filled))
-    out = size.withField("jacket", jacket).withField("pants", pants).withField("unknown_fields", F.array_except(size["unknown_fields"], got))
+    out = size.withField("jacket", jacket).withField("pants", pants).withField(
+        "unknown_fields", F.array_except(size["unknown_fields"], got),
+    )
     out = out.withField("warnings", F.concat(size["warnings"], F.array_compact(F.array(*warnings))))
     return F.when(F.size(got) > 0, out).otherwise(size)
 
@@ -114,7 +132,9 @@ def fill_size(size: Column, result: Column) -> Column:
 def fill_material(material: Column, result: Column) -> Column:
     """A material struct with its empty fibre lists filled from a result; only the outer ones stop being unknown."""
     # whatever name a result gives, it goes by its canonical one, so that rules see it
-    fibers = lambda key: F.transform(F.try_variant_get(result, f"$.{key}", FIBER), lambda f: f.withField("fiber", alias_lookup(F.trim(f["fiber"]))))
+    fibers = lambda key: F.transform(
+        F.try_variant_get(result, f"$.{key}", FIBER), lambda f: f.withField("fiber", alias_lookup(F.trim(f["fiber"]))),
+    )
     outer, lining = fibers("outer_fibers"), fibers("lining_fibers")
     new_outer = (F.size(material["outer_fibers"]) <= 0) & (F.size(outer) > 0)
     new_lining = (F.size(material["lining_fibers"]) <= 0) & (F.size(lining) > 0)

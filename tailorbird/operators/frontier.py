@@ -21,9 +21,15 @@ def _encode(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.url_encode(text), r"\*", "%2A"), "%7E", "~")
 
 
-def auction_search_url(query: Column, page: Column, sort: str = "new", max_price: int | None = 30_000, min_price: int | None = None, category: str | None = CATEGORY) -> Column:
+def auction_search_url(
+    query: Column, page: Column, sort: str = "new", max_price: int | None = 30_000, min_price: int | None = None,
+    category: str | None = CATEGORY,
+) -> Column:
     s1, o1 = AUCTION_SORTS.get(sort, AUCTION_SORTS["new"])
-    parts = [F.concat(F.lit("p="), _encode(query)), F.concat(F.lit("b="), ((page - 1) * 50 + 1).cast("string")), F.lit(f"n=50&s1={s1}&o1={o1}")]
+    parts = [
+        F.concat(F.lit("p="), _encode(query)), F.concat(F.lit("b="), ((page - 1) * 50 + 1).cast("string")),
+        F.lit(f"n=50&s1={s1}&o1={o1}"),
+    ]
     parts += [F.lit(f"{k}={v}") for k, v in (("auccat", category or None), ("min", min_price), ("max", max_price)) if v is not None]
     return F.concat(F.lit("https://auctions.yahoo.co.jp/search/search?"), F.concat_ws("&", *parts))
 
@@ -40,13 +46,18 @@ def mercari_search_url(query: Column, page: Column, sort: str = "new", max_price
 SEARCHES = {"yahoo_auctions": auction_search_url, "mercari": mercari_search_url}
 
 
-def build_frontier(queries: DataFrame, max_pages: int = 10, sources: tuple[str, ...] = tuple(SEARCHES), sort: str = "new", max_price: int | None = 30_000) -> DataFrame:
+def build_frontier(
+    queries: DataFrame, max_pages: int = 10, sources: tuple[str, ...] = tuple(SEARCHES), sort: str = "new",
+    max_price: int | None = 30_000,
+) -> DataFrame:
     """query, source, page and search_url of the first pages of every query on every source."""
     pages = queries.select("query", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"), F.lit(max_pages).alias("n"))
     pages = pages.select("query", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page"))
     url = F.lit(None).cast("string")
     for source in sources:
-        url = F.when(F.col("source") == source, SEARCHES[source](F.col("query"), F.col("page"), sort=sort, max_price=max_price)).otherwise(url)
+        url = F.when(
+            F.col("source") == source, SEARCHES[source](F.col("query"), F.col("page"), sort=sort, max_price=max_price),
+        ).otherwise(url)
     return pages.withColumn("search_url", url)
 
 
@@ -105,7 +116,9 @@ def route_action(stored: Column, now: Column, recrawl_after_days: int = 3) -> Co
     age = F.unix_timestamp(now) - F.unix_timestamp(stored["retrieved_at"])
     settled = ~F.coalesce(stored["needs_recheck"], F.lit(False))
     fresh = F.lit(True) if recrawl_after_days <= 0 else F.coalesce(age < recrawl_after_days * 86400, F.lit(False))
-    return F.when(stored.isNull(), "full_crawl").when(stored["verdict"] == "MATCH", "status_recheck").when(settled & fresh, "skip").otherwise("full_crawl")
+    return F.when(stored.isNull(), "full_crawl").when(
+        stored["verdict"] == "MATCH", "status_recheck",
+    ).when(settled & fresh, "skip").otherwise("full_crawl")
 
 
 def target_limit(routed: DataFrame, target_new: int = 50, max_pages: int = 10) -> DataFrame:
@@ -118,9 +131,13 @@ def batch_summary(outcomes: DataFrame) -> DataFrame:
     """Per run: URLs, their actions, and how many got each verdict, also as a map."""
     count = lambda column, value: F.count_if(F.col(column).eqNullSafe(value))
     verdicts = outcomes.filter(F.col("verdict").isNotNull()).groupBy("run_id", "verdict").count()
-    verdicts = verdicts.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("verdict", "count")))).alias("verdicts"))
+    verdicts = verdicts.groupBy("run_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("verdict", "count")))).alias("verdicts")
+    )
     totals = outcomes.groupBy("run_id").agg(
-        F.count("*").alias("total"), count("action", "crawled").alias("crawled"), count("action", "status_rechecked").alias("status_rechecked"), count("action", "skipped").alias("skipped"),
-        count("action", "error").alias("errors"), count("verdict", "MATCH").alias("matches"), count("verdict", "REVIEW").alias("reviews"), count("verdict", "NO_MATCH").alias("no_matches"),
+        F.count("*").alias("total"), count("action", "crawled").alias("crawled"),
+        count("action", "status_rechecked").alias("status_rechecked"), count("action", "skipped").alias("skipped"),
+        count("action", "error").alias("errors"), count("verdict", "MATCH").alias("matches"),
+        count("verdict", "REVIEW").alias("reviews"), count("verdict", "NO_MATCH").alias("no_matches"),
     )
     return totals.join(verdicts.hint("merge"), "run_id", "left")

@@ -31,20 +31,29 @@ LOST_BUY_NOW = "即決価格が削除されました (ステータス再確認
 VERDICTS = ("MATCH", "REVIEW", "NO_MATCH")
 
 #: The columns that `decide` adds.
-DECIDED = ("blocking_reasons", "reasons", "score", "verdict", "needs_llm_review", "needs_human_review", "confidence", "needs_recheck", "warnings")
+DECIDED = (
+    "blocking_reasons", "reasons", "score", "verdict", "needs_llm_review", "needs_human_review", "confidence",
+    "needs_recheck", "warnings",
+)
 
 
 def rules_frame(spark: SparkSession, rules: Rules = RULES) -> DataFrame:
     """The thresholds as rows of rule, lo and hi; a threshold without an upper end has a null there."""
     pairs = {k: v if isinstance(v, tuple) else (v, None) for k, v in asdict(rules).items()}
-    return spark.createDataFrame([(k, float(lo), None if hi is None else float(hi)) for k, (lo, hi) in pairs.items()], "rule string, lo double, hi double")
+    return spark.createDataFrame(
+        [(k, float(lo), None if hi is None else float(hi)) for k, (lo, hi) in pairs.items()],
+        "rule string, lo double, hi double",
+    )
 
 
 def rules_from_frame(frame: DataFrame) -> Rules:
     """Thresholds from such rows; rules that are missing keep their defaults, unknown names are left out."""
     kinds = asdict(RULES)
     rows = [r for r in frame.limit(len(kinds) * 2).collect() if r["rule"] in kinds]
-    return replace(RULES, **{r["rule"]: (r["lo"], r["hi"]) if isinstance(kinds[r["rule"]], tuple) else type(kinds[r["rule"]])(r["lo"]) for r in rows})
+    return replace(
+        RULES,
+        **{r["rule"]: (r["lo"], r["hi"]) if isinstance(kinds[r["rule"]], tuple) else type(kinds[r["rule"]])(r["lo"]) for r in rows}
+    )
 
 
 def _texts(*items: Column) -> Column:
@@ -93,7 +102,8 @@ def rule_jacket(rules: Rules = RULES) -> tuple[Column, Column]:
     shoulder, chest, sleeve = (jacket[f]["value"] for f in ("shoulder_cm", "chest_width_cm", "sleeve_cm"))
     outside = lambda label, v, r: F.when(~v.between(*r), out_of_range(label, v, *r))
     return _texts(
-        outside("肩幅", shoulder, rules.shoulder), outside("身幅", chest, rules.chest), F.when(sleeve < rules.sleeve[0], out_of_range("袖丈", sleeve, *rules.sleeve)),
+        outside("肩幅", shoulder, rules.shoulder), outside("身幅", chest, rules.chest),
+        F.when(sleeve < rules.sleeve[0], out_of_range("袖丈", sleeve, *rules.sleeve)),
     ), _texts(
         F.when(shoulder.isNull(), UNKNOWN["shoulder"]), F.when(chest.isNull(), UNKNOWN["chest"]),
         F.when(sleeve.isNull(), UNKNOWN["sleeve"]).when(sleeve > rules.sleeve[1], out_of_range("袖丈", sleeve, *rules.sleeve)),
@@ -103,7 +113,9 @@ def rule_jacket(rules: Rules = RULES) -> tuple[Column, Column]:
 def rule_pants(rules: Rules = RULES) -> tuple[Column, Column]:
     """(blocking reasons, notes)"""
     pants = F.col("size")["pants"]
-    flat, girth, inseam, hem, thigh = (pants[f]["value"] for f in ("waist_flat_cm", "waist_circumference_cm", "inseam_cm", "hem_width_cm", "thigh_cm"))
+    flat, girth, inseam, hem, thigh = (
+        pants[f]["value"] for f in ("waist_flat_cm", "waist_circumference_cm", "inseam_cm", "hem_width_cm", "thigh_cm")
+    )
     double = pants["hem_finish"]["value"].eqNullSafe("double")
     least = F.when(double, rules.inseam_double).otherwise(rules.inseam)
     waist = F.when(flat.isNotNull(), F.when(~flat.between(*rules.waist_flat), out_of_range("ウエスト平置き", flat, *rules.waist_flat))).when(
@@ -111,7 +123,8 @@ def rule_pants(rules: Rules = RULES) -> tuple[Column, Column]:
     )
     return _texts(
         waist, F.when(inseam <= rules.inseam_never, inseam_never(inseam)).when(inseam < least, inseam_short(inseam, least, double)),
-        F.when(hem < rules.hem_width, out_of_range("裾幅", hem, rules.hem_width, 99)), F.when(thigh < rules.thigh, out_of_range("ワタリ", thigh, rules.thigh, 99)),
+        F.when(hem < rules.hem_width, out_of_range("裾幅", hem, rules.hem_width, 99)),
+        F.when(thigh < rules.thigh, out_of_range("ワタリ", thigh, rules.thigh, 99)),
     ), _texts(F.when(flat.isNull() & girth.isNull(), UNKNOWN["waist"]), F.when(inseam.isNull(), UNKNOWN["inseam"]))
 
 
@@ -120,7 +133,9 @@ def rule_material() -> tuple[Column, Column]:
     outer = F.col("material")["outer_fibers"]
     names = F.create_map(*[F.lit(x) for pair in NG_FIBERS.items() for x in pair])
     blocking = F.array_compact(F.transform(outer, lambda f: F.try_element_at(names, f["fiber"])))
-    return F.coalesce(blocking, F.array().cast("array<string>")), _texts(F.when(F.coalesce(F.size(outer), F.lit(0)) <= 0, UNKNOWN["material"]))
+    return F.coalesce(blocking, F.array().cast("array<string>")), _texts(
+        F.when(F.coalesce(F.size(outer), F.lit(0)) <= 0, UNKNOWN["material"])
+    )
 
 
 def rule_style() -> Column:
@@ -134,15 +149,22 @@ def rule_style() -> Column:
 def rule_condition() -> Column:
     condition = F.col("condition")
     severe = F.exists(condition["warnings"], lambda w: w.contains("ひどい"))
-    return _texts(F.when(condition["has_stain"].eqNullSafe(True) & severe, SEVERE_STAIN), F.when(condition["has_hole"].eqNullSafe(True), HOLE))
+    return _texts(
+        F.when(condition["has_stain"].eqNullSafe(True) & severe, SEVERE_STAIN),
+        F.when(condition["has_hole"].eqNullSafe(True), HOLE),
+    )
 
 
 def score() -> Column:
     """From 1.0, less for each reason, note and unknown size, more for mohair and wool; between 0 and 1."""
-    share = lambda fiber: F.try_element_at(F.filter(F.col("material")["outer_fibers"], lambda f: f["fiber"] == fiber), F.lit(1))["percentage"]
+    share = lambda fiber: F.try_element_at(
+        F.filter(F.col("material")["outer_fibers"], lambda f: f["fiber"] == fiber), F.lit(1),
+    )["percentage"]
     mohair, wool = share("mohair"), share("wool")
     bonus = F.when(mohair >= 60, 0.15).when(mohair > 0, mohair / F.lit(60.0) * 0.05).otherwise(0.0) + F.when(wool >= 80, 0.05).otherwise(0.0)
-    raw = F.lit(1.0) - F.size("blocking_reasons") * 0.4 - F.size("reasons") * 0.05 - F.coalesce(F.size(F.col("size")["unknown_fields"]), F.lit(0)) * 0.03 + bonus
+    raw = F.lit(1.0) - F.size("blocking_reasons") * 0.4 - F.size("reasons") * 0.05 - F.coalesce(
+        F.size(F.col("size")["unknown_fields"]), F.lit(0),
+    ) * 0.03 + bonus
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(raw, 3)))
 
 
@@ -184,9 +206,14 @@ def decide(attributes: DataFrame, rules: Rules = RULES) -> DataFrame:
     reasons = F.concat(jacket_notes, pants_notes, material_notes)
     # a generator of one row, so that filters on a verdict don't copy all rules into themselves
     rows = attributes.select("*", F.inline(F.array(F.struct(blocking.alias("blocking_reasons"), reasons.alias("reasons")))))
-    unknown = reduce(lambda a, b: a + b, [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")])
+    unknown = reduce(
+        lambda a, b: a + b,
+        [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")],
+    )
     rows = rows.select("*", score().alias("score"), unknown.alias("unknown_count"))
-    verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when((F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score), "REVIEW").otherwise("MATCH")
+    verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when(
+        (F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score), "REVIEW",
+    ).otherwise("MATCH")
     rows = rows.select("*", verdict.alias("verdict"))
     return rows.select(
         *[c for c in rows.columns if c != "unknown_count"],

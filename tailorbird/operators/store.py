@@ -15,7 +15,11 @@ from .rules import VERDICTS
 #: The names of sites in views.
 SITE_LABELS = {"yahoo_auctions": "ヤフオク", "yahoo_shopping": "Yahoo!ショッピング", "mercari": "メルカリ", "paypay_flea_market": "PayPayフリマ"}
 
-_EMPTY = {"is_active": "boolean", "status": "struct<normalized_status:string,raw_status:string,evidence:string,confidence:double,warnings:array<string>>", "reason": "string"}
+_EMPTY = {
+    "is_active": "boolean",
+    "status": "struct<normalized_status:string,raw_status:string,evidence:string,confidence:double,warnings:array<string>>",
+    "reason": "string",
+}
 
 
 def sequence_number(batch_id: int, order: Column) -> Column:
@@ -26,7 +30,10 @@ def sequence_number(batch_id: int, order: Column) -> Column:
 def upsert_changes(decided: DataFrame, seq: Column) -> DataFrame:
     """Changes that insert or replace the listings of decided rows, which have url among their columns."""
     row = F.struct(*[c for c in decided.columns if c != "url"])
-    return decided.select("url", seq.alias("seq"), F.lit("upsert").alias("op"), row.alias("payload"), *[F.lit(None).cast(t).alias(c) for c, t in _EMPTY.items()])
+    return decided.select(
+        "url", seq.alias("seq"), F.lit("upsert").alias("op"), row.alias("payload"),
+        *[F.lit(None).cast(t).alias(c) for c, t in _EMPTY.items()]
+    )
 
 
 def status_changes(rechecked: DataFrame, seq: Column) -> DataFrame:
@@ -61,14 +68,20 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     of = lambda *ops: F.when(F.col("op").isin(*ops), seq)
     manual = F.collect_list(F.when(F.col("op").isin("ng", "ok"), F.struct("seq", "op", "reason")))
     folded = changes.groupBy("url").agg(
-        F.max_by(F.struct("seq", "payload"), of("upsert")).alias("base"), F.max(of("delete")).alias("gone"), F.max_by(F.struct("seq", "is_active", "status"), of("status")).alias("told"),
+        F.max_by(F.struct("seq", "payload"), of("upsert")).alias("base"), F.max(of("delete")).alias("gone"),
+        F.max_by(F.struct("seq", "is_active", "status"), of("status")).alias("told"),
         F.array_sort(manual).alias("manual"),
     )
     folded = folded.filter(F.col("base").isNotNull() & (F.col("gone").isNull() | (F.col("gone") < F.col("base.seq"))))
     later = F.filter("manual", lambda m: m["seq"] > F.col("base.seq"))
-    verdict = F.when(F.try_element_at(later, F.lit(-1))["op"] == "ng", "NO_MATCH").when(F.size(later) > 0, "MATCH").otherwise(F.col("base.payload.verdict"))
+    verdict = F.when(
+        F.try_element_at(later, F.lit(-1))["op"] == "ng", "NO_MATCH",
+    ).when(F.size(later) > 0, "MATCH").otherwise(F.col("base.payload.verdict"))
     reasons = F.aggregate(
-        later, F.col("base.payload.blocking_reasons"), lambda got, m: F.when(m["op"] == "ok", F.array().cast("array<string>")).when(F.array_contains(got, m["reason"]), got).otherwise(F.array_prepend(got, m["reason"]))
+        later, F.col("base.payload.blocking_reasons"), lambda got,
+        m: F.when(
+            m["op"] == "ok", F.array().cast("array<string>"),
+        ).when(F.array_contains(got, m["reason"]), got).otherwise(F.array_prepend(got, m["reason"]))
     )
     told = F.col("told.seq") > F.coalesce(F.col("gone"), F.lit(-(1 << 62)))
     own = [c for c in changes.schema["payload"].dataType.names]
@@ -80,7 +93,10 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     }
     columns = [changed.get(c, F.col(f"base.payload.{c}")).alias(c) for c in own]
     override = F.try_element_at(F.filter(later, lambda m: m["op"] == "ok"), F.lit(-1))["reason"]
-    return folded.select("url", *columns, F.when(told, F.col("told.is_active")).otherwise(F.lit(True)).alias("is_active"), override.alias("manual_override"))
+    return folded.select(
+        "url", *columns, F.when(told, F.col("told.is_active")).otherwise(F.lit(True)).alias("is_active"),
+        override.alias("manual_override"),
+    )
 
 
 def upsert_listings(current: DataFrame, changed: DataFrame) -> DataFrame:
@@ -114,7 +130,8 @@ def recheck_join(stored: DataFrame, captured: DataFrame) -> DataFrame:
     lost = F.col("price")["buy_now_price_jpy"].isNotNull() & F.col("new_price")["buy_now_price_jpy"].isNull()
     return joined.select(
         "url", F.lit("status_rechecked").alias("action"), F.when(lost, "NO_MATCH").otherwise(F.col("verdict")).alias("verdict"),
-        F.col("new_status")["normalized_status"].eqNullSafe("active").alias("is_active"), F.when(~lost, F.col("new_status")).alias("status"), F.when(lost, LOST_BUY_NOW).alias("reason"),
+        F.col("new_status")["normalized_status"].eqNullSafe("active").alias("is_active"),
+        F.when(~lost, F.col("new_status")).alias("status"), F.when(lost, LOST_BUY_NOW).alias("reason"),
     )
 
 
@@ -137,7 +154,9 @@ def active_matches(listings: DataFrame) -> DataFrame:
     return active_only(listings.filter(F.col("verdict") == "MATCH"))
 
 
-def top_listings(listings: DataFrame, verdict: str | None = None, sort: str = "score", limit: int = 100, only_active: bool = False) -> DataFrame:
+def top_listings(
+    listings: DataFrame, verdict: str | None = None, sort: str = "score", limit: int = 100, only_active: bool = False,
+) -> DataFrame:
     """The best or latest listings, at most 500; filters come first, ties go by URL."""
     rows = listings if verdict is None else listings.filter(F.col("verdict") == verdict)
     rows = active_only(rows) if only_active else rows
@@ -157,9 +176,18 @@ def verdict_stats(listings: DataFrame) -> DataFrame:
 def report(listings: DataFrame) -> DataFrame:
     """Per site and verdict: listings, mean score, and the three most frequent blocking reasons."""
     totals = listings.groupBy("source_site", "verdict").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
-    counted = listings.select("source_site", "verdict", F.explode("blocking_reasons").alias("reason")).groupBy("source_site", "verdict", "reason").agg(F.count("*").alias("k"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("source_site", "verdict").orderBy(F.col("k").desc(), "reason"))).filter("r <= 3")
-    top = ranked.groupBy("source_site", "verdict").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "reason", "k"))), lambda x: F.struct(x["reason"].alias("reason"), x["k"].alias("n"))).alias("top_reasons"))
+    counted = listings.select(
+        "source_site", "verdict", F.explode("blocking_reasons").alias("reason"),
+    ).groupBy("source_site", "verdict", "reason").agg(F.count("*").alias("k"))
+    ranked = counted.withColumn(
+        "r", F.row_number().over(Window.partitionBy("source_site", "verdict").orderBy(F.col("k").desc(), "reason")),
+    ).filter("r <= 3")
+    top = ranked.groupBy("source_site", "verdict").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("r", "reason", "k"))),
+            lambda x: F.struct(x["reason"].alias("reason"), x["k"].alias("n")),
+        ).alias("top_reasons")
+    )
     same = totals["source_site"].eqNullSafe(top["source_site"]) & totals["verdict"].eqNullSafe(top["verdict"])
     return totals.join(top.hint("merge"), same, "left").select(totals["source_site"], totals["verdict"], "n", "mean_score", "top_reasons")
 
@@ -169,11 +197,16 @@ def listing_view(listings: DataFrame) -> DataFrame:
     labels = F.create_map(*[F.lit(x) for pair in SITE_LABELS.items() for x in pair])
     price, size = F.col("price"), F.col("size")
     return listings.select(
-        F.col("item_id").alias("id"), "url", "source_site", F.coalesce(F.try_element_at(labels, F.col("source_site")), F.lit("サイト")).alias("source_label"),
-        F.coalesce(F.col("title_text"), F.lit("")).alias("title"), F.coalesce(F.nullif(price["buy_now_price_jpy"], F.lit(0)), price["current_price_jpy"]).alias("price_jpy"),
-        "score", "verdict", "is_active", "needs_recheck", F.try_element_at("image_urls", F.lit(1)).alias("thumbnail"), F.col("status")["normalized_status"].alias("normalized_status"),
-        F.col("style")["button_count"].alias("button_count"), size["jacket"]["shoulder_cm"]["value"].alias("jacket_shoulder_cm"), size["jacket"]["chest_width_cm"]["value"].alias("jacket_chest_cm"),
-        size["pants"]["waist_flat_cm"]["value"].alias("pants_waist_cm"), F.col("reasons").alias("non_blocking_reasons"), "blocking_reasons", price["buy_now_price_jpy"].alias("buy_now_price_jpy"),
+        F.col("item_id").alias("id"), "url", "source_site",
+        F.coalesce(F.try_element_at(labels, F.col("source_site")), F.lit("サイト")).alias("source_label"),
+        F.coalesce(F.col("title_text"), F.lit("")).alias("title"),
+        F.coalesce(F.nullif(price["buy_now_price_jpy"], F.lit(0)), price["current_price_jpy"]).alias("price_jpy"),
+        "score", "verdict", "is_active", "needs_recheck", F.try_element_at("image_urls", F.lit(1)).alias("thumbnail"),
+        F.col("status")["normalized_status"].alias("normalized_status"),
+        F.col("style")["button_count"].alias("button_count"), size["jacket"]["shoulder_cm"]["value"].alias("jacket_shoulder_cm"),
+        size["jacket"]["chest_width_cm"]["value"].alias("jacket_chest_cm"),
+        size["pants"]["waist_flat_cm"]["value"].alias("pants_waist_cm"), F.col("reasons").alias("non_blocking_reasons"),
+        "blocking_reasons", price["buy_now_price_jpy"].alias("buy_now_price_jpy"),
         price["listing_type"].alias("listing_type"), F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("retrieved_at"),
     )
 

@@ -26,7 +26,7 @@ def extract_rows(rows: DataFrame, blocks: Column, which: tuple[str, ...] = tuple
     """rows with the named attributes of each; n_blocks says how many blocks of evidence there were."""
     kept = [c for c in rows.columns if c.lower() not in {*EXTRACTORS, "n_blocks"}]
     found = extract(clean_captured(captured_evidence(rows, blocks, kept)), which)
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *which, "n_blocks")
+    return found.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(kept)], *which, "n_blocks")
 
 
 def _decide_rows(rows: DataFrame, blocks: Column, rules: Rules) -> DataFrame:

@@ -29,13 +29,17 @@ def listing_signals(part: DataFrame, changed: bool = False) -> DataFrame:
     k = F.col("p_partkey")
     price = 5000 + k * 37 % 40000
     yen = lambda label, value: F.concat(F.lit(label), F.format_string("%,d", value), F.lit("円"))
-    priced = _choose(k, 4, yen("現在 ", price), yen("即決 ", price), F.concat_ws(" ", yen("現在 ", price), yen("即決 ", price + 1000)), yen("販売価格：", price))
+    priced = _choose(
+        k, 4, yen("現在 ", price), yen("即決 ", price), F.concat_ws(" ", yen("現在 ", price), yen("即決 ", price + 1000)),
+        yen("販売価格：", price),
+    )
     if changed:
         priced = F.when(k % 3 == 0, yen("現在 ", price)).otherwise(priced)
     chest = F.when(k % 13 == 0, F.lit(55)).otherwise(51 + k % 3)
     sleeve = F.when(k % 17 == 0, F.lit(58)).when(k % 19 == 0, F.lit(66)).otherwise(60 + k % 5)
     lines = [
-        _say("肩幅：", F.when(k % 11 == 0, F.lit(40)).otherwise(43 + k % 3)), F.when(k % 5 == 0, _say("胸囲 ", 2 * chest)).otherwise(_say("身幅：", chest)), _say("袖丈＝", sleeve),
+        _say("肩幅：", F.when(k % 11 == 0, F.lit(40)).otherwise(43 + k % 3)),
+        F.when(k % 5 == 0, _say("胸囲 ", 2 * chest)).otherwise(_say("身幅：", chest)), _say("袖丈＝", sleeve),
         _choose(k, 4, "", _say("ウエスト平置き ", 42 + k % 5), _say("ウエスト：", 40 + k % 30), _say("ウエスト周り ", 80 + k % 15)),
         _say("股下 約", F.when(k % 23 == 0, 66 + k % 8).otherwise(74 + k % 4)),
         _choose(k, 7, "素材：ウール100%", "ウール80% モヘア20%", "ポリエステル65% ウール35%", "コットン素材", "", "モヘア60% ウール40%", "表地：ウール 裏地：ポリエステル100%"),
@@ -44,12 +48,18 @@ def listing_signals(part: DataFrame, changed: bool = False) -> DataFrame:
     ]
     text = F.concat_ws("\n", *lines)
     text = F.when(k % 3 == 0, F.translate(text, "0123456789", _WIDE)).otherwise(text)
-    site = _choose(k, 3, "https://auctions.yahoo.co.jp/jp/auction/x", "https://jp.mercari.com/item/m", "https://paypayfleamarket.yahoo.co.jp/item/z")
+    site = _choose(
+        k, 3, "https://auctions.yahoo.co.jp/jp/auction/x", "https://jp.mercari.com/item/m",
+        "https://paypayfleamarket.yahoo.co.jp/item/z",
+    )
     return part.select(
-        F.concat(site, k.cast("string")).alias("url"), F.concat(F.lit("紺スーツ 品番"), k.cast("string")).alias("title_text"), priced.alias("price_text"),
-        _choose(k, 5, "残り 3時間", "出品中です", "落札済み", "終了しました", "販売中です").alias("status_text"), text.alias("description_text"), F.lit("").alias("all_text"),
+        F.concat(site, k.cast("string")).alias("url"), F.concat(F.lit("紺スーツ 品番"), k.cast("string")).alias("title_text"),
+        priced.alias("price_text"),
+        _choose(k, 5, "残り 3時間", "出品中です", "落札済み", "終了しました", "販売中です").alias("status_text"), text.alias("description_text"),
+        F.lit("").alias("all_text"),
         F.lit("").alias("specs_text"), F.lit("").alias("brand_text"), F.lit("メンズ スーツ").alias("category_text"),
-        F.array(F.concat(F.lit("https://img/"), k.cast("string"))).alias("image_urls"), (F.lit("2024-06-01").cast("timestamp") - F.make_dt_interval(hours=(k % 240).cast("int"))).alias("retrieved_at"),
+        F.array(F.concat(F.lit("https://img/"), k.cast("string"))).alias("image_urls"),
+        (F.lit("2024-06-01").cast("timestamp") - F.make_dt_interval(hours=(k % 240).cast("int"))).alias("retrieved_at"),
         k.alias("p_partkey"),
     )
 

@@ -56,7 +56,10 @@ def repeated_captures(spark, sf_dir):
     later = listing_captures(part, changed=True).withColumn("retrieved_at", F.col("retrieved_at") + F.expr("interval 30 days"))
     nameless = listing_captures(part.filter(_k() % 6 == 5)).withColumn("url", F.lit(None).cast("string"))
     out = decide_captures(listing_captures(part).unionByName(later).unionByName(nameless))
-    return out.select("url", (F.col("retrieved_at") > F.lit("2024-06-01 00:00:00").cast("timestamp")).alias("second"), "verdict", F.col("price")["buy_now_price_jpy"].alias("buy_now"))
+    return out.select(
+        "url", (F.col("retrieved_at") > F.lit("2024-06-01 00:00:00").cast("timestamp")).alias("second"), "verdict",
+        F.col("price")["buy_now_price_jpy"].alias("buy_now"),
+    )
 
 
 def recheck_matches(spark, sf_dir):
@@ -70,9 +73,11 @@ def recheck_matches(spark, sf_dir):
 def page_selectors(spark, sf_dir):
     """Pages that hold no data, read by the classes of their elements."""
     html = _say(
-        '<nav class="Breadcrumb"><a href="#" class="Breadcrumb__link">メンズ', _k() % 3, '</a></nav><h1 class="x ProductTitle__text">スーツ ', _k(), '</h1>',
+        '<nav class="Breadcrumb"><a href="#" class="Breadcrumb__link">メンズ', _k() % 3,
+        '</a></nav><h1 class="x ProductTitle__text">スーツ ', _k(), '</h1>',
         '<div class="Price"><span class="Price__label">現在価格</span><span class="Price__value">', _k(), "円</span></div>",
-        F.when(_k() % 2 == 0, '<p class="AuctionStatus">出品中</p>').otherwise(""), '<section class="ItemDescription">\n肩幅：', _k() % 9, "cm<br>\n裾シングル &amp; 他\n</section>",
+        F.when(_k() % 2 == 0, '<p class="AuctionStatus">出品中</p>').otherwise(""), '<section class="ItemDescription">\n肩幅：',
+        _k() % 9, "cm<br>\n裾シングル &amp; 他\n</section>",
     )
     return _part(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in selector_signals(html, SELECTORS).items()])
 
@@ -80,7 +85,8 @@ def page_selectors(spark, sf_dir):
 def item_urls(spark, sf_dir):
     """The items that search pages of two sites link to."""
     html = _say(
-        '<a href="https://jp.mercari.com/item/m', _k(), '?a=1">x</a><a href="/item/m', _k() + 1, '">y</a><a href="/item/m', _k(), '">z</a><a href="https://auctions.yahoo.co.jp/jp/auction/x', _k(),
+        '<a href="https://jp.mercari.com/item/m', _k(), '?a=1">x</a><a href="/item/m', _k() + 1, '">y</a><a href="/item/m', _k(),
+        '">z</a><a href="https://auctions.yahoo.co.jp/jp/auction/x', _k(),
         '?b">q</a><a href="https://other/item/m1">o</a><a href="https://page.auctions.yahoo.co.jp/jp/auction/y', _k(), '">p</a>',
     )
     pages = _part(spark, sf_dir).select(_k().alias("k"), html.alias("html"))
@@ -90,7 +96,10 @@ def item_urls(spark, sf_dir):
 
 def item_url_round_trip(spark, sf_dir):
     url = frontier.build_item_url(_say("x", _k()))
-    return _part(spark, sf_dir).select(_k().alias("k"), url.alias("url"), site_item_id(url).alias("site_id"), F.size(frontier.item_urls_in_text(_say("see ", url, "?a=1 or ", url))).alias("n"))
+    return _part(spark, sf_dir).select(
+        _k().alias("k"), url.alias("url"), site_item_id(url).alias("site_id"),
+        F.size(frontier.item_urls_in_text(_say("see ", url, "?a=1 or ", url))).alias("n"),
+    )
 
 
 # --- stored packages, logs, streams -------------------------------------------------------------------------
@@ -110,10 +119,15 @@ def logged_outcomes(spark, sf_dir):
     path, k = shared_path(spark, "outcomes"), F.col("event_id")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     actions = F.array(*[F.lit(a) for a in ("crawled", "status_rechecked", "skipped", "error")])
-    rows = events.select((F.col("user_id") % 2).alias("run_id"), F.concat(F.lit("u"), k).alias("url"), F.element_at(actions, (k % 4 + 1).cast("int")).alias("action"), F.when(k % 4 < 2, "REVIEW").alias("verdict"))
+    rows = events.select(
+        (F.col("user_id") % 2).alias("run_id"), F.concat(F.lit("u"), k).alias("url"),
+        F.element_at(actions, (k % 4 + 1).cast("int")).alias("action"), F.when(k % 4 < 2, "REVIEW").alias("verdict"),
+    )
     for run in (0, 1):
         outcome_log(rows.filter(F.col("run_id") == run), path)
-    return frontier.batch_summary(spark.read.parquet(path)).select("run_id", "total", "crawled", "status_rechecked", "skipped", "errors", "reviews")
+    return frontier.batch_summary(spark.read.parquet(path)).select(
+        "run_id", "total", "crawled", "status_rechecked", "skipped", "errors", "reviews",
+    )
 
 
 def streamed_listings(spark, sf_dir):
@@ -131,7 +145,10 @@ def streamed_listings(spark, sf_dir):
 
 
 def found_by_id(spark, sf_dir):
-    return store.find_by_id(decide_signals(listing_signals(_part(spark, sf_dir))), "f8279f5c6d45126f7d242c99160193f5e89b84391a801f021e881dd53f0f3201").select("url", "verdict")
+    return store.find_by_id(
+        decide_signals(listing_signals(_part(spark, sf_dir))),
+        "f8279f5c6d45126f7d242c99160193f5e89b84391a801f021e881dd53f0f3201",
+    ).select("url", "verdict")
 
 
 # --- texts that compete, are missing, or stand in tables ----------------------------------------------------
@@ -145,20 +162,29 @@ def listing_size_tables(spark, sf_dir):
     signals = signals_of(
         _part(spark, sf_dir),
         title_text=F.concat(F.lit("紺 スーツ "), choose(5, "3XL", "LL", "M", "なし", "XS")),
-        description_text=F.when(_k() % 6 == 5, "【Mサイズ】肩幅 43cm 袖丈 60cm").otherwise("【 Mサイズ 】肩幅 43cm 袖丈 60cm【3XLサイズ】肩幅 46cm 袖丈 63cm [2XL] 肩幅 44cm 袖丈 61cm"),
+        description_text=F.when(_k() % 6 == 5, "【Mサイズ】肩幅 43cm 袖丈 60cm").otherwise(
+            "【 Mサイズ 】肩幅 43cm 袖丈 60cm【3XLサイズ】肩幅 46cm 袖丈 63cm [2XL] 肩幅 44cm 袖丈 61cm"
+        ),
     )
     size = F.col("size")
     out = extract_signals(signals, ("size",))
-    return out.select("k", size["jacket"]["shoulder_cm"]["value"].alias("shoulder"), size["jacket"]["sleeve_cm"]["value"].alias("sleeve"), F.array_join(size["warnings"], " | ").alias("warnings"))
+    return out.select(
+        "k", size["jacket"]["shoulder_cm"]["value"].alias("shoulder"), size["jacket"]["sleeve_cm"]["value"].alias("sleeve"),
+        F.array_join(size["warnings"], " | ").alias("warnings"),
+    )
 
 
 def listing_shipping(spark, sf_dir):
     amount = _say("即決 ", F.format_string("%,d", 5000 + _k()), "円")
-    text = choose(6, F.concat(amount, _say(" 送料 ", 500 + _k() % 500, "円")), F.concat(amount, F.lit(" 送料込み")), F.concat(amount, F.lit(" 送料無料")), amount, "要相談", _say("販売価格：", _k(), "円"))
+    text = choose(
+        6, F.concat(amount, _say(" 送料 ", 500 + _k() % 500, "円")), F.concat(amount, F.lit(" 送料込み")),
+        F.concat(amount, F.lit(" 送料無料")), amount, "要相談", _say("販売価格：", _k(), "円"),
+    )
     price = F.col("price")
     join = lambda f: F.array_join(price[f], " | ").alias(f)
     return extract_signals(signals_of(_part(spark, sf_dir), description_text=text), ("price",)).select(
-        "k", price["listing_type"].alias("listing_type"), price["shipping_price_jpy"].alias("shipping"), price["shipping_included"].alias("included"), join("evidence"), join("unknown_fields"), join("warnings"),
+        "k", price["listing_type"].alias("listing_type"), price["shipping_price_jpy"].alias("shipping"),
+        price["shipping_included"].alias("included"), join("evidence"), join("unknown_fields"), join("warnings"),
         price["confidence"].alias("confidence"),
     )
 
@@ -167,10 +193,14 @@ def listing_status_fallback(spark, sf_dir):
     """States that only titles or descriptions tell, or nothing does."""
     signals = signals_of(
         _part(spark, sf_dir), title_text=choose(5, "スーツ SOLD OUT", "紺のスーツ", "紺のスーツ", "紺のスーツ", "紺のスーツ"),
-        description_text=choose(5, "出品中です", "落札済みです", "オークション終了", "残り 3日", "よい品です"), status_text=F.when(_k() % 9 == 8, "お取り置き").otherwise(""),
+        description_text=choose(5, "出品中です", "落札済みです", "オークション終了", "残り 3日", "よい品です"),
+        status_text=F.when(_k() % 9 == 8, "お取り置き").otherwise(""),
     )
     s = F.col("status")
-    return extract_signals(signals, ("status",)).select("k", s["normalized_status"].alias("state"), s["raw_status"].alias("raw"), s["confidence"].alias("confidence"), F.array_join(s["warnings"], " | ").alias("warnings"))
+    return extract_signals(signals, ("status",)).select(
+        "k", s["normalized_status"].alias("state"), s["raw_status"].alias("raw"), s["confidence"].alias("confidence"),
+        F.array_join(s["warnings"], " | ").alias("warnings"),
+    )
 
 
 def listing_priorities(spark, sf_dir):
@@ -184,23 +214,34 @@ def listing_priorities(spark, sf_dir):
     )
     shoulder, style, condition = F.col("size")["jacket"]["shoulder_cm"], F.col("style"), F.col("condition")
     out = extract_signals(signals, ("size", "material", "style", "condition"))
-    fibers = F.array_join(F.transform(F.col("material")["outer_fibers"], lambda f: F.concat(f["fiber"], F.lit("="), f["percentage"].cast("string"))), ",")
+    fibers = F.array_join(
+        F.transform(F.col("material")["outer_fibers"], lambda f: F.concat(f["fiber"], F.lit("="), f["percentage"].cast("string"))),
+        ",",
+    )
     return out.select(
-        "k", shoulder["value"].alias("shoulder"), shoulder["unit"].alias("unit"), shoulder["evidence"].alias("evidence"), shoulder["source"].alias("source"), shoulder["confidence"].alias("confidence"),
-        fibers.alias("fibers"), style["button_type"].alias("button_type"), style["button_count"].alias("button_count"), style["confidence"].alias("style_confidence"), condition["grade"].alias("grade"),
-        condition["has_hole"].alias("has_hole"), condition["has_stain"].alias("has_stain"), condition["confidence"].alias("condition_confidence"),
+        "k", shoulder["value"].alias("shoulder"), shoulder["unit"].alias("unit"), shoulder["evidence"].alias("evidence"),
+        shoulder["source"].alias("source"), shoulder["confidence"].alias("confidence"),
+        fibers.alias("fibers"), style["button_type"].alias("button_type"), style["button_count"].alias("button_count"),
+        style["confidence"].alias("style_confidence"), condition["grade"].alias("grade"),
+        condition["has_hole"].alias("has_hole"), condition["has_stain"].alias("has_stain"),
+        condition["confidence"].alias("condition_confidence"),
     )
 
 
 def listing_pants(spark, sf_dir):
     """All measures of trousers, with the reasons that they give."""
-    text = _say("股上 ", 18 + _k() % 25, "cm 股下 ", 68 + _k() % 9, "cm 裾幅 ", 15 + _k() % 6, "cm ワタリ ", 25 + _k() % 9, "cm 総丈 ", 95 + _k() % 50, "cm 着丈 ", 55 + _k() % 40, "cm")
+    text = _say(
+        "股上 ", 18 + _k() % 25, "cm 股下 ", 68 + _k() % 9, "cm 裾幅 ", 15 + _k() % 6, "cm ワタリ ", 25 + _k() % 9, "cm 総丈 ",
+        95 + _k() % 50, "cm 着丈 ", 55 + _k() % 40, "cm",
+    )
     size = F.col("size")
     value = lambda part, field, name: size[part][field]["value"].alias(name)
     out = decide_signals(signals_of(_part(spark, sf_dir), description_text=text))
     return out.select(
-        "k", value("pants", "rise_cm", "rise"), value("pants", "hem_width_cm", "hem_width"), value("pants", "thigh_cm", "thigh"), value("pants", "total_length_cm", "total_length"),
-        value("jacket", "length_cm", "length"), F.array_join(F.filter("blocking_reasons", lambda r: r.rlike("^(股下|裾幅|ワタリ)")), " | ").alias("blocking"),
+        "k", value("pants", "rise_cm", "rise"), value("pants", "hem_width_cm", "hem_width"), value("pants", "thigh_cm", "thigh"),
+        value("pants", "total_length_cm", "total_length"),
+        value("jacket", "length_cm", "length"),
+        F.array_join(F.filter("blocking_reasons", lambda r: r.rlike("^(股下|裾幅|ワタリ)")), " | ").alias("blocking"),
     )
 
 
@@ -211,14 +252,19 @@ def custom_rules(spark, sf_dir):
     frame = rules.rules_frame(spark)
     own = rules.rules_from_frame(frame.withColumn("lo", F.when(F.col("rule") == "max_price", F.lit(limit)).otherwise(F.col("lo"))))
     out = decide_signals(listing_signals(part), own)
-    return out.select(_k().alias("k"), F.exists("blocking_reasons", lambda r: r.startswith("価格 ")).alias("too_dear"), F.lit(len(asdict(RULES))).alias("n_rules"))
+    return out.select(
+        _k().alias("k"), F.exists("blocking_reasons", lambda r: r.startswith("価格 ")).alias("too_dear"),
+        F.lit(len(asdict(RULES))).alias("n_rules"),
+    )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, item_urls, item_url_round_trip, stored_packages, logged_outcomes, streamed_listings,
-        found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities, listing_pants, custom_rules,
+        capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, item_urls,
+        item_url_round_trip, stored_packages, logged_outcomes, streamed_listings,
+        found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities,
+        listing_pants, custom_rules,
     )
 }
 
@@ -232,7 +278,9 @@ def _listed(select: str) -> str:
 
 
 ORACLE_SQL = {
-    "capture_signals": _paged("SELECT url, source_site, title_text, price_text, status_text, description_text, all_text, specs_text, brand_text, category_text, images FROM signals"),
+    "capture_signals": _paged(
+        "SELECT url, source_site, title_text, price_text, status_text, description_text, all_text, specs_text, brand_text, category_text, images FROM signals"
+    ),
     "capture_decisions": _paged("SELECT url, verdict, score, n_blocking, n_notes FROM page_verdicts JOIN signals USING (k)"),
     "capture_verdicts": _paged(
         "SELECT count(*) FILTER (WHERE verdict = 'MATCH') AS MATCH, count(*) FILTER (WHERE verdict = 'REVIEW') AS REVIEW, count(*) FILTER (WHERE verdict = 'NO_MATCH') AS NO_MATCH FROM page_verdicts"
@@ -254,12 +302,16 @@ WITH r AS (
 )
 SELECT k, rank, CASE site_id[1] WHEN 'm' THEN 'https://jp.mercari.com/item/' WHEN 'x' THEN 'https://auctions.yahoo.co.jp/jp/auction/' ELSE 'https://page.auctions.yahoo.co.jp/jp/auction/' END || site_id AS url, site_id FROM r""",
     "item_url_round_trip": "SELECT p_partkey AS k, 'https://auctions.yahoo.co.jp/jp/auction/x' || p_partkey AS url, 'x' || p_partkey AS site_id, 1 AS n FROM part",
-    "stored_packages": _listed("SELECT k, CASE WHEN k % 10 <> 9 THEN verdict END AS verdict, CASE WHEN k % 10 <> 9 THEN score END AS score, CASE WHEN k % 10 = 9 THEN 'no evidence' END AS error FROM listed"),
+    "stored_packages": _listed(
+        "SELECT k, CASE WHEN k % 10 <> 9 THEN verdict END AS verdict, CASE WHEN k % 10 <> 9 THEN score END AS score, CASE WHEN k % 10 = 9 THEN 'no evidence' END AS error FROM listed"
+    ),
     "logged_outcomes": """
 SELECT user_id % 2 AS run_id, count(*) AS total, count(*) FILTER (WHERE event_id % 4 = 0) AS crawled, count(*) FILTER (WHERE event_id % 4 = 1) AS status_rechecked, count(*) FILTER (WHERE event_id % 4 = 2) AS skipped,
   count(*) FILTER (WHERE event_id % 4 = 3) AS errors, count(*) FILTER (WHERE event_id % 4 < 2) AS reviews FROM events GROUP BY user_id % 2""",
     "streamed_listings": _paged("SELECT url, verdict, n_blocking, TRUE AS is_active FROM page_verdicts JOIN signals USING (k)"),
-    "found_by_id": _listed("SELECT url, verdict FROM listed WHERE sha256(url) = 'f8279f5c6d45126f7d242c99160193f5e89b84391a801f021e881dd53f0f3201'"),
+    "found_by_id": _listed(
+        "SELECT url, verdict FROM listed WHERE sha256(url) = 'f8279f5c6d45126f7d242c99160193f5e89b84391a801f021e881dd53f0f3201'"
+    ),
     "listing_warnings": _listed("""
 SELECT k, array_to_string(list_filter([
   CASE WHEN k % 5 = 0 THEN '胸囲 ' || 2 * chest || 'cm → 身幅 ' || chest || 'cm に換算して判定' END,

@@ -28,7 +28,10 @@ def _say(*parts) -> Column:
 def signals_of(part: DataFrame, **buckets: Column) -> DataFrame:
     """Signals with the given buckets, the others empty."""
     texts = [F.coalesce(buckets.get(b, F.lit("")), F.lit("")).alias(b) for b in BUCKETS]
-    return part.select(F.col("p_partkey").alias("k"), _say("https://auctions.yahoo.co.jp/jp/auction/x", F.col("p_partkey")).alias("url"), *texts)
+    return part.select(
+        F.col("p_partkey").alias("k"), _say("https://auctions.yahoo.co.jp/jp/auction/x", F.col("p_partkey")).alias("url"),
+        *texts
+    )
 
 
 def listing_captures(part: DataFrame, changed: bool = False) -> DataFrame:
@@ -38,7 +41,10 @@ def listing_captures(part: DataFrame, changed: bool = False) -> DataFrame:
     closed, paid = k % 7 == 0, F.when(k % 2 == 0, "seller").otherwise("buyer")
     at_once = F.when((k % 4 == 3) | (F.lit(changed) & (k % 3 == 0)), 0).otherwise(price)
     first = _say("肩幅 ", F.when(k % 11 == 0, 40).otherwise(43 + k % 3), "cm 身幅 52cm 着丈 70cm 袖丈 62cm")
-    second = _say("ウエスト平置き 43cm 股上 25cm 股下 75cm 裾幅 ", F.when(k % 13 == 0, 17).otherwise(19), "cm ワタリ ", F.when(k % 17 == 0, 28).otherwise(30), "cm 総丈 100cm 裾シングル")
+    second = _say(
+        "ウエスト平置き 43cm 股上 25cm 股下 75cm 裾幅 ", F.when(k % 13 == 0, 17).otherwise(19), "cm ワタリ ",
+        F.when(k % 17 == 0, 28).otherwise(30), "cm 総丈 100cm 裾シングル",
+    )
     rest = [F.when(k % 5 != 4, "表地：ウール100% 裏地：ポリエステル100%"), F.lit("三つボタン シングル"), F.when(k % 5 < 3, "美品 汚れなし 穴なし")]
     text = F.concat_ws("\n", first, second, *rest)
     tagged = lambda tag, *lines: F.concat_ws("", *[F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")) for x in lines])
@@ -50,38 +56,71 @@ def listing_captures(part: DataFrame, changed: bool = False) -> DataFrame:
         return F.to_json(item)
 
     auction = F.struct(
-        title.alias("title"), _say("<p>", F.replace(text, F.lit("\n"), F.lit("<br>")), "</p>").alias("descriptionHtml"), price.alias("price"), at_once.alias("bidorbuy"), F.lit(0).alias("bids"),
-        paid.alias("chargeForShipping"), F.when(closed, "close").otherwise("open").alias("status"), (k % 50 * 1800).alias("leftTime"), F.lit("良い").alias("conditionName"),
+        title.alias("title"), _say("<p>", F.replace(text, F.lit("\n"), F.lit("<br>")), "</p>").alias("descriptionHtml"),
+        price.alias("price"), at_once.alias("bidorbuy"), F.lit(0).alias("bids"),
+        paid.alias("chargeForShipping"), F.when(closed, "close").otherwise("open").alias("status"),
+        (k % 50 * 1800).alias("leftTime"), F.lit("良い").alias("conditionName"),
     )
     mercari = F.struct(
-        _say("m", k).alias("id"), title.alias("name"), text.alias("description"), price.alias("price"), F.struct(F.when(k % 2 == 0, "出品者負担").otherwise("着払い").alias("name")).alias("shipping_payer"),
-        F.when(closed, "sold_out").otherwise("on_sale").alias("status"), F.array(F.struct(F.struct(_say("L", k).alias("large")).alias("image_urls"))).alias("photos"),
-        F.array(name("メンズ"), name("スーツ")).alias("categories"), F.struct(brand.alias("name")).alias("brand"), name("良い").alias("item_condition"),
+        _say("m", k).alias("id"), title.alias("name"), text.alias("description"), price.alias("price"),
+        F.struct(F.when(k % 2 == 0, "出品者負担").otherwise("着払い").alias("name")).alias("shipping_payer"),
+        F.when(closed, "sold_out").otherwise("on_sale").alias("status"),
+        F.array(F.struct(F.struct(_say("L", k).alias("large")).alias("image_urls"))).alias("photos"),
+        F.array(name("メンズ"), name("スーツ")).alias("categories"), F.struct(brand.alias("name")).alias("brand"),
+        name("良い").alias("item_condition"),
     )
     flea = F.struct(
-        title.alias("title"), text.alias("description"), price.alias("price"), F.when(closed, "SOLD").otherwise("OPEN").alias("status"), F.array(F.struct(_say("f", k).alias("url"))).alias("images"),
-        F.array(name("メンズ"), name("スーツ")).alias("categoryList"), F.struct(brand.alias("name")).alias("brand"), F.struct(F.lit("良い").alias("text")).alias("condition"),
+        title.alias("title"), text.alias("description"), price.alias("price"),
+        F.when(closed, "SOLD").otherwise("OPEN").alias("status"), F.array(F.struct(_say("f", k).alias("url"))).alias("images"),
+        F.array(name("メンズ"), name("スーツ")).alias("categoryList"), F.struct(brand.alias("name")).alias("brand"),
+        F.struct(F.lit("良い").alias("text")).alias("condition"),
     )
     shop = F.struct(
-        title.alias("name"), tagged("p", first, second).alias("freeSpace1"), F.concat_ws("\n", *rest).alias("freeSpace2"), brand.alias("brandName"), F.lit("M").alias("sizeName"),
-        F.struct(price.alias("value")).alias("price"), F.when(closed, "outOfStock").otherwise("inStock").alias("availability"), F.array(F.struct(_say("s", k).alias("url"))).alias("images"),
+        title.alias("name"), tagged("p", first, second).alias("freeSpace1"), F.concat_ws("\n", *rest).alias("freeSpace2"),
+        brand.alias("brandName"), F.lit("M").alias("sizeName"),
+        F.struct(price.alias("value")).alias("price"), F.when(closed, "outOfStock").otherwise("inStock").alias("availability"),
+        F.array(F.struct(_say("s", k).alias("url"))).alias("images"),
         F.array(name("メンズ"), name("スーツ")).alias("categoryPath"), F.struct(F.lit("良い").alias("label")).alias("condition"),
     )
     data = choose(
         6,
         nested(auction, "props", "pageProps", "initialState", "item", "detail", "item"),
-        F.when(k % 4 == 1, nested(mercari, "props", "pageProps", "item")).otherwise(nested(mercari, "props", "pageProps", "serverData", "item")),
+        F.when(
+            k % 4 == 1, nested(mercari, "props", "pageProps", "item"),
+        ).otherwise(nested(mercari, "props", "pageProps", "serverData", "item")),
         nested(flea, "props", "initialState", "itemsState", "items", "item"),
-        nested(F.array(F.struct(F.struct(F.struct(F.struct(shop.alias("item")).alias("itemData")).alias("data")).alias("state"))), "props", "pageProps", "dehydratedState", "queries"),
+        nested(
+            F.array(F.struct(F.struct(F.struct(F.struct(shop.alias("item")).alias("itemData")).alias("data")).alias("state"))),
+            "props", "pageProps", "dehydratedState", "queries",
+        ),
         F.lit(None),
         F.lit('{"props": oops'),
     )
     script = F.coalesce(_say('<script id="__NEXT_DATA__" type="application/json">', data, "</script>"), F.lit(""))
-    picture = choose(6, "https://auctions.c.yimg.jp/i/", "https://other/", "https://other/", "https://other/", "https://static.mercdn.net/", "https://other/")
-    plain = F.when(k % 6 == 4, _say('<span class="Price__x">¥', F.format_string("%,d", price), "</span>", tagged("p", first, second, *rest), "<p>送料込み</p>", F.when(closed, "<b>売り切れ</b>").otherwise("")))
-    html = _say("<html><head><title>t</title></head><body><h1> ", title, " </h1>", F.coalesce(plain, F.lit("")), '<img alt="x" src="', picture, k, '.jpg">', script, "</body></html>")
-    site = choose(6, "https://auctions.yahoo.co.jp/jp/auction/x", "https://jp.mercari.com/item/m", "https://paypayfleamarket.yahoo.co.jp/item/z", "https://store.shopping.yahoo.co.jp/shop/", "https://jp.mercari.com/item/m", "https://auctions.yahoo.co.jp/jp/auction/x")
-    return part.select(_say(site, k).alias("url"), html.alias("html"), (F.lit("2024-06-01").cast("timestamp") - F.make_dt_interval(hours=(k % 240).cast("int"))).alias("retrieved_at"))
+    picture = choose(
+        6, "https://auctions.c.yimg.jp/i/", "https://other/", "https://other/", "https://other/",
+        "https://static.mercdn.net/", "https://other/",
+    )
+    plain = F.when(
+        k % 6 == 4,
+        _say(
+            '<span class="Price__x">¥', F.format_string("%,d", price), "</span>", tagged("p", first, second, *rest),
+            "<p>送料込み</p>", F.when(closed, "<b>売り切れ</b>").otherwise(""),
+        ),
+    )
+    html = _say(
+        "<html><head><title>t</title></head><body><h1> ", title, " </h1>", F.coalesce(plain, F.lit("")),
+        '<img alt="x" src="', picture, k, '.jpg">', script, "</body></html>",
+    )
+    site = choose(
+        6, "https://auctions.yahoo.co.jp/jp/auction/x", "https://jp.mercari.com/item/m",
+        "https://paypayfleamarket.yahoo.co.jp/item/z", "https://store.shopping.yahoo.co.jp/shop/",
+        "https://jp.mercari.com/item/m", "https://auctions.yahoo.co.jp/jp/auction/x",
+    )
+    return part.select(
+        _say(site, k).alias("url"), html.alias("html"),
+        (F.lit("2024-06-01").cast("timestamp") - F.make_dt_interval(hours=(k % 240).cast("int"))).alias("retrieved_at"),
+    )
 
 
 #: The same pages in SQL: what their signals should be, and what should be decided about them.

@@ -43,18 +43,25 @@ def doc_clean_text(spark, sf_dir):
 
 def doc_blocks(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.trim("line").alias("text"))
+    lines = docs.select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"),
+    ).select("doc_id", "pos", F.trim("line").alias("text"))
     return E.drop_noise(lines.filter(F.col("text") != "")).select("doc_id", "pos", "text")
 
 
 def doc_dedup_evidence(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").filter(F.col("source").isNotNull() & F.col("text").isNotNull())
-    rows = docs.select(F.col("source").alias("item_id"), F.col("doc_id").alias("pos"), "text", ((F.col("doc_id") % 7).cast("double") / 10).alias("confidence"))
+    rows = docs.select(
+        F.col("source").alias("item_id"), F.col("doc_id").alias("pos"), "text",
+        ((F.col("doc_id") % 7).cast("double") / 10).alias("confidence"),
+    )
     return E.dedup_evidence(rows).select(F.col("item_id").alias("source"), F.col("pos").alias("doc_id"), "confidence")
 
 
 def page_item_urls(spark, sf_dir):
-    return frontier.extract_item_urls(_table(spark, sf_dir, "pages").select("page_id", "html"), site=None).select("page_id", F.col("rank").cast("long").alias("rank"), "url")
+    return frontier.extract_item_urls(
+        _table(spark, sf_dir, "pages").select("page_id", "html"), site=None,
+    ).select("page_id", F.col("rank").cast("long").alias("rank"), "url")
 
 
 def page_site_route(spark, sf_dir):
@@ -73,21 +80,34 @@ def frontier_dedup(spark, sf_dir):
     """Orders as search results: every customer's pages hold the URLs of the order's totals."""
     orders = _table(spark, sf_dir, "orders")
     pages = orders.select(
-        F.concat(F.lit("q"), (F.col("o_custkey") % 50).cast("string")).alias("query"), F.col("o_orderpriority").alias("source"), (F.col("o_orderkey") % 20 + 1).cast("int").alias("page"),
-        F.when(F.col("o_orderkey") % 97 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("u"), (F.col("o_orderkey") % 5000).cast("string")), F.concat(F.lit("u"), (F.col("o_orderkey") % 4999).cast("string")))).alias("urls"),
+        F.concat(F.lit("q"), (F.col("o_custkey") % 50).cast("string")).alias("query"), F.col("o_orderpriority").alias("source"),
+        (F.col("o_orderkey") % 20 + 1).cast("int").alias("page"),
+        F.when(F.col("o_orderkey") % 97 == 0, F.array().cast("array<string>")).otherwise(
+            F.array(
+                F.concat(F.lit("u"), (F.col("o_orderkey") % 5000).cast("string")),
+                F.concat(F.lit("u"), (F.col("o_orderkey") % 4999).cast("string")),
+            )
+        ).alias("urls"),
     )
     return frontier.dedup_frontier(pages).select("query", "source", "page", F.col("rank").cast("int").alias("rank"), "url")
 
 
 def _routed(spark, sf_dir) -> DataFrame:
     """Parts looked for, against a store that orders made: every third key is stored."""
-    wanted = _table(spark, sf_dir, "part").select(F.lit("q").alias("query"), F.lit("s").alias("source"), (F.col("p_partkey") % 12 + 1).alias("page"), F.col("p_partkey").alias("rank"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"))
+    wanted = _table(spark, sf_dir, "part").select(
+        F.lit("q").alias("query"), F.lit("s").alias("source"), (F.col("p_partkey") % 12 + 1).alias("page"),
+        F.col("p_partkey").alias("rank"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"),
+    )
     k = F.col("o_orderkey")
     stored = _table(spark, sf_dir, "orders").filter(k % 3 == 0).select(
-        F.concat(F.lit("u"), k.cast("string")).alias("url"), F.when(k % 5 == 0, "MATCH").when(k % 5 < 3, "REVIEW").otherwise("NO_MATCH").alias("verdict"), (k % 5).between(1, 2).alias("needs_recheck"),
+        F.concat(F.lit("u"), k.cast("string")).alias("url"),
+        F.when(k % 5 == 0, "MATCH").when(k % 5 < 3, "REVIEW").otherwise("NO_MATCH").alias("verdict"),
+        (k % 5).between(1, 2).alias("needs_recheck"),
         (F.lit(NOW).cast("timestamp") - F.make_dt_interval(hours=(k % 150).cast("int"))).alias("retrieved_at"),
     )
-    return frontier.frontier_join_store(wanted, stored).withColumn("action", frontier.route_action(F.col("stored"), F.lit(NOW).cast("timestamp"), 3))
+    return frontier.frontier_join_store(wanted, stored).withColumn(
+        "action", frontier.route_action(F.col("stored"), F.lit(NOW).cast("timestamp"), 3),
+    )
 
 
 def route_actions(spark, sf_dir):
@@ -110,11 +130,17 @@ def batch_summary(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     k = F.col("event_id")
     outcomes = e.select(
-        F.col("user_id").alias("run_id"), F.element_at(F.array(F.lit("crawled"), F.lit("status_rechecked"), F.lit("skipped"), F.lit("error")), (k % 4 + 1).cast("int")).alias("action"),
+        F.col("user_id").alias("run_id"),
+        F.element_at(
+            F.array(F.lit("crawled"), F.lit("status_rechecked"), F.lit("skipped"), F.lit("error")), (k % 4 + 1).cast("int"),
+        ).alias("action"),
         F.when(k % 4 < 2, F.element_at(F.array(*[F.lit(v) for v in rules.VERDICTS]), (k % 3 + 1).cast("int"))).alias("verdict"),
     )
     out = frontier.batch_summary(outcomes)
-    return out.select("run_id", "total", "crawled", "status_rechecked", "skipped", "errors", "matches", "reviews", "no_matches", F.col("verdicts")["REVIEW"].alias("reviews_in_map"))
+    return out.select(
+        "run_id", "total", "crawled", "status_rechecked", "skipped", "errors", "matches", "reviews", "no_matches",
+        F.col("verdicts")["REVIEW"].alias("reviews_in_map"),
+    )
 
 
 # --- units --------------------------------------------------------------------------------------------------
@@ -122,14 +148,22 @@ def batch_summary(spark, sf_dir):
 
 def unit_parse(spark, sf_dir):
     p, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
-    raw = F.when(k % 3 == 0, F.concat((F.col("p_size") * 10).cast("string"), F.lit(" mm"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5ＣＭ")))
+    raw = F.when(
+        k % 3 == 0, F.concat((F.col("p_size") * 10).cast("string"), F.lit(" mm")),
+    ).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5ＣＭ")))
     cm = X.parse_cm(X.nfkc(raw))
-    return p.select("p_partkey", cm.alias("cm"), X.cm_to_mm(cm).alias("mm"), X.parse_jpy(F.concat(F.format_string("  %,d", k * 1000), F.lit(" 円"))).alias("jpy"), X.plausible("pants_rise_cm", cm).alias("plausible"))
+    return p.select(
+        "p_partkey", cm.alias("cm"), X.cm_to_mm(cm).alias("mm"),
+        X.parse_jpy(F.concat(F.format_string("  %,d", k * 1000), F.lit(" 円"))).alias("jpy"),
+        X.plausible("pants_rise_cm", cm).alias("plausible"),
+    )
 
 
 def fiber_aliases(spark, sf_dir):
     words = F.array(*[F.lit(w) for w in ("毛", "WOOL", "ポリ", "Cotton", "カシミヤ", "人絹", "Denim")])
-    return _table(spark, sf_dir, "part").select("p_partkey", X.alias_lookup(F.element_at(words, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("fiber"))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", X.alias_lookup(F.element_at(words, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("fiber"),
+    )
 
 
 # --- listings -----------------------------------------------------------------------------------------------
@@ -138,26 +172,35 @@ def fiber_aliases(spark, sf_dir):
 def listing_evidence(spark, sf_dir):
     signals = _signals(spark, sf_dir).withColumn("item_id", F.col("p_partkey").cast("string"))
     blocks = E.clean_blocks(E.signals_to_evidence(signals))
-    return blocks.groupBy(F.col("item_id").cast("long").alias("k"), "source").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    return blocks.groupBy(F.col("item_id").cast("long").alias("k"), "source").agg(
+        F.count("*").alias("n"), F.max("confidence").alias("confidence"),
+    )
 
 
 def listing_sizes(spark, sf_dir):
     size = F.col("size")
     value = lambda part, f: size[part][f]["value"]
     return _attributes(spark, sf_dir, "size").select(
-        "k", value("jacket", "shoulder_cm").alias("shoulder"), value("jacket", "chest_width_cm").alias("chest"), value("jacket", "sleeve_cm").alias("sleeve"), value("pants", "waist_flat_cm").alias("waist_flat"),
-        value("pants", "waist_circumference_cm").alias("waist_girth"), value("pants", "inseam_cm").alias("inseam"), value("pants", "hem_finish").alias("hem"), F.size(size["unknown_fields"]).alias("size_unknown"),
+        "k", value("jacket", "shoulder_cm").alias("shoulder"), value("jacket", "chest_width_cm").alias("chest"),
+        value("jacket", "sleeve_cm").alias("sleeve"), value("pants", "waist_flat_cm").alias("waist_flat"),
+        value("pants", "waist_circumference_cm").alias("waist_girth"), value("pants", "inseam_cm").alias("inseam"),
+        value("pants", "hem_finish").alias("hem"), F.size(size["unknown_fields"]).alias("size_unknown"),
         size["confidence"].alias("confidence"),
     )
 
 
 def listing_prices(spark, sf_dir):
     price = F.col("price")
-    return _attributes(spark, sf_dir, "price").select("k", price["listing_type"].alias("listing_type"), price["current_price_jpy"].alias("current_price"), price["buy_now_price_jpy"].alias("buy_now"), price["confidence"].alias("confidence"))
+    return _attributes(spark, sf_dir, "price").select(
+        "k", price["listing_type"].alias("listing_type"), price["current_price_jpy"].alias("current_price"),
+        price["buy_now_price_jpy"].alias("buy_now"), price["confidence"].alias("confidence"),
+    )
 
 
 def listing_status(spark, sf_dir):
-    return _attributes(spark, sf_dir, "status").select("k", F.col("status")["normalized_status"].alias("state"), F.col("status")["confidence"].alias("confidence"))
+    return _attributes(spark, sf_dir, "status").select(
+        "k", F.col("status")["normalized_status"].alias("state"), F.col("status")["confidence"].alias("confidence"),
+    )
 
 
 def _said(fibers) -> F.Column:
@@ -166,25 +209,36 @@ def _said(fibers) -> F.Column:
 
 def listing_fibers(spark, sf_dir):
     m = F.col("material")
-    return _attributes(spark, sf_dir, "material").select("k", _said(m["outer_fibers"]).alias("outer_fibers"), _said(m["lining_fibers"]).alias("lining_fibers"))
+    return _attributes(spark, sf_dir, "material").select(
+        "k", _said(m["outer_fibers"]).alias("outer_fibers"), _said(m["lining_fibers"]).alias("lining_fibers"),
+    )
 
 
 def listing_style(spark, sf_dir):
     s = F.col("style")
-    return _attributes(spark, sf_dir, "style").select("k", s["button_type"].alias("button_type"), s["button_count"].alias("button_count"), s["button_color"].alias("button_color"))
+    return _attributes(spark, sf_dir, "style").select(
+        "k", s["button_type"].alias("button_type"), s["button_count"].alias("button_count"),
+        s["button_color"].alias("button_color"),
+    )
 
 
 def listing_condition(spark, sf_dir):
     c = F.col("condition")
-    return _attributes(spark, sf_dir, "condition").select("k", c["grade"].alias("grade"), c["has_stain"].alias("has_stain"), c["has_hole"].alias("has_hole"))
+    return _attributes(spark, sf_dir, "condition").select(
+        "k", c["grade"].alias("grade"), c["has_stain"].alias("has_stain"), c["has_hole"].alias("has_hole"),
+    )
 
 
 def listing_decisions(spark, sf_dir):
-    return _decided(spark, sf_dir).select("k", "url", "source_site", "verdict", "score", "needs_llm_review", "needs_human_review", "needs_recheck")
+    return _decided(spark, sf_dir).select(
+        "k", "url", "source_site", "verdict", "score", "needs_llm_review", "needs_human_review", "needs_recheck",
+    )
 
 
 def listing_reasons(spark, sf_dir):
-    return _decided(spark, sf_dir).select("k", F.array_join("blocking_reasons", " | ").alias("blocking"), F.array_join("reasons", " | ").alias("notes"))
+    return _decided(spark, sf_dir).select(
+        "k", F.array_join("blocking_reasons", " | ").alias("blocking"), F.array_join("reasons", " | ").alias("notes"),
+    )
 
 
 def reparse_packages(spark, sf_dir):
@@ -217,7 +271,12 @@ def recent_listings(spark, sf_dir):
 
 def site_report(spark, sf_dir):
     out = store.report(_decided(spark, sf_dir))
-    return out.select("source_site", "verdict", "n", F.round("mean_score", 6).alias("mean_score"), F.array_join(F.transform("top_reasons", lambda r: F.concat(r["reason"], F.lit("="), r["n"].cast("string"))), " | ").alias("top_reasons"))
+    return out.select(
+        "source_site", "verdict", "n", F.round("mean_score", 6).alias("mean_score"),
+        F.array_join(
+            F.transform("top_reasons", lambda r: F.concat(r["reason"], F.lit("="), r["n"].cast("string"))), " | ",
+        ).alias("top_reasons"),
+    )
 
 
 # --- store --------------------------------------------------------------------------------------------------
@@ -242,7 +301,10 @@ def store_fold(spark, sf_dir):
     part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
     urls = listing_signals(part).select("url", "p_partkey")
     seq = lambda n: F.lit(n).cast("long")
-    state = F.struct(F.lit("ended").alias("normalized_status"), F.lit("終了").alias("raw_status"), F.lit("終了").alias("evidence"), F.lit(0.9).alias("confidence"), F.array().cast("array<string>").alias("warnings"))
+    state = F.struct(
+        F.lit("ended").alias("normalized_status"), F.lit("終了").alias("raw_status"), F.lit("終了").alias("evidence"),
+        F.lit(0.9).alias("confidence"), F.array().cast("array<string>").alias("warnings"),
+    )
     told = urls.filter(k % 4 == 0).select("url", F.lit(False).alias("is_active"), state.alias("status"))
     log = (
         store.upsert_changes(decided, seq(1))
@@ -252,7 +314,10 @@ def store_fold(spark, sf_dir):
         .unionByName(store.delete_changes(urls.filter(k % 11 == 0), seq(5)), allowMissingColumns=True)
     )
     out = store.fold_changes(log)
-    return out.select("url", "verdict", F.size("blocking_reasons").alias("n_blocking"), "needs_recheck", F.col("status")["normalized_status"].alias("state"), "is_active", "manual_override")
+    return out.select(
+        "url", "verdict", F.size("blocking_reasons").alias("n_blocking"), "needs_recheck",
+        F.col("status")["normalized_status"].alias("state"), "is_active", "manual_override",
+    )
 
 
 def store_upsert(spark, sf_dir):
@@ -262,7 +327,11 @@ def store_upsert(spark, sf_dir):
 
 
 def active_matches(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "MATCH").otherwise("REVIEW").alias("verdict"), (F.col("o_orderkey") % 2 == 0).alias("is_active"))
+    rows = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("url"),
+        F.when(F.col("o_orderstatus") == "F", "MATCH").otherwise("REVIEW").alias("verdict"),
+        (F.col("o_orderkey") % 2 == 0).alias("is_active"),
+    )
     return store.active_matches(rows).select("url")
 
 
@@ -290,7 +359,8 @@ def fill_merge(spark, sf_dir):
     k = F.col("k")
     result = F.to_json(
         F.struct(
-            (60 + k % 31).alias("jacket_length_cm"), (15 + k % 31).cast("string").alias("pants_rise_cm"), (50 + k % 30).alias("pants_waist_flat_cm"), F.lit(1.0).alias("jacket_shoulder_cm"),
+            (60 + k % 31).alias("jacket_length_cm"), (15 + k % 31).cast("string").alias("pants_rise_cm"),
+            (50 + k % 30).alias("pants_waist_flat_cm"), F.lit(1.0).alias("jacket_shoulder_cm"),
             F.array(F.struct(F.lit("silk").alias("fiber"), F.lit(100).alias("percentage"))).alias("outer_fibers"),
         )
     )
@@ -299,17 +369,22 @@ def fill_merge(spark, sf_dir):
     out = fill.ml_fill_join(rows, results)
     size, value = F.col("size"), lambda part, f: F.col("size")[part][f]["value"]
     return out.select(
-        "k", value("jacket", "shoulder_cm").alias("shoulder"), value("jacket", "length_cm").alias("length"), value("pants", "rise_cm").alias("rise"), value("pants", "waist_flat_cm").alias("waist_flat"),
-        value("pants", "waist_circumference_cm").alias("waist_girth"), F.size(size["unknown_fields"]).alias("size_unknown"), _said(F.col("material")["outer_fibers"]).alias("outer_fibers"),
+        "k", value("jacket", "shoulder_cm").alias("shoulder"), value("jacket", "length_cm").alias("length"),
+        value("pants", "rise_cm").alias("rise"), value("pants", "waist_flat_cm").alias("waist_flat"),
+        value("pants", "waist_circumference_cm").alias("waist_girth"), F.size(size["unknown_fields"]).alias("size_unknown"),
+        _said(F.col("material")["outer_fibers"]).alias("outer_fibers"),
     )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_clean_text, doc_blocks, doc_dedup_evidence, page_item_urls, page_site_route, frontier_build, frontier_dedup, route_actions, target_limit, frontier_not_seen, batch_summary, unit_parse,
-        fiber_aliases, listing_evidence, listing_sizes, listing_prices, listing_status, listing_fibers, listing_style, listing_condition, listing_decisions, listing_reasons, reparse_packages,
-        listing_view, verdict_counts, verdict_stats, top_listings, recent_listings, site_report, latest_record, recheck_downgrade, store_fold, store_upsert, active_matches, jst_day_delete,
+        doc_clean_text, doc_blocks, doc_dedup_evidence, page_item_urls, page_site_route, frontier_build, frontier_dedup,
+        route_actions, target_limit, frontier_not_seen, batch_summary, unit_parse,
+        fiber_aliases, listing_evidence, listing_sizes, listing_prices, listing_status, listing_fibers, listing_style,
+        listing_condition, listing_decisions, listing_reasons, reparse_packages,
+        listing_view, verdict_counts, verdict_stats, top_listings, recent_listings, site_report, latest_record, recheck_downgrade,
+        store_fold, store_upsert, active_matches, jst_day_delete,
         find_listing, fill_candidates, fill_merge,
     )
 }
@@ -377,20 +452,28 @@ WITH b AS (SELECT p_partkey AS k FROM part)
 SELECT k, 'title' AS source, 1 AS n, 1.0::DOUBLE AS confidence FROM b UNION ALL SELECT k, 'price', 1, 1.0::DOUBLE FROM b UNION ALL SELECT k, 'status', 1, 1.0::DOUBLE FROM b
 UNION ALL SELECT k, 'category', 1, 0.8::DOUBLE FROM b
 UNION ALL SELECT k, 'description', 6 + CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 7 <> 4 THEN 1 ELSE 0 END + CASE WHEN k % 6 <> 5 THEN 1 ELSE 0 END, 0.85::DOUBLE FROM b""",
-    "listing_sizes": _listed("SELECT k, shoulder, chest, sleeve, waist_flat, waist_girth, inseam, hem, size_unknown, 1.0::DOUBLE AS confidence FROM listed"),
+    "listing_sizes": _listed(
+        "SELECT k, shoulder, chest, sleeve, waist_flat, waist_girth, inseam, hem, size_unknown, 1.0::DOUBLE AS confidence FROM listed"
+    ),
     "listing_prices": _listed("SELECT k, listing_type, current_price, buy_now, 0.9::DOUBLE AS confidence FROM listed"),
     "listing_status": _listed("SELECT k, state, CASE WHEN state = 'sold' THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM listed"),
     "listing_fibers": _listed("SELECT k, outer_fibers, lining_fibers FROM listed"),
     "listing_style": _listed("SELECT k, button_type, button_count, button_color FROM listed"),
     "listing_condition": _listed("SELECT k, grade, has_stain, has_hole FROM listed"),
-    "listing_decisions": _listed("SELECT k, url, source_site, verdict, score, size_unknown > 3 AS needs_llm_review, verdict = 'REVIEW' AS needs_human_review, verdict = 'REVIEW' AS needs_recheck FROM listed"),
-    "listing_reasons": _listed("SELECT k, array_to_string(blocking, ' | ') AS blocking, array_to_string(notes, ' | ') AS notes FROM listed"),
+    "listing_decisions": _listed(
+        "SELECT k, url, source_site, verdict, score, size_unknown > 3 AS needs_llm_review, verdict = 'REVIEW' AS needs_human_review, verdict = 'REVIEW' AS needs_recheck FROM listed"
+    ),
+    "listing_reasons": _listed(
+        "SELECT k, array_to_string(blocking, ' | ') AS blocking, array_to_string(notes, ' | ') AS notes FROM listed"
+    ),
     "reparse_packages": _listed("SELECT k, verdict, score FROM listed"),
     "listing_view": _listed("""
 SELECT url, CASE k % 3 WHEN 0 THEN 'ヤフオク' WHEN 1 THEN 'メルカリ' ELSE 'PayPayフリマ' END AS source_label, '紺スーツ 品番' || k AS title, coalesce(buy_now, current_price) AS price_jpy, 'https://img/' || k AS thumbnail,
   chest AS jacket_chest_cm, waist_flat AS pants_waist_cm, strftime(TIMESTAMP '2024-06-01' - to_hours(CAST(k % 240 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS retrieved_at FROM listed"""),
     "verdict_counts": _listed("SELECT verdict, count(*) AS n FROM listed GROUP BY verdict"),
-    "verdict_stats": _listed("SELECT count(*) FILTER (WHERE verdict = 'MATCH') AS MATCH, count(*) FILTER (WHERE verdict = 'REVIEW') AS REVIEW, count(*) FILTER (WHERE verdict = 'NO_MATCH') AS NO_MATCH FROM listed"),
+    "verdict_stats": _listed(
+        "SELECT count(*) FILTER (WHERE verdict = 'MATCH') AS MATCH, count(*) FILTER (WHERE verdict = 'REVIEW') AS REVIEW, count(*) FILTER (WHERE verdict = 'NO_MATCH') AS NO_MATCH FROM listed"
+    ),
     "top_listings": _listed("SELECT url, verdict, score FROM listed ORDER BY score DESC, url LIMIT 100"),
     "recent_listings": _listed("SELECT url, verdict FROM listed WHERE verdict = 'NO_MATCH' ORDER BY k % 240, url LIMIT 200"),
     "site_report": _listed("""
@@ -411,7 +494,9 @@ FROM listed WHERE k % 11 <> 0"""),
     "active_matches": "SELECT o_orderkey AS url FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0",
     "jst_day_delete": "SELECT event_id FROM events WHERE ts IS NULL OR NOT (ts >= TIMESTAMP '2024-01-01 15:00:00' AND ts < TIMESTAMP '2024-01-02 15:00:00')",
     "find_listing": _listed("SELECT url, verdict, score FROM listed WHERE url = 'https://jp.mercari.com/item/m7'"),
-    "fill_candidates": _listed("SELECT k, 'size' AS about, TRUE AS asks FROM listed UNION ALL SELECT k, 'material', TRUE FROM listed WHERE k % 7 = 4"),
+    "fill_candidates": _listed(
+        "SELECT k, 'size' AS about, TRUE AS asks FROM listed UNION ALL SELECT k, 'material', TRUE FROM listed WHERE k % 7 = 4"
+    ),
     "fill_merge": _listed(f"""
 , f AS (SELECT *, CAST(60 + k % 31 AS DOUBLE) AS l, CAST(15 + k % 31 AS DOUBLE) AS r, CAST(50 + k % 30 AS DOUBLE) AS w FROM listed)
 SELECT k, shoulder, l AS length, CASE WHEN r BETWEEN 20 AND 40 THEN r END AS rise, coalesce(waist_flat, CASE WHEN w <= 60 THEN w END) AS waist_flat,

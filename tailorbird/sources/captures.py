@@ -21,7 +21,10 @@ def read_captures(spark: SparkSession, path: str, kind: str = "parquet", stream:
     """Captures (url, html, retrieved_at) from Parquet or JSON; or from whole text files, whose paths become URLs."""
     reader = spark.readStream if stream else spark.read
     if kind == "text":
-        return reader.option("wholetext", True).text(path).select(F.input_file_name().alias("url"), F.col("value").alias("html"), F.lit(None).cast("timestamp").alias("retrieved_at"))
+        return reader.option("wholetext", True).text(path).select(
+            F.input_file_name().alias("url"), F.col("value").alias("html"),
+            F.lit(None).cast("timestamp").alias("retrieved_at"),
+        )
     return reader.schema(CAPTURE).format(kind).load(path)
 
 

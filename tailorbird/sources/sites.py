@@ -58,12 +58,17 @@ def map_auction_item(item: Column) -> Signals:
     price, at_once, bids = _number(item, "$.price"), _number(item, "$.bidorbuy"), _number(item, "$.bids")
     state, left = _text(item, "$.status"), F.coalesce(_text(item, "$.leftTime").try_cast("double"), F.lit(0.0))
     whole = lambda seconds: F.floor(left / seconds).cast("string")
-    remaining = F.when(left < 3600, F.concat(F.lit("残り"), whole(60), F.lit("分"))).when(left < 86400, F.concat(F.lit("残り"), whole(3600), F.lit("時間"))).otherwise(
+    remaining = F.when(left < 3600, F.concat(F.lit("残り"), whole(60), F.lit("分"))).when(
+        left < 86400, F.concat(F.lit("残り"), whole(3600), F.lit("時間")),
+    ).otherwise(
         F.concat(F.lit("残り"), whole(86400), F.lit("日"))
     )
     return {
         "title_text": _text(item, "$.title"), "html": (_text(item, "$.descriptionHtml", "$.description"),),
-        "price_text": F.concat_ws("\n", _yen("即決", at_once), F.when((bids > 0) | (at_once == 0), _yen("現在", price)), F.when(_text(item, "$.chargeForShipping") == "seller", "送料込み")),
+        "price_text": F.concat_ws(
+            "\n", _yen("即決", at_once), F.when((bids > 0) | (at_once == 0), _yen("現在", price)),
+            F.when(_text(item, "$.chargeForShipping") == "seller", "送料込み"),
+        ),
         "status_text": F.when(state == "open", remaining).when(state == "close", "終了").otherwise(state),
         "specs_text": F.concat(F.lit("商品の状態: "), _text(item, "$.conditionName")),
     }
@@ -103,13 +108,28 @@ def map_shopping_item(item: Column) -> Signals:
     there = F.lower(_text(item, "$.availability", "$.inStock"))
     scalar = lambda v: F.when(~v.startswith("{"), v)
     return {
-        "title_text": _text(item, "$.name", "$.title"), "html": tuple(_text(item, f"$.{k}") for k in ("freeSpace1", "freeSpace2", "information")), "more": F.concat_ws("\n", *parts),
+        "title_text": _text(item, "$.name", "$.title"),
+        "html": tuple(_text(item, f"$.{k}") for k in ("freeSpace1", "freeSpace2", "information")), "more": F.concat_ws("\n", *parts),
         "price_text": _yen("即決", _number(item, "$.price.value", "$.price.selling", "$.price")),
         "status_text": F.when(there.isin("false", "0", "outofstock"), "終了").otherwise("出品中"),
         "image_urls": F.array_compact(F.transform(_list(item, "$.images"), lambda i: _text(i, "$.url"))),
-        "category_text": F.array_join(F.array_compact(F.transform(_list(item, "$.categoryPath", "$.sellerCategoryPathList"), lambda c: F.coalesce(_text(c, "$.name"), scalar(_text(c, "$"))))), " "),
+        "category_text": F.array_join(
+            F.array_compact(
+                F.transform(
+                    _list(item, "$.categoryPath", "$.sellerCategoryPathList"),
+                    lambda c: F.coalesce(_text(c, "$.name"), scalar(_text(c, "$"))),
+                )
+            ),
+            " ",
+        ),
         "brand_text": _text(item, "$.brandName", "$.brand.name"),
-        "specs_text": F.concat(F.lit("商品の状態: "), F.coalesce(_text(item, "$.condition.label", "$.condition.text"), scalar(_text(item, "$.condition", "$.usedCondition")), _text(item, "$.usedCondition.label"))),
+        "specs_text": F.concat(
+            F.lit("商品の状態: "),
+            F.coalesce(
+                _text(item, "$.condition.label", "$.condition.text"), scalar(_text(item, "$.condition", "$.usedCondition")),
+                _text(item, "$.usedCondition.label"),
+            ),
+        ),
     }
 
 
@@ -118,7 +138,10 @@ def _images(html: Column, host: str) -> Column:
 
 
 #: Where each site keeps its pictures.
-IMAGE_HOSTS = {"mercari": r"mercdn\.net", "yahoo_shopping": r"item-shopping\.c\.yimg\.jp", "yahoo_auctions": r"auctions\.c\.yimg\.jp", "paypay_flea_market": r"yimg\.jp"}
+IMAGE_HOSTS = {
+    "mercari": r"mercdn\.net", "yahoo_shopping": r"item-shopping\.c\.yimg\.jp", "yahoo_auctions": r"auctions\.c\.yimg\.jp",
+    "paypay_flea_market": r"yimg\.jp",
+}
 
 
 def html_body(html: Column) -> Column:
@@ -129,13 +152,21 @@ def html_body(html: Column) -> Column:
 
 def html_fallback_signals(site: str, html: Column, body: Column) -> Signals:
     """What can be had from the page itself, and the text of its body, where its data don't say it."""
-    heading = F.nullif(F.trim(F.regexp_replace(strip_tags(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), r"(?U)\s+", " ")), F.lit(""))
+    heading = F.nullif(
+        F.trim(F.regexp_replace(strip_tags(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), r"(?U)\s+", " ")),
+        F.lit(""),
+    )
     out = {"title_text": heading, "image_urls": _images(html, IMAGE_HOSTS[site])}
     if site == "yahoo_shopping":
         out |= {"description_text": body, "all_text": body}
     if site == "mercari":
-        raw = F.coalesce(found(html, r"""(?is)data-testid=["']price["'][^>]*>(.*?)</""", 1), found(html, r"""(?is)class=["'][^"']*[pP]rice[^"']*["'][^>]*>([^<]*[¥￥][^<]*\d[^<]*)<""", 1))
-        digits = F.regexp_replace(F.regexp_extract(F.regexp_replace(strip_tags(raw), r"[\s¥￥]", ""), r"([\d,]+)", 1), ",", "").try_cast("long")
+        raw = F.coalesce(
+            found(html, r"""(?is)data-testid=["']price["'][^>]*>(.*?)</""", 1),
+            found(html, r"""(?is)class=["'][^"']*[pP]rice[^"']*["'][^>]*>([^<]*[¥￥][^<]*\d[^<]*)<""", 1),
+        )
+        digits = F.regexp_replace(
+            F.regexp_extract(F.regexp_replace(strip_tags(raw), r"[\s¥￥]", ""), r"([\d,]+)", 1), ",", "",
+        ).try_cast("long")
         included = body.contains("送料込み") | body.contains("送料無料")
         out |= {
             "price_text": F.when(digits > 0, F.concat(_yen("即決", digits), F.when(included, "\n送料込み").otherwise(""))), "all_text": body,
@@ -167,15 +198,27 @@ def captures_to_signals(captures: DataFrame) -> DataFrame:
     Each row goes through its own site's mapping only; texts of HTML leave the JVM once for all sites together.
     A page whose data hold an item keeps that item's texts, even empty ones, but for title, price and pictures.
     """
-    rows = captures.select("url", "html", "retrieved_at", detect_site(F.col("url")).alias("source_site"), embedded_json(F.col("html")).alias("_data"))
-    rows = rows.select("url", "html", "retrieved_at", "source_site", _by_site({s: locate_item(s, F.col("_data")) for s in MAPPERS}).alias("_item"))
+    rows = captures.select(
+        "url", "html", "retrieved_at", detect_site(F.col("url")).alias("source_site"),
+        embedded_json(F.col("html")).alias("_data"),
+    )
+    rows = rows.select(
+        "url", "html", "retrieved_at", "source_site",
+        _by_site({s: locate_item(s, F.col("_data")) for s in MAPPERS}).alias("_item"),
+    )
     mapped = {site: mapper(F.col("_item")) for site, mapper in MAPPERS.items()}
-    fragments = [_by_site({s: m["html"][k] for s, m in mapped.items() if k < len(m["html"])}) for k in range(max(len(m["html"]) for m in mapped.values()))]
+    fragments = [
+        _by_site(
+            {s: m["html"][k] for s, m in mapped.items() if k < len(m["html"])}
+        ) for k in range(max(len(m["html"]) for m in mapped.values()))
+    ]
     # the page itself is only taken to pieces where it may be needed
     page = F.when((F.col("source_site") == "mercari") | F.col("_item").isNull(), html_body(F.col("html")))
     rows = rows.select("*", *[f.alias(f"_html{k}") for k, f in enumerate(fragments)], page.alias("_page"))
     # what has no tag in a shop's fields is taken as it is
-    tagged = lambda k: F.when((F.col("source_site") != "yahoo_shopping") | F.col(f"_html{k}").contains("<"), F.col(f"_html{k}"))
+    tagged = lambda k: F.when(
+        (F.col("source_site") != "yahoo_shopping") | F.col(f"_html{k}").contains("<"), F.col(f"_html{k}"),
+    )
     texts = [F.coalesce(html_to_text(tagged(k)), F.col(f"_html{k}")).alias(f"_text{k}") for k in range(len(fragments))]
     rows = rows.select("url", "html", "retrieved_at", "source_site", "_item", *texts, html_to_text(F.col("_page")).alias("_body"))
     empty, none = F.lit(""), F.array().cast("array<string>")
@@ -183,7 +226,10 @@ def captures_to_signals(captures: DataFrame) -> DataFrame:
     def values(site: str, name: str) -> Column:
         item, other = mapped[site], html_fallback_signals(site, F.col("html"), F.col("_body")).get(name)
         if name in ("description_text", "all_text"):
-            value = F.concat_ws("\n", *[f"_text{k}" for k in range(len(item["html"]))], *([F.nullif(item["more"], empty)] if "more" in item else []))
+            value = F.concat_ws(
+                "\n", *[f"_text{k}" for k in range(len(item["html"]))],
+                *([F.nullif(item["more"], empty)] if "more" in item else [])
+            )
         else:
             value = item.get(name, F.lit(None))
         if name == "image_urls":
@@ -198,12 +244,16 @@ def captures_to_signals(captures: DataFrame) -> DataFrame:
             return F.when(F.col("_item").isNotNull(), value).otherwise(F.coalesce(other, empty))
         return F.coalesce(F.nullif(value, empty), other, empty)
 
-    return rows.select("url", "source_site", "retrieved_at", *[_by_site({s: values(s, name) for s in MAPPERS}).alias(name) for name in (*BUCKETS, "image_urls")])
+    return rows.select(
+        "url", "source_site", "retrieved_at",
+        *[_by_site({s: values(s, name) for s in MAPPERS}).alias(name) for name in (*BUCKETS, "image_urls")]
+    )
 
 
 #: Class or tag of each bucket on pages of the auction site.
 SELECTORS = {
-    "title_text": "h1.ProductTitle__text", "price_text": ".Price__value", "status_text": ".AuctionStatus", "description_text": ".ItemDescription",
+    "title_text": "h1.ProductTitle__text", "price_text": ".Price__value", "status_text": ".AuctionStatus",
+    "description_text": ".ItemDescription",
     "specs_text": ".ProductDetail__section", "brand_text": ".Breadcrumb__link", "category_text": ".Breadcrumb",
 }
 

@@ -16,7 +16,9 @@ def stream_dedup(captures: DataFrame, within: str = "1 day") -> DataFrame:
     return captures.withWatermark("retrieved_at", within).dropDuplicatesWithinWatermark(["url"])
 
 
-def stream_decisions(captures: DataFrame, changes: str, checkpoint: str, rules: Rules = RULES, once: bool = False, within: str = "1 day") -> StreamingQuery:
+def stream_decisions(
+    captures: DataFrame, changes: str, checkpoint: str, rules: Rules = RULES, once: bool = False, within: str = "1 day",
+) -> StreamingQuery:
     """Decide every micro-batch of captures and write its changes under `changes`; fold_changes makes listings of them.
 
     A URL counts once within a time. Rows without a URL, which no store can hold, or without a time, which can't be
@@ -28,7 +30,9 @@ def stream_decisions(captures: DataFrame, changes: str, checkpoint: str, rules:
     def batch(rows: DataFrame, batch_id: int) -> None:
         if rows.isEmpty():  # as in batches that only clear old state
             return
-        upsert_changes(decide_captures(rows, rules), sequence_number(batch_id, F.lit(0))).write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
+        upsert_changes(
+            decide_captures(rows, rules), sequence_number(batch_id, F.lit(0)),
+        ).write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
 
     once_each = stream_dedup(captures.filter(F.col("url").isNotNull() & F.col("retrieved_at").isNotNull()), within)
     writer = once_each.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

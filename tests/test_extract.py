@@ -21,8 +21,14 @@ def one(text, source="description"):
 
 
 def test_normalisers(spark):
-    d = spark.createDataFrame([("ｽｰﾂ４４．５㎝：ｶﾞ", "  hello　　world\n", "<b>a</b>／b", "25mm", "  1,234,567 円  ", "シングル")], "a string, b string, c string, d string, e string, f string")
-    r = d.select(X.nfkc("a"), X.norm_ja(F.col("b")), X.clean_text(F.col("c")), X.parse_cm(F.col("d")), X.parse_jpy(F.col("e")), X.nfkc("f")).first()
+    d = spark.createDataFrame(
+        [("ｽｰﾂ４４．５㎝：ｶﾞ", "  hello　　world\n", "<b>a</b>／b", "25mm", "  1,234,567 円  ", "シングル")],
+        "a string, b string, c string, d string, e string, f string",
+    )
+    r = d.select(
+        X.nfkc("a"), X.norm_ja(F.col("b")), X.clean_text(F.col("c")), X.parse_cm(F.col("d")), X.parse_jpy(F.col("e")),
+        X.nfkc("f"),
+    ).first()
     assert tuple(r) == ("スーツ44.5cm:ガ", "hello world", "a /b", 2.5, 1234567, "シングル")
 
 
@@ -36,9 +42,12 @@ def test_sizes(spark):
     got = run(
         spark, "size",
         {
-            "full": one("肩幅：４４．５ｃｍ 身幅 52 着丈=72cm 袖丈 約61センチ"), "girth": one("ウエスト：86cm"), "flat": one("ウエスト：43cm"), "measured": one("ウエスト実寸約86センチ"), "absurd": one("肩幅：200cm"),
-            "halved": one("胸囲 104cm"), "priority": [("description", "肩幅 44cm"), ("specs", "肩幅 45cm")], "hem": one("裾ダブル 股下 72cm"), "none": one("よいスーツ"),
-            "table": [("title", "スーツ 3XL"), ("description", "【 Mサイズ 】肩幅 43cm【3XLサイズ】肩幅 46cm")], "ll": [("title", "スーツ LL"), ("description", "【Mサイズ】肩幅 43cm【2XLサイズ】肩幅 46cm")],
+            "full": one("肩幅：４４．５ｃｍ 身幅 52 着丈=72cm 袖丈 約61センチ"), "girth": one("ウエスト：86cm"), "flat": one("ウエスト：43cm"),
+            "measured": one("ウエスト実寸約86センチ"), "absurd": one("肩幅：200cm"),
+            "halved": one("胸囲 104cm"), "priority": [("description", "肩幅 44cm"), ("specs", "肩幅 45cm")], "hem": one("裾ダブル 股下 72cm"),
+            "none": one("よいスーツ"),
+            "table": [("title", "スーツ 3XL"), ("description", "【 Mサイズ 】肩幅 43cm【3XLサイズ】肩幅 46cm")],
+            "ll": [("title", "スーツ LL"), ("description", "【Mサイズ】肩幅 43cm【2XLサイズ】肩幅 46cm")],
             "missing_row": [("title", "スーツ XS"), ("description", "【Mサイズ】肩幅 43cm【Lサイズ】肩幅 46cm")],
         },
     )
@@ -66,14 +75,18 @@ def test_prices(spark):
     got = run(
         spark, "price",
         {
-            "both": one("現在 8,500円\n即決 15,000円", "price"), "now": one("即決 20,000円", "price"), "fixed": one("販売価格：18,000円"), "wide": one("現在 １５，０００円", "price"), "free": one("送料込み 即決 900円", "price"),
-            "bare": one("12,800円", "price"), "won": one("落札価格 9,000円"), "none": one("要相談", "price"), "fixed_block": one("販売価格：18,000円", "price"),
+            "both": one("現在 8,500円\n即決 15,000円", "price"), "now": one("即決 20,000円", "price"), "fixed": one("販売価格：18,000円"),
+            "wide": one("現在 １５，０００円", "price"), "free": one("送料込み 即決 900円", "price"),
+            "bare": one("12,800円", "price"), "won": one("落札価格 9,000円"), "none": one("要相談", "price"),
+            "fixed_block": one("販売価格：18,000円", "price"),
         },
     )
     brief = {k: (v["listing_type"], v["current_price_jpy"], v["buy_now_price_jpy"]) for k, v in got.items()}
     assert brief == {
-        "both": ("auction", 8500, 15000), "now": ("buy_now_only", None, 20000), "fixed": ("fixed_price", 18000, 18000), "wide": ("auction", 15000, None), "free": ("buy_now_only", None, 900),
-        "bare": ("auction", 12800, None), "won": ("auction", 9000, None), "none": (None, None, None), "fixed_block": ("fixed_price", 18000, None),
+        "both": ("auction", 8500, 15000), "now": ("buy_now_only", None, 20000), "fixed": ("fixed_price", 18000, 18000),
+        "wide": ("auction", 15000, None), "free": ("buy_now_only", None, 900),
+        "bare": ("auction", 12800, None), "won": ("auction", 9000, None), "none": (None, None, None),
+        "fixed_block": ("fixed_price", 18000, None),
     }
     assert got["free"]["shipping_included"] is True and got["free"]["shipping_price_jpy"] == 0 and got["none"]["confidence"] == 0.3
 
@@ -82,12 +95,14 @@ def test_status(spark):
     got = run(
         spark, "status",
         {
-            "sold": one("落札済み", "status"), "ended": one("終了", "status"), "active": one("残り 5時間で終了します", "status"), "unknown": one("", "status"), "content": one("売り切れました"),
+            "sold": one("落札済み", "status"), "ended": one("終了", "status"), "active": one("残り 5時間で終了します", "status"),
+            "unknown": one("", "status"), "content": one("売り切れました"),
             "first": [("status", "出品中"), ("description", "SOLD OUT")],
         },
     )
     assert {k: (v["normalized_status"], v["confidence"]) for k, v in got.items()} == {
-        "sold": ("sold", 0.95), "ended": ("ended", 0.9), "active": ("active", 0.9), "unknown": ("unknown", 0.3), "content": ("sold", 0.8), "first": ("active", 0.9),
+        "sold": ("sold", 0.95), "ended": ("ended", 0.9), "active": ("active", 0.9), "unknown": ("unknown", 0.3),
+        "content": ("sold", 0.8), "first": ("active", 0.9),
     }
 
 
@@ -95,8 +110,10 @@ def test_materials(spark):
     got = run(
         spark, "material",
         {
-            "both": one("表地：モヘア60% ウール40%"), "inferred": one("ウール"), "lining": one("裏地：ポリエステル100%"), "reversed": one("裏地：キュプラ ポリエステル100% 表地：ウール70% 綿30%"),
-            "later": [("description", "ウール混のスーツ"), ("description", "ウール60% ポリエステル40%")], "twice": one("ウール混 ウール60% シルク40%"), "none": one("スーツ"), "shoulder": one("肩毛"),
+            "both": one("表地：モヘア60% ウール40%"), "inferred": one("ウール"), "lining": one("裏地：ポリエステル100%"),
+            "reversed": one("裏地：キュプラ ポリエステル100% 表地：ウール70% 綿30%"),
+            "later": [("description", "ウール混のスーツ"), ("description", "ウール60% ポリエステル40%")], "twice": one("ウール混 ウール60% シルク40%"),
+            "none": one("スーツ"), "shoulder": one("肩毛"),
         },
     )
     brief = {k: ([(f["fiber"], f["percentage"]) for f in v["outer_fibers"]], [(f["fiber"], f["percentage"]) for f in v["lining_fibers"]]) for k, v in got.items()}

@@ -14,7 +14,10 @@ from tailorbird.sources.scratch import shared_path
 from tailorbird.sources.sites import SELECTORS, selector_signals
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ("capture_signals", "capture_decisions", "listing_size_tables", "listing_shipping", "listing_status_fallback", "listing_priorities", "item_urls", "page_selectors", "logged_outcomes")
+CHECKED = (
+    "capture_signals", "capture_decisions", "listing_size_tables", "listing_shipping", "listing_status_fallback",
+    "listing_priorities", "item_urls", "page_selectors", "logged_outcomes",
+)
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -30,16 +33,29 @@ def test_query_equals_its_sql(spark, name):
 
 def test_captures_of_one_url_are_decided_apart(spark):
     page = lambda price, state: f'<h1 class="x">紺スーツ</h1><span data-testid="price">¥{price}</span>{state}'
-    rows = [("https://jp.mercari.com/item/m1", page("5,037", ""), "2024-06-01"), ("https://jp.mercari.com/item/m1", page("39,000", "売り切れ"), "2024-06-06"), (None, page("1,000", ""), "2024-06-01"), (None, None, None)]
+    rows = [
+        ("https://jp.mercari.com/item/m1", page("5,037", ""), "2024-06-01"),
+        ("https://jp.mercari.com/item/m1", page("39,000", "売り切れ"), "2024-06-06"), (None, page("1,000", ""), "2024-06-01"),
+        (None, None, None),
+    ]
     rows.append(rows[0])  # the very same row counts once
-    got = decide_captures(spark.createDataFrame(rows, "url string, html string, at string").withColumn("retrieved_at", F.col("at").cast("timestamp"))).collect()
-    brief = {(r["url"], str(r["retrieved_at"])[:10]): (r["price"] and r["price"]["buy_now_price_jpy"], r["status"] and r["status"]["normalized_status"], r["error"]) for r in got}
+    got = decide_captures(
+        spark.createDataFrame(rows, "url string, html string, at string").withColumn("retrieved_at", F.col("at").cast("timestamp"))
+    ).collect()
+    brief = {
+        (r["url"], str(r["retrieved_at"])[:10]): (
+            r["price"] and r["price"]["buy_now_price_jpy"], r["status"] and r["status"]["normalized_status"], r["error"],
+        ) for r in got
+    }
     assert len(got) == 4 and brief[rows[0][0], "2024-06-01"] == (5037, "active", None) and brief[rows[0][0], "2024-06-06"] == (39000, "sold", None)
     assert brief[None, "2024-06-01"][2] is None and brief[None, "None"][2] == "no evidence"
 
 
 def test_other_columns_pass_and_results_replace_their_namesakes(spark):
-    signals = spark.createDataFrame([("u", "紺スーツ", "即決 9,000円", "x", 7)], "url string, title_text string, price_text string, verdict string, n_blocks int")
+    signals = spark.createDataFrame(
+        [("u", "紺スーツ", "即決 9,000円", "x", 7)],
+        "url string, title_text string, price_text string, verdict string, n_blocks int",
+    )
     for column in ("status_text", "description_text", "all_text", "specs_text", "brand_text", "category_text"):
         signals = signals.withColumn(column, F.lit(None).cast("string"))
     got = decide_signals(signals).first()
@@ -54,9 +70,18 @@ def test_plan_has_one_shuffle_and_no_join(spark):
 def test_golden_package(spark, tmp_path):
     """Six unknown attributes and nothing against it: a case for a human, at full score."""
     block = lambda source, text, c: {"source": source, "text": text, "block_type": source, "confidence": c, "metadata": {}}
-    lines = ["肩幅：44cm 身幅：52cm 袖丈：62cm 着丈：73cm", "ウエスト平置き：43cm 股上：26cm 股下：76cm 裾幅：19cm ワタリ：31cm 裾シングル", "表地：ウール100% 裏地：ポリエステル100%", "汚れ・穴などなし"]
-    blocks = [block("title", "紺無地 スーツ", 1.0), block("price", "即決 15,000円", 1.0), block("status", "出品中", 1.0), *[block("description", t, 0.85) for t in lines]]
-    packages = spark.createDataFrame([("p", "u", blocks)], f"item_id string, url string, evidence_blocks array<struct<{C.BLOCK.replace(' ', ':').replace(',:', ',')}>>")
+    lines = [
+        "肩幅：44cm 身幅：52cm 袖丈：62cm 着丈：73cm", "ウエスト平置き：43cm 股上：26cm 股下：76cm 裾幅：19cm ワタリ：31cm 裾シングル", "表地：ウール100% 裏地：ポリエステル100%",
+        "汚れ・穴などなし",
+    ]
+    blocks = [
+        block("title", "紺無地 スーツ", 1.0), block("price", "即決 15,000円", 1.0), block("status", "出品中", 1.0),
+        *[block("description", t, 0.85) for t in lines]
+    ]
+    packages = spark.createDataFrame(
+        [("p", "u", blocks)],
+        f"item_id string, url string, evidence_blocks array<struct<{C.BLOCK.replace(' ', ':').replace(',:', ',')}>>",
+    )
     got = reparse(packages).first()
     unknown = sum(len(got[a]["unknown_fields"]) for a in ("size", "material", "style", "condition"))
     assert (got["verdict"], got["score"], got["blocking_reasons"], got["reasons"], unknown) == ("REVIEW", 1.0, [], [], 6)
@@ -75,8 +100,13 @@ def test_golden_page_with_five_reasons_against_it(spark):
 
 
 def test_fills_go_by_canonical_fibre_names(spark):
-    rows = spark.createDataFrame([("a", 0, "description", "スーツ", 1.0)], "item_id string, pos int, source string, text string, confidence double")
-    results = spark.createDataFrame([("a", "text", '{"outer_fibers": [{"fiber": "毛", "percentage": 60}, {"fiber": "ポリ", "percentage": 40}]}')], "item_id string, pass string, j string")
+    rows = spark.createDataFrame(
+        [("a", 0, "description", "スーツ", 1.0)], "item_id string, pos int, source string, text string, confidence double",
+    )
+    results = spark.createDataFrame(
+        [("a", "text", '{"outer_fibers": [{"fiber": "毛", "percentage": 60}, {"fiber": "ポリ", "percentage": 40}]}')],
+        "item_id string, pass string, j string",
+    )
     got = fill.ml_fill_join(extract(rows, ("size", "material")), results.select("item_id", "pass", F.parse_json("j").alias("result")))
     assert [f["fiber"] for f in got.first()["material"]["outer_fibers"]] == ["wool", "polyester"]
     assert got.select(rules.rule_material()[0].alias("r")).first()["r"] == [rules.NG_FIBERS["polyester"]]

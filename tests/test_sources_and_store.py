@@ -18,16 +18,38 @@ def page(data):
 
 
 def captures(spark):
-    auction = {"title": "スーツ", "descriptionHtml": "<p>" + SUIT.replace("\n", "<br>") + "</p>", "price": 9000, "bidorbuy": 15000, "bids": 1, "chargeForShipping": "seller", "status": "open", "leftTime": 7300, "conditionName": "良い"}
-    mercari = {"id": "m1", "name": "スーツ", "description": SUIT, "price": 12000, "shipping_payer": {"name": "送料込み(出品者負担)"}, "status": "on_sale", "photos": [{"image_urls": {"large": "L"}}, "P"], "categories": [{"name": "A"}, {"name": "B"}], "brand": {"name": "X"}}
-    flea = {"title": "スーツ", "description": SUIT, "price": 8000, "status": "OPEN", "isPurchased": True, "images": [{"url": "u1"}, {}], "categoryList": [{"name": "A"}]}
-    shop = {"name": "スーツ", "freeSpace1": "<p>肩幅 44cm</p>", "brandName": "B", "materialDescription": "ウール100%", "price": {"value": 20000}, "availability": "outOfStock", "images": [{"url": "s"}], "condition": {"label": "良い"}}
+    auction = {
+        "title": "スーツ", "descriptionHtml": "<p>" + SUIT.replace("\n", "<br>") + "</p>", "price": 9000, "bidorbuy": 15000,
+        "bids": 1, "chargeForShipping": "seller", "status": "open", "leftTime": 7300, "conditionName": "良い",
+    }
+    mercari = {
+        "id": "m1", "name": "スーツ", "description": SUIT, "price": 12000, "shipping_payer": {"name": "送料込み(出品者負担)"},
+        "status": "on_sale", "photos": [{"image_urls": {"large": "L"}}, "P"], "categories": [{"name": "A"}, {"name": "B"}],
+        "brand": {"name": "X"},
+    }
+    flea = {
+        "title": "スーツ", "description": SUIT, "price": 8000, "status": "OPEN", "isPurchased": True,
+        "images": [{"url": "u1"}, {}], "categoryList": [{"name": "A"}],
+    }
+    shop = {
+        "name": "スーツ", "freeSpace1": "<p>肩幅 44cm</p>", "brandName": "B", "materialDescription": "ウール100%",
+        "price": {"value": 20000}, "availability": "outOfStock", "images": [{"url": "s"}], "condition": {"label": "良い"},
+    }
     rows = [
-        ("https://auctions.yahoo.co.jp/jp/auction/x1", page({"props": {"pageProps": {"initialState": {"item": {"detail": {"item": auction}}}}}})),
+        (
+            "https://auctions.yahoo.co.jp/jp/auction/x1",
+            page({"props": {"pageProps": {"initialState": {"item": {"detail": {"item": auction}}}}}}),
+        ),
         ("https://jp.mercari.com/item/m1", page({"props": {"pageProps": {"serverData": {"item": mercari}}}})),
         ("https://paypayfleamarket.yahoo.co.jp/item/z1", page({"props": {"initialState": {"itemsState": {"items": {"item": flea}}}}})),
-        ("https://store.shopping.yahoo.co.jp/s/1.html", page({"props": {"pageProps": {"dehydratedState": {"queries": [{}, {"state": {"data": {"itemData": {"item": shop}}}}]}}}})),
-        ("https://jp.mercari.com/item/m2", '<body><h1>無地</h1><span class="Price__x">¥6,699</span> 送料込み <img src="https://static.mercdn.net/1.jpg"> 売り切れ</body>'),
+        (
+            "https://store.shopping.yahoo.co.jp/s/1.html",
+            page({"props": {"pageProps": {"dehydratedState": {"queries": [{}, {"state": {"data": {"itemData": {"item": shop}}}}]}}}}),
+        ),
+        (
+            "https://jp.mercari.com/item/m2",
+            '<body><h1>無地</h1><span class="Price__x">¥6,699</span> 送料込み <img src="https://static.mercdn.net/1.jpg"> 売り切れ</body>',
+        ),
         ("https://auctions.yahoo.co.jp/jp/auction/broken", '<script id="__NEXT_DATA__">{oops</script>'),
         ("https://store.shopping.yahoo.co.jp/s/2.html", None),
     ]
@@ -54,9 +76,14 @@ def test_captures_to_decisions(spark):
 
 def test_reparse_and_nested_packages(spark, tmp_path):
     block = lambda source, text, c: {"source": source, "text": text, "block_type": source, "confidence": c, "metadata": {}}
-    package = {"item_id": "p", "url": "u", "source_site": "s", "evidence_blocks": [block("title", "紺 スーツ", 1.0), block("price", "即決価格：15,000円", 1.0), block("status", "出品中です", 1.0)]}
+    package = {
+        "item_id": "p", "url": "u", "source_site": "s",
+        "evidence_blocks": [block("title", "紺 スーツ", 1.0), block("price", "即決価格：15,000円", 1.0), block("status", "出品中です", 1.0)],
+    }
     package["evidence_blocks"] += [block("description", t, 0.85) for t in SUIT.split("\n")]
-    (tmp_path / "p.json").write_text(json.dumps(package, ensure_ascii=False) + "\n" + json.dumps({"item_id": "q", "url": "v"}), encoding="utf-8")
+    (tmp_path / "p.json").write_text(
+        json.dumps(package, ensure_ascii=False) + "\n" + json.dumps({"item_id": "q", "url": "v"}), encoding="utf-8",
+    )
     got = {r["item_id"]: r for r in reparse(C.read_evidence_packages(spark, str(tmp_path))).collect()}
     assert got["p"]["verdict"] == "MATCH" and got["p"]["error"] is None and got["q"]["error"] == "no evidence"
 
@@ -64,11 +91,19 @@ def test_reparse_and_nested_packages(spark, tmp_path):
 def test_selectors(spark):
     html = '<div class="a Price b"><b>現在</b> 5円</div><h1 class="T">題</h1><ul><li class="X">無</li></ul>'
     d = spark.createDataFrame([(html,)], "h string")
-    assert tuple(d.select(*[c.alias(k) for k, c in selector_signals(F.col("h"), {"p": ".Price", "t": "h1.T", "n": ".None"}).items()]).first()) == ("現在\n5円", "題", "")
+    assert tuple(
+        d.select(*[c.alias(k) for k, c in selector_signals(F.col("h"), {"p": ".Price", "t": "h1.T", "n": ".None"}).items()]).first()
+    ) == ("現在\n5円", "題", "")
 
 
 def test_evidence(spark):
-    d = spark.createDataFrame([("a", 0, "title", "t", "同じ文", 1.0), ("a", 1, "all_text", "t", "同じ文", 0.6), ("a", 2, "specs", "t", "12345", 0.9), ("a", 3, "specs", "t", "短い", 0.9)], "item_id string, pos int, source string, block_type string, text string, confidence double")
+    d = spark.createDataFrame(
+        [
+            ("a", 0, "title", "t", "同じ文", 1.0), ("a", 1, "all_text", "t", "同じ文", 0.6), ("a", 2, "specs", "t", "12345", 0.9),
+            ("a", 3, "specs", "t", "短い", 0.9),
+        ],
+        "item_id string, pos int, source string, block_type string, text string, confidence double",
+    )
     kept = evidence.clean_blocks(d.withColumn("metadata", F.create_map().cast("map<string,string>"))).collect()
     assert [(r["pos"], r["source"]) for r in kept] == [(0, "title")]
     assert spark.range(1).select(evidence.site_item_id(F.lit("https://auctions.yahoo.co.jp/jp/auction/x12?a=1"))).first()[0] == "x12"
@@ -89,10 +124,21 @@ def test_rules_as_a_table(spark):
 def test_store_changes(spark):
     payload = "struct<verdict:string,blocking_reasons:array<string>,needs_recheck:boolean,status:struct<normalized_status:string,raw_status:string,evidence:string,confidence:double,warnings:array<string>>>"
     up = spark.createDataFrame([("u", 1, "REVIEW"), ("v", 1, "MATCH"), ("u", 5, "MATCH")], "url string, seq long, verdict string")
-    log = store.upsert_changes(up.select("url", "seq", F.struct("verdict", F.array(F.lit("b")).alias("blocking_reasons"), F.lit(True).alias("needs_recheck"), F.lit(None).alias("status")).cast(payload).alias("p")).select("url", "seq", "p.*"), F.col("seq"))
+    log = store.upsert_changes(
+        up.select(
+            "url", "seq",
+            F.struct(
+                "verdict", F.array(F.lit("b")).alias("blocking_reasons"), F.lit(True).alias("needs_recheck"),
+                F.lit(None).alias("status"),
+            ).cast(payload).alias("p"),
+        ).select("url", "seq", "p.*"),
+        F.col("seq"),
+    )
     log = log.withColumn("payload", F.col("payload").dropFields("seq"))
     urls = spark.createDataFrame([("u",)], "url string")
-    log = log.unionByName(store.mark_ng(urls, F.lit(6).cast("long"), F.lit("手動")), allowMissingColumns=True).unionByName(store.mark_ng(urls, F.lit(7).cast("long"), F.lit("手動")), allowMissingColumns=True)
+    log = log.unionByName(
+        store.mark_ng(urls, F.lit(6).cast("long"), F.lit("手動")), allowMissingColumns=True,
+    ).unionByName(store.mark_ng(urls, F.lit(7).cast("long"), F.lit("手動")), allowMissingColumns=True)
     twice = log.unionByName(log)
     for changes in (log, twice, twice.repartition(5)):
         got = {r["url"]: r for r in store.fold_changes(changes).collect()}
@@ -110,18 +156,33 @@ def test_snapshots(spark, tmp_path):
 def test_frontier(spark):
     html = '<a href="https://jp.mercari.com/item/m1?x=1">a</a><a href="/item/m2">b</a><a href="/item/m1">c</a><a href="https://auctions.yahoo.co.jp/jp/auction/q1?z">d</a>'
     d = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
-    assert [r["url"] for r in frontier.extract_item_urls(d, "mercari").collect()] == ["https://jp.mercari.com/item/m1", "https://jp.mercari.com/item/m2"]
+    assert [
+        r["url"] for r in frontier.extract_item_urls(d, "mercari").collect()
+    ] == ["https://jp.mercari.com/item/m1", "https://jp.mercari.com/item/m2"]
     assert [r["url"] for r in frontier.extract_item_urls(d).collect()] == ["https://auctions.yahoo.co.jp/jp/auction/q1"]
     q = frontier.build_frontier(spark.createDataFrame([("紺 スーツ",)], "query string"), max_pages=2).collect()
-    assert q[1]["search_url"].startswith("https://auctions.yahoo.co.jp/search/search?p=%E7%B4%BA+%E3%82%B9%E3%83%BC%E3%83%84&b=51&n=50&s1=new&o1=d&auccat=23176&max=30000")
+    assert q[1]["search_url"].startswith(
+        "https://auctions.yahoo.co.jp/search/search?p=%E7%B4%BA+%E3%82%B9%E3%83%BC%E3%83%84&b=51&n=50&s1=new&o1=d&auccat=23176&max=30000"
+    )
 
 
 def test_fill_flat_waist_that_is_a_girth(spark):
     rows = [("a", 0, "description", "スーツの説明", 1.0)]
     from tailorbird.operators.extract import extract
 
-    attributes = extract(spark.createDataFrame(rows, "item_id string, pos int, source string, text string, confidence double"), ("size", "material"))
-    results = spark.createDataFrame([("a", "text", '{"pants_waist_flat_cm": 74, "jacket_shoulder_cm": 44.0, "pants_inseam_cm": "x", "pants_rise_cm": 500, "pants_thigh_cm": null}')], "item_id string, pass string, j string")
+    attributes = extract(
+        spark.createDataFrame(rows, "item_id string, pos int, source string, text string, confidence double"),
+        ("size", "material"),
+    )
+    results = spark.createDataFrame(
+        [
+            (
+                "a", "text",
+                '{"pants_waist_flat_cm": 74, "jacket_shoulder_cm": 44.0, "pants_inseam_cm": "x", "pants_rise_cm": 500, "pants_thigh_cm": null}',
+            )
+        ],
+        "item_id string, pass string, j string",
+    )
     got = fill.ml_fill_join(attributes, results.select("item_id", "pass", F.parse_json("j").alias("result"))).first()["size"]
     assert got["pants"]["waist_circumference_cm"]["value"] == 74.0 and got["pants"]["waist_flat_cm"] is None and got["jacket"]["shoulder_cm"]["source"] == "llm_gemini"
     assert "pants_waist_flat_cm" not in got["unknown_fields"] and "pants_inseam_cm" in got["unknown_fields"]
