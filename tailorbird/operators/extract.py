@@ -464,13 +464,17 @@ def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), nor
     return grouped.select("item_id", *carried, *(["n_blocks"] if carried else []), result)
 
 
-_built: dict[tuple[int, str], tuple] = {}
+_built: dict[tuple, tuple] = {}
 
 
-def built_columns(name: str) -> tuple[dict[str, Column], dict[str, Column], list[dict[str, Column]], Column]:
-    """The columns of an extractor, built once for each connection to Spark: they hold names only, no table."""
-    key = (id(SparkContext._gateway), name)
+def once(name, build):
+    """What build() gives, built once for each connection to Spark. For columns, which hold names and no table."""
+    key = (SparkContext._gateway, name)
     if key not in _built:
-        blocks, aggregates, steps, result = EXTRACTORS[name]
-        _built[key] = (blocks(), aggregates(), [step() for step in steps], result())
+        _built[key] = build()
     return _built[key]
+
+
+def built_columns(name: str) -> tuple[dict[str, Column], dict[str, Column], list[dict[str, Column]], Column]:
+    blocks, aggregates, steps, result = EXTRACTORS[name]
+    return once(name, lambda: (blocks(), aggregates(), [step() for step in steps], result()))

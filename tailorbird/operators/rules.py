@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RULES, Rules
-from .extract import EXTRACTORS
+from .extract import EXTRACTORS, once
 
 #: The texts of reasons.
 NO_BUY_NOW = "即決価格が設定されていないためNG (オークション形式)"
@@ -199,27 +199,32 @@ def all_warnings() -> Column:
     return F.concat(*[F.coalesce(F.col(n)["warnings"], none) for n in EXTRACTORS])
 
 
-def decide(attributes: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """attributes with blocking_reasons, reasons, score, verdict, the two review flags, confidence and warnings."""
-    (jacket, jacket_notes), (pants, pants_notes), (material, material_notes) = rule_jacket(rules), rule_pants(rules), rule_material()
+def _decision(rules: Rules) -> list[list[Column]]:
+    """The columns that `decide` adds, step by step: each step may use what the one before it added."""
+    (jacket, jacket_notes), (pants, pants_notes) = rule_jacket(rules), rule_pants(rules)
+    material, material_notes = rule_material()
     blocking = F.concat(rule_price(rules), rule_status(), jacket, pants, material, rule_style(), rule_condition())
     reasons = F.concat(jacket_notes, pants_notes, material_notes)
-    # a generator of one row, so that filters on a verdict don't copy all rules into themselves
-    rows = attributes.select("*", F.inline(F.array(F.struct(blocking.alias("blocking_reasons"), reasons.alias("reasons")))))
-    unknown = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")],
-    )
-    rows = rows.select("*", score().alias("score"), unknown.alias("unknown_count"))
-    verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when(
-        (F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score), "REVIEW",
-    ).otherwise("MATCH")
-    rows = rows.select("*", verdict.alias("verdict"))
-    return rows.select(
-        *[c for c in rows.columns if c != "unknown_count"],
-        F.coalesce(F.size(F.col("size")["unknown_fields"]) > rules.fill_above, F.lit(False)).alias("needs_llm_review"),
-        (F.col("verdict") == "REVIEW").alias("needs_human_review"),
-        F.col("score").alias("confidence"),
-        needs_recheck(F.col("verdict"), F.col("blocking_reasons")).alias("needs_recheck"),
-        all_warnings().alias("warnings"),
-    )
+    unknowns = [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")]
+    unsure = (F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score)
+    verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when(unsure, "REVIEW").otherwise("MATCH")
+    return [
+        # a generator of one row, so that filters on a verdict don't copy all rules into themselves
+        [F.inline(F.array(F.struct(blocking.alias("blocking_reasons"), reasons.alias("reasons"))))],
+        [score().alias("score"), reduce(lambda a, b: a + b, unknowns).alias("unknown_count")],
+        [verdict.alias("verdict")],
+        [
+            F.coalesce(F.size(F.col("size")["unknown_fields"]) > rules.fill_above, F.lit(False)).alias("needs_llm_review"),
+            (F.col("verdict") == "REVIEW").alias("needs_human_review"),
+            F.col("score").alias("confidence"),
+            needs_recheck(F.col("verdict"), F.col("blocking_reasons")).alias("needs_recheck"),
+            all_warnings().alias("warnings"),
+        ],
+    ]
+
+
+def decide(attributes: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """attributes with blocking_reasons, reasons, score, verdict, the two review flags, confidence and warnings."""
+    for step in once(rules, lambda: _decision(rules)):
+        attributes = attributes.select("*", *step)
+    return attributes.drop("unknown_count")
