@@ -20,10 +20,10 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_rows, written
+from .shared import free_name, map_rows, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -46,14 +46,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; and th, a hash of the text, if `hashed`."""
 
     def run(columns):
-        ids, texts = columns
-        yield ids, [x - (1 << 64) if (x := fingerprint(t, shingle)) >> 63 else x for t in texts]
+        ids, texts, *rest = columns
+        yield ids, [x - (1 << 64) if (x := fingerprint(t, shingle)) >> 63 else x for t in texts], *rest
 
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", *([F.xxhash64("text").alias("th")] if hashed else []))
+    return map_rows(rows, run, "doc_id long, fp long" + ", th long" * hashed)
 
 
 def masks(radius: int) -> list[int]:
@@ -77,18 +78,34 @@ def links(classes: DataFrame, radius: int = 2, small_bucket: int = 64) -> DataFr
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
 
     def compared(buckets: DataFrame) -> DataFrame:
-        found = F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+        found = F.transform(
+            "fps",
+            lambda x: F.transform(F.filter("fps", lambda y: (y > x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))),
+        )
         return buckets.select(F.explode(F.flatten(found)).alias("p")).select("p.a", "p.b")
 
     small = compared(members.filter(F.col("n") <= small_bucket).groupBy("t", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps")))
     large = members.filter(F.col("n") > small_bucket)
     if radius != 2:  # every two blocks of a large bucket meet once, a block with itself in each of its meetings
         blocks = F.ceil(F.col("n") / small_bucket).cast("int")
-        own = large.select("fp", "t", "key", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-        met = own.groupBy("t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+        own = large.select(
+            "fp", "t", "key", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("i"),
+            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"),
+        )
+        met = own.groupBy(
+            "t", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"),
+        ).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
         return small.unionByName(compared(met)).distinct()
     large = large.select("fp").distinct()
-    hubs = large.select("fp", F.explode(F.concat(F.array("fp"), F.array(*[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(BITS)]))).alias("hub"))
+    hubs = large.select(
+        "fp",
+        F.explode(
+            F.concat(
+                F.array("fp"),
+                F.array(*[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(BITS)]),
+            )
+        ).alias("hub"),
+    )
     least = written(hubs.groupBy("hub").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z"), "simhash-hubs")
     starred = hubs.join(least.hint("merge"), "hub").filter("fp != a").select("a", F.col("fp").alias("b"))
     return small.unionByName(starred).distinct()
@@ -125,23 +142,38 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for every row."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
+def classes_of(prints: DataFrame, radius: int) -> DataFrame:
+    """prints (doc_id, fp and others) with `component`, one for each group of linked fingerprints, and component_id, its smallest doc_id."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
     named = classes.join(linked.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
-    classes = written(named.join(ids.hint("merge"), "component").select("fp", "component_id"), "classes")
-    return prints.join(classes.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = written(named.join(ids.hint("merge"), "component").select("fp", "component", "component_id"), "classes")
+    return prints.join(classes.hint("merge"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for every row."""
+    out = classes_of(written(fingerprints(docs, shingle), "fingerprints"), radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """One document of each component: that of its smallest doc_id.
 
-    Rows that repeat the kept doc_id count as that one document. Rows without a doc_id can't be named as
-    anyone's copy and all stay.
+    Of rows that repeat an id with one text one stays, chosen by a hash of the row; an id with two texts is two
+    documents, of which the one whose text has the smaller hash stands for a component of both. Rows without a doc_id
+    can't be named as anyone's copy and all stay.
     """
-    keep = near_duplicates(docs, radius, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    th, place = free_name(docs, "text_hash"), free_name(docs, "place")
+    prints = written(fingerprints(docs, shingle, hashed=True), "fingerprints")
+    own = classes_of(prints, radius).filter("doc_id = component_id")
+    keep = written(
+        own.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", F.col("k.th").alias(th)),
+        "kept",
+    )
+    named = docs.filter("doc_id is not null").withColumns({th: F.xxhash64("text"), place: F.xxhash64(*docs.columns)})
+    named = named.join(keep.hint("merge"), ["doc_id", th], "left_semi")
+    first = Window.partitionBy("doc_id", th).orderBy(place)
+    named = named.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
