@@ -79,9 +79,12 @@ def statistics(text: str | None) -> np.ndarray:
     pairs = len(set(zip(words, words[1:])))
     ends = text.count(".") + text.count("!") + text.count("?")
     out[:] = [
-        np.log1p(chars), counts[8] / chars, np.log1p(n), counts[0] / letters, counts[2] / letters, counts[3] / chars, counts[4] / chars, counts[5] / n,
-        counts[6] / n, counts[7] / n, letters / chars, lengths.mean(), lengths.std(), np.log(max(2, lengths.max())), kinds / n, np.log1p(kinds) / np.log1p(n),
-        same / n, pairs / max(1, n - 1), (lengths <= 3).mean(), (lengths >= 12).mean(), len(set(lines)) / len(lines), np.log1p(n / len(lines)), np.log1p(n / (1 + ends)), np.log1p(len(lines)),
+        np.log1p(chars), counts[8] / chars, np.log1p(n), counts[0] / letters, counts[2] / letters, counts[3] / chars,
+        counts[4] / chars, counts[5] / n,
+        counts[6] / n, counts[7] / n, letters / chars, lengths.mean(), lengths.std(), np.log(max(2, lengths.max())), kinds / n,
+        np.log1p(kinds) / np.log1p(n),
+        same / n, pairs / max(1, n - 1), (lengths <= 3).mean(), (lengths >= 12).mean(), len(set(lines)) / len(lines),
+        np.log1p(n / len(lines)), np.log1p(n / (1 + ends)), np.log1p(len(lines)),
     ]
     return out
 
@@ -129,20 +132,30 @@ def isotonic(at: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.
     return found[:, 0] / found[:, 2], found[:, 1] / found[:, 2]
 
 
-def learn(stats: DataFrame, labels: DataFrame, fit_rows: int = 40_000, dimensions: int = 256, width: float = 4.0, ridge: float = 1e-3, bins: int = 400) -> QualityModel:
+def learn(
+    stats: DataFrame, labels: DataFrame, fit_rows: int = 40_000, dimensions: int = 256, width: float = 4.0,
+    ridge: float = 1e-3, bins: int = 400,
+) -> QualityModel:
     """A model from a table of statistics and labels (doc_id, quality). `fit_rows` bounds the labelled rows."""
     rng = np.random.default_rng(11)
     mean, scale = np.zeros(STATISTICS), np.ones(STATISTICS)
     frequencies, phases = rng.normal(0, 1 / width, (STATISTICS, dimensions)), rng.uniform(0, 2 * np.pi, dimensions)
     empty = QualityModel(mean, scale, frequencies, phases, np.zeros(dimensions + 1), (np.array([0.0]), np.array([0.5])))
-    taught = labels.filter((F.col("quality").isNotNull()) & (crc_mod4(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    taught = labels.filter(
+        (F.col("quality").isNotNull()) & (crc_mod4(F.col("doc_id")) != 2)
+    ).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     known = taught.count()
     if not known:
         return empty
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20))
     picked = taught.filter(hashed < min(1.0, fit_rows / known) * (1 << 20))
-    one_each = stats.groupBy("doc_id").agg(F.first("x").alias("x"))
-    rows = written(one_each.join(picked.hint("merge"), "doc_id").withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) != 0).repartition(SUM_TASKS), "quality-rows")
+    one_each = stats.groupBy("doc_id").agg(F.min("x").alias("x"))  # the same one of a repeated id, however rows are dealt out
+    rows = written(
+        one_each.join(picked.hint("merge"), "doc_id").withColumn(
+            "fit", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) != 0,
+        ).repartition(SUM_TASKS),
+        "quality-rows",
+    )
     moments = rows.filter("fit").select([F.col("x")[i].alias(f"x{i}") for i in range(STATISTICS)])
     got = moments.agg(*[F.avg(c) for c in moments.columns], *[F.stddev_pop(c) for c in moments.columns]).first()
     if got[0] is None:
@@ -162,16 +175,24 @@ def learn(stats: DataFrame, labels: DataFrame, fit_rows: int = 40_000, dimension
     b = sum(np.frombuffer(p["b"]) for p in parts)
     penalty = ridge * a[-1, -1] * np.eye(dimensions + 1)
     penalty[-1, -1] = 0
-    fitted = QualityModel(mean, shape.scale, frequencies, phases, np.linalg.solve(a + penalty / dimensions + 1e-9 * np.eye(dimensions + 1), b), empty.steps)
+    fitted = QualityModel(
+        mean, shape.scale, frequencies, phases, np.linalg.solve(a + penalty / dimensions + 1e-9 * np.eye(dimensions + 1), b),
+        empty.steps,
+    )
 
     def scored(columns):
         xs, ys = columns
         yield np.floor(np.clip(fitted.raw(np.array(xs, float).reshape(-1, STATISTICS)), -0.5, 1.5) * bins).astype(int), ys
 
-    held = map_rows(rows.filter("not fit").select("x", "y"), scored, "bin long, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
+    held = map_rows(
+        rows.filter("not fit").select("x", "y"), scored, "bin long, y double",
+    ).groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     if not held:
         return fitted
-    steps = isotonic(np.array([(h["bin"] + 0.5) / bins for h in held]), np.array([h["y"] for h in held]), np.array([float(h["n"]) for h in held]))
+    steps = isotonic(
+        np.array([(h["bin"] + 0.5) / bins for h in held]), np.array([h["y"] for h in held]),
+        np.array([float(h["n"]) for h in held]),
+    )
     return QualityModel(mean, shape.scale, frequencies, phases, fitted.weights, steps)
 
 
@@ -190,4 +211,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **setting
     """doc_id, held_out, score and predicted of every row of docs."""
     stats = written(statistics_table(docs), "statistics")
     out = score(stats, learn(stats, labels, **settings))
-    return out.select("doc_id", F.coalesce(crc_mod4(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(
+        "doc_id", F.coalesce(crc_mod4(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
