@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, map_rows
+from .shared import cut, free_name, map_rows
 
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -72,7 +72,8 @@ def site_rule(verdict: str, host: str, path: str = "/") -> Rule:
 PATTERNS = tuple(
     Rule(text, "block", 1)
     for text in (
-        "/login^", "/signup^", "/cart^", "/checkout^", "/wp-login.php^", "/xmlrpc.php^", "^casino^", "^porn^", ".zip|", ".exe|", ".iso|", "||ads.*.", "||tracker.*.",
+        "/login^", "/signup^", "/cart^", "/checkout^", "/wp-login.php^", "/xmlrpc.php^", "^casino^", "^porn^", ".zip|", ".exe|",
+        ".iso|", "||ads.*.", "||tracker.*.",
     )
 )
 
@@ -111,7 +112,10 @@ def token_counts(urls: DataFrame, tokens: set[str]) -> dict[str, int]:
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", rules_per_pass: int = 50_000) -> DataFrame:
     """pages with host, path, rule (a site rule's text, else null) and verdict added."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = pages.select(*names).withColumns({"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit(default), "_best": F.lit(None).cast("int")})
+    best = free_name(pages, "best")
+    out = pages.select(*names).withColumns(
+        {"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit(default), best: F.lit(None).cast("int")}
+    )
     rules = sorted(rules, key=lambda r: r.rank)
     for first in range(0, max(1, len(rules)), rules_per_pass):
         part = rules[first : first + rules_per_pass]
@@ -123,13 +127,16 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", rules_per
                 for some in cut(batch):
                     columns = dict(zip(some.schema.names, some.columns))
                     split = [parts_of(u) for u in columns["url"].to_pylist()]
-                    rule, verdict, done = (columns[c].to_pylist() for c in ("rule", "verdict", "_best"))
+                    rule, verdict, done = (columns[c].to_pylist() for c in ("rule", "verdict", best))
                     for i, (host, path) in enumerate(split):
-                        if done[i] is None and (best := shared.value.best(host + path)):  # later parts rank lower
-                            rule[i], verdict[i], done[i] = best.label, best.verdict, 1
+                        if done[i] is None and (first := shared.value.best(host + path)):  # later parts rank lower
+                            rule[i], verdict[i], done[i] = first.label, first.verdict, 1
                     columns |= {"host": pa.array([h for h, _ in split], pa.string()), "path": pa.array([p for _, p in split], pa.string())}
-                    columns |= {"rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string()), "_best": pa.array(done, pa.int32())}
+                    columns |= {
+                        "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string()),
+                        best: pa.array(done, pa.int32()),
+                    }
                     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         out = out.mapInArrow(run, out.schema)
-    return out.drop("_best")
+    return out.drop(best)
