@@ -104,6 +104,7 @@ class _Inflated(_Plain):
     def __init__(self, raw: io.BufferedReader):
         super().__init__(raw)
         self._in, self._zip, self._end = b"", None, None
+        self._whole = self._got = 0  # inflated bytes of the member, by its `sl` field and so far
 
     def _open(self) -> bool:
         """Begin the next member; notes where it ends if its `sl` field says so."""
@@ -111,9 +112,10 @@ class _Inflated(_Plain):
             self._in += more
         if not self._in.rstrip(b"\0"):
             return False
-        self._end, at = None, self._raw.tell() - len(self._in)
+        self._end, at, self._got = None, self._raw.tell() - len(self._in), 0
         if self._in[3] & 4 and self._in[12:16] == b"sl\x08\x00":
-            self._end = at + struct.unpack("<I", self._in[16:20])[0]
+            total, self._whole = struct.unpack("<II", self._in[16:24])
+            self._end = at + total
         self._zip = zlib.decompressobj(31)
         return True
 
@@ -124,6 +126,7 @@ class _Inflated(_Plain):
                     return b""
             self._in = self._in or self._raw.read(_PIECE)
             out = self._zip.decompress(self._in, _PIECE)
+            self._got += len(out)
             if not (self._in or out or self._zip.eof):
                 raise ValueError("a compressed record is cut off")
             self._in = self._zip.unused_data if self._zip.eof else self._zip.unconsumed_tail
@@ -159,7 +162,8 @@ class _Inflated(_Plain):
         return whole[:n]
 
     def skip(self, n: int) -> None:
-        if self._end is not None:  # the member holds this record alone
+        at = self._got - len(self._left)
+        if self._end is not None and 0 <= at and self._whole <= at + n + 4:  # nothing else follows in the member
             self._raw.seek(self._end)
             self._in, self._zip, self._left = b"", None, b""
             return
@@ -208,7 +212,8 @@ def read_records(raw, wanted=lambda fields: True, payload: str = "bytes") -> Ite
                 body = None
         yield {
             **{column: fields.get(name) for column, name in HEADERS.items()},
-            "content_type": http.get("content-type") or fields.get("content-type"), "http_status": status, "payload_length": size, "digest_ok": ok, "payload": body,
+            "content_type": http.get("content-type") or fields.get("content-type"), "http_status": status, "payload_length": size,
+            "digest_ok": ok, "payload": body,
         }
 
 
@@ -217,12 +222,16 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def format_record(record_type: str, record_id: str, target_uri: str | None, warc_date: str, refers_to: str | None, payload_hash: str, payload_length: int, payload: bytes | None) -> bytes:
+def format_record(
+    record_type: str, record_id: str, target_uri: str | None, warc_date: str, refers_to: str | None, payload_hash: str,
+    payload_length: int, payload: bytes | None,
+) -> bytes:
     """One response or revisit record; a revisit has the headers of its response but no payload."""
     body = payload if record_type != "revisit" else b""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_length}\r\n\r\n".encode()
     lines = [
-        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {warc_date}", f"WARC-Target-URI: {_clean(target_uri or 'urn:unknown')}",
+        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {warc_date}",
+        f"WARC-Target-URI: {_clean(target_uri or 'urn:unknown')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(payload_hash)).decode()}",
     ]
     if record_type == "revisit":
@@ -285,7 +294,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, top = file_system(self.path)
-        found = [f for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file] if store.get_file_info(top).type == fs.FileType.Directory else [store.get_file_info(top)]
+        found = [
+            f for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file
+        ] if store.get_file_info(top).type == fs.FileType.Directory else [store.get_file_info(top)]
         commits = [f for f in found if f.base_name.startswith("_commit-")]
         files = [f for f in found if re.search(r"\.warc(\.gz)?$", f.base_name)]
         if commits:
@@ -389,9 +400,15 @@ def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_bytes: int = 0, **options) -> None:
     """Write a record for each row of pages (page_id, url, html); payloads under min_bytes are never revisits."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_hash": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
-    keys = pages.select("page_id", payload.alias("payload")).select("page_id", F.sha1("payload").alias("payload_hash"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
-    repeated = keys.groupBy("payload_hash").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("payload_hash", "keeper")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(
+        {"payload_hash": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")}
+    )
+    keys = pages.select("page_id", payload.alias("payload")).select(
+        "page_id", F.sha1("payload").alias("payload_hash"), F.octet_length("payload").alias("n"),
+    ).filter(F.col("n") >= min_bytes)
+    repeated = keys.groupBy("payload_hash").agg(
+        F.max("page_id").alias("keeper"), F.count("*").alias("n"),
+    ).filter("n > 1").select("payload_hash", "keeper")
     hashes = scratch_path(pages.sparkSession, "repeated-payloads")
     repeated.write.parquet(hashes)  # so that the join deals out both sides and Spark can split a frequent payload
     repeated = pages.sparkSession.read.schema(repeated.schema).parquet(hashes)
@@ -400,8 +417,10 @@ def archive_pages(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     write_archives(
         joined.select(
-            F.when(revisit, "revisit").otherwise("response").alias("record_type"), urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"),
-            F.when(revisit, urn(F.col("keeper"))).alias("refers_to"), "payload_hash", "payload_length", F.when(~revisit, F.col("payload")).alias("payload"),
+            F.when(revisit, "revisit").otherwise("response").alias("record_type"), urn(F.col("page_id")).alias("record_id"),
+            F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"),
+            F.when(revisit, urn(F.col("keeper"))).alias("refers_to"), "payload_hash", "payload_length",
+            F.when(~revisit, F.col("payload")).alias("payload"),
         ),
         path, **options,
     )
@@ -412,6 +431,7 @@ def page_records(archives: DataFrame) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
     return archives.filter(F.col("record_type").isin("response", "revisit")).select(
-        number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.replace("payload_digest", F.lit("sha1:"), F.lit("")).alias("payload_digest"),
+        number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.replace("payload_digest", F.lit("sha1:"), F.lit("")).alias("payload_digest"),
         "record_type", number(F.col("refers_to")).alias("refers_to"), F.col("digest_ok"),
     )
