@@ -31,10 +31,10 @@ _FILTER_BITS = 20
 
 
 class _WordHashes(dict):
-    """Word to 64-bit hash; starts anew at 200,000 words, about 40 MB in each Python worker."""
+    """Word to 64-bit hash; starts anew at 100,000 words, about 20 MB in each Python worker."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return h
@@ -167,7 +167,10 @@ class Index:
         owner, place, group = self.owners[entry][order], self.places[entry][order], group[order]
         firsts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         # no tiling covers more of an item than its seeds do
-        most = np.add.reduceat(np.where(np.append(owner[1:] == owner[:-1], False), np.minimum(np.diff(place, append=0), self.least), self.least), firsts)
+        most = np.add.reduceat(
+            np.where(np.append(owner[1:] == owner[:-1], False), np.minimum(np.diff(place, append=0), self.least), self.least),
+            firsts,
+        )
         out = []
         for a, b, reach in zip(firsts, np.append(firsts[1:], len(owner)), most):
             item = self.items[owner[a]]

@@ -160,7 +160,10 @@ def sample(docs: DataFrame, per_language: int) -> tuple[dict[str, int], DataFram
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod4(F.col("doc_id")), F.lit(0)) != 2))
     # a row for each language: its different texts, as copies are picked together
     sizes = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
-    most = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * _HASHES))) for lang, n in sorted(sizes.items())], F.lit(0))
+    most = F.coalesce(
+        *[F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * _HASHES))) for lang, n in sorted(sizes.items())],
+        F.lit(0),
+    )
     # by the text, so that copies count once or not at all, whichever their ids
     picked = known.select("lang", "text", F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(_HASHES)).alias("hash"))
     return sizes, picked.filter(F.col("hash") < most).dropDuplicates()
@@ -183,16 +186,25 @@ def learn(docs: DataFrame, per_language: int = 1200) -> LanguageModel:
                         x = f.astype("<f2").tobytes()
                         rows += [(k, y, x) for k, y, most in of_lang[lang] if h < most]
                 machine, y, x = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(machine, pa.int32()), pa.array(y, pa.float64()), pa.array(x, pa.binary())], names=["machine", "y", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(machine, pa.int32()), pa.array(y, pa.float64()), pa.array(x, pa.binary())],
+                    names=["machine", "y", "x"],
+                )
 
     def fitted(rows: pa.Table) -> pa.Table:
         both = sorted(zip(rows.column("y").to_pylist(), rows.column("x").to_pylist()))  # the order that the seed shuffles
         weights, bias = _svm(np.stack([np.frombuffer(x, "<f2") for _, x in both]).astype(float), np.array([y for y, _ in both]))
-        return pa.table({"machine": rows.column("machine")[:1], "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": [bias]})
+        return pa.table(
+            {"machine": rows.column("machine")[:1], "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": [bias]}
+        )
 
     rows = picked.mapInArrow(described, "machine int, y double, x binary")
     done = rows.groupBy("machine").applyInArrow(fitted, "machine int, weights binary, bias double").collect()  # a row for each machine
-    machines = {r["machine"]: Machine(wanted[r["machine"]].yes, wanted[r["machine"]].no, np.frombuffer(r["weights"], "<f4").astype(float), r["bias"]) for r in done}
+    machines = {
+        r["machine"]: Machine(
+            wanted[r["machine"]].yes, wanted[r["machine"]].no, np.frombuffer(r["weights"], "<f4").astype(float), r["bias"],
+        ) for r in done
+    }
     of = lambda family: tuple(machines[k] for k, t in enumerate(wanted) if t.family == family and k in machines)
     return LanguageModel(families, of(None), {f: of(f) for f in families})
 
@@ -213,7 +225,10 @@ def identify(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred"
                 if rows:
                     for i, name, s in zip(rows, *known.predict(np.stack([found[i] for i in rows]))):
                         lang[i], score[i] = name, float(s)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, lang_name, score_name])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=[*part.schema.names, lang_name, score_name],
+                )
 
     return docs.mapInArrow(run, schema)
 

@@ -52,9 +52,17 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2,
                 rank += seen[length]
                 seen += by_length
                 own = [ids[a:b] for a, b in zip((at[doc] + start).tolist(), (at[doc] + end).tolist())]
-                columns = [rows.column(0).cast(pa.int64()).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(list(map(crc32, own)), pa.int64())]
-                columns += [pa.array(np.full(len(doc), part, np.int32)), pa.array(rank), *([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(columns)])
+                columns = [
+                    rows.column(0).cast(pa.int64()).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start),
+                    pa.array(length), pa.array(list(map(crc32, own)), pa.int64()),
+                ]
+                columns += [
+                    pa.array(np.full(len(doc), part, np.int32)), pa.array(rank),
+                    *([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else [])
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(columns)],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -135,7 +143,10 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, wi
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id and offset of every piece."""
     placed = written(pieces(docs, vocabulary, size, end_id, with_ids), "pieces")
     by_task = placed.groupBy("part", "length").agg(F.count("*").alias("n"))
-    by_task = written(by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")), "piece-counts")
+    by_task = written(
+        by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")),
+        "piece-counts",
+    )
     counts = np.zeros(size + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
         counts[r["length"]] = r["n"]
@@ -155,4 +166,6 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, wi
 def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id and ids (little-endian unsigned 32-bit) of each sequence of a result that has ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(parts.alias("p")).select(
+        "sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+    )

@@ -6,8 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import decontaminate, langid, packing, quality, simhash, spans, tokenfile, topk, urlfilter, warc
 from .shared import documents, scratch_path
 
@@ -68,15 +66,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc, op2_token_ids, op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter, op7_exact_top_k, op8_benchmark_decontamination, op9_language_id,
-        op10_quality_classifier, pipeline,
+        op1_warc, op2_token_ids, op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter,
+        op7_exact_top_k, op8_benchmark_decontamination, op9_language_id,
+        op10_quality_classifier,
     )
 }
 

@@ -15,10 +15,12 @@ _scratch: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, one of our own, on local masters only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -40,10 +42,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove the scratch tables of this process; call it once no result is read from them any more."""
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """The same; then the scratch tables from number `since` on go. For a result that is all that is still needed of them."""
+    out = written(df, name)
+    last = _scratch.pop()
+    clear_scratch(df.sparkSession, since)
+    _scratch.append(last)
+    return out
+
+
+def scratch_tables() -> int:
+    """How many scratch tables of this process there are."""
+    return len(_scratch)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch tables of this process from number `since` on; call it once no result is read from them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
+    while len(_scratch) > since:
         path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(conf).delete(path, True)
 
@@ -72,6 +88,7 @@ def map_rows(df: DataFrame, f: Callable[[list[list]], Iterator[list]], schema: s
             for part in cut(batch):
                 for columns in f([c.to_pylist() for c in part.columns]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers live on, and stages after this one want the room
 
     return df.mapInArrow(run, target)
 

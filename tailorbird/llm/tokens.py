@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words that one Python worker remembers before it starts anew (about 200 bytes each).
-CACHE_SIZE = 400_000
+#: Distinct words that one Python worker remembers from batch to batch (about 200 bytes each).
+CACHE_SIZE = 100_000
 
 #: Bytes of text that go through at a time; a single larger text stays whole.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _loaded: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -138,8 +138,6 @@ class Encoder:
         marks[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         edges = np.append(np.flatnonzero(marks), len(data))
         first = np.searchsorted(edges[:-1], offsets)  # the first piece of each text
-        if len(self._words) > self._capacity:
-            self._forget()
         pieces = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         split = list(map(self._split, coded.dictionary.to_pylist()))
@@ -153,6 +151,8 @@ class Encoder:
         sizes = np.append(np.diff(piece_ends), len(end)).astype(np.int32)
         which = np.insert(coded.indices.to_numpy(), first[1:], len(sizes) - 1)
         ids, ends = _runs(table, sizes, which)
+        if len(self._words) > self._capacity:
+            self._forget()
         return ids, np.append(0, ends[first[1:] + np.arange(n)])
 
     def _each(self, texts: list[str], odd: np.ndarray, end: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tailorbird.llm import decontaminate, langid, packing, quality, rangecoder, simhash, spans, tokenfile, tokens, topk, urlfilter, warc
+from tailorbird.llm import decontaminate, langid, packing, quality, queries, rangecoder, simhash, spans, tokenfile, tokens, topk, urlfilter, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,7 +39,10 @@ def docs(spark):
     """Prose with copies, near copies, shared passages, nulls, empty and very long texts, repeated rows; an extra column called fp."""
     texts = [prose(120 if i == 0 else rng.randint(5, 300), i) for i in range(60)]
     passage = prose(70, "passage")
-    texts += [texts[0], texts[0], texts[1] + " end", None, "", " \n\t ", "a", "<|endoftext|> x  y\n\n z ", prose(9000, "long"), "日本語 テスト。", "😀 \x1c é"]
+    texts += [
+        texts[0], texts[0], texts[1] + " end", None, "", " \n\t ", "a", "<|endoftext|> x  y\n\n z ", prose(9000, "long"),
+        "日本語 テスト。", "😀 \x1c é",
+    ]
     for i in (3, 7, 9):
         w = texts[i].split(" ")
         texts[i] = " ".join([*w[: len(w) // 2], passage, *w[len(w) // 2 :]])
@@ -62,7 +65,10 @@ def whole(texts):
 
 
 def test_tokens_equal_whole_texts():
-    parts = [" ", "  ", "\n", " \n", "a", "Ab", "'s", "n't", "é", "12", ". ", "!?", "\t", "日本", "😀", "\r\n", "\x85", "<|endoftext|>", "\x1c", "́"]
+    parts = [
+        " ", "  ", "\n", " \n", "a", "Ab", "'s", "n't", "é", "12", ". ", "!?", "\t", "日本", "😀", "\r\n", "\x85",
+        "<|endoftext|>", "\x1c", "́",
+    ]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [None, prose(500, 1)]
     for capacity in (10, 100_000):
         encoder, want = tokens.Encoder(VOCABULARY, capacity=capacity), whole(texts)
@@ -94,7 +100,10 @@ def test_another_kind_of_vocabulary_goes_through_the_library():
 def test_range_coder_round_trip(n, block, kind):
     r = np.random.default_rng(n)
     text = np.array((whole([prose(1500, 3)])[0] * 2)[:n] or [0] * n)
-    ids = {"same": np.zeros(n, int), "small": r.integers(0, 3, n), "large": r.integers(0, (1 << 28) - 2, n), "text": np.resize(text, n) if n else text}[kind]
+    ids = {
+        "same": np.zeros(n, int), "small": r.integers(0, 3, n), "large": r.integers(0, (1 << 28) - 2, n),
+        "text": np.resize(text, n) if n else text,
+    }[kind]
     blocks = rangecoder.encode(ids, block)
     assert rangecoder.decode(blocks).tolist() == ids.tolist() and len(blocks) == -(-n // block)
     if n > 1000 and kind in ("same", "text"):
@@ -136,7 +145,9 @@ def test_packing(docs, nothing):
         cuts = [0, *range(first, len(ids) + 1, 64)]
         want.update((r["doc_id"], k, a, b - a, tuple(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
     pieces = got.collect()
-    assert Counter((p["doc_id"], p["piece"], p["start"], p["length"], tuple(np.frombuffer(p["ids"], "<u4").tolist())) for p in pieces) == want
+    assert Counter(
+        (p["doc_id"], p["piece"], p["start"], p["length"], tuple(np.frombuffer(p["ids"], "<u4").tolist())) for p in pieces
+    ) == want
     assert all(p["ids_crc32"] == zlib.crc32(p["ids"]) for p in pieces)
     bins = {}
     for p in pieces:
@@ -190,7 +201,9 @@ def test_simhash(docs, nothing):
     rows = docs.select("doc_id", "text").collect()
     prints = [plain_fingerprint(r["text"]) for r in rows]
     component = groups(prints, lambda a, b: (a ^ b).bit_count() <= 2)
-    least = {c: min((r["doc_id"] for r, d in zip(rows, component) if d == c and r["doc_id"] is not None), default=None) for c in set(component)}
+    least = {
+        c: min((r["doc_id"] for r, d in zip(rows, component) if d == c and r["doc_id"] is not None), default=None) for c in set(component)
+    }
     want = Counter((r["doc_id"], f"{p:016x}", least[c]) for r, p, c in zip(rows, prints, component))
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert simhash.near_duplicates(nothing).count() == 0
@@ -242,34 +255,123 @@ def test_links_at_other_radii_in_large_buckets(spark, radius, small_bucket):
     assert len(found) == len(want) and {tuple(x) for x in found} == want
 
 
+def test_dropping_keeps_a_row_of_every_text(spark):
+    rows = [
+        (1, "red one two three four", "en", "s", 0), (1, prose(40, 3), "en", "s", 0), (2, prose(40, 3), "en", "t", 0),
+        (1, prose(40, 3), "en", "s", 0), (None, prose(40, 3), None, None, None), (3, prose(50, 5), "en", "u", 0),
+    ]
+    for n in (1, 5):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(n))
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted(
+            [("1", rows[0][1]), ("1", rows[1][1]), ("None", rows[4][1]), ("3", rows[5][1])]
+        )
+    assert simhash.drop_near_duplicates(kept.limit(0)).count() == 0
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {99: 99, 100: 99, 101: 99}
 
 
+def plain_words(text):
+    """(begin, end, half words) of each word, character by character."""
+    found, at = [], None
+    lone = lambda c: ord(c) >= 0x2E80 and c not in "。！？｡「」、\u3000"
+    for i, c in enumerate(text + " "):
+        before = text[i - 1] if i else " "
+        breaks = c.isspace() or i == len(text) or lone(c) or before.isspace() or (c not in ".!?。！？｡" and (lone(before) or before in "。！？｡"))
+        if breaks and at is not None:
+            found.append((at, i, 1 if lone(text[at]) else 2))
+            at = None
+        if at is None and not c.isspace():
+            at = i
+    return found
+
+
+def plain_sentences(text):
+    """The cuts of a text and the half words before each."""
+    words = plain_words(text)
+    if not words:
+        return [0, len(text)][: 1 + bool(text)], [0, 0][: 1 + bool(text)]
+    last = [i + 1 == len(words) or text[e - 1] in ".!?。！？｡" or "\n" in text[e : words[i + 1][0]] for i, (_, e, _) in enumerate(words)]
+    rank = []
+    for i, (b, e, _) in enumerate(words):
+        x = ((ord(text[b]) * 31 + ord(text[e - 1])) * 31 + ord(text[(b + e) // 2])) * 31 + e - b
+        rank.append(1 << 40 if last[i] else (x * 0x9E3779B97F4A7C15 % (1 << 64)) >> 34)
+    padded = [1 << 40] * 4 + rank + [1 << 40] * 4
+    ends, n = [], 0
+    for i in range(len(words)):
+        n += 1
+        peak = not last[i] and all(rank[i] > padded[i + 4 - k] and rank[i] >= padded[i + 4 + k] for k in range(1, 5))
+        if last[i] or peak:
+            ends += [i + 1 - n + k for k in range(20, n, 20)] + [i + 1]
+            n = 0
+    halves = [0]
+    for _, _, w in words:
+        halves.append(halves[-1] + w)
+    return [0, *(words[e][0] for e in ends[:-1]), len(text)], [0, *(halves[e] for e in ends)]
+
+
 def test_sentences_are_the_whole_text():
-    texts = ["", " ", "\n\n", " a", "a ", "x\n", "\n\nhello world. This is\n\n\n", "no end " * 100, *[prose(rng.randint(1, 200), i) for i in range(50)]]
+    texts = [
+        "", " ", "\n\n", " a", "a ", "x\n", "\n\nhello world. This is\n\n\n", "no end " * 100, "今日は。いい天気!です「ね。」 そう？ABC。d e",
+        "一" * 70, *[prose(rng.randint(1, 200), i) for i in range(50)]
+    ]
     whole_text, cut_up = spans.sentences_of(texts)
     for text, (places, counts) in zip(texts, cut_up):
-        assert whole_text[places[0] : places[-1]] == text and counts[-1] == len(text.split()) and places == sorted(set(places))
-        alone = spans.sentences_of([text])[1][0]
-        assert [p - places[0] for p in places] == alone[0] and counts == alone[1]
+        assert whole_text[places[0] : places[-1]] == text and places == sorted(set(places))
+        assert ([p - places[0] for p in places], counts) == plain_sentences(text)
+
+
+def plain_dedup(rows):
+    """(doc_id, text) of every row without the repeated spans, by the rule and nothing else."""
+    first, spans_of = {}, []
+    for n, (_, text) in enumerate(rows):
+        places, halves = plain_sentences(text or "")
+        bare = [(text or "")[a:b].strip() for a, b in zip(places, places[1:])]
+        found, k = [], len(bare)
+        for i in range(k):
+            end = next((e for e in range(i + 2, k + 1) if halves[e] - halves[i] >= 28), None)
+            if end:
+                found.append((tuple(bare[i:end]), i, end))
+        if found and max(f[2] for f in found) < k:
+            i = max(i for i in range(k - 1) if halves[k] - halves[i] >= 28)
+            found.append((tuple(bare[i:]), i, k))
+        spans_of.append(found)
+        for h, i, _ in found:
+            first.setdefault(h, (n, i))
+    out = []
+    for n, ((doc_id, text), found) in enumerate(zip(rows, spans_of)):
+        gone = {j for h, i, end in found if first[h] != (n, i) for j in range(i, end)}
+        places = plain_sentences(text or "")[0]
+        out.append((doc_id, "".join(text[a:b] for j, (a, b) in enumerate(zip(places, places[1:])) if j not in gone) if gone else text))
+    return out
 
 
-def test_substring_dedup(docs, nothing):
-    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
-    first, spans_by_row = {}, [spans.spans_of([r["text"]], 2, 14)[0] for r in rows]
-    for i, found in enumerate(spans_by_row):
-        for h, g, at, _ in found:
-            first.setdefault((h, g), (i, at))
-    want = Counter()
-    for i, (r, found) in enumerate(zip(rows, spans_by_row)):
-        later = [(at, end) for h, g, at, end in found if first[h, g] != (i, at)]
-        text, cut_up = spans.sentences_of([r["text"] or ""])
-        want[r["doc_id"], spans.without(text, cut_up[0][0], later)[0] if later else r["text"]] += 1
+def kana(n, seed):
+    r = random.Random(seed)
+    return "".join(r.choice("あいうえおかきくけこ日月火水木金土山川田人大小中上下左右") for _ in range(n)) + r.choice("。！？")
+
+
+def test_substring_dedup(spark, docs, nothing):
+    passage = "".join(kana(r, f"p{r}") for r in (31, 44, 27, 38))
+    japanese = [
+        (
+            200 + i,
+            "".join(kana(20 + (7 * i + k) % 40, 100 * i + k) for k in range(6)) + (passage if i % 2 else "") + kana(50, i),
+        ) for i in range(8)
+    ] + [(300, passage), (301, passage)]
+    mixed = docs.select("doc_id", "text").unionByName(spark.createDataFrame(japanese, "doc_id long, text string"))
+    rows = sorted(map(tuple, mixed.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    out = {r["doc_id"]: r for r in spans.dedup_substrings(mixed).collect()}
+    assert passage[40:100] in out[201]["text"] and all(
+        passage[40:100] not in out[i]["text"] for i in (203, 205, 207, 300)
+    ) and out[301]["text"] == ""
+    assert all(out[i]["n_removed"] == 0 for i in (200, 202, 204, 206))
+    got = spans.dedup_substrings(mixed)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(plain_dedup(rows))
     got = spans.dedup_substrings(docs).cache()
-    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
     by = {r["doc_id"]: r for r in got.collect() if r["doc_id"] is not None}
     passage = prose(70, "passage").split(" ")
     assert " ".join(passage[25:45]) in by[3]["text"]
@@ -329,7 +431,10 @@ def test_repeated_words_dont_stall_tiling():
 def test_decontamination(spark, docs, nothing):
     words = prose(40, "item").split(" ")
     leak, turned, part = " ".join(words), " ".join(words[20:] + words[:20]), " ".join(words[:25])
-    rows = [(100, "x " + prose(30, 1) + " " + leak + " " + prose(9, 2)), (101, prose(50, 4) + " " + turned), (102, part), (103, None), (104, leak.upper()), (100, leak)]
+    rows = [
+        (100, "x " + prose(30, 1) + " " + leak + " " + prose(9, 2)), (101, prose(50, 4) + " " + turned), (102, part),
+        (103, None), (104, leak.upper()), (100, leak),
+    ]
     mixed = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     benchmark = spark.createDataFrame([(1, leak), (2, "too short"), (3, None), (4, prose(30, "other"))], "item_id long, text string")
     for chars in (8 << 20, 40):  # in one index, and in many
@@ -345,7 +450,10 @@ def test_decontamination(spark, docs, nothing):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/1", "x" * 5000), (2, None, None), (3, "http://a/3\r\nX: y", "x" * 5000), (9, "http://b", "x" * 5000), (9, "http://b", "x" * 5000), (4, "é", ""), (None, "n", "é\n" * 9), (5, "u", "é\n" * 9), (None, "m", "lone")]
+    rows = [
+        (1, "http://a/1", "x" * 5000), (2, None, None), (3, "http://a/3\r\nX: y", "x" * 5000), (9, "http://b", "x" * 5000),
+        (9, "http://b", "x" * 5000), (4, "é", ""), (None, "n", "é\n" * 9), (5, "u", "é\n" * 9), (None, "m", "lone"),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     path = str(tmp_path / "w")
     warc.archive_pages(pages.repartition(3), path, filebytes="3000")
@@ -358,11 +466,16 @@ def test_warc_round_trip(spark, tmp_path):
     for p, b in payloads:
         k = None if keeper[b] == -1 else keeper[b]
         response = p == k
-        want[p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if response else "revisit", None if response else k] += 1
+        want[
+            p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if response else "revisit",
+            None if response else k,
+        ] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     assert all(r["digest_ok"] is (True if r["record_type"] == "response" else None) for r in got)
     read = warc.read_archives(spark, path)
-    assert [bytes(r["payload"]) for r in read.filter("record_id = '<urn:page:9>' and record_type = 'response'").collect()] == [b"x" * 5000] * 2
+    assert [
+        bytes(r["payload"]) for r in read.filter("record_id = '<urn:page:9>' and record_type = 'response'").collect()
+    ] == [b"x" * 5000] * 2
     assert read.filter(F.col("target_uri").startswith("http://a")).count() == 2 and read.filter(F.col("refers_to").isNotNull()).count() == 4
     empty = str(tmp_path / "e")
     warc.archive_pages(pages.limit(0), empty)
@@ -376,8 +489,16 @@ def test_warc_reader_on_all_kinds_of_files(packed):
     records = []
     for i in range(40):
         p = (b"<p>%d</p>" % i) * (i * 300)
-        records.append(warc.format_record("response" if i % 3 else "revisit", f"<urn:page:{i}>", f"http://h/{i}", "d", "<urn:page:1>", hashlib.sha1(p).hexdigest(), len(p), p))
-    data = {"plain": b"".join(records), "members": b"".join(map(warc.gzip_member, records)), "one member": gzip.compress(b"".join(records)), "other members": b"".join(map(gzip.compress, records))}[packed]
+        records.append(
+            warc.format_record(
+                "response" if i % 3 else "revisit", f"<urn:page:{i}>", f"http://h/{i}", "d", "<urn:page:1>",
+                hashlib.sha1(p).hexdigest(), len(p), p,
+            )
+        )
+    data = {
+        "plain": b"".join(records), "members": b"".join(map(warc.gzip_member, records)),
+        "one member": gzip.compress(b"".join(records)), "other members": b"".join(map(gzip.compress, records)),
+    }[packed]
     for payload in ("bytes", "digest", "none"):
         got = list(warc.read_records(io.BytesIO(data), payload=payload))
         assert [r["record_id"] for r in got] == [f"<urn:page:{i}>" for i in range(40)]
@@ -390,11 +511,27 @@ def test_warc_reader_on_all_kinds_of_files(packed):
 # --- URLs ---------------------------------------------------------------------------------------------------
 
 
+def test_skipping_in_a_member_of_several_records():
+    record = lambda kind, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    both = warc.gzip_member(record("request", "a" * 5000) + record("response", "kept"))
+    found = [
+        r["record_type"] for r in warc.read_records(
+            io.BytesIO(both + warc.gzip_member(record("request", "b")) + both), wanted=lambda f: f["warc-type"] == "response",
+        )
+    ]
+    assert found == ["response", "response"]
+
+
 def test_url_rules(spark):
-    rules = [urlfilter.site_rule("allow", "org"), urlfilter.site_rule("block", "example.org", "/es/"), urlfilter.site_rule("block", "example.org", "/en/1"), *urlfilter.PATTERNS]
+    rules = [
+        urlfilter.site_rule("allow", "org"), urlfilter.site_rule("block", "example.org", "/es/"),
+        urlfilter.site_rule("block", "example.org", "/en/1"), *urlfilter.PATTERNS
+    ]
     cases = {
-        "https://EXAMPLE.org/es/1?x": ("example.org/es/", "block"), "http://a.example.org/en/12#f": ("example.org/en/1", "block"), "http://example.org/en/2": ("org/", "allow"), "http://notexample.org/es/": ("org/", "allow"),
-        "http://x.net/login?a": (None, "block"), "http://x.net/logins": (None, "allow"), "http://casino.net/": (None, "block"), "http://x.net/a.zip": (None, "block"), "http://ads.x.net/": (None, "block"), "org/es": (None, "allow"),
+        "https://EXAMPLE.org/es/1?x": ("example.org/es/", "block"), "http://a.example.org/en/12#f": ("example.org/en/1", "block"),
+        "http://example.org/en/2": ("org/", "allow"), "http://notexample.org/es/": ("org/", "allow"),
+        "http://x.net/login?a": (None, "block"), "http://x.net/logins": (None, "allow"), "http://casino.net/": (None, "block"),
+        "http://x.net/a.zip": (None, "block"), "http://ads.x.net/": (None, "block"), "org/es": (None, "allow"),
         None: (None, "allow"), "http://x.org": (None, "allow"), "": (None, "allow"),
     }
     pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(cases)], "page_id long, url string, verdict string")
@@ -406,10 +543,24 @@ def test_url_rules(spark):
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_urls_with_columns_of_any_name(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.example.org/en/1", "mine"), (2, None, "x"), (3, "http://b.com/" + "a/" * 50_000 + "x.zip", "y")],
+        "page_id long, url string, best string",
+    ).withColumn("_best", F.lit("own"))
+    got = {r["page_id"]: r for r in urlfilter.judge(pages, queries.SITE_RULES + list(urlfilter.PATTERNS)).collect()}
+    assert got[1]["best"] == "mine" and got[1]["_best"] == "own" and got[1]["verdict"] == "block" and got[3]["verdict"] == "block" and got[2]["verdict"] == "allow"
+
+
 def test_url_index_equals_trying_every_rule():
     r = random.Random(1)
     parts = ["a", "b1", "ads", "x-y", "com", "org", "Zip", "login"]
-    rules = [urlfilter.Rule("".join(r.choice([*parts, "/", ".", "^", "*", "||", "|"]) for _ in range(r.randint(1, 5))), r.choice(["allow", "block"]), r.randrange(2)) for _ in range(300)]
+    rules = [
+        urlfilter.Rule(
+            "".join(r.choice([*parts, "/", ".", "^", "*", "||", "|"]) for _ in range(r.randint(1, 5))),
+            r.choice(["allow", "block"]), r.randrange(2),
+        ) for _ in range(300)
+    ]
     index = urlfilter.Index(rules, {"a": 5})
     import re
 
@@ -423,35 +574,57 @@ def test_url_index_equals_trying_every_rule():
 # --- search -------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard_rows, scale", [(1000, 64.0), (37, 2.0)])
-def test_top_k(spark, shard_rows, scale):
+@pytest.mark.parametrize("shard_rows, scale, block_bytes", [(1000, 64.0, 1 << 20), (37, 2.0, 300)])
+def test_top_k(spark, shard_rows, scale, block_bytes):
     r = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in r.normal(0, 1, 5)]) for i in range(150)] + [(i, [0.5, -0.25, 1.0, 0.0, 2.0]) for i in range(150, 230)]
-    odd = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0]), (302, [float("nan")] * 5), (303, [float("inf")] + [0.0] * 4), (None, [1.0] * 5), vectors[3], (304, [1.0, 2.0])]
-    table = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>").withColumn("q", F.lit("clash")).repartition(4)
-    got = {}
-    for x in topk.top_k(table, F.col("vec_id") % 20 == 0, k=7, scale=scale, shard_rows=shard_rows, block_rows=5).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    whole_numbers = {i: np.floor(scale * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors}
-    for q in range(0, 230, 20):
-        scores = sorted((-int(v @ whole_numbers[q]), i) for i, v in whole_numbers.items() if i != q)[:7]
-        assert sorted(got.pop(q)) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert not got or set(got) <= {300}
+    vectors += [vectors[3], vectors[40], (60, [9.0, 0.0, 0.0, 0.0, 1.0])]  # repeated rows, and an id with another vector
+    odd = [
+        (300, None), (301, [1.0, None, 0.0, 0.0, 0.0]), (302, [float("nan")] * 5), (303, [float("inf")] + [0.0] * 4),
+        (None, [1.0] * 5), (304, [1.0, 2.0]), (320, [1.0, 2.0]), (305, []),
+    ]
+    table = spark.createDataFrame(
+        vectors + odd, "vec_id long, embedding array<float>",
+    ).withColumns({"q": F.lit("clash"), "uid": F.lit("clash")}).repartition(4)
+    got = Counter(
+        (x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(
+            table, F.col("vec_id") % 20 == 0, k=7, scale=scale, shard_rows=shard_rows, block_bytes=block_bytes,
+        ).collect()
+    )
+    whole_numbers = [(i, np.floor(scale * np.array(v, np.float32).astype(float)).astype(int)) for i, v in [*vectors, *odd[5:]]]
+    want = Counter()
+    for n, (q, v) in enumerate(whole_numbers):  # every row but the query's own is a candidate
+        if q % 20 == 0:
+            scores = sorted((-int(v @ w), i) for m, (i, w) in enumerate(whole_numbers) if m != n and len(w) == len(v))[:7]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(scores))
+    assert got == want
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    table = spark.createDataFrame([(i, [3e16, 3e16]) for i in (0, 1)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(table, F.col("vec_id") == 0).collect()
+
+
 # --- models -------------------------------------------------------------------------------------------------
 
 
 def tongue(lang, n, seed):
     r = random.Random(f"{lang}{seed}")
-    syllables = {"en": ["the", "ing", "ou", "sh", "er"], "de": ["sch", "ung", "ein", "ü", "keit"], "fr": ["eau", "é", "que", "tion", "oi"], "es": ["ción", "ñ", "los", "ado", "ez"]}[lang]
+    syllables = {
+        "en": ["the", "ing", "ou", "sh", "er"], "de": ["sch", "ung", "ein", "ü", "keit"],
+        "fr": ["eau", "é", "que", "tion", "oi"], "es": ["ción", "ñ", "los", "ado", "ez"],
+    }[lang]
     return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(n)) + "."
 
 
 def test_language_id(spark, nothing):
     rows = [(i, tongue(lang, 12 + i % 40, i), lang, "s", 0) for i, lang in enumerate(["en", "de", "fr", "es"] * 60)]
-    rows += [(1000, None, "en", "s", 0), (1001, "", "en", "s", 0), (1002, "123 !?", "en", "s", 0), (1003, tongue("fr", 60_000, 1), None, "s", 0), rows[0]]
+    rows += [
+        (1000, None, "en", "s", 0), (1001, "", "en", "s", 0), (1002, "123 !?", "en", "s", 0),
+        (1003, tongue("fr", 60_000, 1), None, "s", 0), rows[0],
+    ]
     table = spark.createDataFrame(rows, DOCS)
     got = [r.asDict() for r in langid.predicted(table).collect()]
     assert len(got) == len(rows)
@@ -463,7 +636,9 @@ def test_language_id(spark, nothing):
     held = [by[r[0]]["lang_pred"] == r[2] for r in rows[:240] if by[r[0]]["held_out"]]
     assert len(held) > 40 and np.mean(held) > 0.95
     hidden = table.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, "xx").otherwise(F.col("lang")))
-    assert {r["doc_id"]: r["lang_pred"] for r in langid.predicted(hidden).collect()} == {i: r["lang_pred"] for i, r in by.items()}  # held-out labels teach nothing
+    assert {
+        r["doc_id"]: r["lang_pred"] for r in langid.predicted(hidden).collect()
+    } == {i: r["lang_pred"] for i, r in by.items()}  # held-out labels teach nothing
     assert langid.predicted(nothing).count() == 0
     clashing = langid.keep_known_languages(table.withColumns({"score": F.lit("x"), "lang_pred": F.lit("und")}))
     assert clashing.count() == len(rows) - 3 and clashing.filter("score = 'x'").count() == len(rows) - 3
@@ -509,6 +684,26 @@ def test_quality(spark, nothing):
     assert quality.scored(nothing, labelled).count() == 0
 
 
+def test_quality_of_a_repeated_id_does_not_hang_on_the_order(spark):
+    docs, labels = [], []
+    for i in range(80):
+        docs += [(i, prose(20 + i, i), "en", "s", 0), (i, "SHOUT!! " * (5 + i), "en", "s", 0)]
+        labels.append((i, i % 2, 0))
+    frame, taught = spark.createDataFrame(docs, DOCS).withColumns({"x": F.lit("clash"), "score": F.lit(1)}), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [Counter((r["doc_id"], round(r["score"], 6)) for r in quality.scored(d, taught).collect()) for d in (frame.repartition(1), frame.orderBy(F.desc("text")).repartition(3))]
+    assert got[0] == got[1]
+
+
+def test_extra_columns_do_not_matter(spark, docs, tmp_path):
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("ids", "piece", "part", "rank", "length", "start", "item_id", "coverage", "tiles")})
+    benchmark = spark.createDataFrame([(1, prose(70, "passage"))], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    assert decontaminate.leaks(clashing, benchmark).count() == decontaminate.leaks(docs, benchmark).count() > 0
+    assert decontaminate.drop_leaked(clashing, benchmark).columns == clashing.columns
+    assert packing.pack(clashing, VOCABULARY).count() == packing.pack(docs, VOCABULARY).count()
+    tokenfile.write(clashing, str(tmp_path / "c"), VOCABULARY)
+    assert tokenfile.read(spark, str(tmp_path / "c")).count() == docs.count()
+
+
 def test_isotonic_is_the_best_non_decreasing_fit():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.1, 0.4, 0.2, 0.9, 0.8]), np.ones(5))
     assert y.tolist() == pytest.approx([0.1, 0.3, 0.85]) and x.tolist() == [0.0, 1.5, 3.5]

@@ -4,13 +4,17 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from tailorbird.llm import queries
 
 
 def test_stages():
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontamination", "best_fit_packing"]
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 11
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "language_id", "near_dedup", "substring_dedup", "decontamination", "best_fit_packing",
+    ]
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
 def test_run(spark, tmp_path):
@@ -21,7 +25,9 @@ def test_run(spark, tmp_path):
     texts[3], texts[4] = texts[3] + " " + passage, passage + " " + texts[4]
     texts += [texts[0], texts[1] + " " + secret, "1234 !!", None, passage]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, secret)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     kept = {x["doc_id"] for x in out.select("doc_id").distinct().collect()}
@@ -30,6 +36,8 @@ def test_run(spark, tmp_path):
 
 
 def test_empty(spark, tmp_path):
-    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(
+        [], "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
