@@ -33,7 +33,9 @@ _FAR = (1 << 63) - 1
 
 def quantized(table: DataFrame, scale: float = 64.0) -> DataFrame:
     """vec_id and q (whole numbers floor(scale * x)) of every row that takes part."""
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")),
+    )
     q = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     return table.filter(usable).select("vec_id", q.alias("q"))
 
@@ -164,12 +166,16 @@ def _pass(vectors: DataFrame, block: list[tuple[int, np.ndarray, np.ndarray, np.
         for ids, uids, _, best in asked.values():
             for a in range(0, len(ids), 4096):
                 x, y = np.nonzero(best.ids[a : a + 4096] != _FAR)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[a + x], uids[a + x], best.ids[a + x, y], best.scores[a + x, y])], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (ids[a + x], uids[a + x], best.ids[a + x, y], best.scores[a + x, y])], names=names,
+                )
 
     return vectors.mapInArrow(run, "query_id long, query_uid long, vec_id long, score long")
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, shard_rows: int = 8192, block_bytes: int = 16 << 20) -> DataFrame:
+def top_k(
+    table: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, shard_rows: int = 8192, block_bytes: int = 16 << 20,
+) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k highest inner products of each query, ties to smaller ids."""
     spark = table.sparkSession
     # written, so that the rows' numbers stay what they are
