@@ -116,14 +116,21 @@ def test_units_there_and_back(spark):
     assert tuple(spark.range(1).select(cm_to_mm(F.lit(4.5)), mm_to_cm(F.lit(45.0))).first()) == (45.0, 4.5)
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+@pytest.mark.parametrize("master, fits", [("local", True), ("local[8]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)])
+def test_a_cluster_needs_a_shared_folder(spark, master, fits):
+    class Context:
+        applicationId = "app"  # noqa: N815
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        sparkContext = Context()  # noqa: N815
+
+    Context.master = master
+    if fits:
+        assert shared_path(Session, "x") != shared_path(Session, "x")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_path(Session, "x")
     assert shared_path(spark, "x") != shared_path(spark, "x")
-
-    class Cluster:
-        conf = spark.conf
-
-        class sparkContext:  # noqa: N801
-            master = "spark://host:7077"
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_path(Cluster, "x")
