@@ -1,10 +1,11 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
-Each block starts from an empty model.  Three predictions are made for the next id: by the last two ids
-(order 2), by the last one (order 1), and the block's most frequent id so far (order 0).  Their confidences
-and whether they agree pick a row of adaptive counts, which mixes them into one distribution over "order 2 is
-right", "order 1 is", "order 0 is", "none is"; a range coder writes the outcome, and after "none" the id
-itself by its bit length, whose frequencies stand in the block's header, and its lower bits.
+Each block starts from an empty model of three orders.  Order 2 and order 1 know, for the last two ids and for
+the last one, which id came next and how surely; order 0 is an adaptive distribution over all ids, by the high
+part of an id and the low part within it.  The three are mixed: P(x) = w2 [x is order 2's] + w1 [x is order
+1's] + w0 P0(x).  The weights are chosen by how sure orders 2 and 1 are and whether they agree, and move
+towards each order's share in what came (an online step of expectation and maximisation).  A range coder writes
+whether the id is one of the two guesses, by their mixed probabilities, and any other id by P0.
 
 The steps of one block depend on each other, those of different blocks don't: NumPy takes one step of all
 blocks at once, so a few hundred blocks share the cost of each call.  All arithmetic is on integers, so what
@@ -19,69 +20,133 @@ import zlib
 import numpy as np
 
 BLOCK = 8192
-LANES = 1024
-#: Ids are below 2^LENGTHS - 1.
-LENGTHS = 28
-_SLOTS = 1 << 12
-_TOTAL_BITS = 12
+LANES = 768
+#: Ids are below 2^BITS.
+BITS = 28
+_SLOTS = 1 << 11
 _EMPTY = -1
 _HEAD = struct.Struct("<III")
-#: The counts' row for two confidences from 0 (no entry) to 7, each in four classes.
+#: The weights' row for two confidences from 0 (no entry) to 7, each in four classes.
 _CLASS = np.array([16 * a + 4 * b for a in (0, 1, 2, 2, 3, 3, 3, 3) for b in (0, 1, 2, 2, 3, 3, 3, 3)], np.int64)
-#: What a row moves towards after each outcome; every outcome keeps 32 of 2^12.
-_TARGET = np.array([[32 * k if k <= o else 4096 - 32 * (4 - k) for k in range(5)] for o in range(4)], np.int16)
-_LENGTH_BITS, _REST_BITS = 8, 15
+#: Probabilities are out of 2^16; what is left over for order 0 beside the guesses, and the least weight of an order.
+_ONE, _REST, _LEAST = 1 << 16, 64, 256
+#: Order 0's counts are sums over its 256 parts; no sum grows beyond this.
+_MOST = 60_000
+_PARTS = np.arange(256, dtype=np.int64)
+_GROUP_ENDS = _PARTS[15::16]
+_RAW = 12
 
 
 class BlockError(ValueError):
     """A block that doesn't hold the ids whose checksum it has."""
 
 
+class _Parts:
+    """Adaptive distributions over 256 parts, one a row, as running sums of counts."""
+
+    def __init__(self, rows: int, step: int):
+        self.sums = np.tile((_PARTS + 1).astype(np.uint16), (rows, 1))
+        self.flat, self.step = self.sums.reshape(-1), step
+        self.more = ((_PARTS >= _PARTS[:, None]) * step).astype(np.uint16)
+
+    def at(self, rows: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the parts begin, their sizes and the totals."""
+        base = rows << 8
+        place = base + part
+        end = self.flat.take(place).astype(np.int64)
+        begin = self.flat.take(np.maximum(place - 1, 0)) * (part > 0)
+        return begin, end - begin, self.total(rows)
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        return self.flat.take((rows << 8) + 255).astype(np.int64)
+
+    def find(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The part in which a place lies: first among sixteen groups of parts, then within one."""
+        base, place = (rows << 8)[:, None], place.astype(np.uint16)[:, None]
+        group = (self.flat.take(base + _GROUP_ENDS) <= place).sum(1) << 4
+        return group + (self.flat.take(base + group[:, None] + _PARTS[:16]) <= place).sum(1)
+
+    def add(self, rows: np.ndarray, part: np.ndarray) -> None:
+        got, more = self.sums.take(rows, 0), self.more.take(part, 0)
+        full = got[:, 255] > _MOST - self.step
+        if full.any():
+            more[full] = 0
+        got += more
+        self.sums[rows] = got
+
+
 class _Model:
     """Predictions and tables of the lanes' blocks. An entry is an id times 8 plus its confidence."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, low_bits: np.ndarray):
         self.base = np.arange(lanes) * _SLOTS
         self.entries2, self.entries1 = (np.full(lanes * _SLOTS, _EMPTY * 8, np.int32) for _ in range(2))
-        self.seen = np.zeros(lanes * _SLOTS, np.int16)
-        self.best, self.most = np.full(lanes, _EMPTY, np.int64), np.zeros(lanes, np.int16)
-        # each row: where the four outcomes begin in 2^12, and their end
-        self.ends = np.tile(np.array([0, 1536, 2304, 2560, 4096], np.int16), (lanes * 64, 1))
+        self.high, self.low, self.bits = _Parts(lanes, 4), _Parts(lanes * 256, 20), low_bits
+        self.weights = np.tile(np.array([24_000, 12_000, _ONE - 36_000], np.int32), (lanes * 64, 1))
         self.rows, self.every = np.arange(lanes) * 64, np.arange(lanes)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-    def predict(self, n: int) -> np.ndarray:
-        """For each of the first n lanes, where the outcomes begin and end; the predictions are in a, b and c."""
+    def split(self, lanes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An id's high part, the row and part of its low part, and the bits below both."""
+        bits = self.bits[lanes]
+        high, rest = ids >> bits, ids & ((1 << bits) - 1)
+        raw = np.maximum(bits - 8, 0)
+        return high, rest >> raw, rest & ((1 << raw) - 1)
+
+    def order0(self, ids: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """P0 of whole parts, without the raw bits; nothing of an id that isn't one."""
+        known = ids >= 0
+        high, low, _ = self.split(lanes, ids * known)
+        high &= 255
+        _, size, total = self.high.at(lanes, high)
+        _, part, whole = self.low.at((lanes << 8) + high, low)
+        return ((size << 16) // total * part // whole >> np.maximum(self.bits[lanes] - 8, 0)) * known
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the first n lanes the mixed probabilities of the guesses a and b; b is none where it equals a."""
         last, base = self.last[:n], self.base[:n]
         self.at1 = base + ((last * 0xC2B2AE35 >> 9) & (_SLOTS - 1))
         self.at2 = base + ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B >> 11) & (_SLOTS - 1))
-        self.e2, self.e1 = self.entries2.take(self.at2), self.entries1.take(self.at1)
-        self.a, self.b, self.c = self.e2 >> 3, self.e1 >> 3, self.best[:n]
-        self.row = self.rows[:n] + _CLASS.take(((self.e2 & 7) << 3) | (self.e1 & 7)) + 2 * (self.a == self.b) + ((self.c == self.a) | (self.c == self.b))
-        self.now = self.ends.take(self.row, 0)
-        return self.now
-
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.a, 0, np.where(ids == self.b, 1, np.where(ids == self.c, 2, 3)))
+        self.e2, self.e1 = self.entries2.take(self.at2).astype(np.int64), self.entries1.take(self.at1).astype(np.int64)
+        self.a, self.b = self.e2 >> 3, self.e1 >> 3
+        same = self.a == self.b
+        self.row = self.rows[:n] + _CLASS.take(((self.e2 & 7) << 3) | (self.e1 & 7)) + same
+        self.now = self.weights.take(self.row, 0).astype(np.int64)
+        w2, w1, w0 = self.now.T
+        # shares of the guess by each order; an order without a guess has none
+        self.by2, self.by1 = w2 * (self.a >= 0), w1 * (self.b >= 0)
+        by0 = self.order0(np.concatenate([self.a, self.b]), np.concatenate([self.every[:n]] * 2))
+        self.by0a, self.by0b = w0 * by0[:n] >> 16, w0 * by0[n:] >> 16
+        first = self.by2 + self.by1 * same + self.by0a
+        second = (self.by1 + self.by0b) * ~same
+        self.same, self.b = same, np.where(same, _EMPTY - 1, self.b)
+        scale = _ONE - _REST
+        return first * scale >> 16, second * scale >> 16
 
     def update(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.ends[self.row] = self.now + ((_TARGET.take(outcome, 0) - self.now) >> 5)
+        # each order's share in what came moves its weight
+        first, second = outcome == 0, outcome == 1
+        r2, r1 = self.by2 * first, self.by1 * (second | (first & self.same))
+        whole = np.maximum(r2 + r1 + self.by0a * first + self.by0b * second, 1)
+        w2, w1, _ = self.now.T
+        w2 = w2 + (((r2 << 16) // whole - w2) >> 5)
+        w1 = w1 + (((r1 << 16) // whole - w1) >> 5)
+        w2 = np.minimum(np.maximum(w2, _LEAST), _ONE - 3 * _LEAST)
+        w1 = np.minimum(np.maximum(w1, _LEAST), _ONE - _LEAST - w2)
+        self.weights[self.row] = np.stack([w2, w1, _ONE - w2 - w1], 1)
         fresh = ids * 8 + 1
-        for at, e, predicted, entries in ((self.at2, self.e2, self.a, self.entries2), (self.at1, self.e1, self.b, self.entries1)):
+        for at, e, entries in ((self.at2, self.e2, self.entries2), (self.at1, self.e1, self.entries1)):
             sure = e & 7
-            entries[at] = np.where(predicted == ids, e + (sure < 7), np.where(sure > 2, e - ((sure + 1) >> 1), fresh))
-        at0 = self.base[:n] + (ids & (_SLOTS - 1))
-        count = self.seen.take(at0) + 1
-        self.seen[at0] = count
-        more = np.flatnonzero(count > self.most[:n])
-        self.most[more], self.best[more] = count[more], ids[more]
+            entries[at] = np.where(e >> 3 == ids, e + (sure < 7), np.where(sure > 2, e - ((sure + 1) >> 1), fresh))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
 class _Encoder:
+    """A low end of 48 bits and a range of 32 to 48 bits for each lane; words of 16 bits go out."""
+
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
         self.words, self.used = np.zeros((lanes, words), np.int32), np.zeros(lanes, np.int64)
 
     def reserve(self, words: int) -> None:
@@ -89,32 +154,29 @@ class _Encoder:
         if self.used.max() + words > self.words.shape[1]:
             self.words = np.pad(self.words, ((0, 0), (0, words + self.words.shape[1] // 4)))
 
-    def put(self, lanes, begin: np.ndarray, size: np.ndarray, bits) -> None:
-        """Narrow the lanes' ranges to [begin, begin + size) of 2^bits."""
-        part = self.range[lanes] >> bits
+    def put(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray, total) -> None:
+        """Narrow the lanes' ranges to [begin, begin + size) of the total."""
+        part = self.range[lanes] // total
         low, width = self.low[lanes] + begin * part, size * part
-        if isinstance(lanes, slice):
-            lanes = np.arange(len(low))
-        carry = low >> 32
-        if carry.any():
-            over = lanes[carry > 0]
+        over = lanes[low >> 48 > 0]
+        if len(over):
             self.words[over, self.used[over] - 1] += 1  # settled in finish()
-            low &= 0xFFFFFFFF
-        small = np.flatnonzero(width < 1 << 16)
+            low &= (1 << 48) - 1
+        small = np.flatnonzero(width < 1 << 32)
         if len(small):
             at = lanes[small]
-            self.words[at, self.used[at]] = low[small] >> 16
+            self.words[at, self.used[at]] = low[small] >> 32
             self.used[at] += 1
-            low[small] = (low[small] & 0xFFFF) << 16
+            low[small] = (low[small] & 0xFFFFFFFF) << 16
             width[small] <<= 16
         self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for _ in range(2):
-            self.words[every, self.used] = self.low >> 16
+        for _ in range(3):
+            self.words[every, self.used] = self.low >> 32
             self.used += 1
-            self.low = (self.low & 0xFFFF) << 16
+            self.low = (self.low & 0xFFFFFFFF) << 16
         for k in range(self.words.shape[1] - 1, 0, -1):
             self.words[:, k - 1] += self.words[:, k] >> 16
         return [(row[:n] & 0xFFFF).astype("<u2").tobytes() for row, n in zip(self.words, self.used)]
@@ -122,84 +184,87 @@ class _Encoder:
 
 class _Decoder:
     def __init__(self, data: list[bytes]):
-        self.range = np.full(len(data), (1 << 32) - 1, np.int64)
-        self.words = np.zeros((len(data), max(len(d) // 2 for d in data) + 2), np.uint16)
+        self.range = np.full(len(data), (1 << 48) - 1, np.int64)
+        self.words = np.zeros((len(data), max(len(d) // 2 for d in data) + 3), np.uint16)
         for row, d in zip(self.words, data):
             row[: len(d) // 2] = np.frombuffer(d, "<u2")
-        self.code, self.used = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1], np.full(len(data), 2)
-
-    def peek(self, lanes, bits) -> np.ndarray:
-        """Where in 2^bits the lanes' codes lie."""
-        return np.minimum(self.code[lanes] // (self.range[lanes] >> bits), (1 << bits) - 1)
-
-    def take(self, lanes, begin: np.ndarray, size: np.ndarray, bits) -> None:
-        part = self.range[lanes] >> bits
-        code, width = self.code[lanes] - begin * part, size * part
-        small = np.flatnonzero(width < 1 << 16)
+        first = self.words[:, :3].astype(np.int64)
+        self.code, self.used = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2], np.full(len(data), 3)
+
+    def peek(self, lanes: np.ndarray, total) -> np.ndarray:
+        """Where in the total the lanes' codes lie."""
+        self.part = self.range[lanes] // total
+        return np.minimum(self.code[lanes] // self.part, total - 1)
+
+    def take(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the ranges as the encoder did, after a peek at the same lanes."""
+        code, width = self.code[lanes] - begin * self.part, size * self.part
+        small = np.flatnonzero(width < 1 << 32)
         if len(small):
-            at = small if isinstance(lanes, slice) else lanes[small]
+            at = lanes[small]
             code[small] = (code[small] << 16) | self.words[at, np.minimum(self.used[at], self.words.shape[1] - 1)]
             self.used[at] += 1
             width[small] <<= 16
         self.code[lanes], self.range[lanes] = code, width
 
 
-def _lengths(ids: np.ndarray) -> np.ndarray:
-    """Bit lengths of ids + 1, from 1; the highest bit needn't be written."""
-    return np.frexp((ids + 1).astype(np.float64))[1]
-
-
-def _frequencies(lengths: np.ndarray) -> np.ndarray:
-    """Frequencies of the bit lengths out of 256, none of those that occur below 1."""
-    counts = np.bincount(lengths, minlength=LENGTHS + 1)[1:]
-    f = np.where(counts > 0, np.maximum(1, counts * 224 // max(1, counts.sum())), 0)
-    f[f.argmax()] += 256 - f.sum()
-    if f.max() == 256:  # each must fit a byte
-        f[f.argmax() - 1] += 1
-        f[f.argmax()] -= 1
-    return f
-
-
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The blocks of a run of ids; give it about block * LANES of them at a time."""
     ids = np.asarray(ids, np.int64)
     if not len(ids):
         return []
-    if ids.min() < 0 or ids.max() >= (1 << LENGTHS) - 1:
+    if ids.min() < 0 or ids.max() >= 1 << BITS:
         raise ValueError("an id is out of range")
     lanes = -(-len(ids) // block)
     grid = np.zeros((lanes, block), np.int32)
     grid.reshape(-1)[: len(ids)] = ids
     sizes = [block] * (lanes - 1) + [len(ids) - block * (lanes - 1)]
     longest = max(sizes)
-    freq = np.stack([_frequencies(_lengths(grid[i, :n])) for i, n in enumerate(sizes)])
-    begin = np.cumsum(freq, 1) - freq
-    model, coder = _Model(lanes), _Encoder(lanes, longest + 800)
-    by_step, one = np.ascontiguousarray(grid.T), np.ones(lanes, np.int64)
+    bits = np.maximum(np.frexp(grid.max(1).astype(np.float64))[1] - 8, 0).astype(np.int64)
+    model, coder = _Model(lanes, bits), _Encoder(lanes, longest // 2 + 800)
+    by_step, every = np.ascontiguousarray(grid.T), np.arange(lanes)
     for t in range(longest):
         n = lanes if t < sizes[-1] else lanes - 1  # only the last block may be shorter
-        if not t & 255:
+        if not t & 127:
             coder.reserve(800)
         now = by_step[t, :n].astype(np.int64)
-        ends = model.predict(n)
-        outcome = model.outcome(now)
-        at = model.every[:n] * 5 + outcome
-        first = ends.take(at).astype(np.int64)
-        coder.put(slice(0, n), first, ends.take(at + 1) - first, _TOTAL_BITS)
-        if len(rare := np.flatnonzero(outcome == 3)):
-            plus = now[rare] + 1
-            b = _lengths(now[rare]) - 1
-            coder.put(rare, begin[rare, b], freq[rare, b], _LENGTH_BITS)
-            rest, low = plus - (1 << b), np.minimum(b, _REST_BITS)
-            coder.put(rare, rest & ((1 << low) - 1), one[: len(rare)], low)
-            if b.max() > _REST_BITS:
-                long = b > _REST_BITS
-                coder.put(rare[long], rest[long] >> _REST_BITS, one[: long.sum()], b[long] - _REST_BITS)
+        first, second = model.predict(n)
+        outcome = np.where(now == model.a, 0, np.where(now == model.b, 1, 2))
+        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, first + second))
+        size = np.where(outcome == 0, first, np.where(outcome == 1, second, _ONE - first - second))
+        coder.put(every[:n], begin, size, _ONE)
+        if len(rare := np.flatnonzero(outcome == 2)):
+            high, low, raw = model.split(rare, now[rare])
+            coder.put(rare, *model.high.at(rare, high))
+            coder.put(rare, *model.low.at(rare * 256 + high, low))
+            _put_raw(coder, rare, raw, np.maximum(bits[rare] - 8, 0))
+            model.high.add(rare, high)
+            model.low.add(rare * 256 + high, low)
         model.update(n, now, outcome)
     out = []
     for i, (n, data) in enumerate(zip(sizes, coder.finish())):
-        body = freq[i].astype(np.uint8).tobytes() + data
-        out.append(_HEAD.pack(n, len(body), zlib.crc32(grid[i, :n].astype("<u4").tobytes())) + body)
+        out.append(_HEAD.pack(n, len(data) + 1, zlib.crc32(grid[i, :n].astype("<u4").tobytes())) + bytes([bits[i]]) + data)
+    return out
+
+
+def _put_raw(coder: _Encoder, lanes: np.ndarray, raw: np.ndarray, bits: np.ndarray) -> None:
+    """Bits as they are, the lowest `_RAW` first."""
+    while len(wide := np.flatnonzero(bits)):
+        lanes, raw, bits = lanes[wide], raw[wide], bits[wide]
+        now = np.minimum(bits, _RAW)
+        coder.put(lanes, raw & ((1 << now) - 1), np.ones(len(lanes), np.int64), 1 << now)
+        raw, bits = raw >> now, bits - now
+
+
+def _take_raw(coder: _Decoder, lanes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    out, done, at = np.zeros(len(lanes), np.int64), 0, np.arange(len(lanes))
+    while len(wide := np.flatnonzero(bits)):
+        lanes, bits, at = lanes[wide], bits[wide], at[wide]
+        now = np.minimum(bits, _RAW)
+        got = coder.peek(lanes, 1 << now)
+        coder.take(lanes, got, np.ones(len(lanes), np.int64))
+        out[at] |= got << done
+        bits, done = bits - now, done + _RAW
     return out
 
 
@@ -213,42 +278,39 @@ HEADER = _HEAD.size
 
 
 def decode(blocks: list[bytes]) -> np.ndarray:
-    """The ids of whole blocks, one run after the other; of these only the last may be shorter than the first."""
+    """The ids of whole blocks of any lengths, one run after the other."""
     if not blocks:
         return np.zeros(0, np.uint32)
     heads = [_HEAD.unpack(b[:HEADER]) for b in blocks]
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])  # longer ones first, so that lanes end from the back
     sizes = [heads[i][0] for i in order]
     lanes, longest = len(blocks), sizes[0]
-    freq = np.stack([np.frombuffer(blocks[i][HEADER : HEADER + LENGTHS], np.uint8) for i in order]).astype(np.int64)
-    if (freq.sum(1) != 256).any():
+    bits = np.array([blocks[i][HEADER] if len(blocks[i]) > HEADER else 255 for i in order], np.int64)
+    if bits.max() > BITS - 8:
         raise BlockError("a block's header is damaged")
-    begin = np.cumsum(freq, 1) - freq
-    of_slot = np.stack([np.repeat(np.arange(LENGTHS), f)[:256] for f in freq])
-    model, coder = _Model(lanes), _Decoder([blocks[i][HEADER + LENGTHS :] for i in order])
-    grid, n, one = np.zeros((longest, lanes), np.uint32), lanes, np.ones(lanes, np.int64)
+    model, coder = _Model(lanes, bits), _Decoder([blocks[i][HEADER + 1 :] for i in order])
+    grid, n, every = np.zeros((longest, lanes), np.uint32), lanes, np.arange(lanes)
     for t in range(longest):
         while sizes[n - 1] <= t:
             n -= 1
-        ends = model.predict(n)
-        slot = coder.peek(slice(0, n), _TOTAL_BITS)
-        outcome = (slot >= ends[:, 1]).astype(np.int64) + (slot >= ends[:, 2]) + (slot >= ends[:, 3])
-        at = model.every[:n] * 5 + outcome
-        first = ends.take(at).astype(np.int64)
-        coder.take(slice(0, n), first, ends.take(at + 1) - first, _TOTAL_BITS)
-        now = np.where(outcome == 0, model.a, np.where(outcome == 1, model.b, model.c)).astype(np.int64)
-        if len(rare := np.flatnonzero(outcome == 3)):
-            b = of_slot[rare, coder.peek(rare, _LENGTH_BITS)]
-            coder.take(rare, begin[rare, b], freq[rare, b], _LENGTH_BITS)
-            low = np.minimum(b, _REST_BITS)
-            rest = coder.peek(rare, low)
-            coder.take(rare, rest, one[: len(rare)], low)
-            if b.max() > _REST_BITS:
-                long = b > _REST_BITS
-                high = coder.peek(rare[long], b[long] - _REST_BITS)
-                coder.take(rare[long], high, one[: long.sum()], b[long] - _REST_BITS)
-                rest[long] |= high << _REST_BITS
-            now[rare] = (1 << b) + rest - 1
+        first, second = model.predict(n)
+        both = first + second
+        place = coder.peek(every[:n], _ONE)
+        outcome = (place >= first).astype(np.int64) + (place >= both)
+        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, both))
+        coder.take(every[:n], begin, np.where(outcome == 0, first, np.where(outcome == 1, second, _ONE - both)))
+        now = np.where(outcome == 0, model.a, model.b)
+        if len(rare := np.flatnonzero(outcome == 2)):
+            high = model.high.find(rare, coder.peek(rare, model.high.total(rare)))
+            coder.take(rare, *model.high.at(rare, high)[:2])
+            rows = rare * 256 + high
+            low = model.low.find(rows, coder.peek(rare, model.low.total(rows)))
+            coder.take(rare, *model.low.at(rows, low)[:2])
+            beyond = np.maximum(bits[rare] - 8, 0)
+            now[rare] = (high << bits[rare]) | (low << beyond) | _take_raw(coder, rare, beyond)
+            model.high.add(rare, high)
+            model.low.add(rows, low)
+        now = np.maximum(now, 0)  # a damaged block may name a guess that isn't there
         model.update(n, now, outcome)
         grid[t, :n] = now
     back = {i: k for k, i in enumerate(order)}

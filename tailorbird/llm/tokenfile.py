@@ -51,7 +51,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
             while len(waiting) >= 4 * most and waiting:
                 part = np.frombuffer(bytes(waiting[: 4 * _SPAN]), "<u4")
                 del waiting[: 4 * _SPAN]
-                for block in rangecoder.encode(part):
+                # the cost lies in the steps of a block, so a short run is cut into more and shorter blocks
+                for block in rangecoder.encode(part, min(rangecoder.BLOCK, max(1024, -(-len(part) // 512)))):
                     out.write(block)
                     n += len(block)
             return n
@@ -76,11 +77,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
                 out.write(_MAGIC)
             at += flush(0)
             known = np.array([i is not None for i in ids])
-            index = np.diff(np.array([i or 0 for i in ids], np.int64), prepend=0).tobytes() + np.array(sizes, "<u4").tobytes() + np.packbits(known).tobytes()
+            index = np.diff(
+                np.array([i or 0 for i in ids], np.int64), prepend=0,
+            ).tobytes() + np.array(sizes, "<u4").tobytes() + np.packbits(known).tobytes()
             out.write(zlib.compress(index, 4))
             out.write(struct.pack(_FOOTER, at, len(ids), total) + _MAGIC)
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "docs": [len(ids)], "ids": [total]})
+            yield pa.RecordBatch.from_pydict(
+                {"part": [TaskContext.get().partitionId()], "name": [name], "docs": [len(ids)], "ids": [total]}
+            )
 
     spark = docs.sparkSession
     hashed = F.xxhash64("text")
@@ -115,7 +120,12 @@ class TokenFileReader(DataSourceReader):
         return [File(f["name"], f["start"]) for f in manifest]
 
     def read(self, partition):
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        schema = pa.schema(
+            [
+                ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()),
+                ("ids", pa.list_(pa.int32())),
+            ]
+        )
         if partition is None:  # what Spark asks for where there are no partitions
             return
         store, top = file_system(self.path)
@@ -136,10 +146,8 @@ class TokenFileReader(DataSourceReader):
                 blocks = []
                 while len(blocks) < rangecoder.LANES and f.tell() < at:
                     head = f.read(rangecoder.HEADER)
-                    count, size = rangecoder.header(head)
+                    _, size = rangecoder.header(head)
                     blocks.append(head + f.read(size))
-                    if count < rangecoder.BLOCK:
-                        break
                 have = np.concatenate([have, rangecoder.decode(blocks)])
                 last = int(np.searchsorted(starts + sizes, done + len(have), "right"))
                 for a in range(doc, last, 2000):
@@ -152,7 +160,10 @@ class TokenFileReader(DataSourceReader):
 
     def _rows(self, partition, schema, ids, starts, sizes, have, done, a, b):
         parts = [have[s - done : s - done + k] for s, k in zip(starts[a:b].tolist(), sizes[a:b].tolist())]
-        columns = [ids[a:b], partition.start + starts[a:b], sizes[a:b], [crc32(p) for p in parts], parts if self.with_ids else [None] * len(parts)]
+        columns = [
+            ids[a:b], partition.start + starts[a:b], sizes[a:b], [crc32(p) for p in parts],
+            parts if self.with_ids else [None] * len(parts),
+        ]
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 

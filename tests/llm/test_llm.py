@@ -112,6 +112,13 @@ def test_range_coder_round_trip(n, block, kind):
         assert rangecoder.decode(blocks[1:2]).tolist() == ids[block : 2 * block].tolist()
 
 
+def test_blocks_of_any_lengths_decode_together():
+    parts = [np.arange(n) % 700 for n in (500, 64, 3000, 1)]
+    blocks = [b for part in parts for b in rangecoder.encode(part, 256)]
+    assert rangecoder.decode(blocks).tolist() == np.concatenate(parts).tolist()
+    assert rangecoder.decode(blocks[::-1]).tolist() == np.concatenate([rangecoder.decode([b]) for b in blocks[::-1]]).tolist()
+
+
 def test_range_coder_notices_damage():
     block = bytearray(rangecoder.encode(np.arange(300))[0])
     block[-20] ^= 1
