@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, quality, simhash, spans, tokenfile, topk, urlfilter, warc
+from . import decontaminate, fim, langid, packing, phrases, quality, simhash, sketch, spans, tokenfile, topk, urlfilter, warc
 from .shared import documents, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,12 +66,35 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), least=30, depth=4, cover=80, keep=2000)
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = sketch.edited_fingerprints(documents(spark, sf_dir))
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.fingerprint(own).alias("fingerprint"),
+        sketch.fingerprint(edited).alias("edited_fingerprint"), sketch.containment(own, edited).alias("near_edited"),
+        sketch.containment(own, F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(documents(spark, sf_dir), percent=90, spm_percent=20, salt="1:")
+    back = fim.restored_pieces(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", fim.piece_hash(F.col("text"), F.col("pieces")).alias("output_sha256"),
+        fim.piece_hash(F.col("output"), back).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_token_ids, op3_substring_dedup, op4_simhash_near_dedup, op5_best_fit_packing, op6_url_filter,
         op7_exact_top_k, op8_benchmark_decontamination, op9_language_id,
-        op10_quality_classifier,
+        op10_quality_classifier, op11_phrase_collocations, op12_document_fingerprints, op13_fill_in_middle,
     )
 }
 
@@ -122,4 +145,55 @@ SELECT page_id, host, path, rule,
             WHEN regexp_matches(host || path, '\.(zip|exe|iso)$') THEN 'block'
             WHEN regexp_matches(host || path, '^([^/]*\.)?(ads|tracker)\..*\.') THEN 'block' ELSE 'allow' END AS verdict
 FROM named""",
+    "op11_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3, 4]) AS m))
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), sums AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, m, phrase, a, w, k, list_aggregate(w[1:k], 'string_agg', ' ') AS one, list_aggregate(w[k + 1:m], 'string_agg', ' ') AS two
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score, k
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.one JOIN f y ON y.lang = c.lang AND y.phrase = c.two
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, a, list_aggregate(w[i:i + s - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS s) WHERE s < m)
+), around AS (
+  SELECT lang, phrase, max(a) AS around FROM inner_phrases GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.around IS NULL OR 100::HUGEINT * o.around < 80::HUGEINT * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sums USING (lang) QUALIFY rank <= 2000""",
+    "op13_fill_in_middle": r"""
+WITH numbered AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), drawn AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d FROM numbered
+), formed AS (
+  SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) AS q,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, substr(t, 1, p) AS prefix, substr(t, p + 1, q - p) AS middle, substr(t, q + 1, n - q) AS suffix FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts""",
 }

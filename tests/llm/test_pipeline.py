@@ -13,7 +13,7 @@ def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_dedup", "substring_dedup", "decontamination", "best_fit_packing",
     ]
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
