@@ -109,13 +109,14 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH, share: float = SHAR
     order, repeats = followers(docs)
     text = F.coalesce("text", F.lit(""))
     whole = with_sketch(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")), "text", "sketch", width, share)
-    # one row of each repeated one says what follows; the order was written, so its size is known
-    told = (whole.dropDuplicates(["doc_id", "th"]) if repeats else whole).withColumnsRenamed({"doc_id": "d_id", "th": "d_th"})
+    # one row of each repeated one says what follows; the order was written, so its size is known. Names of `whole` stay on
+    # both sides of the second join, so that Spark deals it out once for the two
+    told = whole.dropDuplicates(["doc_id", "th"]) if repeats else whole
+    order = order.withColumnsRenamed({"doc_id": "o_id", "th": "o_th"})
     half = F.floor(F.col("n") / 2).cast("int")
-    after = told.join(order, F.col("d_id").eqNullSafe(F.col("next_id")) & (F.col("d_th") == F.col("next_th"))).select(
-        F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), "n", F.substring("text", F.lit(1), half).alias("more"),
-        F.col("sketch").alias("next_sketch"),
-    )
+    after = told.join(order, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("th") == F.col("next_th"))).select(
+        "o_id", "o_th", "n", F.substring("text", F.lit(1), half).alias("more"), F.col("sketch").alias("next_sketch"),
+    )
     both = whole.join(after.hint("merge"), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.col("more"))
     both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
