@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.html import elements
+
 #: The sort orders of the two sites that are searched, and the first category of one of them.
 AUCTION_SORTS = {"new": ("new", "d"), "score": ("score", "d"), "price_asc": ("cbids", "a"), "price_desc": ("cbids", "d")}
 MERCARI_SORTS = {"new": "SORT_CREATED_TIME", "score": "SORT_SCORE", "price_asc": "SORT_PRICE_ASC", "price_desc": "SORT_PRICE_DESC"}
@@ -73,7 +75,7 @@ def item_urls_in_text(text: Column, pattern: str = ITEM_URL) -> Column:
 
 def item_urls_in_html(html: Column, site: str | None = "yahoo_auctions") -> Column:
     """The item URLs that a page's anchors point at; of any kind where no site is given."""
-    links = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["']"""), F.lit(1))
+    links = elements(html, {"links": ("a", "@href")})["links"]
     if site == "mercari":
         ids = F.transform(links, lambda u: F.nullif(F.regexp_extract(u, MERCARI_ITEM, 1), F.lit("")))
         return F.array_distinct(F.transform(F.array_compact(ids), lambda i: F.concat(F.lit("https://jp.mercari.com/item/"), i)))

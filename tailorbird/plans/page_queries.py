@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RULES
+from ..functions.html import elements
 from ..operators import frontier, rules, store
 from ..operators.evidence import build_package, nest_evidence, signals_to_evidence, site_item_id
 from ..sources.captures import outcome_log, read_captures, read_evidence_packages
 from ..sources.scratch import shared_path
-from ..sources.sites import SELECTORS, captures_to_signals, selector_signals
+from ..sources.sites import IMAGES, SELECTORS, captures_to_signals, selector_signals
 from ..streaming.decisions import stream_decisions
 from .decisions import decide_captures, decide_signals, extract_signals, reparse
 from .listings import EXPECTED_SQL, listing_signals
@@ -82,6 +83,36 @@ def page_selectors(spark, sf_dir):
     return _part(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in selector_signals(html, SELECTORS).items()])
 
 
+def nested_selectors(spark, sf_dir):
+    """Pages with nested, unclosed, unquoted and commented markup, read in the lines that a browser shows, with their pictures."""
+    html = _say(
+        "<!-- <h1 class=ProductTitle__text>no</h1> --><body><nav class='Breadcrumb x'><a href=# class=Breadcrumb__link>メンズ</a> &gt; <a class=Breadcrumb__link>スーツ</a></nav>",
+        "<H1 CLASS=ProductTitle__text>スーツ <i>", _k(), "</i></H1><script>'<p class=Price__value>0円</p>'</script>",
+        '<div class="Price"><span class="Price__value">現在 <b>', _k(), "</b>円</span><span class=Price__value>即決 9円</span></div>",
+        F.when(_k() % 2 == 0, "<div class=AuctionStatus><span>出品中</span><div>残り <b>3日</b></div></div>").otherwise(""),
+        "<div class=ProductDetail__section><table><tr><th>サイズ<td>", _k() % 50, "<tr><th>素材<td>ウール100%</table></div>",
+        '<div class="a ItemDescription"><div>肩幅：', _k() % 9, "cm</div>身幅 <b>52cm</b><p>一<p>二<ul><li>股下<li>裾</ul></section>終わり</div>",
+        "<img class=ProductImage__image src=//i/", _k(), ".jpg><img src=no.jpg><img src='//i/b.jpg?a=1&amp;b=2' class='y ProductImage__image'/>",
+    )
+    signals = selector_signals(html, SELECTORS, images=IMAGES, rendered=True)
+    out = _part(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in signals.items()])
+    return out.withColumn("image_urls", F.array_join("image_urls", " "))
+
+
+def page_elements(spark, sf_dir):
+    """What the given pages hold: heading, links, the text of their footer, and paragraphs."""
+    wanted = {
+        "title": ("head title", "text"), "heading": ("article h1", "text"), "links": ("nav li a[href]", "@href"), "names": ("nav li a", "texts"),
+        "footer": ("footer", "text"), "paragraphs": ("article p", "texts"), "advert": ("div.ad", "text"),
+    }
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", elements(F.col("html"), wanted, rendered=True).alias("e"))
+    e = F.col("e")
+    return pages.select(
+        "page_id", e["title"].alias("title"), e["heading"].alias("heading"), F.array_join(e["links"], " ").alias("links"),
+        F.array_join(e["names"], " ").alias("names"), e["footer"].alias("footer"), F.size(e["paragraphs"]).alias("n_paragraphs"), e["advert"].alias("advert"),
+    )
+
+
 def item_urls(spark, sf_dir):
     """The items that search pages of two sites link to."""
     html = _say(
@@ -261,8 +292,8 @@ def custom_rules(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, item_urls,
-        item_url_round_trip, stored_packages, logged_outcomes, streamed_listings,
+        capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, nested_selectors,
+        page_elements, item_urls, item_url_round_trip, stored_packages, logged_outcomes, streamed_listings,
         found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities,
         listing_pants, custom_rules,
     )
@@ -277,6 +308,13 @@ def _listed(select: str) -> str:
     return f"WITH {EXPECTED_SQL} {select}"
 
 
+def _decoded(*names: str) -> str:
+    """Texts of markup without its entities, white space in runs as one space."""
+    signs = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+    plain = "".join(f".replace('{k}', '{v}')" for k, v in signs.items())
+    return ", ".join(f"{n}{plain}.regexp_replace('[ \\t\\n]+', ' ', 'g').trim() AS {n}" for n in names)
+
+
 ORACLE_SQL = {
     "capture_signals": _paged(
         "SELECT url, source_site, title_text, price_text, status_text, description_text, all_text, specs_text, brand_text, category_text, images FROM signals"
@@ -296,6 +334,20 @@ FROM (SELECT url, verdict, page_verdicts.s = 0 AND k % 3 = 0 AS lost FROM page_v
     "page_selectors": """
 SELECT p_partkey AS k, 'スーツ ' || p_partkey AS title_text, p_partkey || '円' AS price_text, CASE WHEN p_partkey % 2 = 0 THEN '出品中' ELSE '' END AS status_text,
   '肩幅：' || p_partkey % 9 || 'cm' || chr(10) || '裾シングル & 他' AS description_text, '' AS specs_text, 'メンズ' || p_partkey % 3 AS brand_text, 'メンズ' || p_partkey % 3 AS category_text FROM part""",
+    "nested_selectors": """
+SELECT p_partkey AS k, 'スーツ ' || p_partkey AS title_text, '現在 ' || p_partkey || '円' AS price_text, CASE WHEN p_partkey % 2 = 0 THEN '出品中' || chr(10) || '残り 3日' ELSE '' END AS status_text,
+  concat_ws(chr(10), '肩幅：' || p_partkey % 9 || 'cm', '身幅 52cm', '一', '二', '股下', '裾', '終わり') AS description_text,
+  'サイズ' || chr(9) || p_partkey % 50 || chr(10) || '素材' || chr(9) || 'ウール100%' AS specs_text, 'メンズ' AS brand_text, 'メンズ > スーツ' AS category_text,
+  '//i/' || p_partkey || '.jpg //i/b.jpg?a=1&b=2' AS image_urls FROM part""",
+    "page_elements": rf"""
+WITH p AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>.*</article>') AS article, regexp_extract(html, '(?s)<nav>.*</nav>') AS nav FROM pages),
+t AS (
+  SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1) AS heading,
+    array_to_string(regexp_extract_all(nav, '<a href="([^"]*)"', 1), ' ') AS links, array_to_string(regexp_extract_all(nav, '<a [^>]*>([^<]*)</a>', 1), ' ') AS names,
+    regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS footer, CAST(len(regexp_extract_all(article, '<p>')) AS INTEGER) AS n_paragraphs,
+    regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS advert FROM p
+)
+SELECT page_id, n_paragraphs, {_decoded("title", "heading", "links", "names", "footer", "advert")} FROM t""",
     "item_urls": """
 WITH r AS (
   SELECT p_partkey AS k, unnest([0, 1, 0, 1]) AS rank, unnest(['m' || p_partkey, 'm' || (p_partkey + 1), 'x' || p_partkey, 'y' || p_partkey]) AS site_id FROM part

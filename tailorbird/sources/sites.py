@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import found, html_to_text, strip_tags
+from ..functions.html import elements
+from ..functions.text import html_to_text
 from ..operators.evidence import detect_site
 from .captures import embedded_json
 
@@ -133,40 +134,30 @@ def map_shopping_item(item: Column) -> Signals:
     }
 
 
-def _images(html: Column, host: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"""(?is)<img\b[^>]*\bsrc=["']([^"']*{host}[^"']*)["']"""), F.lit(1))
-
-
 #: Where each site keeps its pictures.
 IMAGE_HOSTS = {
-    "mercari": r"mercdn\.net", "yahoo_shopping": r"item-shopping\.c\.yimg\.jp", "yahoo_auctions": r"auctions\.c\.yimg\.jp",
-    "paypay_flea_market": r"yimg\.jp",
+    "mercari": "mercdn.net", "yahoo_shopping": "item-shopping.c.yimg.jp", "yahoo_auctions": "auctions.c.yimg.jp",
+    "paypay_flea_market": "yimg.jp",
 }
 
-
-def html_body(html: Column) -> Column:
-    """What stands between a page's body tags, or the whole page."""
-    inside = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    return F.when(inside != "", inside).otherwise(html)
+#: What is looked for on pages whose data don't say it: (selector, what to take).
+FALLBACKS = {
+    "heading": ("h1", "text"), "body": ("body", "text"), "prices": ("[data-testid=price]", "texts"),
+    "amounts": ("[class*=rice]", "texts"), "images": ("img", "@src"),
+}
 
 
-def html_fallback_signals(site: str, html: Column, body: Column) -> Signals:
-    """What can be had from the page itself, and the text of its body, where its data don't say it."""
-    heading = F.nullif(
-        F.trim(F.regexp_replace(strip_tags(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), r"(?U)\s+", " ")),
-        F.lit(""),
-    )
-    out = {"title_text": heading, "image_urls": _images(html, IMAGE_HOSTS[site])}
+def html_fallback_signals(site: str, page: Column) -> Signals:
+    """What can be had from a page's elements, a struct of FALLBACKS, where its data don't say it."""
+    one_line = F.nullif(F.trim(F.regexp_replace(page["heading"], r"(?U)\s+", " ")), F.lit(""))
+    out = {"title_text": one_line, "image_urls": F.filter(page["images"], lambda u: u.contains(IMAGE_HOSTS[site]))}
+    body = page["body"]
     if site == "yahoo_shopping":
         out |= {"description_text": body, "all_text": body}
     if site == "mercari":
-        raw = F.coalesce(
-            found(html, r"""(?is)data-testid=["']price["'][^>]*>(.*?)</""", 1),
-            found(html, r"""(?is)class=["'][^"']*[pP]rice[^"']*["'][^>]*>([^<]*[¥￥][^<]*\d[^<]*)<""", 1),
-        )
-        digits = F.regexp_replace(
-            F.regexp_extract(F.regexp_replace(strip_tags(raw), r"[\s¥￥]", ""), r"([\d,]+)", 1), ",", "",
-        ).try_cast("long")
+        amounts = F.filter(page["amounts"], lambda t: t.rlike(r"[¥￥][^¥￥]*\d"))
+        raw = F.coalesce(F.try_element_at(page["prices"], F.lit(1)), F.try_element_at(amounts, F.lit(1)))
+        digits = F.regexp_replace(F.regexp_extract(F.regexp_replace(raw, r"[\s¥￥]", ""), r"([\d,]+)", 1), ",", "").try_cast("long")
         included = body.contains("送料込み") | body.contains("送料無料")
         out |= {
             "price_text": F.when(digits > 0, F.concat(_yen("即決", digits), F.when(included, "\n送料込み").otherwise(""))), "all_text": body,
@@ -212,19 +203,21 @@ def captures_to_signals(captures: DataFrame) -> DataFrame:
             {s: m["html"][k] for s, m in mapped.items() if k < len(m["html"])}
         ) for k in range(max(len(m["html"]) for m in mapped.values()))
     ]
-    # the page itself is only taken to pieces where it may be needed
-    page = F.when((F.col("source_site") == "mercari") | F.col("_item").isNull(), html_body(F.col("html")))
-    rows = rows.select("*", *[f.alias(f"_html{k}") for k, f in enumerate(fragments)], page.alias("_page"))
+    # the page itself is only taken to pieces where its data may not say all
+    titles = _by_site({s: F.coalesce(m["title_text"], F.lit("")) for s, m in mapped.items()})
+    pictures = _by_site({s: F.size(F.coalesce(m.get("image_urls", F.lit(None)).cast("array<string>"), F.array())) for s, m in mapped.items()})
+    needed = (F.col("source_site") == "mercari") | F.col("_item").isNull() | (titles == "") | (pictures == 0)
+    rows = rows.select("*", *[f.alias(f"_html{k}") for k, f in enumerate(fragments)], F.when(needed, F.col("html")).alias("_page"))
     # what has no tag in a shop's fields is taken as it is
     tagged = lambda k: F.when(
         (F.col("source_site") != "yahoo_shopping") | F.col(f"_html{k}").contains("<"), F.col(f"_html{k}"),
     )
     texts = [F.coalesce(html_to_text(tagged(k)), F.col(f"_html{k}")).alias(f"_text{k}") for k in range(len(fragments))]
-    rows = rows.select("url", "html", "retrieved_at", "source_site", "_item", *texts, html_to_text(F.col("_page")).alias("_body"))
+    rows = rows.select("url", "retrieved_at", "source_site", "_item", *texts, elements(F.col("_page"), FALLBACKS).alias("_page"))
     empty, none = F.lit(""), F.array().cast("array<string>")
 
     def values(site: str, name: str) -> Column:
-        item, other = mapped[site], html_fallback_signals(site, F.col("html"), F.col("_body")).get(name)
+        item, other = mapped[site], html_fallback_signals(site, F.col("_page")).get(name)
         if name in ("description_text", "all_text"):
             value = F.concat_ws(
                 "\n", *[f"_text{k}" for k in range(len(item["html"]))],
@@ -256,14 +249,15 @@ SELECTORS = {
     "description_text": ".ItemDescription",
     "specs_text": ".ProductDetail__section", "brand_text": ".Breadcrumb__link", "category_text": ".Breadcrumb",
 }
+IMAGES = ".ProductImage__image"
 
 
-def selector_signals(html: Column, selectors: dict[str, str]) -> Signals:
-    """Texts of the first element of each selector: a tag, a class, or both. Elements end at their first closing tag of the same name."""
-    out = {}
-    for name, selector in selectors.items():
-        tag, _, cls = selector.partition(".")
-        attribute = rf"""\bclass=["'](?:[^"']*\s)?{cls}(?:\s[^"']*)?["'][^>]*""" if cls else ""
-        body = F.regexp_extract(html, rf"""(?is)<({tag or '[a-z][a-z0-9]*'})\b[^>]*{attribute}>(.*?)</\1>""", 2)
-        out[name] = F.coalesce(html_to_text(body), F.lit(""))
-    return out
+def selector_signals(html: Column, selectors: dict[str, str], images: str | None = None, rendered: bool = False) -> Signals:
+    """The whole text of the first element of each selector, and with `images` the image_urls of all of that selector.
+
+    All of them come from one pass over the page; `rendered` gives texts in the lines that a browser shows.
+    """
+    wanted = {name: (selector, "text") for name, selector in selectors.items()}
+    found = elements(html, wanted | ({"image_urls": (images, "@src")} if images else {}), rendered)
+    empty = {name: F.lit("") for name in selectors} | {"image_urls": F.array().cast("array<string>")}
+    return {name: F.coalesce(found[name], empty[name]) for name in (*selectors, *(["image_urls"] if images else []))}
