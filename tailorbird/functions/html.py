@@ -175,11 +175,11 @@ def take(page: str, wanted: dict[str, tuple[str, str]], rendered: bool = False)
                 del sinks[len(sinks) - len(element.texts) :]
         del stack[count:]
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        tag = _TAG.search(page, at)
+        tag = _TAG.search(page, at) if at <= last else None
         if tag is None:
-            put(page[at:])
+            put(page[at:].partition("<!--")[0])
             break
         if tag.start() > at:
             put(page[at : tag.start()])

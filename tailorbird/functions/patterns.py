@@ -135,3 +135,17 @@ NO_STAIN = r"(?iU)汚れ\s*(?:なし|無し|ございません|はありませ
 SEVERE_STAIN = r"(?iU)ひどい汚れ|大きな汚れ|酷い汚れ|目立つ汚れ\s*(?:あり|有り)"
 HOLE = r"(?iU)穴\s*(?:あり|有り|あります|開き)|破れ\s*あり|ほつれ\s*あり"
 NO_HOLE = r"(?iU)穴\s*(?:なし|無し|ありません|はありません)|破れ\s*なし"
+
+#: A text that matches holds one of these words, in lower case; looked for first, as that is far cheaper.
+WORDS = {
+    "style": ("ダブル", "double", "wブレスト", "シングル", "single", "sブレスト"),
+    "buttons": ("ボタン", "b"),
+    "color": ("ボタン", "ゴールド", "gold", "シルバー", "silver", "ブラック", "black"),
+    "grade": (
+        "ランク", "未使用", "新品同様", "デッドストック", "美品", "良好", "目立った", "普通", "使用感", "多少", "傷", "ジャンク", "難あり", "訳あり",
+    ),
+    "stain": ("汚れ", "シミ", "ステイン"),
+    "hole": ("穴", "破れ", "ほつれ"),
+}
+#: The same for each fibre: the alternatives of its pattern without what must follow them.
+FIBER_WORDS = {fiber: tuple(re.sub(r"\(.*\)", "", x) for x in re.split(r"\|(?![^(]*\))", pattern)) for fiber, pattern in FIBERS.items()}

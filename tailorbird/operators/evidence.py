@@ -4,8 +4,8 @@ Signals are rows of item_id, url, source_site and the eight text buckets. Eviden
 source, block_type, text, confidence, metadata. Buckets that are null or blank give no evidence; a null
 item_id is a group like any other.
 
-Whole runs go through `captured_evidence` instead: there every capture is a group of its own, so that a page
-that was looked at twice isn't mixed up, and its other columns ride along on a block without text.
+Whole runs keep the blocks of a capture in an array in its own row instead: a page that was looked at twice isn't mixed up,
+its other columns stay where they are, and nothing is dealt out.
 """
 
 from __future__ import annotations
@@ -76,11 +76,14 @@ def cleaned_blocks() -> Column:
     )
 
 
+#: An item's blocks, in the order of their places; t is the text to extract from.
+BLOCKS = "array<struct<pos:int,source:string,confidence:double,t:string>>"
+
+
 def page_blocks() -> Column:
-    """The same in the form that `captured_evidence` takes. A description line of nothing but tags is no block."""
+    """A page's blocks with their texts and what to extract from. A description line of nothing but tags is no block."""
     there = F.filter(cleaned_blocks(), lambda b: (b["source"] != "description") | (b["text"] != ""))
-    fields = ("pos", "source", "text", "confidence")
-    return F.transform(there, lambda b: F.struct(*[b[f].alias(f) for f in fields], b["text"].alias("t")))
+    return F.transform(there, lambda b: F.struct(*[b[f].alias(f) for f in ("pos", "source", "text", "confidence")], b["text"].alias("t")))
 
 
 def signals_to_evidence(signals: DataFrame) -> DataFrame:
@@ -92,24 +95,36 @@ def signals_to_evidence(signals: DataFrame) -> DataFrame:
     )
 
 
-def captured_evidence(rows: DataFrame, blocks: Column, carry: list[str]) -> DataFrame:
-    """Long evidence of each row apart: item_id is a hash of all that the row holds, so rows alike count once.
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """Rows alike in every column once, found by a hash of all that a row holds."""
+    held = [F.to_json(F.col(c)) if kind in ("map", "struct", "array", "variant") else F.col(c).cast("string") for c, kind in _kinds(rows)]
+    name = "_held"
+    while name in rows.columns:
+        name += "_"
+    hashed = F.sha2(F.concat_ws("\x1f", *[F.coalesce(h, F.lit("\x01")) for h in held]), 256)
+    return rows.withColumn(name, hashed).dropDuplicates([name]).drop(name)
+
 
-    `blocks` is an array of pos, source, text, confidence and t (the text to extract from). The columns named by
-    `carry` come along, as carried_0 and so on, on a block without source and text at pos -1, which every row has.
-    All further work by item_id needs no other shuffle.
+def clean_own_blocks(rows: DataFrame, blocks: Column, into: str = "blocks") -> DataFrame:
+    """rows with BLOCKS of those that aren't noise; of equal texts the one of highest confidence, the first of these on a tie.
+
+    The array is sorted by text, and a block that follows an equal one goes.
     """
-    text = F.concat_ws(
-        "\x1f",
-        *[F.coalesce(F.col(c).cast("string") if kind not in ("map", "struct", "array", "variant") else F.to_json(F.col(c)), F.lit("\x01")) for c, kind in _kinds(rows)]
-    )
-    held = rows.select(F.sha2(text, 256).alias("item_id"), blocks.alias("blocks"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
-    dealt = held.repartition("item_id")
-    kind = "struct<pos:int,source:string,text:string,confidence:double,t:string>"
-    bare = F.array(F.struct(F.lit(-1), *[F.lit(None)] * 4).cast(kind))
-    given = F.coalesce(F.col("blocks"), F.array().cast(f"array<{kind}>"))
-    long = dealt.select("item_id", *[f"carried_{i}" for i in range(len(carry))], F.explode(F.concat(bare, given)).alias("b"))
-    return long.select("item_id", "b.*", *[F.when(F.col("b.pos") < 0, F.col(f"carried_{i}")).alias(f"carried_{i}") for i in range(len(carry))])
+    noise = lambda b: (F.length(b["text"]) < 3) | b["text"].rlike(r"(?U)^\d+$")
+    there = F.filter(F.coalesce(blocks, F.array()), lambda b: ~F.coalesce(noise(b), F.lit(True)))
+    by_text = F.sort_array(
+        F.transform(
+            there, lambda b: F.struct(
+                b["text"].alias("text"), F.coalesce(-b["confidence"], F.lit(float("inf"))).alias("less"), b["pos"].alias("pos"),
+                b["source"].alias("source"), b["confidence"].alias("confidence"), b["t"].alias("t"),
+            ),
+        )
+    )
+    kept = [c for c in rows.columns if c != into]
+    held = rows.select(*kept, by_text.alias("_by_text"))
+    first = F.expr("filter(_by_text, (b, i) -> i = 0 OR element_at(_by_text, CAST(i AS int)).text <> b.text)")
+    own = F.transform(first, lambda b: F.struct(*[b[f].alias(f) for f in ("pos", "source", "confidence", "t")]))
+    return held.select(*kept, F.sort_array(own).cast(BLOCKS).alias(into))
 
 
 def _kinds(rows: DataFrame) -> list[tuple[str, str]]:
@@ -132,15 +147,6 @@ def clean_blocks(evidence: DataFrame) -> DataFrame:
     return dedup_evidence(drop_noise(evidence))
 
 
-def clean_captured(evidence: DataFrame) -> DataFrame:
-    """The same for `captured_evidence`, whose blocks without text stay; columns that ride along can still be pruned."""
-    noise = (F.length("text") < 3) | F.col("text").rlike(r"(?U)^\d+$")
-    rows = evidence.filter(F.col("pos").eqNullSafe(-1) | ~F.coalesce(noise, F.lit(True)))
-    own, carried = ["pos", "source", "confidence", "t"], [c for c in evidence.columns if c not in ("item_id", "pos", "source", "text", "confidence", "t")]
-    best = F.max_by(F.struct(*own), F.struct("confidence", -F.col("pos"))).alias("best")
-    return rows.groupBy("item_id", "text").agg(best, *[F.first(c, ignorenulls=True).alias(c) for c in carried]).select("item_id", "text", "best.*", *carried)
-
-
 def build_package(captures: DataFrame) -> DataFrame:
     """captures (url and signals) with a deterministic item_id and the source site."""
     return captures.withColumns({"item_id": item_id(F.col("url")), "source_site": detect_site(F.col("url"))})
@@ -182,17 +188,26 @@ def _priority(extractor: str, source: str = "source") -> str:
     return f"CASE {source} {places} ELSE 99 END"
 
 
-def place(extractor: str) -> Column:
-    return F.expr(f"named_struct('prio', {_priority(extractor)}, 'pos', pos)")
+def ordered_blocks(extractor: str) -> Column:
+    """An item's blocks in the order in which an extractor looks at them; `at` is its place in `blocks`, from 0, and `low` its text in lower case."""
+    return F.expr(
+        f"sort_array(transform(blocks, (b, i) -> named_struct('prio', {_priority(extractor, 'b.source')}, 'pos', b.pos, 'at', i, 'source', b.source, 'confidence', b.confidence, 't', b.t, 'low', lower(b.t))))"
+    )
+
+
+def first_block(blocks: Column | str, value, kind: str) -> Column:
+    """The first value of a block that isn't null; blocks behind it aren't looked at."""
+    return F.aggregate(blocks, F.lit(None).cast(kind), lambda found, b: F.when(found.isNotNull(), found).otherwise(value(b)))
 
 
-def first_match(value: Column, key: Column) -> Column:
-    """Per group, the value that isn't null with the smallest key."""
-    return F.min_by(value, F.when(value.isNotNull(), key))
+def first_value(blocks: Column | str, value, kind: str) -> Column:
+    """(value, confidence) of the first block with a value, which is worked out once for each block; null without one."""
+    made = lambda b: F.struct(value(b).alias("value"), b["confidence"].alias("confidence"))
+    none = F.lit(None).cast(f"struct<value:{kind},confidence:double>")
+    got = F.aggregate(blocks, none, lambda found, b: F.when(found["value"].isNotNull(), found).otherwise(made(b)))
+    return F.try_element_at(F.filter(F.array(got), lambda g: g["value"].isNotNull()), F.lit(1))
 
 
-def concat_evidence(text: Column, key: Column, among: Column | None = None) -> Column:
-    """Per group, the texts in the order of the key, joined by line ends; without texts an empty text."""
-    row = F.struct(key.alias("key"), text.alias("text"))
-    rows = F.collect_list(row if among is None else F.when(among, row))
-    return F.array_join(F.transform(F.array_sort(rows), lambda r: r["text"]), "\n")
+def joined_texts(blocks: Column | str) -> Column:
+    """The texts of blocks, joined by line ends; without blocks an empty text."""
+    return F.array_join(F.transform(blocks, lambda b: b["t"]), "\n")

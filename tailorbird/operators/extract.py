@@ -1,23 +1,23 @@
 """Attributes of listings from their evidence: size, price, status, material, style and condition.
 
-Each extractor gives columns over the rows of evidence, one aggregate per item for each, and a struct over the
-aggregates; `extract` runs all of them in one grouping by item, so that texts are dealt out once. An item
-whose texts say nothing about an attribute gets nulls, empty arrays and the names of the unknown fields.
+Each extractor gives columns over an item's own array of blocks, in one or more steps, and a struct over them. An array is
+sorted once by the order in which an extractor looks at its sources; a fold over it stops at the first block that
+matches. So an item is decided within its row, and nothing is dealt out or gathered. An item whose texts say nothing
+about an attribute gets nulls, empty arrays and the names of the unknown fields.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOUNDS
 from ..functions import patterns as P
 from ..functions.text import found, implausible_message, norm_ja, parse_jpy
-from .evidence import concat_evidence, first_match, place
+from .evidence import BLOCKS, first_block, first_value, joined_texts, ordered_blocks
 
 _T = F.col
 FIBER = "array<struct<fiber:string,percentage:int>>"
@@ -30,6 +30,10 @@ def _texts(*items: Column) -> Column:
     return F.array_compact(F.array(*[i.cast("string") for i in items]))
 
 
+def _holds(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
 def _first_of(pairs, otherwise: Column | None = None) -> Column:
     """The first of (condition, value) pairs whose condition holds."""
     (condition, value), *rest = pairs
@@ -58,43 +62,59 @@ def size_table(text: Column) -> Column:
     return F.filter(named, lambda r: r["size"].isNotNull())
 
 
-def narrow_size_table(evidence: DataFrame) -> DataFrame:
-    """evidence with `size_text`: a block with a table of two or more sizes is cut to the row of the size on
-    sale, or null without one; and `narrowed`, the size by which any block of the item was cut."""
-    item = Window.partitionBy("item_id")
-    titled = F.col("source").isin("title", "description", "all_text")
-    bracket = _T("t").rlike(r"[【\[]")
-    rows = evidence.select("*", F.when(titled, target_size(_T("t"))).alias("token"), F.when(bracket, size_table(_T("t"))).alias("rows"))
-    rows = rows.withColumn("many", F.size(F.array_distinct(F.transform("rows", lambda r: r["size"]))) >= 2)
-    in_title = F.min_by(F.struct("token"), F.when(_T("source") == "title", _T("pos"))).over(item)["token"]
-    elsewhere = F.min_by("token", F.when((_T("source") != "title") & _T("token").isNotNull(), _T("pos"))).over(item)
-    target = F.coalesce(in_title, elsewhere)
-    rows = rows.withColumns({"target": target, "any_table": F.coalesce(F.bool_or("many").over(item), F.lit(False))})
-    row = F.try_element_at(F.filter("rows", lambda r: r["size"] == _T("target")), F.lit(-1))["row"]
-    is_table = _T("many") & _T("target").isNotNull()
-    size_text = F.when(F.coalesce(is_table, F.lit(False)), row).otherwise(_T("t"))
-    narrowed = F.when(_T("any_table"), _T("target"))
-    return rows.select("*", size_text.alias("size_text"), narrowed.alias("narrowed")).drop("rows", "target", "many", "token", "any_table")
+def narrow_size_table() -> dict[str, Column]:
+    """Over an item's blocks: the rows of the tables that they hold, and whether a block's table has two or more sizes. Null without a table."""
+    bracket = F.exists("blocks", lambda b: b["t"].rlike(r"[【\[]"))
+    tables = F.transform("blocks", lambda b: F.when(b["t"].rlike(r"[【\[]"), size_table(b["t"])))
+    return {"n_tables": F.when(bracket, tables), "o_size": ordered_blocks("size")}
+
+
+def narrow_to_size() -> dict[str, Column]:
+    """`narrowed`, the size on sale of an item with such a table: the title's, else the first that its texts name."""
+    many = F.transform("n_tables", lambda rows: F.coalesce(F.size(F.array_distinct(F.transform(rows, lambda r: r["size"]))) >= 2, F.lit(False)))
+    title = F.try_element_at(F.filter("blocks", lambda b: b["source"] == "title"), F.lit(1))["t"]
+    texts = F.filter("blocks", lambda b: b["source"].isin("description", "all_text"))
+    named = F.aggregate(texts, F.lit(None).cast("string"), lambda found, b: F.coalesce(found, target_size(b["t"])))
+    return {"n_many": many, "narrowed": F.when(F.exists(many, lambda m: m), F.coalesce(target_size(title), named))}
 
 
 def size_blocks() -> dict[str, Column]:
-    """A struct for each measure that a block names. A cheap look for the label goes before its pattern."""
+    """The texts to look for measures in, in order: a table is cut to the row of the size on sale, and left out without one."""
+    text = """CASE WHEN element_at(n_many, b.at + 1) THEN try_element_at(filter(element_at(n_tables, b.at + 1), r -> r.size = narrowed), -1).row ELSE b.t END"""
+    made = "named_struct('text', {0}, 'low', {1}, 'source', b.source, 'confidence', b.confidence)"
+    plain = F.expr(f"transform(o_size, b -> {made.format('b.t', 'b.low')})")
+    cut = F.expr(f"filter(transform(o_size, b -> {made.format(text, f'lower({text})')}), b -> b.text IS NOT NULL)")
+    return {"z_blocks": F.when(F.col("narrowed").isNotNull(), cut).otherwise(plain)}
+
+
+_HIT = "struct<evidence:string,source:string,confidence:double>"
+_HEM = "struct<value:string,evidence:string,source:string,confidence:double>"
 
-    def hit(name: str, pattern: str) -> str:
-        labels = " OR ".join(f"contains(lower(size_text), {sql_text(label.lower())})" for label in P.LABELS[name])
-        number = f"try_cast(regexp_extract(size_text, {sql_text(pattern)}, 1) AS double)"
-        found = f"named_struct('value', {number}, 'evidence', regexp_extract(size_text, {sql_text(pattern)}, 0), 'source', source, 'confidence', confidence)"
-        return f"CASE WHEN {labels} THEN CASE WHEN size_text RLIKE {sql_text(pattern)} THEN {found} END END"
+
+def size_evidence() -> dict[str, Column]:
+    """The first match of each measure. Labels are looked for before patterns, in all texts and then in each."""
+
+    def named(text: str, labels: tuple[str, ...]) -> str:
+        return " OR ".join(f"contains({text}, {sql_text(label.lower())})" for label in labels)
+
+    def first(name: str, pattern: str) -> str:
+        hit = f"named_struct('evidence', regexp_extract(b.text, {sql_text(pattern)}, 0), 'source', b.source, 'confidence', b.confidence)"
+        step = f"CASE WHEN found IS NOT NULL THEN found WHEN ({named('b.low', P.LABELS[name])}) AND b.text RLIKE {sql_text(pattern)} THEN {hit} END"
+        fold = f"aggregate(z_blocks, CAST(NULL AS {_HIT}), (found, b) -> {step})"
+        return f"CASE WHEN {named('z_all', P.LABELS[name])} THEN {fold} END"
 
     def hem(value: str, pattern: str) -> str:
-        return f"WHEN size_text RLIKE {sql_text(pattern)} THEN named_struct('value', '{value}', 'evidence', regexp_extract(size_text, {sql_text(pattern)}, 0), 'source', source, 'confidence', confidence)"
+        return f"WHEN b.text RLIKE {sql_text(pattern)} THEN named_struct('value', '{value}', 'evidence', regexp_extract(b.text, {sql_text(pattern)}, 0), 'source', b.source, 'confidence', b.confidence)"
 
-    out = {f"s_{name}": F.expr(hit(name, pattern)) for name, pattern in P.MEASURES.items()}
-    return out | {"s_hem": F.expr(f"CASE {hem('double', P.HEM_DOUBLE)} {hem('single', P.HEM_SINGLE)} END")}
+    out = {f"e_{name}": F.expr(first(name, pattern)) for name, pattern in P.MEASURES.items()}
+    fold = f"aggregate(z_blocks, CAST(NULL AS {_HEM}), (found, b) -> CASE WHEN found IS NOT NULL THEN found {hem('double', P.HEM_DOUBLE)} {hem('single', P.HEM_SINGLE)} END)"
+    return out | {"s_hem": F.expr(f"CASE WHEN contains(z_all, '裾') THEN {fold} END")}
 
 
-def size_aggregates() -> dict[str, Column]:
-    return {f"s_{n}": first_match(_T(f"s_{n}"), _T("size_place")) for n in [*P.MEASURES, "hem"]} | {"narrowed": F.max("narrowed")}
+def size_numbers() -> dict[str, Column]:
+    """The same with their numbers, which are taken from the evidence alone."""
+    made = "named_struct('value', try_cast(regexp_extract(e_{0}.evidence, {1}, 1) AS double), 'evidence', e_{0}.evidence, 'source', e_{0}.source, 'confidence', e_{0}.confidence)"
+    return {f"s_{n}": F.expr(f"CASE WHEN e_{n} IS NOT NULL THEN {made.format(n, sql_text(p))} END") for n, p in P.MEASURES.items()}
 
 
 _PLAIN = ("s_waist_flat IS NULL AND s_waist_girth IS NULL", "s_waist.value <= 60")
@@ -177,13 +197,13 @@ def size_result() -> Column:
 
 
 def price_blocks() -> dict[str, Column]:
-    left = F.regexp_replace(_T("t"), P.BUY_NOW, "")
-    amount = parse_jpy(found(left, P.ANY_PRICE, 1))
-    return {"p_any": F.when((_T("source") == "price") & (amount > 0), amount)}
+    return {"o_price": ordered_blocks("price")}
 
 
-def price_aggregates() -> dict[str, Column]:
-    return {"p_text": concat_evidence(_T("t"), place("price")), "p_any": first_match(_T("p_any"), place("price"))}
+def price_texts() -> dict[str, Column]:
+    amount = lambda b: parse_jpy(found(F.regexp_replace(b["t"], P.BUY_NOW, ""), P.ANY_PRICE, 1))
+    own = F.filter("o_price", lambda b: b["source"] == "price")
+    return {"p_text": joined_texts("o_price"), "p_any": F.try_element_at(F.filter(F.transform(own, amount), lambda a: a > 0), F.lit(1))}
 
 
 def price_values() -> dict[str, Column]:
@@ -228,10 +248,10 @@ def price_result() -> Column:
 # --- status -------------------------------------------------------------------------------------------------
 
 
-def status_aggregates() -> dict[str, Column]:
+def status_texts() -> dict[str, Column]:
     return {
-        "t_status": concat_evidence(_T("t"), _T("pos"), _T("source") == "status"),
-        "t_other": concat_evidence(_T("t"), _T("pos"), _T("source").isin("title", "description", "all_text")),
+        "t_status": joined_texts(F.filter("blocks", lambda b: b["source"] == "status")),
+        "t_other": joined_texts(F.filter("blocks", lambda b: b["source"].isin("title", "description", "all_text"))),
     }
 
 
@@ -268,15 +288,16 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def fibers_of(text: str) -> Column:
-    """The fibres of a column of texts in their fixed order, each once, with the first percentage that is given for it."""
+def fibers_of(text: str, low: str) -> str:
+    """The fibres of a text in their fixed order, each once, with the first percentage that is given for it; in SQL. low is the text in lower case."""
 
     def one(fiber: str) -> str:
         shares = f"regexp_extract_all({text}, {sql_text(P.fiber_share(fiber))}, 1)"
-        share = f"try_cast(try_element_at(filter({shares}, x -> x != ''), 1) AS int)"
-        return f"CASE WHEN {text} RLIKE {sql_text('(?iU)' + P.FIBERS[fiber])} THEN named_struct('fiber', '{fiber}', 'percentage', {share}) END"
+        share = f"try_cast(try_element_at(filter({shares}, s -> s != ''), 1) AS int)"
+        holds = " OR ".join(f"contains({low}, {sql_text(w)})" for w in P.FIBER_WORDS[fiber])
+        return f"CASE WHEN ({holds}) AND {text} RLIKE {sql_text('(?iU)' + P.FIBERS[fiber])} THEN named_struct('fiber', '{fiber}', 'percentage', {share}) END"
 
-    return F.expr(f"array_compact(array({', '.join(map(one, P.FIBERS))}))").cast(FIBER)
+    return f"CAST(array_compact(array({', '.join(map(one, P.FIBERS))})) AS {FIBER})"
 
 
 def infer_100(fibers: Column) -> Column:
@@ -304,32 +325,42 @@ def split_outer_lining(text: Column) -> tuple[Column, Column]:
     return outer_text, lining_text
 
 
+def material_blocks() -> dict[str, Column]:
+    words = tuple(w for words in P.FIBER_WORDS.values() for w in words)
+    return {"o_material": F.filter(ordered_blocks("material"), lambda b: _holds(b["low"], words) & b["t"].rlike(P.ANY_FIBER))}
+
+
 def material_texts() -> dict[str, Column]:
-    outer, lining = split_outer_lining(_T("t"))
-    fibrous = _T("t").rlike(P.ANY_FIBER)
-    return {"m_outer_text": F.when(fibrous, outer), "m_lining_text": F.when(fibrous, lining)}
+    """Of each block that names a fibre, its parts about the outer cloth and the lining."""
 
+    def one(b: Column) -> Column:
+        outer, lining = split_outer_lining(b["t"])
+        marked = reduce(lambda x, y: x | y, [b["t"].rlike(p) for p in (P.OUTER, P.LINING, P.SECTION)])
+        key = F.struct(b["prio"].alias("prio"), b["pos"].alias("pos"))
+        return F.struct(key.alias("key"), outer.alias("outer"), lining.alias("lining"), F.lower(outer).alias("outer_low"), F.lower(lining).alias("lining_low"), marked.alias("marked"), b["confidence"].alias("confidence"))
 
-def material_blocks() -> dict[str, Column]:
-    marked = reduce(lambda a, b: a | b, [_T("t").rlike(p) for p in (P.OUTER, P.LINING, P.SECTION)])
-    fibers = lambda text: F.when(F.col(text) != "", fibers_of(text)).when(F.col(text).isNotNull(), F.array().cast(FIBER))
-    return {
-        "m_outer": fibers("m_outer_text"), "m_lining": fibers("m_lining_text"),
-        "m_marked": F.when(_T("m_outer_text").isNotNull(), marked),
-    }
+    return {"m_texts": F.transform("o_material", one)}
 
 
-def material_aggregates() -> dict[str, Column]:
-    outer, lining, key = _T("m_outer"), _T("m_lining"), place("material")
-    sure = _T("m_marked") | F.exists(F.concat(outer, lining), lambda f: f["percentage"].isNotNull())
-    row = lambda fibers: F.struct(key.alias("key"), infer_100(fibers).alias("fibers"), _T("confidence").alias("confidence"))
+def material_fibers() -> dict[str, Column]:
+    fibers = lambda text: f"CASE WHEN {text} <> '' THEN {fibers_of(text, text + '_low')} ELSE CAST(array() AS {FIBER}) END"
     return {
-        "m_sure": F.min_by(row(outer), F.when((F.size(outer) > 0) & sure, key)),
-        "m_maybe": F.min_by(row(outer), F.when((F.size(outer) > 0) & ~sure, key)),
-        "m_lining": F.min_by(row(lining), F.when(F.size(lining) > 0, key)),
+        "m_fibers": F.expr(
+            f"transform(m_texts, x -> named_struct('key', x.key, 'outer', {fibers('x.outer')}, 'lining', {fibers('x.lining')}, 'marked', x.marked, 'confidence', x.confidence))"
+        )
     }
 
 
+def material_firsts() -> dict[str, Column]:
+    sure = lambda x: x["marked"] | F.exists(F.concat(x["outer"], x["lining"]), lambda f: f["percentage"].isNotNull())
+
+    def first(which: str, fits) -> Column:
+        got = F.try_element_at(F.filter("m_fibers", lambda x: (F.size(x[which]) > 0) & fits(x)), F.lit(1))
+        return F.when(got.isNotNull(), F.struct(got["key"].alias("key"), infer_100(got[which]).alias("fibers"), got["confidence"].alias("confidence")))
+
+    return {"m_sure": first("outer", sure), "m_maybe": first("outer", lambda x: ~sure(x)), "m_lining": first("lining", lambda x: F.lit(True))}
+
+
 def material_result() -> Column:
     sure, maybe = _T("m_sure"), _T("m_maybe")
     lining = F.when(sure.isNull() | (_T("m_lining")["key"] <= sure["key"]), _T("m_lining"))
@@ -349,19 +380,22 @@ def material_result() -> Column:
 
 
 def style_blocks() -> dict[str, Column]:
-    text = _T("t")
-    worded = found(text, P.BUTTONS_WORD, 1)
-    from_word = _first_of((worded.contains(w), F.lit(n)) for w, n in P.BUTTON_WORDS.items())
-    with_confidence = lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), "confidence"))
-    return {
-        "y_type": with_confidence(_first_of([(text.rlike(P.DOUBLE), F.lit("double")), (text.rlike(P.SINGLE), F.lit("single"))])),
-        "y_count": with_confidence(F.coalesce(found(text, P.BUTTONS, 1).try_cast("int"), from_word)),
-        "y_color": with_confidence(_first_of((text.rlike(p), F.lit(c)) for c, p in P.BUTTON_COLORS.items())),
-    }
+    return {"o_style": ordered_blocks("style")}
+
+
+def style_firsts() -> dict[str, Column]:
+    def kind(b: Column) -> Column:
+        return F.when(_holds(b["low"], P.WORDS["style"]), _first_of([(b["t"].rlike(P.DOUBLE), F.lit("double")), (b["t"].rlike(P.SINGLE), F.lit("single"))]))
 
+    def count(b: Column) -> Column:
+        worded = found(b["t"], P.BUTTONS_WORD, 1)
+        named = _first_of((worded.contains(w), F.lit(n)) for w, n in P.BUTTON_WORDS.items())
+        return F.when(_holds(b["low"], P.WORDS["buttons"]), F.coalesce(found(b["t"], P.BUTTONS, 1).try_cast("int"), F.when(b["t"].contains("ボタン"), named)))
 
-def style_aggregates() -> dict[str, Column]:
-    return {c: first_match(_T(c), place("style")) for c in ("y_type", "y_count", "y_color")}
+    def color(b: Column) -> Column:
+        return F.when(_holds(b["low"], P.WORDS["color"]), _first_of((b["t"].rlike(p), F.lit(c)) for c, p in P.BUTTON_COLORS.items()))
+
+    return {"y_type": first_value("o_style", kind, "string"), "y_count": first_value("o_style", count, "int"), "y_color": first_value("o_style", color, "string")}
 
 
 def style_result() -> Column:
@@ -381,29 +415,36 @@ def style_result() -> Column:
 
 
 def condition_blocks() -> dict[str, Column]:
-    text = _T("t")
+    return {"o_condition": ordered_blocks("condition")}
+
 
-    def row(value: Column, weight: float, warning: str | None = None) -> Column:
+def condition_firsts() -> dict[str, Column]:
+    def row(b: Column, value: Column, weight: float, warning: str | None = None) -> Column:
         return F.struct(
-            value.alias("value"), (_T("confidence") * weight).alias("confidence"),
-            F.lit(warning).cast("string").alias("warning"), place("condition").alias("key"),
+            value.alias("value"), (b["confidence"] * weight).alias("confidence"), F.lit(warning).cast("string").alias("warning"),
+            F.struct(b["prio"].alias("prio"), b["pos"].alias("pos")).alias("key"),
         )
 
-    return {
-        "c_grade": _first_of((text.rlike(p), row(F.lit(g), 0.85)) for g, p in P.GRADES.items()),
-        "c_stain": _first_of(
-            [
-                (text.rlike(P.NO_STAIN), row(F.lit(False), 0.85)),
-                (text.rlike(P.SEVERE_STAIN), row(F.lit(True), 0.9, "ひどい汚れの記述あり")),
-                (text.rlike(P.STAIN), row(F.lit(True), 0.9, "汚れの記述あり")),
-            ]
-        ),
-        "c_hole": _first_of([(text.rlike(P.HOLE), row(F.lit(True), 0.9, "穴・破れの記述あり")), (text.rlike(P.NO_HOLE), row(F.lit(False), 0.85))]),
-    }
+    def stain(b: Column) -> Column:
+        rules = [
+            (b["t"].rlike(P.NO_STAIN), row(b, F.lit(False), 0.85)),
+            (b["t"].rlike(P.SEVERE_STAIN), row(b, F.lit(True), 0.9, "ひどい汚れの記述あり")),
+            (b["t"].rlike(P.STAIN), row(b, F.lit(True), 0.9, "汚れの記述あり")),
+        ]
+        return F.when(_holds(b["low"], P.WORDS["stain"]), _first_of(rules))
+
+    def hole(b: Column) -> Column:
+        rules = [(b["t"].rlike(P.HOLE), row(b, F.lit(True), 0.9, "穴・破れの記述あり")), (b["t"].rlike(P.NO_HOLE), row(b, F.lit(False), 0.85))]
+        return F.when(_holds(b["low"], P.WORDS["hole"]), _first_of(rules))
 
+    def grade(b: Column) -> Column:
+        return F.when(_holds(b["low"], P.WORDS["grade"]), _first_of((b["t"].rlike(p), row(b, F.lit(g), 0.85)) for g, p in P.GRADES.items()))
 
-def condition_aggregates() -> dict[str, Column]:
-    return {c: first_match(_T(c), place("condition")) for c in ("c_grade", "c_stain", "c_hole")}
+    kind = "struct<value:{},confidence:double,warning:string,key:struct<prio:int,pos:int>>"
+    return {
+        "c_grade": first_block("o_condition", grade, kind.format("string")), "c_stain": first_block("o_condition", stain, kind.format("boolean")),
+        "c_hole": first_block("o_condition", hole, kind.format("boolean")),
+    }
 
 
 def condition_result() -> Column:
@@ -423,45 +464,44 @@ def condition_result() -> Column:
 
 # --- all together -------------------------------------------------------------------------------------------
 
-#: For each attribute its columns over blocks, the aggregates of an item, values over these in one or more steps, and the result.
+#: For each attribute its columns over an item's blocks, step by step, and the result over these.
 EXTRACTORS = {
-    "size": (size_blocks, size_aggregates, (size_hits, size_values), size_result),
-    "price": (price_blocks, price_aggregates, (price_values,), price_result),
-    "status": (dict, status_aggregates, (status_values,), status_result),
-    "material": (material_blocks, material_aggregates, (), material_result),
-    "style": (style_blocks, style_aggregates, (), style_result),
-    "condition": (condition_blocks, condition_aggregates, (), condition_result),
-}
+    "size": (
+        (
+            narrow_size_table, narrow_to_size, size_blocks, lambda: {"z_all": F.array_join(F.transform("z_blocks", lambda b: b["low"]), "\n")},
+            size_evidence, size_numbers, size_hits, size_values,
+        ),
+        size_result,
+    ),
+    "price": ((price_blocks, price_texts, price_values), price_result),
+    "status": ((status_texts, status_values), status_result),
+    "material": ((material_blocks, material_texts, material_fibers, material_firsts), material_result),
+    "style": ((style_blocks, style_firsts), style_result),
+    "condition": ((condition_blocks, condition_firsts), condition_result),
+}
+
+
+def fold_blocks(items: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
+    """items, whose `blocks` are an array of BLOCKS in the order of their places, with the named attributes instead, and `n_blocks`."""
+    kept = [c for c in items.columns if c != "blocks"]
+    built = [built_columns(name) for name in which]
+    rows = items.withColumn("n_blocks", F.size("blocks"))
+    for step in range(max((len(steps) for steps, _ in built), default=0)):
+        rows = rows.select("*", *[v.alias(k) for steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())])
+    # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves
+    result = F.inline(F.array(F.struct(*[result.alias(name) for name, (_, result) in zip(which, built)])))
+    return rows.select(*kept, "n_blocks", result)
 
 
 def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), normalized: bool = False) -> DataFrame:
-    """item_id and a struct of each of the named attributes.
+    """item_id and a struct of each of the named attributes, of long evidence, whose blocks are gathered by item first.
 
-    Texts are normalised unless `normalized` says that they are, or a column `t` holds them so. Columns of
-    `captured_evidence` that ride along come out as they are, and `n_blocks` counts the blocks with a text.
+    Texts are normalised unless `normalized` says that they are.
     """
-    carried = [c for c in evidence.columns if re.fullmatch(r"carried_\d+", c)]
-    text = _T("t") if "t" in evidence.columns else _T("text") if normalized else norm_ja(_T("text"))
-    rows = evidence.select("item_id", "pos", "source", "confidence", text.alias("t"), *carried)
-    if "size" in which:
-        rows = narrow_size_table(rows)
-    built = [built_columns(name) for name in which]
-    if "material" in which:
-        rows = rows.select("*", *[v.alias(k) for k, v in material_texts().items()])
-    rows = rows.select(
-        "*", *([place("size").alias("size_place")] if "size" in which else []),
-        *[v.alias(k) for blocks, *_ in built for k, v in blocks.items()]
-    )
-    aggregates = [v.alias(k) for _, found, _, _ in built for k, v in found.items()]
-    more = [F.first(c, ignorenulls=True).alias(c) for c in carried] + ([F.count("t").alias("n_blocks")] if carried else [])
-    grouped = rows.groupBy("item_id").agg(*aggregates, *more)
-    for step in range(max(len(steps) for _, _, steps, _ in built)):
-        grouped = grouped.select(
-            "*", *[v.alias(k) for _, _, steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())]
-        )
-    # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves
-    result = F.inline(F.array(F.struct(*[b[3].alias(name) for name, b in zip(which, built)])))
-    return grouped.select("item_id", *carried, *(["n_blocks"] if carried else []), result)
+    text = _T("text") if normalized else norm_ja(_T("text"))
+    rows = evidence.select("item_id", F.struct("pos", "source", F.col("confidence").cast("double").alias("confidence"), text.alias("t")).cast(BLOCKS[6:-1]).alias("b"))
+    items = rows.groupBy("item_id").agg(F.filter(F.sort_array(F.collect_list("b")), lambda b: b["t"].isNotNull()).alias("blocks"))
+    return fold_blocks(items, which).drop("n_blocks")
 
 
 _built: dict[tuple, tuple] = {}
@@ -475,6 +515,6 @@ def once(name, build):
     return _built[key]
 
 
-def built_columns(name: str) -> tuple[dict[str, Column], dict[str, Column], list[dict[str, Column]], Column]:
-    blocks, aggregates, steps, result = EXTRACTORS[name]
-    return once(name, lambda: (blocks(), aggregates(), [step() for step in steps], result()))
+def built_columns(name: str) -> tuple[list[dict[str, Column]], Column]:
+    steps, result = EXTRACTORS[name]
+    return once(name, lambda: ([step() for step in steps], result()))

@@ -1,8 +1,9 @@
-"""Whole runs: captures or stored packages in, decided listings out, as one lazy plan with one shuffle by item.
+"""Whole runs: captures or stored packages in, decided listings out, as one lazy plan without a shuffle.
 
-Every row is decided by what it holds itself, so a page that was captured twice gives two decisions; rows alike
-in every column count once. A row without usable evidence, as one whose url and texts are null, gets an error
-and no decision. Other columns pass; those with the name of a result are replaced by it.
+Every row is decided within itself by what it holds, so a page that was captured twice gives two decisions. Rows alike in
+every column count once; finding them deals out all rows, so say distinct=False where the source has none. A row without
+usable evidence, as one whose url and texts are null, gets an error and no decision. Other columns pass; those with the
+name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RULES, Rules
-from ..operators.evidence import build_package, captured_evidence, clean_blocks, clean_captured, page_blocks, stored_blocks
-from ..operators.extract import EXTRACTORS, extract
+from ..operators.evidence import build_package, clean_blocks, clean_own_blocks, distinct_rows, page_blocks, stored_blocks
+from ..operators.extract import EXTRACTORS, extract, fold_blocks
 from ..operators.rules import DECIDED, decide, merge_attributes
 from ..sources.sites import captures_to_signals
 
@@ -22,37 +23,38 @@ def decide_evidence(evidence: DataFrame, rules: Rules = RULES, normalized: bool
     return decide(merge_attributes(extract(clean_blocks(evidence), normalized=normalized)), rules)
 
 
-def extract_rows(rows: DataFrame, blocks: Column, which: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
+def extract_rows(rows: DataFrame, blocks: Column, which: tuple[str, ...] = tuple(EXTRACTORS), distinct: bool = True) -> DataFrame:
     """rows with the named attributes of each; n_blocks says how many blocks of evidence there were."""
     kept = [c for c in rows.columns if c.lower() not in {*EXTRACTORS, "n_blocks"}]
-    found = extract(clean_captured(captured_evidence(rows, blocks, kept)), which)
+    rows = distinct_rows(rows) if distinct else rows
+    carried = rows.select(*[F.col(c).alias(f"carried_{i}") for i, c in enumerate(kept)], blocks.alias("blocks"))
+    found = fold_blocks(clean_own_blocks(carried, F.col("blocks")), which)
     return found.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(kept)], *which, "n_blocks")
 
 
-def _decide_rows(rows: DataFrame, blocks: Column, rules: Rules) -> DataFrame:
+def _decide_rows(rows: DataFrame, blocks: Column, rules: Rules, distinct: bool) -> DataFrame:
     rows = rows.drop(*DECIDED, "error")
-    whole = decide(merge_attributes(extract_rows(rows, blocks)), rules)
+    whole = decide(merge_attributes(extract_rows(rows, blocks, distinct=distinct)), rules)
     none = F.col("n_blocks") == 0
     made = {c: F.when(~none, F.col(c)) for c in (*EXTRACTORS, *DECIDED)}
     kept = [c for c in whole.columns if c not in made and c != "n_blocks"]
     return whole.select(*kept, *[v.alias(c) for c, v in made.items()], F.when(none, "no evidence").alias("error"))
 
 
-def extract_signals(signals: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
+def extract_signals(signals: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), distinct: bool = True) -> DataFrame:
     """signals (url and text buckets) with item_id, source_site and the named attributes."""
-    return extract_rows(build_package(signals), page_blocks(), which)
+    return extract_rows(build_package(signals), page_blocks(), which, distinct)
 
 
-def decide_signals(signals: DataFrame, rules: Rules = RULES) -> DataFrame:
+def decide_signals(signals: DataFrame, rules: Rules = RULES, distinct: bool = True) -> DataFrame:
     """signals (url and text buckets) with the decision of each; a page without any evidence gets an error instead."""
-    return _decide_rows(build_package(signals), page_blocks(), rules)
+    return _decide_rows(build_package(signals), page_blocks(), rules, distinct)
 
 
-def decide_captures(captures: DataFrame, rules: Rules = RULES) -> DataFrame:
-    return decide_signals(captures_to_signals(captures), rules)
+def decide_captures(captures: DataFrame, rules: Rules = RULES, distinct: bool = True) -> DataFrame:
+    return decide_signals(captures_to_signals(captures), rules, distinct)
 
 
-def reparse(packages: DataFrame, rules: Rules = RULES) -> DataFrame:
+def reparse(packages: DataFrame, rules: Rules = RULES, distinct: bool = True) -> DataFrame:
     """Stored packages decided anew, for when rules change. Items without usable evidence get an error, not a decision."""
-    decided = _decide_rows(packages, stored_blocks(), rules)
-    return decided.drop("evidence_blocks", "page_signals")
+    return _decide_rows(packages, stored_blocks(), rules, distinct).drop("evidence_blocks", "page_signals")

@@ -6,7 +6,7 @@ work that grows with the table, and the expected answer can be computed from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WIDE = "０１２３４５６７８９"
@@ -24,6 +24,11 @@ def _say(label: str, number: Column, unit: str = "cm") -> Column:
     return F.concat(F.lit(label), number.cast("string"), F.lit(unit))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given table, which is one small file: its keys are dealt out over the cores before wide texts are made of them."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+
+
 def listing_signals(part: DataFrame, changed: bool = False) -> DataFrame:
     """url, the text buckets, image_urls and retrieved_at of a listing per part; `changed` loses some buy-now prices."""
     k = F.col("p_partkey")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RULES
@@ -16,17 +15,13 @@ from ..sources.scratch import shared_path
 from ..sources.sites import IMAGES, SELECTORS, captures_to_signals, selector_signals
 from ..streaming.decisions import stream_decisions
 from .decisions import decide_captures, decide_signals, extract_signals, reparse
-from .listings import EXPECTED_SQL, listing_signals
+from .listings import EXPECTED_SQL, listing_signals, parts
 from .pages import PAGES_SQL, choose, listing_captures, signals_of
 
 def _k() -> F.Column:
     return F.col("p_partkey")
 
 
-def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
-
-
 def _say(*parts) -> F.Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
@@ -37,23 +32,23 @@ def _say(*parts) -> F.Column:
 def capture_signals(spark, sf_dir):
     """Pages of all sites, written as captures and read back."""
     path = shared_path(spark, "captures")
-    listing_captures(_part(spark, sf_dir)).write.parquet(path)
+    listing_captures(parts(spark, sf_dir)).write.parquet(path)
     out = captures_to_signals(read_captures(spark, path))
     return out.drop("retrieved_at").withColumn("images", F.array_join("image_urls", " ")).drop("image_urls")
 
 
 def capture_decisions(spark, sf_dir):
-    out = decide_captures(listing_captures(_part(spark, sf_dir)))
+    out = decide_captures(listing_captures(parts(spark, sf_dir)), distinct=False)
     return out.select("url", "verdict", "score", F.size("blocking_reasons").alias("n_blocking"), F.size("reasons").alias("n_notes"))
 
 
 def capture_verdicts(spark, sf_dir):
-    return store.verdict_stats(decide_captures(listing_captures(_part(spark, sf_dir))))
+    return store.verdict_stats(decide_captures(listing_captures(parts(spark, sf_dir)), distinct=False))
 
 
 def repeated_captures(spark, sf_dir):
     """Every page twice, the second time without some of the buy-now prices, and pages without a URL: each is decided by itself."""
-    part = _part(spark, sf_dir)
+    part = parts(spark, sf_dir)
     later = listing_captures(part, changed=True).withColumn("retrieved_at", F.col("retrieved_at") + F.expr("interval 30 days"))
     nameless = listing_captures(part.filter(_k() % 6 == 5)).withColumn("url", F.lit(None).cast("string"))
     out = decide_captures(listing_captures(part).unionByName(later).unionByName(nameless))
@@ -65,9 +60,9 @@ def repeated_captures(spark, sf_dir):
 
 def recheck_matches(spark, sf_dir):
     """Stored matches looked at again after some lost their buy-now price."""
-    part = _part(spark, sf_dir)
-    stored = decide_captures(listing_captures(part)).filter(F.col("verdict") == "MATCH").select("url", "verdict", "price")
-    again = extract_signals(captures_to_signals(listing_captures(part, changed=True)), ("status", "price"))
+    part = parts(spark, sf_dir)
+    stored = decide_captures(listing_captures(part), distinct=False).filter(F.col("verdict") == "MATCH").select("url", "verdict", "price")
+    again = extract_signals(captures_to_signals(listing_captures(part, changed=True)), ("status", "price"), distinct=False)
     return store.recheck_join(stored, again).select("url", "verdict", "is_active", "reason")
 
 
@@ -80,7 +75,7 @@ def page_selectors(spark, sf_dir):
         F.when(_k() % 2 == 0, '<p class="AuctionStatus">出品中</p>').otherwise(""), '<section class="ItemDescription">\n肩幅：',
         _k() % 9, "cm<br>\n裾シングル &amp; 他\n</section>",
     )
-    return _part(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in selector_signals(html, SELECTORS).items()])
+    return parts(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in selector_signals(html, SELECTORS).items()])
 
 
 def nested_selectors(spark, sf_dir):
@@ -95,7 +90,7 @@ def nested_selectors(spark, sf_dir):
         "<img class=ProductImage__image src=//i/", _k(), ".jpg><img src=no.jpg><img src='//i/b.jpg?a=1&amp;b=2' class='y ProductImage__image'/>",
     )
     signals = selector_signals(html, SELECTORS, images=IMAGES, rendered=True)
-    out = _part(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in signals.items()])
+    out = parts(spark, sf_dir).select(_k().alias("k"), *[c.alias(n) for n, c in signals.items()])
     return out.withColumn("image_urls", F.array_join("image_urls", " "))
 
 
@@ -120,14 +115,14 @@ def item_urls(spark, sf_dir):
         '">z</a><a href="https://auctions.yahoo.co.jp/jp/auction/x', _k(),
         '?b">q</a><a href="https://other/item/m1">o</a><a href="https://page.auctions.yahoo.co.jp/jp/auction/y', _k(), '">p</a>',
     )
-    pages = _part(spark, sf_dir).select(_k().alias("k"), html.alias("html"))
+    pages = parts(spark, sf_dir).select(_k().alias("k"), html.alias("html"))
     both = frontier.extract_item_urls(pages, "mercari").unionByName(frontier.extract_item_urls(pages, "yahoo_auctions"))
     return both.select("k", "rank", "url", site_item_id(F.col("url")).alias("site_id"))
 
 
 def item_url_round_trip(spark, sf_dir):
     url = frontier.build_item_url(_say("x", _k()))
-    return _part(spark, sf_dir).select(
+    return parts(spark, sf_dir).select(
         _k().alias("k"), url.alias("url"), site_item_id(url).alias("site_id"),
         F.size(frontier.item_urls_in_text(_say("see ", url, "?a=1 or ", url))).alias("n"),
     )
@@ -139,10 +134,10 @@ def item_url_round_trip(spark, sf_dir):
 def stored_packages(spark, sf_dir):
     """Packages written as JSON, read back and decided anew; every tenth lost its blocks."""
     path = shared_path(spark, "packages")
-    signals = build_package(listing_signals(_part(spark, sf_dir)))
+    signals = build_package(listing_signals(parts(spark, sf_dir)))
     nested = nest_evidence(signals_to_evidence(signals.withColumn("item_id", _k().cast("string"))))
     nested.withColumn("evidence_blocks", F.when(F.col("item_id").cast("long") % 10 != 9, F.col("evidence_blocks"))).write.json(path)
-    return reparse(read_evidence_packages(spark, path)).select(F.col("item_id").cast("long").alias("k"), "verdict", "score", "error")
+    return reparse(read_evidence_packages(spark, path), distinct=False).select(F.col("item_id").cast("long").alias("k"), "verdict", "score", "error")
 
 
 def logged_outcomes(spark, sf_dir):
@@ -164,7 +159,7 @@ def logged_outcomes(spark, sf_dir):
 def streamed_listings(spark, sf_dir):
     """Captures that arrive as files, each twice, decided as a stream and folded to current listings."""
     source, changes, state = (shared_path(spark, n) for n in ("arriving", "changes", "stream-state"))
-    pages = listing_captures(_part(spark, sf_dir))
+    pages = listing_captures(parts(spark, sf_dir))
     for _ in range(2):  # the same captures again, too soon to count
         pages.coalesce(1).write.mode("append").parquet(source)
     query = stream_decisions(read_captures(spark, source, stream=True), changes, state, once=True, within="30 days")
@@ -177,7 +172,7 @@ def streamed_listings(spark, sf_dir):
 
 def found_by_id(spark, sf_dir):
     return store.find_by_id(
-        decide_signals(listing_signals(_part(spark, sf_dir))),
+        decide_signals(listing_signals(parts(spark, sf_dir)), distinct=False),
         "f8279f5c6d45126f7d242c99160193f5e89b84391a801f021e881dd53f0f3201",
     ).select("url", "verdict")
 
@@ -186,19 +181,19 @@ def found_by_id(spark, sf_dir):
 
 
 def listing_warnings(spark, sf_dir):
-    return decide_signals(listing_signals(_part(spark, sf_dir))).select(_k().alias("k"), F.array_join("warnings", " | ").alias("warnings"))
+    return decide_signals(listing_signals(parts(spark, sf_dir)), distinct=False).select(_k().alias("k"), F.array_join("warnings", " | ").alias("warnings"))
 
 
 def listing_size_tables(spark, sf_dir):
     signals = signals_of(
-        _part(spark, sf_dir),
+        parts(spark, sf_dir),
         title_text=F.concat(F.lit("紺 スーツ "), choose(5, "3XL", "LL", "M", "なし", "XS")),
         description_text=F.when(_k() % 6 == 5, "【Mサイズ】肩幅 43cm 袖丈 60cm").otherwise(
             "【 Mサイズ 】肩幅 43cm 袖丈 60cm【3XLサイズ】肩幅 46cm 袖丈 63cm [2XL] 肩幅 44cm 袖丈 61cm"
         ),
     )
     size = F.col("size")
-    out = extract_signals(signals, ("size",))
+    out = extract_signals(signals, ("size",), distinct=False)
     return out.select(
         "k", size["jacket"]["shoulder_cm"]["value"].alias("shoulder"), size["jacket"]["sleeve_cm"]["value"].alias("sleeve"),
         F.array_join(size["warnings"], " | ").alias("warnings"),
@@ -213,7 +208,7 @@ def listing_shipping(spark, sf_dir):
     )
     price = F.col("price")
     join = lambda f: F.array_join(price[f], " | ").alias(f)
-    return extract_signals(signals_of(_part(spark, sf_dir), description_text=text), ("price",)).select(
+    return extract_signals(signals_of(parts(spark, sf_dir), description_text=text), ("price",), distinct=False).select(
         "k", price["listing_type"].alias("listing_type"), price["shipping_price_jpy"].alias("shipping"),
         price["shipping_included"].alias("included"), join("evidence"), join("unknown_fields"), join("warnings"),
         price["confidence"].alias("confidence"),
@@ -223,12 +218,12 @@ def listing_shipping(spark, sf_dir):
 def listing_status_fallback(spark, sf_dir):
     """States that only titles or descriptions tell, or nothing does."""
     signals = signals_of(
-        _part(spark, sf_dir), title_text=choose(5, "スーツ SOLD OUT", "紺のスーツ", "紺のスーツ", "紺のスーツ", "紺のスーツ"),
+        parts(spark, sf_dir), title_text=choose(5, "スーツ SOLD OUT", "紺のスーツ", "紺のスーツ", "紺のスーツ", "紺のスーツ"),
         description_text=choose(5, "出品中です", "落札済みです", "オークション終了", "残り 3日", "よい品です"),
         status_text=F.when(_k() % 9 == 8, "お取り置き").otherwise(""),
     )
     s = F.col("status")
-    return extract_signals(signals, ("status",)).select(
+    return extract_signals(signals, ("status",), distinct=False).select(
         "k", s["normalized_status"].alias("state"), s["raw_status"].alias("raw"), s["confidence"].alias("confidence"),
         F.array_join(s["warnings"], " | ").alias("warnings"),
     )
@@ -237,14 +232,14 @@ def listing_status_fallback(spark, sf_dir):
 def listing_priorities(spark, sf_dir):
     """Sources that say different things: the order of the extractor decides, then the place."""
     signals = signals_of(
-        _part(spark, sf_dir),
+        parts(spark, sf_dir),
         title_text=F.concat(F.lit("肩幅 45cm ダブルスーツ ウール 穴あり"), F.when(_k() % 4 == 0, " 1ボタン").otherwise("")),
         specs_text=F.when(_k() % 3 == 0, "肩幅 43cm モヘア100% ジャンク").otherwise(""),
         description_text=F.when(_k() % 2 == 0, "肩幅 44cm シングル 美品\n肩幅 40cm 綿70% ナイロン30% 穴なし").otherwise("よい品です"),
         all_text=F.lit("肩幅 50cm 三つボタン ひどい汚れ"),
     )
     shoulder, style, condition = F.col("size")["jacket"]["shoulder_cm"], F.col("style"), F.col("condition")
-    out = extract_signals(signals, ("size", "material", "style", "condition"))
+    out = extract_signals(signals, ("size", "material", "style", "condition"), distinct=False)
     fibers = F.array_join(
         F.transform(F.col("material")["outer_fibers"], lambda f: F.concat(f["fiber"], F.lit("="), f["percentage"].cast("string"))),
         ",",
@@ -267,7 +262,7 @@ def listing_pants(spark, sf_dir):
     )
     size = F.col("size")
     value = lambda part, field, name: size[part][field]["value"].alias(name)
-    out = decide_signals(signals_of(_part(spark, sf_dir), description_text=text))
+    out = decide_signals(signals_of(parts(spark, sf_dir), description_text=text), distinct=False)
     return out.select(
         "k", value("pants", "rise_cm", "rise"), value("pants", "hem_width_cm", "hem_width"), value("pants", "thigh_cm", "thigh"),
         value("pants", "total_length_cm", "total_length"),
@@ -278,11 +273,11 @@ def listing_pants(spark, sf_dir):
 
 def custom_rules(spark, sf_dir):
     """Listings under thresholds that come from a table: the price limit is the mean price of all parts."""
-    part = _part(spark, sf_dir)
+    part = parts(spark, sf_dir)
     limit = part.agg(F.floor(F.avg(5000 + _k() * 37 % 40000)).cast("double")).first()[0]
     frame = rules.rules_frame(spark)
     own = rules.rules_from_frame(frame.withColumn("lo", F.when(F.col("rule") == "max_price", F.lit(limit)).otherwise(F.col("lo"))))
-    out = decide_signals(listing_signals(part), own)
+    out = decide_signals(listing_signals(part), own, distinct=False)
     return out.select(
         _k().alias("k"), F.exists("blocking_reasons", lambda r: r.startswith("価格 ")).alias("too_dear"),
         F.lit(len(asdict(RULES))).alias("n_rules"),

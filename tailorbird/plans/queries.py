@@ -10,7 +10,7 @@ from ..operators import evidence as E
 from ..operators import fill, frontier, rules, store
 from ..operators.extract import extract
 from .decisions import decide_signals, extract_signals, reparse
-from .listings import EXPECTED_SQL, listing_signals
+from .listings import EXPECTED_SQL, listing_signals, parts
 
 #: The moment that routing and views take for now.
 NOW = "2024-06-02 00:00:00"
@@ -21,17 +21,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_package(listing_signals(_table(spark, sf_dir, "part")))
+    return E.build_package(listing_signals(parts(spark, sf_dir)))
 
 
 def _attributes(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
     """Every listing with its key k and the named attributes."""
-    return extract_signals(listing_signals(_table(spark, sf_dir, "part")).withColumnRenamed("p_partkey", "k"), which)
+    return extract_signals(listing_signals(parts(spark, sf_dir)).withColumnRenamed("p_partkey", "k"), which, distinct=False)
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing with its decision."""
-    return decide_signals(listing_signals(_table(spark, sf_dir, "part"))).withColumnRenamed("p_partkey", "k")
+    return decide_signals(listing_signals(parts(spark, sf_dir)), distinct=False).withColumnRenamed("p_partkey", "k")
 
 
 # --- documents and pages ------------------------------------------------------------------------------------
@@ -245,7 +245,7 @@ def reparse_packages(spark, sf_dir):
     """Packages stored as nested, raw blocks and decided anew."""
     signals = _signals(spark, sf_dir).withColumn("item_id", F.col("p_partkey").cast("string"))
     packages = E.nest_evidence(E.signals_to_evidence(signals))
-    return reparse(packages).select(F.col("item_id").cast("long").alias("k"), "verdict", "score")
+    return reparse(packages, distinct=False).select(F.col("item_id").cast("long").alias("k"), "verdict", "score")
 
 
 def listing_view(spark, sf_dir):
@@ -291,7 +291,7 @@ def recheck_downgrade(spark, sf_dir):
     """Listings looked at again after every third lost its buy-now price."""
     part = _table(spark, sf_dir, "part")
     stored = _decided(spark, sf_dir).select("url", "verdict", "price")
-    again = extract_signals(listing_signals(part, changed=True), ("status", "price"))
+    again = extract_signals(listing_signals(part, changed=True), ("status", "price"), distinct=False)
     return store.recheck_join(stored, again).select("url", "verdict", "is_active", "reason")
 
 

@@ -31,7 +31,7 @@ def stream_decisions(
         if rows.isEmpty():  # as in batches that only clear old state
             return
         upsert_changes(
-            decide_captures(rows, rules), sequence_number(batch_id, F.lit(0)),
+            decide_captures(rows, rules, distinct=False), sequence_number(batch_id, F.lit(0)),
         ).write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
 
     once_each = stream_dedup(captures.filter(F.col("url").isNotNull() & F.col("retrieved_at").isNotNull()), within)

@@ -1,5 +1,7 @@
 """Derived pages and listings against their SQL, repeated captures, and whole pages with known decisions."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,8 @@ import __spark_entry__
 from tailorbird.functions.text import cm_to_mm, mm_to_cm
 from tailorbird.operators import fill, rules
 from tailorbird.operators.extract import extract
-from tailorbird.plans.decisions import decide_captures, decide_signals, reparse
+from tailorbird.plans.decisions import decide_captures, decide_signals, extract_signals, reparse
+from tailorbird.plans.listings import listing_signals
 from tailorbird.sources import captures as C
 from tailorbird.sources.scratch import shared_path
 from tailorbird.sources.sites import SELECTORS, selector_signals
@@ -16,7 +19,7 @@ from tailorbird.sources.sites import SELECTORS, selector_signals
 DATA = "/root/testdata/sf0.001"
 CHECKED = (
     "capture_signals", "capture_decisions", "listing_size_tables", "listing_shipping", "listing_status_fallback",
-    "listing_priorities", "item_urls", "page_selectors", "logged_outcomes",
+    "listing_priorities", "item_urls", "page_selectors", "nested_selectors", "logged_outcomes",
 )
 
 
@@ -62,9 +65,17 @@ def test_other_columns_pass_and_results_replace_their_namesakes(spark):
     assert got["verdict"] == "NO_MATCH" and got["title_text"] == "紺スーツ" and got["price"]["buy_now_price_jpy"] == 9000
 
 
-def test_plan_has_one_shuffle_and_no_join(spark):
-    plan = __spark_entry__.queries()["listing_decisions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+def test_items_are_decided_within_their_rows(spark):
+    part, pages = spark.read.parquet(f"{DATA}/part.parquet"), spark.createDataFrame([], C.CAPTURE)
+    packages = spark.createDataFrame([], C.PACKAGE)
+    for out in (
+        decide_signals(listing_signals(part), distinct=False), decide_captures(pages, distinct=False), reparse(packages, distinct=False),
+        extract_signals(listing_signals(part), ("size", "price"), distinct=False),
+    ):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Exchange|Aggregate|Join|Window|explode|Sort ", plan)
+    query = __spark_entry__.queries()["listing_decisions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall("Exchange [A-Za-z]*", query) == ["Exchange RoundRobinPartitioning"]  # of the keys of a small file
 
 
 def test_golden_package(spark, tmp_path):
