@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import elements
+from .stored import bitmap, maybe_in
 
 #: The sort orders of the two sites that are searched, and the first category of one of them.
 AUCTION_SORTS = {"new": ("new", "d"), "score": ("score", "d"), "price_asc": ("cbids", "a"), "price_desc": ("cbids", "d")}
@@ -104,13 +105,18 @@ def dedup_frontier(found: DataFrame) -> DataFrame:
 
 
 def not_in_seen(frontier: DataFrame, seen: DataFrame) -> DataFrame:
-    return frontier.join(seen.select("url").hint("merge"), "url", "left_anti")
+    """frontier without the URLs that were seen; most of these never leave their place, by a bitmap of the frontier's URLs."""
+    known = maybe_in(seen.select("url"), "url", bitmap(frontier, "url"))
+    return frontier.join(known.hint("merge"), "url", "left_anti")
 
 
 def frontier_join_store(frontier: DataFrame, listings: DataFrame) -> DataFrame:
-    """frontier with what the store knows of each URL, under `stored`; null for URLs that it doesn't have."""
+    """frontier with what the store knows of each URL, under `stored`; null for URLs that it doesn't have.
+
+    Listings that aren't in the frontier stay out of the shuffle, by a bitmap of its URLs.
+    """
     known = listings.select("url", F.struct("verdict", "needs_recheck", "retrieved_at").alias("stored"))
-    return frontier.join(known.hint("merge"), "url", "left")
+    return frontier.join(maybe_in(known, "url", bitmap(frontier, "url")).hint("merge"), "url", "left")
 
 
 def route_action(stored: Column, now: Column, recrawl_after_days: int = 3) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .rules import VERDICTS
+from .stored import bitmap, maybe_in
 
 #: The names of sites in views.
 SITE_LABELS = {"yahoo_auctions": "ヤフオク", "yahoo_shopping": "Yahoo!ショッピング", "mercari": "メルカリ", "paypay_flea_market": "PayPayフリマ"}
@@ -126,7 +127,7 @@ def recheck_join(stored: DataFrame, captured: DataFrame) -> DataFrame:
     from .rules import LOST_BUY_NOW
 
     new = captured.select("url", F.col("status").alias("new_status"), F.col("price").alias("new_price"))
-    joined = stored.join(new.hint("merge"), "url")
+    joined = maybe_in(stored, "url", bitmap(captured.select("url"), "url")).join(new.hint("merge"), "url")
     lost = F.col("price")["buy_now_price_jpy"].isNotNull() & F.col("new_price")["buy_now_price_jpy"].isNull()
     return joined.select(
         "url", F.lit("status_rechecked").alias("action"), F.when(lost, "NO_MATCH").otherwise(F.col("verdict")).alias("verdict"),

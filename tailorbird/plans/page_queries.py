@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
 from ..config import RULES
 from ..functions.html import elements
-from ..operators import frontier, rules, store
+from ..operators import frontier, rules, store, stored
 from ..operators.evidence import build_package, nest_evidence, signals_to_evidence, site_item_id
 from ..sources.captures import outcome_log, read_captures, read_evidence_packages
 from ..sources.scratch import shared_path
@@ -170,6 +171,38 @@ def streamed_listings(spark, sf_dir):
     return out.select("url", "verdict", F.size("blocking_reasons").alias("n_blocking"), "is_active")
 
 
+def _order_listings(spark, sf_dir):
+    """A listing per order, retrieved in one of five days."""
+    k = F.col("o_orderkey")
+    hours = F.make_interval(hours=(k % 113).cast("int"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "NO_MATCH").otherwise("REVIEW")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        frontier.build_item_url(_say("o", k)).alias("url"), (F.lit("2024-06-01 00:00:00").cast("timestamp") + hours).alias("retrieved_at"),
+        verdict.alias("verdict"), F.col("o_totalprice").alias("price"), k.alias("k"),
+    )
+
+
+def stored_lookups(spark, sf_dir):
+    """One listing by its URL and one by its id, out of a store of all."""
+    path = shared_path(spark, "store")
+    stored.write_store(_order_listings(spark, sf_dir), path, buckets=8)
+    by_url = stored.find_stored(spark, path, url="https://auctions.yahoo.co.jp/jp/auction/o33")
+    by_id = stored.find_stored(spark, path, own_id=hashlib.sha256(b"https://auctions.yahoo.co.jp/jp/auction/o7").hexdigest())
+    return by_url.unionByName(by_id).select("url", "item_id", "verdict", "price")
+
+
+def stored_changes(spark, sf_dir):
+    """A store after a batch of changes, in which listings also move to another day, and after a day was taken out."""
+    path, listings = shared_path(spark, "store"), _order_listings(spark, sf_dir)
+    stored.write_store(listings, path, buckets=8)
+    late = F.when(F.col("k") % 2 == 0, F.col("retrieved_at")).otherwise(F.lit("2024-06-20 00:00:00").cast("timestamp"))
+    batch = listings.filter(F.col("k") % 101 == 0).withColumns({"verdict": F.lit("MATCH"), "retrieved_at": late})
+    stored.upsert_stored(spark, path, batch.unionByName(batch.withColumn("k", -F.col("k")).withColumn("url", F.concat("url", F.lit("n")))))
+    gone = stored.delete_stored_day(spark, path, "2024-06-03")
+    out = stored.read_store(spark, path).groupBy("day", "verdict").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+    return out.withColumn("deleted", F.lit(gone).cast("long"))
+
+
 def found_by_id(spark, sf_dir):
     return store.find_by_id(
         decide_signals(listing_signals(parts(spark, sf_dir)), distinct=False),
@@ -289,7 +322,7 @@ QUERIES = {
     for f in (
         capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, nested_selectors,
         page_elements, item_urls, item_url_round_trip, stored_packages, logged_outcomes, streamed_listings,
-        found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities,
+        stored_lookups, stored_changes, found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities,
         listing_pants, custom_rules,
     )
 }
@@ -310,7 +343,23 @@ def _decoded(*names: str) -> str:
     return ", ".join(f"{n}{plain}.regexp_replace('[ \\t\\n]+', ' ', 'g').trim() AS {n}" for n in names)
 
 
+_ORDERS_SQL = """
+WITH listed AS (
+  SELECT 'https://auctions.yahoo.co.jp/jp/auction/o' || o_orderkey AS url, TIMESTAMP '2024-06-01 00:00:00' + to_hours(CAST(o_orderkey % 113 AS INTEGER)) AS seen,
+    CASE WHEN o_orderstatus = 'F' THEN 'NO_MATCH' ELSE 'REVIEW' END AS verdict, o_totalprice AS price, o_orderkey AS k FROM orders
+)"""
+
 ORACLE_SQL = {
+    "stored_lookups": _ORDERS_SQL + " SELECT url, sha256(url) AS item_id, verdict, price FROM listed WHERE k IN (7, 33)",
+    "stored_changes": _ORDERS_SQL
+    + """
+, changed AS (SELECT url, CASE WHEN k % 2 = 0 THEN seen ELSE TIMESTAMP '2024-06-20 00:00:00' END AS seen, 'MATCH' AS verdict, k FROM listed WHERE k % 101 = 0),
+merged AS (
+  SELECT url, seen, verdict, k FROM listed WHERE k % 101 <> 0 UNION ALL SELECT url, seen, verdict, k FROM changed
+  UNION ALL SELECT url || 'n', seen, verdict, -k FROM changed
+), dated AS (SELECT strftime(seen + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, verdict, k FROM merged)
+SELECT day, verdict, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys, (SELECT count(*) FROM dated WHERE day = '2024-06-03') AS deleted
+FROM dated WHERE day <> '2024-06-03' GROUP BY day, verdict""",
     "capture_signals": _paged(
         "SELECT url, source_site, title_text, price_text, status_text, description_text, all_text, specs_text, brand_text, category_text, images FROM signals"
     ),
