@@ -37,7 +37,7 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BUCKETS = 2048
 _WORDS = re.compile(r"[^\W\d_]+")
-_HASHES = 1 << 20
+_HASHES = 1 << 62  # so many that no language's share is rounded to none
 
 
 def _words_of(text: str) -> list[str]:
@@ -156,7 +156,7 @@ def tasks(sizes: dict[str, int], per_language: int) -> tuple[dict[str, tuple[str
 
 
 def sample(docs: DataFrame, per_language: int) -> tuple[dict[str, int], DataFrame]:
-    """About how many different texts each language has, and those that may teach: lang, text and a hash below 2^20."""
+    """About how many different texts each language has, and those that may teach: lang, text and a hash below 2^62."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod4(F.col("doc_id")), F.lit(0)) != 2))
     # a row for each language: its different texts, as copies are picked together
     sizes = {r["lang"]: max(1, r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
