@@ -34,17 +34,27 @@ def _unknown() -> Column:
     return F.size(F.col("size")["unknown_fields"])
 
 
+def _no_fibers() -> Column:
+    return F.size(F.col("material")["outer_fibers"]) <= 0
+
+
 def ml_fill_candidates(attributes: DataFrame, images: bool = False, rules: Rules = RULES) -> DataFrame:
-    """Rows worth asking for: many unknown sizes or no outer fibres, and a text; or, by images, those that have some."""
-    no_fibers = F.size(F.col("material")["outer_fibers"]) <= 0
-    if images:
-        return attributes.filter(((_unknown() > rules.images_above) | no_fibers) & (F.size("image_urls") > 0))
+    """Rows worth asking for: many unknown sizes or no outer fibres, and a text.
+
+    By images, to be asked once the answers about texts are merged: those with pictures that still lack more sizes than
+    pictures are worth, or still have no fibres. Rows without a text aren't asked about at all, not even by images.
+    """
     text = F.trim(F.concat_ws("\n", F.nullif("specs_text", F.lit("")), F.nullif("description_text", F.lit(""))))
-    return attributes.filter(((_unknown() > rules.fill_above) | no_fibers) & (text != ""))
+    if images:
+        return attributes.filter(((_unknown() > rules.images_above) | _no_fibers()) & (F.size("image_urls") > 0) & (text != ""))
+    return attributes.filter(((_unknown() > rules.fill_above) | _no_fibers()) & (text != ""))
+
 
+def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[str, ...] = (), rules: Rules = RULES) -> DataFrame:
+    """item_id, pass, about (size or material), prompt and images: a row for each question about a candidate. Columns of `keep` come along.
 
-def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """item_id, pass, about (size or material), prompt and images: a row for each question about a candidate. Columns of `keep` come along."""
+    Each question has a gate of its own: sizes are asked for if any is unknown, by images only if many are; fibres if there are none.
+    """
     labels = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])
     asked = F.filter(F.col("size")["unknown_fields"], lambda f: F.try_element_at(labels, f).isNotNull())
     lines = F.array_join(
@@ -65,10 +75,11 @@ def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[st
         ),
         given,
     )
+    sizes = (_unknown() > rules.images_above) if images else F.lit(True)
     ask = F.array_compact(
         F.array(
-            F.when(F.size(asked) > 0, F.struct(F.lit("size").alias("about"), size.alias("prompt"))),
-            F.when(F.size(F.col("material")["outer_fibers"]) <= 0, F.struct(F.lit("material").alias("about"), material.alias("prompt"))),
+            F.when((F.size(asked) > 0) & sizes, F.struct(F.lit("size").alias("about"), size.alias("prompt"))),
+            F.when(_no_fibers(), F.struct(F.lit("material").alias("about"), material.alias("prompt"))),
         )
     )
     pictures = F.slice("image_urls", 1, 4) if images else F.lit(None).cast("array<string>")

@@ -5,7 +5,7 @@ A frontier has query, source, page, rank and url; null URLs are never part of on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import elements
@@ -135,17 +135,27 @@ def target_limit(routed: DataFrame, target_new: int = 50, max_pages: int = 10) -
     return wanted.orderBy("page", "source", "rank", "url").limit(target_new)
 
 
+#: What is counted of the outcomes of a run.
+COUNTERS = {
+    "crawled": ("action", "crawled"), "status_rechecked": ("action", "status_rechecked"), "skipped": ("action", "skipped"), "errors": ("action", "error"),
+    "matches": ("verdict", "MATCH"), "reviews": ("verdict", "REVIEW"), "no_matches": ("verdict", "NO_MATCH"),
+}
+
+
 def batch_summary(outcomes: DataFrame) -> DataFrame:
-    """Per run: URLs, their actions, and how many got each verdict, also as a map."""
-    count = lambda column, value: F.count_if(F.col(column).eqNullSafe(value))
-    verdicts = outcomes.filter(F.col("verdict").isNotNull()).groupBy("run_id", "verdict").count()
-    verdicts = verdicts.groupBy("run_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("verdict", "count")))).alias("verdicts")
-    )
-    totals = outcomes.groupBy("run_id").agg(
-        F.count("*").alias("total"), count("action", "crawled").alias("crawled"),
-        count("action", "status_rechecked").alias("status_rechecked"), count("action", "skipped").alias("skipped"),
-        count("action", "error").alias("errors"), count("verdict", "MATCH").alias("matches"),
-        count("verdict", "REVIEW").alias("reviews"), count("verdict", "NO_MATCH").alias("no_matches"),
-    )
-    return totals.join(verdicts.hint("merge"), "run_id", "left")
+    """Per run: URLs, their actions, and how many got each verdict, also as a map. One pass: runs are summed up from their verdicts."""
+    counted = [F.count_if(F.col(c).eqNullSafe(v)).alias(name) for name, (c, v) in COUNTERS.items()]
+    parts = outcomes.groupBy("run_id", "verdict").agg(F.count("*").alias("total"), *counted)
+    named = F.collect_list(F.when(F.col("verdict").isNotNull(), F.struct("verdict", F.col("total").alias("count"))))
+    runs = parts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("total", *COUNTERS)], F.array_sort(named).alias("_named"))
+    verdicts = F.when(F.size("_named") > 0, F.map_from_entries("_named"))
+    return runs.select("run_id", "total", *COUNTERS, verdicts.alias("verdicts"))
+
+
+def observed_outcomes(outcomes: DataFrame, observation: Observation | str) -> DataFrame:
+    """outcomes as they are; while a job or a stream runs over them, the same counters come out of the observation.
+
+    An Observation gives them once its job is done; under a name they are part of a stream's progress.
+    """
+    counted = [F.count_if(F.col(c).eqNullSafe(v)).alias(name) for name, (c, v) in COUNTERS.items()]
+    return outcomes.observe(observation, F.count(F.lit(1)).alias("total"), *counted)

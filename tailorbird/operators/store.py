@@ -175,22 +175,23 @@ def verdict_stats(listings: DataFrame) -> DataFrame:
 
 
 def report(listings: DataFrame) -> DataFrame:
-    """Per site and verdict: listings, mean score, and the three most frequent blocking reasons."""
-    totals = listings.groupBy("source_site", "verdict").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
-    counted = listings.select(
-        "source_site", "verdict", F.explode("blocking_reasons").alias("reason"),
-    ).groupBy("source_site", "verdict", "reason").agg(F.count("*").alias("k"))
-    ranked = counted.withColumn(
-        "r", F.row_number().over(Window.partitionBy("source_site", "verdict").orderBy(F.col("k").desc(), "reason")),
-    ).filter("r <= 3")
-    top = ranked.groupBy("source_site", "verdict").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("r", "reason", "k"))),
-            lambda x: F.struct(x["reason"].alias("reason"), x["k"].alias("n")),
-        ).alias("top_reasons")
-    )
-    same = totals["source_site"].eqNullSafe(top["source_site"]) & totals["verdict"].eqNullSafe(top["verdict"])
-    return totals.join(top.hint("merge"), same, "left").select(totals["source_site"], totals["verdict"], "n", "mean_score", "top_reasons")
+    """Per site and verdict: listings, mean score, and the three most frequent blocking reasons. One pass over the listings.
+
+    Each listing gives a row of its own and one for each reason; the former have no reason and carry the score.
+    """
+    reasons = F.filter(F.coalesce("blocking_reasons", F.array()), lambda r: r.isNotNull())
+    each = F.concat(F.array(F.lit(None).cast("string")), reasons)
+    rows = listings.select("source_site", "verdict", "score", F.explode(each).alias("reason"))
+    group = ["source_site", "verdict"]
+    counted = rows.groupBy(*group, "reason").agg(F.count("*").alias("k"), F.avg("score").alias("mean_score"))
+    most = Window.partitionBy(*group).orderBy(F.col("reason").isNull(), F.col("k").desc(), "reason")
+    top = counted.withColumn("r", F.row_number().over(most)).filter("r <= 3 or reason is null")
+    named = F.collect_list(F.when(F.col("reason").isNotNull() & (F.col("r") <= 3), F.struct("r", "reason", "k")))
+    out = top.groupBy(*group).agg(
+        F.max(F.when(F.col("reason").isNull(), F.col("k"))).alias("n"), F.max(F.when(F.col("reason").isNull(), F.col("mean_score"))).alias("mean_score"),
+        F.transform(F.array_sort(named), lambda x: F.struct(x["reason"].alias("reason"), x["k"].alias("n"))).alias("named"),
+    )
+    return out.select(*group, "n", "mean_score", F.when(F.size("named") > 0, F.col("named")).alias("top_reasons"))
 
 
 def listing_view(listings: DataFrame) -> DataFrame:

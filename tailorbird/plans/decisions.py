@@ -15,6 +15,7 @@ from ..config import RULES, Rules
 from ..operators.evidence import build_package, clean_blocks, clean_own_blocks, distinct_rows, page_blocks, stored_blocks
 from ..operators.extract import EXTRACTORS, extract, fold_blocks
 from ..operators.rules import DECIDED, decide, merge_attributes
+from ..sources.captures import BROKEN
 from ..sources.sites import captures_to_signals
 
 
@@ -56,5 +57,9 @@ def decide_captures(captures: DataFrame, rules: Rules = RULES, distinct: bool =
 
 
 def reparse(packages: DataFrame, rules: Rules = RULES, distinct: bool = True) -> DataFrame:
-    """Stored packages decided anew, for when rules change. Items without usable evidence get an error, not a decision."""
-    return _decide_rows(packages, stored_blocks(), rules, distinct).drop("evidence_blocks", "page_signals")
+    """Stored packages decided anew, for when rules change. Each row has its own error instead of a decision: one without usable
+    evidence, or one whose text was broken, which stays under `broken`."""
+    decided = _decide_rows(packages, stored_blocks(), rules, distinct).drop("evidence_blocks", "page_signals")
+    if BROKEN not in packages.columns:
+        return decided
+    return decided.withColumn("error", F.when(F.col(BROKEN).isNotNull(), "broken record").otherwise(F.col("error")))

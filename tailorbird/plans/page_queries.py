@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RULES
 from ..functions.html import elements
-from ..operators import frontier, rules, store, stored
+from ..operators import fill, frontier, rules, store, stored
 from ..operators.evidence import build_package, nest_evidence, signals_to_evidence, site_item_id
 from ..sources.captures import outcome_log, read_captures, read_evidence_packages
 from ..sources.scratch import shared_path
@@ -141,6 +141,40 @@ def stored_packages(spark, sf_dir):
     return reparse(read_evidence_packages(spark, path), distinct=False).select(F.col("item_id").cast("long").alias("k"), "verdict", "score", "error")
 
 
+def broken_packages(spark, sf_dir):
+    """Packages of which some lines are cut off: each gets an error of its own and keeps its text; the others are decided."""
+    path = shared_path(spark, "packages")
+    signals = build_package(listing_signals(parts(spark, sf_dir)))
+    nested = nest_evidence(signals_to_evidence(signals.withColumn("item_id", _k().cast("string"))))
+    line, k = F.to_json(F.struct(*nested.columns)), F.col("item_id").cast("long")
+    nested.select(F.when(k % 10 == 3, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).write.text(path)
+    out = reparse(read_evidence_packages(spark, path), distinct=False)
+    return out.groupBy("error", "verdict").agg(F.count("*").alias("n"), F.count("broken").alias("texts"), F.count("score").alias("scores"))
+
+
+def fill_passes(spark, sf_dir):
+    """Which listings are asked about by their text, and which by their pictures once the answers about texts are in."""
+    text = choose(
+        5, "肩幅 44cm ウール100%", "肩幅 44cm 身幅 52cm 着丈 70cm 袖丈 62cm ウエスト平置き 43cm 股上 25cm 股下 75cm 裾幅 19cm ワタリ 30cm 裾シングル",
+        "肩幅 44cm 身幅 52cm 着丈 70cm 袖丈 62cm ウエスト平置き 43cm 股上 25cm 股下 75cm 裾幅 19cm ワタリ 30cm 裾シングル ウール100%", "", "袖丈 62cm",
+    )
+    signals = signals_of(parts(spark, sf_dir), description_text=text, title_text=F.lit("紺のスーツ"))
+    signals = signals.withColumn("image_urls", F.when(F.col("k") % 3 > 0, F.array(F.concat(F.lit("i"), F.col("k")))).otherwise(F.array()))
+    path = shared_path(spark, "attributes")  # written, as three steps read them
+    extract_signals(signals, ("size", "material"), distinct=False).write.parquet(path)
+    found = spark.read.parquet(path)
+    by_text = fill.ml_fill_requests(fill.ml_fill_candidates(found), keep=("k",))
+    # half of the listings get an answer about their fibres, every fourth one about its sizes as well
+    fibers = '"outer_fibers": [{"fiber": "wool", "percentage": 100}]'
+    sizes = '"jacket_chest_width_cm": 52, "jacket_length_cm": 70, "pants_rise_cm": 25, "pants_inseam_cm": 75, "pants_thigh_cm": 30, "jacket_shoulder_cm": 44'
+    told = F.when(F.col("k") % 4 == 0, f"{{{fibers}, {sizes}}}").when(F.col("k") % 2 == 0, f"{{{fibers}}}")
+    answers = fill.ml_fill_candidates(found).select("item_id", F.lit("text").alias("pass"), told.alias("j"))
+    answers = answers.filter("j is not null").select("item_id", "pass", F.parse_json("j").alias("result"))
+    merged = fill.ml_fill_join(found, answers)
+    by_image = fill.ml_fill_requests(fill.ml_fill_candidates(merged, images=True), images=True, keep=("k",))
+    return by_text.unionByName(by_image).select("k", "pass", "about", F.size(F.coalesce("images", F.array())).alias("n_images"))
+
+
 def logged_outcomes(spark, sf_dir):
     """Outcomes of runs, appended to the log run by run and summed up from it."""
     path, k = shared_path(spark, "outcomes"), F.col("event_id")
@@ -321,7 +355,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, nested_selectors,
-        page_elements, item_urls, item_url_round_trip, stored_packages, logged_outcomes, streamed_listings,
+        page_elements, item_urls, item_url_round_trip, stored_packages, broken_packages, fill_passes, logged_outcomes, streamed_listings,
         stored_lookups, stored_changes, found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities,
         listing_pants, custom_rules,
     )
@@ -401,6 +435,15 @@ SELECT k, rank, CASE site_id[1] WHEN 'm' THEN 'https://jp.mercari.com/item/' WHE
     "stored_packages": _listed(
         "SELECT k, CASE WHEN k % 10 <> 9 THEN verdict END AS verdict, CASE WHEN k % 10 <> 9 THEN score END AS score, CASE WHEN k % 10 = 9 THEN 'no evidence' END AS error FROM listed"
     ),
+    "broken_packages": _listed("""
+SELECT CASE WHEN k % 10 = 3 THEN 'broken record' END AS error, CASE WHEN k % 10 <> 3 THEN verdict END AS verdict, count(*) AS n,
+  count(*) FILTER (WHERE k % 10 = 3) AS texts, count(*) FILTER (WHERE k % 10 <> 3) AS scores FROM listed GROUP BY 1, 2"""),
+    "fill_passes": """
+WITH t AS (SELECT p_partkey AS k, p_partkey % 5 AS c, p_partkey % 3 > 0 AS pictured, p_partkey % 2 = 0 AS filled, p_partkey % 4 = 0 AS sized FROM part)
+SELECT k, 'text' AS pass, 'size' AS about, 0 AS n_images FROM t WHERE c IN (0, 1, 4)
+UNION ALL SELECT k, 'text', 'material', 0 FROM t WHERE c IN (1, 4)
+UNION ALL SELECT k, 'image', 'size', 1 FROM t WHERE c IN (0, 4) AND pictured AND NOT sized
+UNION ALL SELECT k, 'image', 'material', 1 FROM t WHERE c IN (1, 4) AND pictured AND NOT filled""",
     "logged_outcomes": """
 SELECT user_id % 2 AS run_id, count(*) AS total, count(*) FILTER (WHERE event_id % 4 = 0) AS crawled, count(*) FILTER (WHERE event_id % 4 = 1) AS status_rechecked, count(*) FILTER (WHERE event_id % 4 = 2) AS skipped,
   count(*) FILTER (WHERE event_id % 4 = 3) AS errors, count(*) FILTER (WHERE event_id % 4 < 2) AS reviews FROM events GROUP BY user_id % 2""",

@@ -28,9 +28,19 @@ def read_captures(spark: SparkSession, path: str, kind: str = "parquet", stream:
     return reader.schema(CAPTURE).format(kind).load(path)
 
 
+BROKEN = "broken"
+
+
 def read_evidence_packages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Stored packages from JSON; fields that are missing are null, broken rows are dropped into nulls."""
-    return spark.read.schema(PACKAGE).option("multiLine", multi_line).json(path)
+    """Stored packages from JSON; fields that are missing are null. A record that is no JSON keeps its text under `broken`, which is null for others."""
+    reader = spark.read.schema(f"{PACKAGE}, {BROKEN} string").option("columnNameOfCorruptRecord", BROKEN)
+    return reader.option("mode", "PERMISSIVE").option("multiLine", multi_line).json(path)
+
+
+def quarantine(packages: DataFrame, path: str) -> DataFrame:
+    """packages without broken records, whose texts are appended as lines under `path`, to be mended and read again."""
+    packages.filter(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("value"), F.col("item_id")).select("value").write.mode("append").text(path)
+    return packages.filter(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
 def outcome_log(outcomes: DataFrame, path: str) -> None:

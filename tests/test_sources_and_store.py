@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tailorbird.operators import evidence, fill, frontier, rules, store
@@ -197,3 +198,56 @@ def test_stream(spark, tmp_path):
         assert query.awaitTermination(240)
     log = spark.read.parquet(changes)
     assert log.count() == 7 and log.filter(F.col("payload.verdict") == "MATCH").count() == 2
+
+
+def test_counters_of_a_run_while_it_runs(spark, tmp_path):
+    rows = [("crawled", "MATCH"), ("crawled", "REVIEW"), ("skipped", None), ("error", None), ("status_rechecked", "NO_MATCH"), ("crawled", None)]
+    outcomes = spark.createDataFrame([(f"u{i}", 1 + i % 2, *r) for i, r in enumerate(rows)], "url string, run_id int, action string, verdict string")
+    want = {"total": 6, "crawled": 3, "status_rechecked": 1, "skipped": 1, "errors": 1, "matches": 1, "reviews": 1, "no_matches": 1}
+    seen = Observation("run")
+    frontier.observed_outcomes(outcomes, seen).write.parquet(str(tmp_path / "in"))
+    assert seen.get == want
+    stream = frontier.observed_outcomes(spark.readStream.schema(outcomes.schema).parquet(str(tmp_path / "in")), "run")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    told = [p.observedMetrics["run"].asDict() for p in query.recentProgress if "run" in p.observedMetrics]
+    assert {k: sum(t[k] for t in told) for k in want} == want
+    summary = {r["run_id"]: r for r in frontier.batch_summary(outcomes).collect()}
+    assert summary[1]["verdicts"] == {"MATCH": 1, "NO_MATCH": 1} and summary[2]["verdicts"] == {"REVIEW": 1} and summary[1]["total"] == 3
+    plan = frontier.batch_summary(outcomes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and frontier.batch_summary(outcomes.filter("verdict is null")).first()["verdicts"] is None
+
+
+def test_report_decides_once(spark):
+    rows = [("a", "X", 1.0, ["p", "q"]), ("a", "X", 0.5, ["q", "q"]), ("a", "X", None, None), ("a", "Y", 0.25, []), (None, None, 1.0, ["r", "s", "t", "u"])]
+    listings = spark.createDataFrame(rows, "source_site string, verdict string, score double, blocking_reasons array<string>")
+    got = {(r["source_site"], r["verdict"]): (r["n"], r["mean_score"], r["top_reasons"]) for r in store.report(listings).collect()}
+    assert got["a", "X"] == (3, 0.75, [("q", 3), ("p", 1)]) and got["a", "Y"] == (1, 0.25, None)
+    assert got[None, None] == (1, 1.0, [("r", 1), ("s", 1), ("t", 1)])
+    assert "Join" not in store.report(listings)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broken_records_keep_their_text_and_can_be_mended(spark, tmp_path):
+    good = json.dumps({"item_id": "p", "url": "u", "evidence_blocks": [{"source": "title", "text": "紺 スーツ", "block_type": "title", "confidence": 1.0}]}, ensure_ascii=False)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/p.json").write_text("\n".join([good, good[:40], '{"item_id": "q"}', "oops"]), encoding="utf-8")
+    packages = C.read_evidence_packages(spark, str(tmp_path / "in"))
+    got = {(r["item_id"], r["broken"]): (r["error"], r["verdict"]) for r in reparse(packages).collect()}
+    assert got["p", None] == (None, "NO_MATCH") and got["q", None] == ("no evidence", None)
+    broken = {text: found for (_, text), found in got.items() if text}
+    assert broken == {good[:40]: ("broken record", None), "oops": ("broken record", None)}
+    left = C.quarantine(packages.cache(), str(tmp_path / "bad"))
+    assert left.count() == 2 and {r[0] for r in spark.read.text(str(tmp_path / "bad")).collect()} == {good[:40], "oops"}
+
+
+def test_each_question_by_pictures_has_its_own_gate(spark):
+    def row(unknown, fibers, text, images):
+        known = ["pants_rise_cm", "pants_thigh_cm", "jacket_length_cm", "pants_inseam_cm", "jacket_sleeve_cm", "jacket_shoulder_cm", "pants_hem_width_cm"][:unknown]
+        return (f"{unknown}{fibers}{text}{images}", {"unknown_fields": known}, {"outer_fibers": [{"fiber": "wool", "percentage": 100}] * fibers}, text, "", ["i"] * images)
+
+    rows = [row(u, f, t, i) for u in (1, 5, 6) for f in (0, 1) for t in ("", "t") for i in (0, 5)]
+    kind = "item_id string, size struct<unknown_fields:array<string>>, material struct<outer_fibers:array<struct<fiber:string,percentage:int>>>, specs_text string, description_text string, image_urls array<string>"
+    attributes = spark.createDataFrame(rows, kind)
+    asked = fill.ml_fill_requests(fill.ml_fill_candidates(attributes, images=True), images=True).collect()
+    assert {(r["item_id"], r["about"]) for r in asked} == {("10t5", "material"), ("50t5", "material"), ("60t5", "material"), ("60t5", "size"), ("61t5", "size")}
+    assert all(len(r["images"]) == 4 for r in asked)
