@@ -164,6 +164,8 @@ def ml_fill_join(attributes: DataFrame, results: DataFrame, passes: tuple[str, .
 
     def apply(rows: DataFrame, name: str) -> DataFrame:
         result = F.try_parse_json(F.col(name))
-        return rows.withColumns({"size": fill_size(F.col("size"), result), "material": fill_material(F.col("material"), result)})
+        filled = F.struct(fill_size(F.col("size"), result).alias("size"), fill_material(F.col("material"), result).alias("material"))
+        # a generator of one row, so that neither the next pass nor a filter copies these expressions into itself
+        return rows.select(*[c for c in rows.columns if c not in ("size", "material")], F.inline(F.array(filled))).select(*rows.columns)
 
     return reduce(apply, passes, out).drop(*passes)

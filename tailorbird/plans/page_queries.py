@@ -170,7 +170,7 @@ def fill_passes(spark, sf_dir):
     told = F.when(F.col("k") % 4 == 0, f"{{{fibers}, {sizes}}}").when(F.col("k") % 2 == 0, f"{{{fibers}}}")
     answers = fill.ml_fill_candidates(found).select("item_id", F.lit("text").alias("pass"), told.alias("j"))
     answers = answers.filter("j is not null").select("item_id", "pass", F.parse_json("j").alias("result"))
-    merged = fill.ml_fill_join(found, answers)
+    merged = fill.ml_fill_join(found, answers, passes=("text",))
     by_image = fill.ml_fill_requests(fill.ml_fill_candidates(merged, images=True), images=True, keep=("k",))
     return by_text.unionByName(by_image).select("k", "pass", "about", F.size(F.coalesce("images", F.array())).alias("n_images"))
 
