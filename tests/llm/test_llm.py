@@ -727,3 +727,14 @@ def test_scratch_tables_can_be_cleared(spark):
     shared._scratch[:] = before[:-1]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
         spark.read.parquet(before[-1]).count()
+
+
+def test_no_language_is_too_large_to_teach():
+    _, wanted = langid.tasks({"en": 10**11, "de": 3 * 10**8, "fr": 10**5, "nl": 7 * 10**8}, 1200)
+    assert len(wanted) == 4
+    for task in wanted:
+        for y in (1.0, -1.0):
+            assert sum(share for side, share in task.sides.values() if side == y) and all(share for _, share in task.sides.values())
+    sizes = {"en": 10**11}
+    (yes, share) = next(t.sides["en"] for t in wanted if "en" in t.sides and t.family is None)
+    assert yes in (1.0, -1.0) and abs(share / langid._HASHES * sizes["en"] - 1200 / 3) < 1
