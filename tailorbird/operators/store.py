@@ -118,16 +118,20 @@ def delete_jst_day(listings: DataFrame, day: str, retrieved: str = "retrieved_at
     return listings.filter(~F.coalesce((at >= first) & (at < end), F.lit(False)))
 
 
-def recheck_join(stored: DataFrame, captured: DataFrame) -> DataFrame:
+def recheck_join(stored: DataFrame, captured: DataFrame, looked_at: DataFrame | None = None) -> DataFrame:
     """Outcome of looking again at stored listings: url, action, verdict, is_active, status and reason.
 
+    `looked_at`, the URLs that were captured again, keeps other listings out of the shuffle, by a bitmap of them; it is read
+    apart from captured, so give it where the URLs are known without extracting anything.
+
     captured has url and the newly extracted status and price. A listing that had a buy-now price and has none
     now is no match any more, whatever its status.
     """
     from .rules import LOST_BUY_NOW
 
     new = captured.select("url", F.col("status").alias("new_status"), F.col("price").alias("new_price"))
-    joined = maybe_in(stored, "url", bitmap(captured.select("url"), "url")).join(new.hint("merge"), "url")
+    stored = stored if looked_at is None else maybe_in(stored, "url", bitmap(looked_at, "url"))
+    joined = stored.join(new.hint("merge"), "url")
     lost = F.col("price")["buy_now_price_jpy"].isNotNull() & F.col("new_price")["buy_now_price_jpy"].isNull()
     return joined.select(
         "url", F.lit("status_rechecked").alias("action"), F.when(lost, "NO_MATCH").otherwise(F.col("verdict")).alias("verdict"),

@@ -63,8 +63,9 @@ def recheck_matches(spark, sf_dir):
     """Stored matches looked at again after some lost their buy-now price."""
     part = parts(spark, sf_dir)
     stored = decide_captures(listing_captures(part), distinct=False).filter(F.col("verdict") == "MATCH").select("url", "verdict", "price")
-    again = extract_signals(captures_to_signals(listing_captures(part, changed=True)), ("status", "price"), distinct=False)
-    return store.recheck_join(stored, again).select("url", "verdict", "is_active", "reason")
+    pages = listing_captures(part, changed=True)
+    again = extract_signals(captures_to_signals(pages), ("status", "price"), distinct=False)
+    return store.recheck_join(stored, again, pages.select("url")).select("url", "verdict", "is_active", "reason")
 
 
 def page_selectors(spark, sf_dir):

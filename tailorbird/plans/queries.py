@@ -289,10 +289,10 @@ def latest_record(spark, sf_dir):
 
 def recheck_downgrade(spark, sf_dir):
     """Listings looked at again after every third lost its buy-now price."""
-    part = _table(spark, sf_dir, "part")
     stored = _decided(spark, sf_dir).select("url", "verdict", "price")
-    again = extract_signals(listing_signals(part, changed=True), ("status", "price"), distinct=False)
-    return store.recheck_join(stored, again).select("url", "verdict", "is_active", "reason")
+    pages = listing_signals(parts(spark, sf_dir), changed=True)
+    again = extract_signals(pages, ("status", "price"), distinct=False)
+    return store.recheck_join(stored, again, pages.select("url")).select("url", "verdict", "is_active", "reason")
 
 
 def store_fold(spark, sf_dir):
