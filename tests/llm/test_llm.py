@@ -671,7 +671,7 @@ def test_families_and_machines():
     families, wanted = langid.tasks({"en": 10, "de": 10**6, "fr": 5, "xx": 7}, 100)
     assert families == {"germanic": ("de", "en"), "romance": ("fr",), "xx": ("xx",)}
     assert [(t.yes, t.no, t.family) for t in wanted] == [("germanic", "romance", None), ("germanic", "xx", None), ("romance", "xx", None), ("de", "en", "germanic")]
-    assert wanted[3].sides["de"][1] == int(1e-4 * (1 << 20)) and wanted[0].sides["de"][1] == int(5e-5 * (1 << 20))
+    assert wanted[3].sides["de"][1] == int(1e-4 * langid._HASHES) and wanted[0].sides["de"][1] == int(5e-5 * langid._HASHES)
 
 
 def test_quality(spark, nothing):
