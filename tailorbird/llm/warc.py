@@ -90,11 +90,17 @@ class _Plain:
 
     def read(self, n: int) -> bytes:
         got, self._left = self._left[:n], self._left[n:]
-        return got + self._raw.read(n - len(got)) if len(got) < n else got
+        if len(got) < n:
+            got += self._raw.read(n - len(got))
+        if len(got) < n:
+            raise ValueError("a record is cut off")
+        return got
 
     def skip(self, n: int) -> None:
         if n > len(self._left):
-            self._raw.seek(n - len(self._left), 1)
+            self._raw.seek(n - len(self._left) - 1, 1)
+            if not self._raw.read(1):  # one can seek beyond an end
+                raise ValueError("a record is cut off")
         self._left = self._left[n:]
 
 

@@ -515,6 +515,16 @@ def test_warc_reader_on_all_kinds_of_files(packed):
     assert [r["record_id"] for r in some] == [f"<urn:page:{i}>" for i in (7, 17, 27, 37)] and some[0]["payload"] == b"<p>7</p>" * 2100
 
 
+@pytest.mark.parametrize("payload", ["bytes", "digest", "none"])
+def test_plain_files_that_are_cut_off(payload):
+    records = [warc.format_record("response", f"<urn:page:{i}>", f"http://h/{i}", "d", None, "", 5000, b"x" * 5000) for i in range(3)]
+    data = b"".join(records)
+    assert len(list(warc.read_records(io.BytesIO(data), payload=payload))) == 3
+    for cut in (len(records[0]) * 2 + 2000, len(data) - 10):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.read_records(io.BytesIO(data[:cut]), payload=payload))
+
+
 # --- URLs ---------------------------------------------------------------------------------------------------
 
 
