@@ -5,11 +5,16 @@ such pair, the longest match of words not yet covered is marked again and again,
 words is left; the item counts as leaked if the marked tiles cover at least `coverage` of its words, in
 whatever order they stand in the document.
 
+In scripts that write no spaces between words every character is a word that counts half, so that items which
+are mostly of such characters take seeds and tiles of twice as many.  An item that is shorter than a seed is
+tested by its whole length: it leaks where all of it stands in the document.
+
 The documents never move: each task joins its texts with an index of the test items, sent to the executors.
 An index holds items of about `index_chars` characters; a larger benchmark makes several, one pass each.
 
-Cases: null and empty texts leak nothing; an item of fewer than `least` words is never tested, as a match of
-fewer is no evidence; repeated rows repeat; a null item_id is kept; extra columns are ignored or pass through.
+Cases: null and empty texts leak nothing; an item of fewer than `shortest` words (characters count half) is never
+tested, as so few words in a row are no evidence; repeated rows repeat; a null item_id is kept; extra columns are
+ignored or pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +30,11 @@ from pyspark.sql import functions as F
 
 from .shared import cut, map_rows
 
-_WORD = re.compile(r"\w+")
+#: The scripts without spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, Japanese, Chinese).
+UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+_CHARACTER = re.compile(rf"[{UNSPACED}]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 
@@ -148,7 +157,9 @@ class Index:
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple]:
         """(item id, covered share, tiles, longest tile) of each item that the text leaks."""
-        doc = words_of(text)
+        return self.leaked(words_of(text), coverage)
+
+    def leaked(self, doc: np.ndarray, coverage: float) -> list[tuple]:
         h = rolling(doc, self.least)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.intp)])
         if not len(at):
@@ -184,20 +195,44 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, least: int, index_chars: int):
-    """An index for each part of the benchmark; a part has about `index_chars` characters."""
+def seed_of(text: str | None, least: int, shortest: int) -> int:
+    """How many words the seeds of an item have; 0 for an item that is never tested."""
+    words, characters = len(_WORD.findall((text or "").lower())), len(_CHARACTER.findall((text or "").lower()))
+    if 2 * words - characters < 2 * shortest:
+        return 0
+    return min(words, 2 * least if 2 * characters > words else least)
+
+
+class Indexes:
+    """The seeds of a part of the benchmark: an index for each length of seeds."""
+
+    def __init__(self, rows: list[tuple], least: int, shortest: int):
+        by_seed: dict[int, list] = {}
+        for item_id, text in rows:
+            if seed := seed_of(text, least, shortest):
+                by_seed.setdefault(seed, []).append((item_id, words_of(text)))
+        self.parts = [Index(n, [i for i, _ in items], [w for _, w in items]) for n, items in sorted(by_seed.items())]
+
+    def leaks(self, text: str | None, coverage: float) -> list[tuple]:
+        doc = words_of(text) if self.parts else None
+        return [found for index in self.parts for found in index.leaked(doc, coverage)]
+
+
+def indexes(benchmark: DataFrame, least: int, shortest: int, index_chars: int):
+    """Indexes for each part of the benchmark; a part has about `index_chars` characters."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // index_chars))
     for k in range(parts):
         rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).select("item_id", "text").collect()
-        items = [(r["item_id"], w) for r in rows if len(w := words_of(r["text"])) >= least]
-        yield Index(least, [i for i, _ in items], [w for _, w in items])
+        yield Indexes([(r["item_id"], r["text"]) for r in rows], least, shortest)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, index_chars: int = 8 << 20) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, index_chars: int = 8 << 20, shortest: int = 4,
+) -> DataFrame:
     """doc_id, item_id, coverage, tiles and longest of every document that leaks an item."""
     out = None
-    for index in indexes(benchmark, least, index_chars):
+    for index in indexes(benchmark, least, shortest, index_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(columns, shared=shared):
@@ -210,9 +245,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
     return out
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, index_chars: int = 8 << 20) -> DataFrame:
+def drop_leaked(
+    docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8, index_chars: int = 8 << 20, shortest: int = 4,
+) -> DataFrame:
     """The rows of docs that leak no item."""
-    for index in indexes(benchmark, least, index_chars):
+    for index in indexes(benchmark, least, shortest, index_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared, at=docs.columns.index("text")):

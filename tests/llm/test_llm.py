@@ -453,6 +453,34 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.leaks(mixed, benchmark.limit(0)).count() == 0
 
 
+def test_items_without_spaces_and_short_items(spark, nothing):
+    ja = "東京都は日本の首都であり、人口は約千四百万人である。江戸と呼ばれた町は十七世紀の初めに幕府の所在地となった。"
+    characters = len(decontaminate.words_of(ja))
+    assert characters > 40 and decontaminate.seed_of(ja, 5, 4) == 10 and decontaminate.seed_of("a b c d 東京都", 5, 4) == 5
+    assert [decontaminate.seed_of(t, 5, 4) for t in (None, "", "one two three", "one two three four", "a b c d e", "東京都は日本の", "東京都は日本の首")] == [0, 0, 0, 4, 5, 0, 8]
+    other = "大阪府は近畿地方にある。" * 3
+    half = len(ja) // 2
+    docs = [
+        (1, other + ja + other), (2, ja[half:] + other + ja[:half]), (3, other), (4, ja[: len(ja) // 2]), (5, "We ask: WHO wrote, this book? Nobody."),
+        (6, "who wrote that book, this book"), (7, None), (8, ""), (9, "x東京都は日本の首y"), (10, " ".join(ja)), (11, "東京都は日本。の国"),
+    ]
+    items = [(1, ja), (2, "Who wrote this book"), (3, "this book"), (4, "東京都は日本の首"), (5, None), (6, "")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (2, 1), (10, 1), (5, 2), (1, 4), (2, 4), (4, 4), (9, 4), (10, 4)}
+    for chars in (8 << 20, 20):
+        got = decontaminate.leaks(docs, items, index_chars=chars).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+        assert {r["doc_id"] for r in decontaminate.drop_leaked(docs, items, index_chars=chars).collect()} == {3, 6, 7, 8, 11}
+    # any mix of words and characters: the same as trying everything
+    r = random.Random(8)
+    for _ in range(60):
+        item, text = ("".join(r.choice(["日", "本", "語", " a ", " b "]) for _ in range(n)) for n in (r.randint(4, 24), 60))
+        seed, words = decontaminate.seed_of(item, 3, 2), decontaminate.words_of(item)
+        found = decontaminate.Indexes([(1, item)], 3, 2).leaks(text, 0.6)
+        covered = plain_tiling(words.tolist(), decontaminate.words_of(text).tolist(), seed) if seed else 0
+        assert bool(found) == (seed > 0 and covered >= 0.6 * len(words)) and (not found or found[0][1] == covered / len(words))
+
+
 # --- WARC ---------------------------------------------------------------------------------------------------
 
 
