@@ -135,6 +135,40 @@ def target_limit(routed: DataFrame, target_new: int = 50, max_pages: int = 10) -
     return wanted.orderBy("page", "source", "rank", "url").limit(target_new)
 
 
+def target_per_run(routed: DataFrame, target_new: int | Column = 50, max_pages: int = 10) -> DataFrame:
+    """Per run the first URLs that call for action, as many as it wants, by page, source and rank; the others stay in the frontier.
+
+    routed has run_id, source, page, rank, url and action. A run's source ends at its first page without results, which is a
+    row whose url is null. `target_new` may be a column that is the same in all rows of a run; null wants nothing. Ranks that
+    are equal are told apart by url. Null runs and sources are like any others.
+
+    A running count over all rows isn't needed: pages are counted first, their offsets are sums over one row a page, and only
+    the pages that begin before the target are read again. With a fixed target no task sends on more of a page than that.
+    """
+    page = ["run_id", "source", "page"]
+    rows = routed.filter(F.col("page") <= max_pages).select(
+        *page, "rank", "url", "action", F.lit(target_new).cast("long").alias("target"), F.struct("*").alias("whole"),
+    )
+    wanted = F.col("url").isNotNull() & ~F.col("action").eqNullSafe("skip")
+    counts = rows.groupBy(*page).agg(F.count_if(wanted).alias("n"), F.max("target").alias("target"), F.bool_or(F.col("url").isNull()).alias("empty"))
+    source = Window.partitionBy("run_id", "source")
+    counts = counts.withColumn("end", F.min(F.when(F.col("empty"), F.col("page"))).over(source))
+    counts = counts.filter(F.col("end").isNull() | (F.col("page") < F.col("end")))
+    run = Window.partitionBy("run_id").orderBy("page", "source")
+    counts = counts.withColumns({
+        "before": F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "target": F.max("target").over(Window.partitionBy("run_id")),
+    })
+    begun = counts.filter((F.col("before") < F.col("target")) & (F.col("n") > 0))
+    begun = begun.select(*[F.col(c).alias(f"_{c}") for c in page], (F.col("target") - F.col("before")).alias("room"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in page]
+    placed = rows.filter(wanted).join(begun.hint("merge"), same).withColumn(
+        "place", F.row_number().over(Window.partitionBy(*page).orderBy("rank", "url")),
+    )
+    if not isinstance(target_new, Column):
+        placed = placed.filter(F.col("place") <= target_new)
+    return placed.filter(F.col("place") <= F.col("room")).select("whole.*")
+
+
 #: What is counted of the outcomes of a run.
 COUNTERS = {
     "crawled": ("action", "crawled"), "status_rechecked": ("action", "status_rechecked"), "skipped": ("action", "skipped"), "errors": ("action", "error"),

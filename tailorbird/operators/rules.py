@@ -60,17 +60,19 @@ def _texts(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def price_over(price: Column, limit: int) -> Column:
-    return F.format_string(f"価格 %,d円 が上限 {limit:,}円 を超えています", price)
+def price_over(price: Column, limit: int | Column) -> Column:
+    return F.format_string("価格 %,d円 が上限 %,d円 を超えています", price, F.lit(limit))
 
 
 def not_active(state: Column) -> Column:
     return F.concat(F.lit("販売状態が active でない: "), F.coalesce(state, F.lit("unknown")))
 
 
-def out_of_range(label: str, value: Column, lo: float, hi: float) -> Column:
-    said = F.concat(F.lit(f"{label} "), value.cast("string"))
-    return F.concat(said, F.lit(f"cm が下限 {lo}cm を下回っています" if hi >= 99 else f"cm が範囲外 ({lo}–{hi}cm)"))
+def out_of_range(label: str, value: Column, lo: float | Column, hi: float | Column) -> Column:
+    least, most = F.lit(lo).cast("string"), F.lit(hi).cast("string")
+    below = F.concat(F.lit("cm が下限 "), least, F.lit("cm を下回っています"))
+    outside = F.concat(F.lit("cm が範囲外 ("), least, F.lit("–"), most, F.lit("cm)"))
+    return F.concat(F.lit(f"{label} "), value.cast("string"), F.when(F.lit(hi) >= 99, below).otherwise(outside))
 
 
 def inseam_never(value: Column) -> Column:
@@ -199,18 +201,24 @@ def all_warnings() -> Column:
     return F.concat(*[F.coalesce(F.col(n)["warnings"], none) for n in EXTRACTORS])
 
 
-def _decision(rules: Rules) -> list[list[Column]]:
-    """The columns that `decide` adds, step by step: each step may use what the one before it added."""
+def _reasons(rules: Rules) -> list[Column]:
     (jacket, jacket_notes), (pants, pants_notes) = rule_jacket(rules), rule_pants(rules)
     material, material_notes = rule_material()
     blocking = F.concat(rule_price(rules), rule_status(), jacket, pants, material, rule_style(), rule_condition())
-    reasons = F.concat(jacket_notes, pants_notes, material_notes)
+    return [blocking.alias("blocking_reasons"), F.concat(jacket_notes, pants_notes, material_notes).alias("reasons")]
+
+
+def _decision(rules: Rules) -> list[list[Column]]:
+    """The columns that `decide` adds, step by step: each step may use what the one before it added."""
+    # a generator of one row, so that filters on a verdict don't copy all rules into themselves
+    return [[F.inline(F.array(F.struct(*_reasons(rules))))], *_verdict(rules)]
+
+
+def _verdict(rules: Rules) -> list[list[Column]]:
     unknowns = [F.coalesce(F.size(F.col(n)["unknown_fields"]), F.lit(0)) for n in ("size", "material", "style", "condition")]
     unsure = (F.col("unknown_count") >= rules.many_unknowns) | (F.col("score") < rules.least_score)
     verdict = F.when(F.size("blocking_reasons") > 0, "NO_MATCH").when(unsure, "REVIEW").otherwise("MATCH")
     return [
-        # a generator of one row, so that filters on a verdict don't copy all rules into themselves
-        [F.inline(F.array(F.struct(blocking.alias("blocking_reasons"), reasons.alias("reasons"))))],
         [score().alias("score"), reduce(lambda a, b: a + b, unknowns).alias("unknown_count")],
         [verdict.alias("verdict")],
         [
@@ -228,3 +236,35 @@ def decide(attributes: DataFrame, rules: Rules = RULES) -> DataFrame:
     for step in once(rules, lambda: _decision(rules)):
         attributes = attributes.select("*", *step)
     return attributes.drop("unknown_count")
+
+
+def decide_rule_sets(attributes: DataFrame, rule_sets: DataFrame, most: int = 10_000) -> DataFrame:
+    """attributes decided under each of many rule sets: a row for every set, with its name in rule_set, and what `decide` adds.
+
+    rule_sets has rule_set, rule, lo and hi, as rules_frame has them for one set. The sets are folded into one array of
+    thresholds (a scalar subquery, no join), so attributes are extracted once however many there are. More than `most` sets are
+    an error. A rule or end that a set lacks keeps its default; unknown rules are left out; of rows that repeat a rule the one
+    with the largest ends counts; a null name is a name like any other; no sets give no rows.
+    """
+    kinds = asdict(RULES)
+    ends = [F.max(F.when(F.col("rule") == name, F.struct("lo", "hi"))).alias(name) for name in kinds]
+    sets = rule_sets.groupBy("rule_set").agg(*ends)
+    whole = F.collect_list(F.struct("rule_set", *kinds))
+    too_many = F.raise_error(F.concat(F.count("*").cast("string"), F.lit(f" rule sets, more than {most}")))
+    array = sets.agg(F.when(F.count("*") <= most, whole).otherwise(too_many).alias("sets"))
+
+    def rules_of(one: Column) -> Rules:
+        def threshold(name: str) -> Column | tuple[Column, Column]:
+            given, usual = one[name], kinds[name]
+            if isinstance(usual, tuple):
+                return F.coalesce(given["lo"], F.lit(usual[0])), F.coalesce(given["hi"], F.lit(usual[1]))
+            return F.coalesce(given["lo"].cast("int" if isinstance(usual, int) else "double"), F.lit(usual))
+
+        return replace(RULES, **{name: threshold(name) for name in kinds})
+
+    rows = attributes.drop("rule_set", "rule_ends").withColumn("rule_ends", array.scalar())
+    decided = F.transform("rule_ends", lambda one: F.struct(one.alias("rule_end"), *_reasons(rules_of(one))))
+    rows = rows.select("*", F.inline(decided)).drop("rule_ends").withColumn("rule_set", F.col("rule_end")["rule_set"])
+    for step in _verdict(rules_of(F.col("rule_end"))):
+        rows = rows.select("*", *step)
+    return rows.drop("unknown_count", "rule_end")
