@@ -38,7 +38,7 @@ def listing_changes(spark, sf_dir):
     number, at = F.col("l_linenumber"), F.col("l_shipdate").cast("timestamp")
     flag = F.col("l_returnflag")
     captures = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.concat(F.lit("o"), F.col("l_orderkey")).alias("url"), (at + F.make_dt_interval(secs=number)).alias("retrieved_at"),
+        F.concat(F.lit("o"), F.col("l_orderkey")).alias("url"), F.timestamp_micros(F.unix_micros(at) + number * 1_000_000 + F.col("l_partkey")).alias("retrieved_at"),
         F.when(flag == "A", "MATCH").when(flag == "N", "REVIEW").otherwise("NO_MATCH").alias("verdict"),
         F.when(flag == "A", 1.0).otherwise(0.5).alias("score"), (F.col("l_partkey") % 2 * 1000).alias("price"),
         F.when(F.col("l_linestatus") == "F", "sold").otherwise("active").alias("status"), number,
@@ -78,7 +78,7 @@ placed AS (
 SELECT run_id, source, page, rank, url FROM placed WHERE place <= wants""",
     "listing_changes": """
 WITH c AS (
-  SELECT 'o' || l_orderkey AS url, CAST(l_shipdate AS TIMESTAMP) + to_seconds(l_linenumber) AS retrieved_at,
+  SELECT 'o' || l_orderkey AS url, CAST(l_shipdate AS TIMESTAMP) + to_seconds(l_linenumber) + to_microseconds(l_partkey) AS retrieved_at,
     CASE l_returnflag WHEN 'A' THEN 'MATCH' WHEN 'N' THEN 'REVIEW' ELSE 'NO_MATCH' END AS verdict, CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score,
     l_partkey % 2 * 1000 AS price, CASE l_linestatus WHEN 'F' THEN 'sold' ELSE 'active' END AS status, l_linenumber > 2 AS later
   FROM lineitem
