@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RULES
 from ..functions.html import elements
+from ..functions.text import cm_to_mm, mm_to_cm
 from ..operators import fill, frontier, rules, store, stored
 from ..operators.evidence import build_package, nest_evidence, signals_to_evidence, site_item_id
 from ..sources.captures import outcome_log, read_captures, read_evidence_packages
@@ -17,7 +18,7 @@ from ..sources.sites import IMAGES, SELECTORS, captures_to_signals, selector_sig
 from ..streaming.decisions import stream_decisions
 from .decisions import decide_captures, decide_signals, extract_signals, reparse
 from .listings import EXPECTED_SQL, listing_signals, parts
-from .pages import PAGES_SQL, choose, listing_captures, signals_of
+from .pages import PAGES_SQL, choose, listing_captures, signals_of, variant_captures
 
 def _k() -> F.Column:
     return F.col("p_partkey")
@@ -38,6 +39,22 @@ def capture_signals(spark, sf_dir):
     return out.drop("retrieved_at").withColumn("images", F.array_join("image_urls", " ")).drop("image_urls")
 
 
+def capture_variants(spark, sf_dir):
+    """Pages that name pictures, prices, categories or states in rarer ways, or hold no data."""
+    out = captures_to_signals(variant_captures(parts(spark, sf_dir)))
+    return out.select(
+        "url", "source_site", "title_text", "price_text", "status_text", "all_text", "specs_text", "category_text",
+        F.array_join("image_urls", " ").alias("images"),
+    )
+
+
+def unit_back(spark, sf_dir):
+    """Millimetres as centimetres, and back again."""
+    mm = F.col("p_size") * 5.0
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", mm_to_cm(mm).alias("cm"), cm_to_mm(mm_to_cm(mm)).alias("mm"))
+
+
 def capture_decisions(spark, sf_dir):
     out = decide_captures(listing_captures(parts(spark, sf_dir)), distinct=False)
     return out.select("url", "verdict", "score", F.size("blocking_reasons").alias("n_blocking"), F.size("reasons").alias("n_notes"))
@@ -355,7 +372,7 @@ def custom_rules(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        capture_signals, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, nested_selectors,
+        capture_signals, capture_variants, unit_back, capture_decisions, capture_verdicts, repeated_captures, recheck_matches, page_selectors, nested_selectors,
         page_elements, item_urls, item_url_round_trip, stored_packages, broken_packages, fill_passes, logged_outcomes, streamed_listings,
         stored_lookups, stored_changes, found_by_id, listing_warnings, listing_size_tables, listing_shipping, listing_status_fallback, listing_priorities,
         listing_pants, custom_rules,
@@ -398,6 +415,21 @@ FROM dated WHERE day <> '2024-06-03' GROUP BY day, verdict""",
     "capture_signals": _paged(
         "SELECT url, source_site, title_text, price_text, status_text, description_text, all_text, specs_text, brand_text, category_text, images FROM signals"
     ),
+    "capture_variants": """
+WITH v AS (
+  SELECT p_partkey AS k, p_partkey % 6 AS s, '紺スーツ 品番' || p_partkey AS title, format('{:,}', 5000 + p_partkey * 37 % 30000) AS p, '身幅 52cm 着丈 70cm' AS line,
+    'https://item-shopping.c.yimg.jp/i/' || p_partkey || '.jpg' AS shown, CASE WHEN p_partkey % 4 = 1 THEN '送料無料' END AS free FROM part
+)
+SELECT CASE WHEN s < 2 THEN 'https://jp.mercari.com/item/m' WHEN s IN (2, 5) THEN 'https://paypayfleamarket.yahoo.co.jp/item/z' ELSE 'https://store.shopping.yahoo.co.jp/shop/' END || k AS url,
+  CASE WHEN s < 2 THEN 'mercari' WHEN s IN (2, 5) THEN 'paypay_flea_market' ELSE 'yahoo_shopping' END AS source_site, title AS title_text,
+  CASE WHEN s < 4 THEN concat_ws(chr(10), '即決 ' || p || '円', CASE WHEN s = 1 AND free IS NOT NULL THEN '送料込み' END) ELSE '' END AS price_text,
+  CASE s WHEN 0 THEN '終了' WHEN 1 THEN '出品中' WHEN 2 THEN CASE WHEN k % 4 = 2 THEN '終了' ELSE '出品中' END WHEN 3 THEN CASE WHEN k % 4 = 3 THEN '出品中' ELSE '終了' END ELSE '' END AS status_text,
+  CASE WHEN s < 4 THEN line WHEN s = 4 THEN concat_ws(chr(10), title, '本文 ' || k, '¥' || p, free) ELSE '' END AS all_text,
+  CASE s WHEN 0 THEN '商品の状態: 良い' WHEN 3 THEN '商品の状態: 中古' ELSE '' END AS specs_text,
+  CASE s WHEN 0 THEN 'メンズ > スーツ' WHEN 3 THEN '紳士 スーツ' ELSE '' END AS category_text,
+  CASE s WHEN 0 THEN 'M' || k || ' S' || k || ' U' || k WHEN 1 THEN 'T' || k ELSE shown END AS images
+FROM v""",
+    "unit_back": "SELECT p_partkey, p_size * 0.5::DOUBLE AS cm, p_size * 5.0::DOUBLE AS mm FROM part",
     "capture_decisions": _paged("SELECT url, verdict, score, n_blocking, n_notes FROM page_verdicts JOIN signals USING (k)"),
     "capture_verdicts": _paged(
         "SELECT count(*) FILTER (WHERE verdict = 'MATCH') AS MATCH, count(*) FILTER (WHERE verdict = 'REVIEW') AS REVIEW, count(*) FILTER (WHERE verdict = 'NO_MATCH') AS NO_MATCH FROM page_verdicts"

@@ -123,6 +123,44 @@ def listing_captures(part: DataFrame, changed: bool = False) -> DataFrame:
     )
 
 
+def variant_captures(part: DataFrame) -> DataFrame:
+    """Pages in the rarer forms of three sites: other places of pictures, prices, categories and states, and no data at all."""
+    k, text = F.col("p_partkey"), "身幅 52cm 着丈 70cm"
+    price, title = 5000 + k * 37 % 30000, _say("紺スーツ 品番", k)
+    named = lambda key: ('"', key, '":"', title, '",')
+    data = choose(
+        6,
+        _say(
+            '{"props":{"pageProps":{"item":{"id":"m', k, '",', *named("name"), '"description":"', text, '","price":', price,
+            ',"photos":[{"image_urls":{"medium":"M', k, '"}},{"image_urls":{"small":"S', k, '"}},{"image_urls":"U', k, '"}],',
+            '"item_category":{"name":"スーツ","parent":{"name":"メンズ"}},"condition":{"name":"良い"},"status":"trading"}}}}',
+        ),
+        _say(
+            '{"props":{"pageProps":{"serverData":{"item":{"id":"m', k, '",', *named("name"), '"description":"', text,
+            '","price":0,"thumbnails":["T', k, '"],"status":"on_sale"}}}}}',
+        ),
+        _say(
+            '{"props":{"initialState":{"itemsState":{"items":{"item":{', *named("title"), '"description":"', text, '","price":', price,
+            ',"status":"OPEN","isPurchased":', (k % 4 == 2), "}}}}}}",
+        ),
+        _say(
+            '{"props":{"pageProps":{"itemData":{"item":{', *named("title"), '"information":"', text, '","price":', price,
+            ',"inStock":', (k % 2 == 1) & (k % 4 == 3), ',"sellerCategoryPathList":["紳士","スーツ"],"condition":"中古"}}}}}',
+        ),
+    )
+    script = F.coalesce(_say('<script id="__NEXT_DATA__" type="application/json">', data, "</script>"), F.lit(""))
+    html = _say(
+        "<html><body><h1> ", title, " </h1><p>本文 ", k, '</p><p data-testid="price">¥', F.format_string("%,d", price), "</p>",
+        F.when(k % 4 == 1, "<p>送料無料</p>").otherwise(""),
+        '<img src="https://item-shopping.c.yimg.jp/i/', k, '.jpg"><img src="https://other/', k, '.jpg">', script, "</body></html>",
+    )
+    site = choose(
+        6, "https://jp.mercari.com/item/m", "https://jp.mercari.com/item/m", "https://paypayfleamarket.yahoo.co.jp/item/z",
+        "https://store.shopping.yahoo.co.jp/shop/", "https://store.shopping.yahoo.co.jp/shop/", "https://paypayfleamarket.yahoo.co.jp/item/z",
+    )
+    return part.select(_say(site, k).alias("url"), html.alias("html"), F.lit("2024-06-01").cast("timestamp").alias("retrieved_at"))
+
+
 #: The same pages in SQL: what their signals should be, and what should be decided about them.
 PAGES_SQL = r"""
 base AS (SELECT p_partkey AS k, 5000 + p_partkey * 37 % 30000 AS p, p_partkey % 6 AS s, p_partkey % 7 = 0 AS closed, '紺スーツ 品番' || p_partkey AS title FROM part),

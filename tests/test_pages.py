@@ -18,7 +18,7 @@ from tailorbird.sources.sites import SELECTORS, selector_signals
 
 DATA = "/root/testdata/sf0.001"
 CHECKED = (
-    "capture_signals", "capture_decisions", "listing_size_tables", "listing_shipping", "listing_status_fallback",
+    "capture_signals", "capture_variants", "unit_back", "capture_decisions", "listing_size_tables", "listing_shipping", "listing_status_fallback",
     "listing_priorities", "item_urls", "page_selectors", "nested_selectors", "logged_outcomes",
 )
 
