@@ -149,11 +149,10 @@ def learn(
         return empty
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20))
     picked = taught.filter(hashed < min(1.0, fit_rows / known) * (1 << 20))
-    one_each = stats.groupBy("doc_id").agg(F.min("x").alias("x"))  # the same one of a repeated id, however rows are dealt out
+    # about `fit_rows` ids and numbers go to the statistics, which stay where they lie; of a repeated id always the same row is taken
+    one_each = stats.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     rows = written(
-        one_each.join(picked.hint("merge"), "doc_id").withColumn(
-            "fit", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) != 0,
-        ).repartition(SUM_TASKS),
+        one_each.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) != 0).repartition(SUM_TASKS),
         "quality-rows",
     )
     moments = rows.filter("fit").select([F.col("x")[i].alias(f"x{i}") for i in range(STATISTICS)])
