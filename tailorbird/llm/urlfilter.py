@@ -10,7 +10,8 @@ Rules go to the executors in parts of `rules_per_pass`; a longer list takes more
 rule so far, so memory is bounded and the result the same.
 
 Cases: a URL that is null or has no `://` has an empty host and path, is fitted by no rule with a token and
-gets the default verdict; repeated rows repeat; null ids stay; extra columns pass through.
+gets the default verdict; repeated rows repeat; null ids stay; extra columns pass through, but
+those named host, path, rule or verdict are replaced by the results.
 """
 
 from __future__ import annotations
