@@ -389,9 +389,9 @@ def _listed(select: str) -> str:
 
 
 def _decoded(*names: str) -> str:
-    """Texts of markup without its entities, white space in runs as one space."""
-    signs = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
-    plain = "".join(f".replace('{k}', '{v}')" for k, v in signs.items())
+    """Texts of markup without its entities, whose semicolon may be cut off, white space in runs as one space."""
+    signs = {"&copy": "©", "&middot": "·", "&quot": '"', "&lt": "<", "&gt": ">", "&amp": "&"}
+    plain = "".join(f".regexp_replace('{k};?', '{v}', 'g')" for k, v in signs.items())
     return ", ".join(f"{n}{plain}.regexp_replace('[ \\t\\n]+', ' ', 'g').trim() AS {n}" for n in names)
 
 
