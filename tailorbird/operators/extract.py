@@ -488,9 +488,10 @@ def fold_blocks(items: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS)) ->
     rows = items.withColumn("n_blocks", F.size("blocks"))
     for step in range(max((len(steps) for steps, _ in built), default=0)):
         rows = rows.select("*", *[v.alias(k) for steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())])
-    # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves
-    result = F.inline(F.array(F.struct(*[result.alias(name) for name, (_, result) in zip(which, built)])))
-    return rows.select(*kept, "n_blocks", result)
+    # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves;
+    # n_blocks goes through it too, as a filter on it would sink below all steps and make the texts twice, where the rows still lie in one task
+    result = F.inline(F.array(F.struct("n_blocks", *[result.alias(name) for name, (_, result) in zip(which, built)])))
+    return rows.select(*kept, result)
 
 
 def extract(evidence: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS), normalized: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tailorbird.functions import text as X
 from tailorbird.operators.extract import extract
 
@@ -139,3 +140,11 @@ def test_condition(spark):
         "s": ("S", None, None), "clean": (None, False, None), "severe": (None, True, None), "torn": (None, None, True), "polite": (None, True, None), "none": (None, None, None),
     }
     assert got["severe"]["warnings"] == ["ひどい汚れの記述あり"]
+
+
+@pytest.mark.parametrize("name", ["verdict_counts", "verdict_stats", "capture_verdicts", "recent_listings"])
+def test_a_filter_on_the_verdict_stays_above_the_extraction(spark, name):
+    """Below it, texts would be made and normalised a second time, all in the task that reads the one small file."""
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition") :]
+    assert "Filter" not in below.replace("Filter isnotnull(p_partkey", "") and "ArrowEvalPython" not in below
