@@ -188,11 +188,16 @@ def _priority(extractor: str, source: str = "source") -> str:
     return f"CASE {source} {places} ELSE 99 END"
 
 
-def ordered_blocks(extractor: str) -> Column:
-    """An item's blocks in the order in which an extractor looks at them; `at` is its place in `blocks`, from 0, and `low` its text in lower case."""
-    return F.expr(
-        f"sort_array(transform(blocks, (b, i) -> named_struct('prio', {_priority(extractor, 'b.source')}, 'pos', b.pos, 'at', i, 'source', b.source, 'confidence', b.confidence, 't', b.t, 'low', lower(b.t))))"
-    )
+def ordered_blocks(extractor: str, blocks: Column | None = None) -> Column:
+    """An item's blocks, or those of them given, in the order in which an extractor looks at them; `at` is its place in the array, from 0."""
+
+    def keyed(b: Column, i: Column) -> Column:
+        prio = F.lit(len(PRIORITIES[extractor]))
+        for place, source in reversed(list(enumerate(PRIORITIES[extractor]))):
+            prio = F.when(b["source"] == source, place).otherwise(prio)
+        return F.struct(prio.alias("prio"), b["pos"].alias("pos"), i.alias("at"), *[b[f].alias(f) for f in ("source", "confidence", "t", "low")])
+
+    return F.sort_array(F.transform(F.col("blocks") if blocks is None else blocks, keyed))
 
 
 def first_block(blocks: Column | str, value, kind: str) -> Column:

@@ -79,12 +79,15 @@ def narrow_to_size() -> dict[str, Column]:
 
 
 def size_blocks() -> dict[str, Column]:
-    """The texts to look for measures in, in order: a table is cut to the row of the size on sale, and left out without one."""
+    """The texts to look for measures in, in order: a table is cut to the row of the size on sale, and left out without one.
+
+    Texts without a digit or a hem, which no pattern matches, aren't among them.
+    """
     text = """CASE WHEN element_at(n_many, b.at + 1) THEN try_element_at(filter(element_at(n_tables, b.at + 1), r -> r.size = narrowed), -1).row ELSE b.t END"""
     made = "named_struct('text', {0}, 'low', {1}, 'source', b.source, 'confidence', b.confidence)"
     plain = F.expr(f"transform(o_size, b -> {made.format('b.t', 'b.low')})")
     cut = F.expr(f"filter(transform(o_size, b -> {made.format(text, f'lower({text})')}), b -> b.text IS NOT NULL)")
-    return {"z_blocks": F.when(F.col("narrowed").isNotNull(), cut).otherwise(plain)}
+    return {"z_blocks": F.filter(F.when(F.col("narrowed").isNotNull(), cut).otherwise(plain), lambda b: b["text"].rlike(r"(?U)[\d裾]"))}
 
 
 _HIT = "struct<evidence:string,source:string,confidence:double>"
@@ -327,7 +330,7 @@ def split_outer_lining(text: Column) -> tuple[Column, Column]:
 
 def material_blocks() -> dict[str, Column]:
     words = tuple(w for words in P.FIBER_WORDS.values() for w in words)
-    return {"o_material": F.filter(ordered_blocks("material"), lambda b: _holds(b["low"], words) & b["t"].rlike(P.ANY_FIBER))}
+    return {"o_material": ordered_blocks("material", F.filter("blocks", lambda b: _holds(b["low"], words) & b["t"].rlike(P.ANY_FIBER)))}
 
 
 def material_texts() -> dict[str, Column]:
@@ -380,7 +383,8 @@ def material_result() -> Column:
 
 
 def style_blocks() -> dict[str, Column]:
-    return {"o_style": ordered_blocks("style")}
+    words = tuple(dict.fromkeys(w for name in ("style", "buttons", "color") for w in P.WORDS[name]))
+    return {"o_style": ordered_blocks("style", F.filter("blocks", lambda b: _holds(b["low"], words)))}
 
 
 def style_firsts() -> dict[str, Column]:
@@ -415,7 +419,8 @@ def style_result() -> Column:
 
 
 def condition_blocks() -> dict[str, Column]:
-    return {"o_condition": ordered_blocks("condition")}
+    words = tuple(w for name in ("grade", "stain", "hole") for w in P.WORDS[name])
+    return {"o_condition": ordered_blocks("condition", F.filter("blocks", lambda b: _holds(b["low"], words)))}
 
 
 def condition_firsts() -> dict[str, Column]:
@@ -485,7 +490,8 @@ def fold_blocks(items: DataFrame, which: tuple[str, ...] = tuple(EXTRACTORS)) ->
     """items, whose `blocks` are an array of BLOCKS in the order of their places, with the named attributes instead, and `n_blocks`."""
     kept = [c for c in items.columns if c != "blocks"]
     built = [built_columns(name) for name in which]
-    rows = items.withColumn("n_blocks", F.size("blocks"))
+    low = F.transform("blocks", lambda b: F.struct(*[b[f].alias(f) for f in ("pos", "source", "confidence", "t")], F.lower(b["t"]).alias("low")))
+    rows = items.withColumns({"n_blocks": F.size("blocks"), "blocks": low})
     for step in range(max((len(steps) for steps, _ in built), default=0)):
         rows = rows.select("*", *[v.alias(k) for steps, _ in built for k, v in (steps[step].items() if step < len(steps) else ())])
     # one row in, one row out: the generator keeps later filters and projections from copying these expressions into themselves;
