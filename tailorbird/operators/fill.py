@@ -90,12 +90,23 @@ def ml_fill_requests(candidates: DataFrame, images: bool = False, keep: tuple[st
     return rows.select("item_id", "pass", "a.about", "a.prompt", "images", *keep)
 
 
-def fill_size(size: Column, result: Column) -> Column:
-    """A size struct with its gaps filled from a result."""
+def answers(result: Column) -> Column:
+    """A struct of what a result VARIANT says: a number or null for each measure, and both fibre lists."""
+    numbers = [F.try_variant_get(result, f"$.{f}", "string").try_cast("double").alias(f) for f in (*JACKET, *PANTS)]
+    # whatever name a result gives, it goes by its canonical one, so that rules see it
+    fibers = [
+        F.transform(F.try_variant_get(result, f"$.{key}", FIBER), lambda f: f.withField("fiber", alias_lookup(F.trim(f["fiber"])))).alias(key)
+        for key in ("outer_fibers", "lining_fibers")
+    ]
+    return F.struct(*numbers, *fibers)
+
+
+def fill_size(size: Column, said: Column) -> Column:
+    """A size struct with its gaps filled from the answers of a result."""
     jacket, pants, filled, warnings = size["jacket"], size["pants"], [], []
 
     def number(field: str) -> Column:
-        return F.try_variant_get(result, f"$.{field}", "string").try_cast("double")
+        return said[field]
 
     def made(value: Column) -> Column:
         evidence = F.concat(F.lit("LLM抽出: "), value.cast("string"), F.lit("cm"))
@@ -113,7 +124,7 @@ def fill_size(size: Column, result: Column) -> Column:
         return F.coalesce(part[name], F.when(fits, made(value)))
 
     for field, name in JACKET.items():
-        jacket = jacket.withField(name, take(jacket, field, name))
+        jacket = jacket.withField(name, take(size["jacket"], field, name))
     # a flat waist that is none may be a girth: then it fills that, and nothing is said about the flat one
     flat = number("pants_waist_flat_cm")
     as_girth = pants["waist_flat_cm"].isNull() & ~plausible("pants_waist_flat_cm", flat) & pants["waist_circumference_cm"].isNull() & plausible("pants_waist_circ_cm", flat)
@@ -140,13 +151,9 @@ def fill_size(size: Column, result: Column) -> Column:
     return F.when(F.size(got) > 0, out).otherwise(size)
 
 
-def fill_material(material: Column, result: Column) -> Column:
-    """A material struct with its empty fibre lists filled from a result; only the outer ones stop being unknown."""
-    # whatever name a result gives, it goes by its canonical one, so that rules see it
-    fibers = lambda key: F.transform(
-        F.try_variant_get(result, f"$.{key}", FIBER), lambda f: f.withField("fiber", alias_lookup(F.trim(f["fiber"]))),
-    )
-    outer, lining = fibers("outer_fibers"), fibers("lining_fibers")
+def fill_material(material: Column, said: Column) -> Column:
+    """A material struct with its empty fibre lists filled from the answers of a result; only the outer ones stop being unknown."""
+    outer, lining = said["outer_fibers"], said["lining_fibers"]
     new_outer = (F.size(material["outer_fibers"]) <= 0) & (F.size(outer) > 0)
     new_lining = (F.size(material["lining_fibers"]) <= 0) & (F.size(lining) > 0)
     known = F.filter(material["unknown_fields"], lambda f: f != "outer_fibers")
@@ -163,9 +170,11 @@ def ml_fill_join(attributes: DataFrame, results: DataFrame, passes: tuple[str, .
     out = attributes.join(results.hint("merge"), "item_id", "left")
 
     def apply(rows: DataFrame, name: str) -> DataFrame:
-        result = F.try_parse_json(F.col(name))
-        filled = F.struct(fill_size(F.col("size"), result).alias("size"), fill_material(F.col("material"), result).alias("material"))
-        # a generator of one row, so that neither the next pass nor a filter copies these expressions into itself
-        return rows.select(*[c for c in rows.columns if c not in ("size", "material")], F.inline(F.array(filled))).select(*rows.columns)
+        # generators of one row, so that neither the next step nor a filter copies these expressions into itself: a result's
+        # text is parsed once, and each of its numbers is taken out once
+        once = lambda df, column, as_: df.select("*", F.inline(F.array(F.struct(column.alias(as_)))))
+        rows, names = once(once(rows, F.try_parse_json(F.col(name)), "_result"), answers(F.col("_result")), "_said"), rows.columns
+        filled = F.struct(fill_size(F.col("size"), F.col("_said")).alias("size"), fill_material(F.col("material"), F.col("_said")).alias("material"))
+        return rows.select(*[c for c in names if c not in ("size", "material")], F.inline(F.array(filled))).select(*names)
 
     return reduce(apply, passes, out).drop(*passes)

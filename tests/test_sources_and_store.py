@@ -251,3 +251,16 @@ def test_each_question_by_pictures_has_its_own_gate(spark):
     asked = fill.ml_fill_requests(fill.ml_fill_candidates(attributes, images=True), images=True).collect()
     assert {(r["item_id"], r["about"]) for r in asked} == {("10t5", "material"), ("50t5", "material"), ("60t5", "material"), ("60t5", "size"), ("61t5", "size")}
     assert all(len(r["images"]) == 4 for r in asked)
+
+
+def test_a_filled_result_is_parsed_once_a_pass(spark):
+    from tailorbird.operators.extract import extract
+
+    rows = [("a", 0, "description", "肩幅 44cm", 1.0)]
+    attributes = extract(
+        spark.createDataFrame(rows, "item_id string, pos int, source string, text string, confidence double"), ("size", "material"),
+    )
+    results = spark.createDataFrame([("a", "text", '{"pants_rise_cm": 25}')], "item_id string, pass string, j string")
+    out = fill.ml_fill_join(attributes, results.select("item_id", "pass", F.parse_json("j").alias("result")), passes=("text",))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson(text#") == 1
+    assert out.first()["size"]["pants"]["rise_cm"]["value"] == 25.0
