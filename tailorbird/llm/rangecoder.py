@@ -1,11 +1,14 @@
-"""An adaptive context-mixing range coder for token ids, many blocks at a time.
+"""A context-mixing range coder for token ids, many blocks at a time.
 
 Each block starts from an empty model of three orders.  Order 2 and order 1 know, for the last two ids and for
-the last one, which id came next and how surely; order 0 is an adaptive distribution over all ids, by the high
-part of an id and the low part within it.  The three are mixed: P(x) = w2 [x is order 2's] + w1 [x is order
-1's] + w0 P0(x).  The weights are chosen by how sure orders 2 and 1 are and whether they agree, and move
-towards each order's share in what came (an online step of expectation and maximisation).  A range coder writes
-whether the id is one of the two guesses, by their mixed probabilities, and any other id by P0.
+the last one, which id came next and how often in a row; order 0 is a distribution over the block's ids.  The
+three are mixed: P(x) = w2 [x is order 2's] + w1 [x is order 1's] + w0 P0(x).  The weights are chosen by how
+sure orders 2 and 1 are and whether they agree.  A range coder writes whether the id is one of the two guesses,
+by their mixed probabilities, and any other id by P0.
+
+Guesses follow from the ids before, so a block is looked through once without coding; then its weights and the
+counts of order 0, over the ids that weren't guessed, are known and stand in front of it.  Every id is unguessed
+where it first comes, so these counts name all ids of the block, and the model works on their numbers.
 
 The steps of one block depend on each other, those of different blocks don't: NumPy takes one step of all
 blocks at once, so a few hundred blocks share the cost of each call.  All arithmetic is on integers, so what
@@ -21,191 +24,169 @@ import numpy as np
 
 BLOCK = 8192
 LANES = 768
-#: Ids are below 2^BITS.
+#: Ids are below 2^BITS, blocks no longer than 2^20.
 BITS = 28
+_LONGEST = 1 << 20
 _SLOTS = 1 << 11
-_EMPTY = -1
 _HEAD = struct.Struct("<III")
-#: The weights' row for two confidences from 0 (no entry) to 7, each in four classes.
-_CLASS = np.array([16 * a + 4 * b for a in (0, 1, 2, 2, 3, 3, 3, 3) for b in (0, 1, 2, 2, 3, 3, 3, 3)], np.int64)
-#: Probabilities are out of 2^16; what is left over for order 0 beside the guesses, and the least weight of an order.
-_ONE, _REST, _LEAST = 1 << 16, 64, 256
-#: Order 0's counts are sums over its 256 parts; no sum grows beyond this.
-_MOST = 60_000
-_PARTS = np.arange(256, dtype=np.int64)
-_GROUP_ENDS = _PARTS[15::16]
-_RAW = 12
+_SHAPE = struct.Struct("<II")
+#: Rows of weights: two confidences from 0 (no guess) to 3, and whether the guesses are alike.
+_ROWS = 32
+#: Probabilities are out of 2^16, weights of 2^8. A sixteenth of order 0's share is left for ids that aren't guesses.
+_ONE, _UNIT, _SHARE = 1 << 16, 1 << 8, 61_440
+#: Steps whose probabilities are worked out at a time.
+_STEPS = 64
+#: Ranges below this take in, or give out, a word. Where an id begins in order 0 and its count lie in one number.
+_FULL, _HIGH, _LOW = np.uint64(1 << 32), np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class BlockError(ValueError):
     """A block that doesn't hold the ids whose checksum it has."""
 
 
-class _Parts:
-    """Adaptive distributions over 256 parts, one a row, as running sums of counts."""
-
-    def __init__(self, rows: int, step: int):
-        self.sums = np.tile((_PARTS + 1).astype(np.uint16), (rows, 1))
-        self.flat, self.step = self.sums.reshape(-1), step
-        self.more = ((_PARTS >= _PARTS[:, None]) * step).astype(np.uint16)
-
-    def at(self, rows: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the parts begin, their sizes and the totals."""
-        base = rows << 8
-        place = base + part
-        end = self.flat.take(place).astype(np.int64)
-        begin = self.flat.take(np.maximum(place - 1, 0)) * (part > 0)
-        return begin, end - begin, self.total(rows)
-
-    def total(self, rows: np.ndarray) -> np.ndarray:
-        return self.flat.take((rows << 8) + 255).astype(np.int64)
-
-    def find(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The part in which a place lies: first among sixteen groups of parts, then within one."""
-        base, place = (rows << 8)[:, None], place.astype(np.uint16)[:, None]
-        group = (self.flat.take(base + _GROUP_ENDS) <= place).sum(1) << 4
-        return group + (self.flat.take(base + group[:, None] + _PARTS[:16]) <= place).sum(1)
-
-    def add(self, rows: np.ndarray, part: np.ndarray) -> None:
-        got, more = self.sums.take(rows, 0), self.more.take(part, 0)
-        full = got[:, 255] > _MOST - self.step
-        if full.any():
-            more[full] = 0
-        got += more
-        self.sums[rows] = got
-
-
-class _Model:
-    """Predictions and tables of the lanes' blocks. An entry is an id times 8 plus its confidence."""
-
-    def __init__(self, lanes: int, low_bits: np.ndarray):
-        self.base = np.arange(lanes) * _SLOTS
-        self.entries2, self.entries1 = (np.full(lanes * _SLOTS, _EMPTY * 8, np.int32) for _ in range(2))
-        self.high, self.low, self.bits = _Parts(lanes, 4), _Parts(lanes * 256, 20), low_bits
-        self.weights = np.tile(np.array([24_000, 12_000, _ONE - 36_000], np.int32), (lanes * 64, 1))
-        self.rows, self.every = np.arange(lanes) * 64, np.arange(lanes)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def split(self, lanes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An id's high part, the row and part of its low part, and the bits below both."""
-        bits = self.bits[lanes]
-        high, rest = ids >> bits, ids & ((1 << bits) - 1)
-        raw = np.maximum(bits - 8, 0)
-        return high, rest >> raw, rest & ((1 << raw) - 1)
-
-    def order0(self, ids: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """P0 of whole parts, without the raw bits; nothing of an id that isn't one."""
-        known = ids >= 0
-        high, low, _ = self.split(lanes, ids * known)
-        high &= 255
-        _, size, total = self.high.at(lanes, high)
-        _, part, whole = self.low.at((lanes << 8) + high, low)
-        return ((size << 16) // total * part // whole >> np.maximum(self.bits[lanes] - 8, 0)) * known
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the first n lanes the mixed probabilities of the guesses a and b; b is none where it equals a."""
-        last, base = self.last[:n], self.base[:n]
-        self.at1 = base + ((last * 0xC2B2AE35 >> 9) & (_SLOTS - 1))
-        self.at2 = base + ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B >> 11) & (_SLOTS - 1))
+class _Guesses:
+    """What orders 2 and 1 expect in each lane. An entry is a number times 4 plus its confidence; a lane's first number is none's."""
+
+    def __init__(self, starts: np.ndarray, numbers: int):
+        self.starts, self.base = starts, np.arange(len(starts)) * _SLOTS
+        none = (starts * 4).astype(np.int32)
+        self.entries2, self.entries1 = np.repeat(none, _SLOTS), np.repeat(none, np.diff(starts, append=numbers))
+        self.last, self.before = starts.copy(), np.zeros(len(starts), np.int64)
+
+    def look(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of orders 2 and 1 in the first n lanes."""
+        self.at1 = self.last[:n]
+        own = self.at1 - self.starts[:n]
+        self.at2 = own * 0x9E5
+        self.at2 += self.before[:n]
+        self.at2 &= _SLOTS - 1
+        self.at2 += self.base[:n]
+        self.before = own
         self.e2, self.e1 = self.entries2.take(self.at2).astype(np.int64), self.entries1.take(self.at1).astype(np.int64)
-        self.a, self.b = self.e2 >> 3, self.e1 >> 3
-        same = self.a == self.b
-        self.row = self.rows[:n] + _CLASS.take(((self.e2 & 7) << 3) | (self.e1 & 7)) + same
-        self.now = self.weights.take(self.row, 0).astype(np.int64)
-        w2, w1, w0 = self.now.T
-        # shares of the guess by each order; an order without a guess has none
-        self.by2, self.by1 = w2 * (self.a >= 0), w1 * (self.b >= 0)
-        by0 = self.order0(np.concatenate([self.a, self.b]), np.concatenate([self.every[:n]] * 2))
-        self.by0a, self.by0b = w0 * by0[:n] >> 16, w0 * by0[n:] >> 16
-        first = self.by2 + self.by1 * same + self.by0a
-        second = (self.by1 + self.by0b) * ~same
-        self.same, self.b = same, np.where(same, _EMPTY - 1, self.b)
-        scale = _ONE - _REST
-        return first * scale >> 16, second * scale >> 16
-
-    def update(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        # each order's share in what came moves its weight
-        first, second = outcome == 0, outcome == 1
-        r2, r1 = self.by2 * first, self.by1 * (second | (first & self.same))
-        whole = np.maximum(r2 + r1 + self.by0a * first + self.by0b * second, 1)
-        w2, w1, _ = self.now.T
-        w2 = w2 + (((r2 << 16) // whole - w2) >> 5)
-        w1 = w1 + (((r1 << 16) // whole - w1) >> 5)
-        w2 = np.minimum(np.maximum(w2, _LEAST), _ONE - 3 * _LEAST)
-        w1 = np.minimum(np.maximum(w1, _LEAST), _ONE - _LEAST - w2)
-        self.weights[self.row] = np.stack([w2, w1, _ONE - w2 - w1], 1)
-        fresh = ids * 8 + 1
+        return self.e2, self.e1
+
+    def learn(self, now: np.ndarray) -> None:
+        fresh = now << 2
+        again = fresh | 2  # which came before as well: for the first time, or the second and later
+        fresh |= 1
         for at, e, entries in ((self.at2, self.e2, self.entries2), (self.at1, self.e1, self.entries1)):
-            sure = e & 7
-            entries[at] = np.where(e >> 3 == ids, e + (sure < 7), np.where(sure > 2, e - ((sure + 1) >> 1), fresh))
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+            sure = e >= fresh
+            sure &= e < fresh + 3
+            entries[at] = np.where(sure, again + (e > fresh), fresh)
+        self.last = now
+
+
+def _rows(e2: np.ndarray, e1: np.ndarray, same: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The row of weights of each pair of entries."""
+    row = e2 & 3
+    row <<= 2
+    row |= e1 & 3
+    row <<= 1
+    row |= same
+    row += rows
+    return row
+
+
+class _Mix:
+    """Weights by row and order 0's probabilities by number, out of 2^16."""
+
+    def __init__(self, weights: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        self.w2, self.w1 = (np.ascontiguousarray(w, np.int64) * _UNIT for w in weights.T)
+        self.w0 = _ONE - self.w2 - self.w1
+        self.p0 = (counts * _SHARE // np.maximum(totals, 1)).astype(np.int32)
+
+    def ends(self, row: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probabilities of the guesses a and b end; b has none where it equals a."""
+        w0 = self.w0.take(row)
+        first = self.p0.take(a) * w0
+        first >>= 16
+        first += self.w2.take(row)
+        second = self.p0.take(b) * w0
+        second >>= 16
+        second += self.w1.take(row)
+        second *= ~same
+        second += first
+        return first, second
 
 
 class _Encoder:
-    """A low end of 48 bits and a range of 32 to 48 bits for each lane; words of 16 bits go out."""
+    """A low end of 64 bits and a range of 32 to 64 bits for each lane; words of 32 bits go out."""
 
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-        self.words, self.used = np.zeros((lanes, words), np.int32), np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.words, self.used = np.zeros((lanes, words), np.int64), np.zeros(lanes, np.int64)
 
     def reserve(self, words: int) -> None:
         """Make room for so many further words of each lane."""
         if self.used.max() + words > self.words.shape[1]:
             self.words = np.pad(self.words, ((0, 0), (0, words + self.words.shape[1] // 4)))
 
-    def put(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray, total) -> None:
-        """Narrow the lanes' ranges to [begin, begin + size) of the total."""
-        part = self.range[lanes] // total
-        low, width = self.low[lanes] + begin * part, size * part
-        over = lanes[low >> 48 > 0]
+    def put(self, begin: np.ndarray, end: np.ndarray, rare: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """Narrow the first ranges to [begin, end) of 2^16, those of the rare lanes then to their ids."""
+        n = len(begin)
+        low, width = self.low[:n], self.range[:n]
+        part = width >> 16
+        skip = begin * part
+        end = end * part
+        end[rare] = width[rare]
+        end -= skip
+        if len(rare):
+            part = end[rare] // total
+            skip[rare] += start * part
+            end[rare] = size * part
+        low += skip
+        width[:] = end
+        over = (low < skip).nonzero()[0]
         if len(over):
             self.words[over, self.used[over] - 1] += 1  # settled in finish()
-            low &= (1 << 48) - 1
-        small = np.flatnonzero(width < 1 << 32)
+        small = (width < _FULL).nonzero()[0]
         if len(small):
-            at = lanes[small]
-            self.words[at, self.used[at]] = low[small] >> 32
-            self.used[at] += 1
-            low[small] = (low[small] & 0xFFFFFFFF) << 16
-            width[small] <<= 16
-        self.low[lanes], self.range[lanes] = low, width
+            self.words[small, self.used[small]] = low[small] >> 32
+            self.used[small] += 1
+            low[small] <<= 32
+            width[small] <<= 32
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for _ in range(3):
+        for _ in range(2):
             self.words[every, self.used] = self.low >> 32
             self.used += 1
-            self.low = (self.low & 0xFFFFFFFF) << 16
-        for k in range(self.words.shape[1] - 1, 0, -1):
-            self.words[:, k - 1] += self.words[:, k] >> 16
-        return [(row[:n] & 0xFFFF).astype("<u2").tobytes() for row, n in zip(self.words, self.used)]
-
-
-class _Decoder:
-    def __init__(self, data: list[bytes]):
-        self.range = np.full(len(data), (1 << 48) - 1, np.int64)
-        self.words = np.zeros((len(data), max(len(d) // 2 for d in data) + 3), np.uint16)
-        for row, d in zip(self.words, data):
-            row[: len(d) // 2] = np.frombuffer(d, "<u2")
-        first = self.words[:, :3].astype(np.int64)
-        self.code, self.used = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2], np.full(len(data), 3)
-
-    def peek(self, lanes: np.ndarray, total) -> np.ndarray:
-        """Where in the total the lanes' codes lie."""
-        self.part = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // self.part, total - 1)
-
-    def take(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """Narrow the ranges as the encoder did, after a peek at the same lanes."""
-        code, width = self.code[lanes] - begin * self.part, size * self.part
-        small = np.flatnonzero(width < 1 << 32)
-        if len(small):
-            at = lanes[small]
-            code[small] = (code[small] << 16) | self.words[at, np.minimum(self.used[at], self.words.shape[1] - 1)]
-            self.used[at] += 1
-            width[small] <<= 16
-        self.code[lanes], self.range[lanes] = code, width
+            self.low = self.low << 32
+        for k in range(int(self.used.max()) - 1, 0, -1):
+            self.words[:, k - 1] += self.words[:, k] >> 32
+        return [(row[:n] & 0xFFFFFFFF).astype("<u4").tobytes() for row, n in zip(self.words, self.used)]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as their lowest bytes, then the next ones; the higher ones are mostly zeros."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
+def _numbered(ids: np.ndarray, lanes: int, block: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Each lane's ids as numbers, step by step, those lanes' distinct ids, and each lane's first number, which is none's."""
+    top = int(ids.max()) + 1
+    seen, number = (np.zeros(top, bool), np.zeros(top, np.int64)) if top <= 1 << 20 else (None, None)
+    grid, known, starts, at = np.zeros((lanes, block), np.int32), [], [], 0
+    for lane in range(lanes):
+        part = ids[lane * block : (lane + 1) * block]
+        if seen is None:
+            own, which = np.unique(part, return_inverse=True)
+        else:
+            seen[part] = True
+            own = np.flatnonzero(seen)
+            seen[own] = False
+            number[own] = np.arange(len(own))
+            which = number[part]
+        grid[lane] = at
+        grid[lane, : len(part)] = which + (at + 1)
+        known.append(own)
+        starts.append(at)
+        at += len(own) + 1
+    return np.ascontiguousarray(grid.T), known, np.array(starts)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -215,57 +196,62 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         return []
     if ids.min() < 0 or ids.max() >= 1 << BITS:
         raise ValueError("an id is out of range")
+    if block > _LONGEST:
+        raise ValueError("a block is too long")
     lanes = -(-len(ids) // block)
-    grid = np.zeros((lanes, block), np.int32)
-    grid.reshape(-1)[: len(ids)] = ids
     sizes = [block] * (lanes - 1) + [len(ids) - block * (lanes - 1)]
     longest = max(sizes)
-    bits = np.maximum(np.frexp(grid.max(1).astype(np.float64))[1] - 8, 0).astype(np.int64)
-    model, coder = _Model(lanes, bits), _Encoder(lanes, longest // 2 + 800)
-    by_step, every = np.ascontiguousarray(grid.T), np.arange(lanes)
+    steps, known, starts = _numbered(ids, lanes, longest if lanes == 1 else block)
+    distinct = np.array([len(k) for k in known])
+    numbers = int(distinct.sum()) + lanes
+    # the guesses of every step; behind the end of the last block, none is looked at
+    guesses, seen2, seen1 = _Guesses(starts, numbers), np.empty((longest, lanes), np.int32), np.empty((longest, lanes), np.int32)
     for t in range(longest):
-        n = lanes if t < sizes[-1] else lanes - 1  # only the last block may be shorter
-        if not t & 127:
-            coder.reserve(800)
-        now = by_step[t, :n].astype(np.int64)
-        first, second = model.predict(n)
-        outcome = np.where(now == model.a, 0, np.where(now == model.b, 1, 2))
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, first + second))
-        size = np.where(outcome == 0, first, np.where(outcome == 1, second, _ONE - first - second))
-        coder.put(every[:n], begin, size, _ONE)
-        if len(rare := np.flatnonzero(outcome == 2)):
-            high, low, raw = model.split(rare, now[rare])
-            coder.put(rare, *model.high.at(rare, high))
-            coder.put(rare, *model.low.at(rare * 256 + high, low))
-            _put_raw(coder, rare, raw, np.maximum(bits[rare] - 8, 0))
-            model.high.add(rare, high)
-            model.low.add(rare * 256 + high, low)
-        model.update(n, now, outcome)
+        seen2[t], seen1[t] = guesses.look(lanes)
+        guesses.learn(steps[t].astype(np.int64))
+    rows, outcomes = np.arange(lanes) * _ROWS, np.empty((longest, lanes), np.int8)
+    came = np.zeros(lanes * _ROWS * 4, np.int64)
+    for t in range(0, longest, _STEPS):
+        e2, e1, now = (x[t : t + _STEPS] for x in (seen2, seen1, steps))
+        a, b = e2 >> 2, e1 >> 2
+        outcome = np.where(now == a, 0, np.where(now == b, 1, 2))
+        outcome[max(sizes[-1] - t, 0) :, -1] = 3
+        outcomes[t : t + _STEPS] = outcome
+        came += np.bincount((_rows(e2, e1, a == b, rows[None].astype(np.int32)) * 4 + outcome).ravel(), minlength=len(came))
+    counts = np.bincount(steps[outcomes == 2], minlength=numbers)
+    weights, totals, before = _weights(came.reshape(-1, 4)), np.add.reduceat(counts, starts), np.cumsum(counts) - counts
+    begins = before - np.repeat(before[starts], distinct + 1)
+    mix = _Mix(weights, counts, np.repeat(totals, distinct + 1))
+    coder, totals, spans = _Encoder(lanes, longest // 4 + 800), totals.astype(np.uint64), (begins << 32 | counts).astype(np.uint64)
+    for t in range(0, longest, _STEPS):
+        coder.reserve(_STEPS + 3)
+        e2, e1, now, outcome = (x[t : t + _STEPS] for x in (seen2, seen1, steps, outcomes))
+        a, b = e2 >> 2, e1 >> 2
+        same = a == b
+        first, second = mix.ends(_rows(e2, e1, same, rows[None]), a, b, same)
+        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, second)).view(np.uint64)
+        end = np.where(outcome == 0, first, second).view(np.uint64)
+        step, rare = np.nonzero(outcome == 2)
+        span, total, edges = spans.take(now[step, rare]), totals.take(rare), np.searchsorted(step, np.arange(len(now) + 1)).tolist()
+        start, size = span >> _HIGH, span & _LOW
+        for i, (x, y) in enumerate(zip(edges, edges[1:])):
+            n = lanes if t + i < sizes[-1] else lanes - 1  # only the last block may be shorter
+            coder.put(begin[i, :n], end[i, :n], rare[x:y], start[x:y], size[x:y], total[x:y])
     out = []
-    for i, (n, data) in enumerate(zip(sizes, coder.finish())):
-        out.append(_HEAD.pack(n, len(data) + 1, zlib.crc32(grid[i, :n].astype("<u4").tobytes())) + bytes([bits[i]]) + data)
+    for i, (n, own, start, data) in enumerate(zip(sizes, known, starts, coder.finish())):
+        model = weights[i * _ROWS : (i + 1) * _ROWS].tobytes() + _planes(np.diff(own, prepend=0)) + _planes(counts[start + 1 : start + 1 + len(own)])
+        model = zlib.compress(model, 4)
+        crc = zlib.crc32(ids[i * block : i * block + n].astype("<u4").tobytes())
+        out.append(_HEAD.pack(n, _SHAPE.size + len(model) + len(data), crc) + _SHAPE.pack(len(own), len(model)) + model + data)
     return out
 
 
-def _put_raw(coder: _Encoder, lanes: np.ndarray, raw: np.ndarray, bits: np.ndarray) -> None:
-    """Bits as they are, the lowest `_RAW` first."""
-    while len(wide := np.flatnonzero(bits)):
-        lanes, raw, bits = lanes[wide], raw[wide], bits[wide]
-        now = np.minimum(bits, _RAW)
-        coder.put(lanes, raw & ((1 << now) - 1), np.ones(len(lanes), np.int64), 1 << now)
-        raw, bits = raw >> now, bits - now
-
-
-def _take_raw(coder: _Decoder, lanes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out, done, at = np.zeros(len(lanes), np.int64), 0, np.arange(len(lanes))
-    while len(wide := np.flatnonzero(bits)):
-        lanes, bits, at = lanes[wide], bits[wide], at[wide]
-        now = np.minimum(bits, _RAW)
-        got = coder.peek(lanes, 1 << now)
-        coder.take(lanes, got, np.ones(len(lanes), np.int64))
-        out[at] |= got << done
-        bits, done = bits - now, done + _RAW
-    return out
+def _weights(came: np.ndarray) -> np.ndarray:
+    """Each row's weights of orders 2 and 1, by how often they were right; what came is never given none."""
+    whole = np.maximum(came[:, :3].sum(1), 1)
+    w2, w1 = (np.maximum(came[:, k] * 255 // whole, came[:, k] > 0) for k in (0, 1))
+    w2 = np.minimum(w2, 255 - w1)
+    return np.stack([w2, w1], 1).astype(np.uint8)
 
 
 def header(data: bytes) -> tuple[int, int]:
@@ -277,6 +263,22 @@ def header(data: bytes) -> tuple[int, int]:
 HEADER = _HEAD.size
 
 
+def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's weights, distinct ids, their counts and its words."""
+    try:
+        distinct, size = _SHAPE.unpack_from(block, HEADER)
+        model = zlib.decompress(block[HEADER + _SHAPE.size : HEADER + _SHAPE.size + size])
+        weights = np.frombuffer(model[: 2 * _ROWS], np.uint8).reshape(_ROWS, 2)
+        ids, counts = (_from_planes(model[2 * _ROWS + k * 4 * distinct : 2 * _ROWS + (k + 1) * 4 * distinct]) for k in (0, 1))
+        words = np.frombuffer(block[HEADER + _SHAPE.size + size :], "<u4")
+    except (struct.error, zlib.error, ValueError) as broken:
+        raise BlockError("a block's model is damaged") from broken
+    n, ids = _HEAD.unpack(block[:HEADER])[0], np.cumsum(ids)
+    if not (len(ids) == len(counts) == distinct > 0 and ids[-1] < 1 << BITS and 0 < counts.min() and counts.sum() <= n <= _LONGEST and weights.sum(1, np.int64).max() < 256):
+        raise BlockError("a block's model is damaged")
+    return weights, ids, counts, words
+
+
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of whole blocks of any lengths, one run after the other."""
     if not blocks:
@@ -284,40 +286,60 @@ def decode(blocks: list[bytes]) -> np.ndarray:
     heads = [_HEAD.unpack(b[:HEADER]) for b in blocks]
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])  # longer ones first, so that lanes end from the back
     sizes = [heads[i][0] for i in order]
-    lanes, longest = len(blocks), sizes[0]
-    bits = np.array([blocks[i][HEADER] if len(blocks[i]) > HEADER else 255 for i in order], np.int64)
-    if bits.max() > BITS - 8:
-        raise BlockError("a block's header is damaged")
-    model, coder = _Model(lanes, bits), _Decoder([blocks[i][HEADER + 1 :] for i in order])
-    grid, n, every = np.zeros((longest, lanes), np.uint32), lanes, np.arange(lanes)
+    weights, known, counted, data = zip(*(_opened(blocks[i]) for i in order))
+    lanes, longest, n = len(blocks), sizes[0], len(blocks)
+    none, distinct = np.zeros(1, np.int64), np.array([len(k) for k in known]) + 1
+    starts = np.cumsum(distinct) - distinct
+    ids, counts = (np.concatenate([x for part in parts for x in (none, part)]) for parts in (known, counted))
+    totals = np.add.reduceat(counts, starts)
+    places, slots = np.cumsum(totals) - totals, np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    begins = np.cumsum(counts) - counts - np.repeat(places, distinct)
+    mix, guesses = _Mix(np.concatenate(weights), counts, np.repeat(totals, distinct)), _Guesses(starts, len(counts))
+    words = np.zeros((lanes, max(map(len, data)) + 3), np.uint64)
+    for row, d in zip(words, data):
+        row[: len(d)] = d
+    code, width, used = words[:, 0] << 32 | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64), np.full(lanes, 2)
+    spans, most, rows = (begins << 32 | counts).astype(np.uint64), totals.astype(np.uint64), np.arange(lanes) * _ROWS
+    grid = np.zeros((longest, lanes), np.int32)
     for t in range(longest):
         while sizes[n - 1] <= t:
             n -= 1
-        first, second = model.predict(n)
-        both = first + second
-        place = coder.peek(every[:n], _ONE)
-        outcome = (place >= first).astype(np.int64) + (place >= both)
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, both))
-        coder.take(every[:n], begin, np.where(outcome == 0, first, np.where(outcome == 1, second, _ONE - both)))
-        now = np.where(outcome == 0, model.a, model.b)
-        if len(rare := np.flatnonzero(outcome == 2)):
-            high = model.high.find(rare, coder.peek(rare, model.high.total(rare)))
-            coder.take(rare, *model.high.at(rare, high)[:2])
-            rows = rare * 256 + high
-            low = model.low.find(rows, coder.peek(rare, model.low.total(rows)))
-            coder.take(rare, *model.low.at(rows, low)[:2])
-            beyond = np.maximum(bits[rare] - 8, 0)
-            now[rare] = (high << bits[rare]) | (low << beyond) | _take_raw(coder, rare, beyond)
-            model.high.add(rare, high)
-            model.low.add(rows, low)
-        now = np.maximum(now, 0)  # a damaged block may name a guess that isn't there
-        model.update(n, now, outcome)
+            code, width = code[:n], width[:n]
+        e2, e1 = guesses.look(n)
+        a, b = e2 >> 2, e1 >> 2
+        same = a == b
+        first, second = mix.ends(_rows(e2, e1, same, rows[:n]), a, b, same)
+        part = width >> 16
+        first, second = first.view(np.uint64) * part, second.view(np.uint64) * part
+        later, unknown = code >= first, code >= second
+        begin = np.where(unknown, second, first * later)
+        width = np.where(unknown, width, np.where(later, second, first))
+        width -= begin
+        code -= begin
+        now = np.where(later, b, a)
+        rare = unknown.nonzero()[0]
+        if len(rare):
+            left, total = code.take(rare), most.take(rare)
+            part = width.take(rare) // total
+            place = np.minimum(left // part, total - 1).view(np.int64)
+            number = slots.take(places.take(rare) + place)
+            span = spans.take(number)
+            code[rare] = left - (span >> _HIGH) * part
+            width[rare] = (span & _LOW) * part
+            now[rare] = number
+        small = (width < _FULL).nonzero()[0]
+        if len(small):
+            at = used.take(small)
+            code[small] = code.take(small) << 32 | words[small, np.minimum(at, words.shape[1] - 1)]
+            width[small] <<= 32
+            used[small] = at + 1
+        guesses.learn(now)
         grid[t, :n] = now
     back = {i: k for k, i in enumerate(order)}
     out = []
     for i, (n, _, crc) in enumerate(heads):
-        ids = grid[:n, back[i]].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != crc:
+        found = ids[grid[:n, back[i]]].astype("<u4")
+        if zlib.crc32(found.tobytes()) != crc:
             raise BlockError("a block's checksum doesn't match its ids")
-        out.append(ids)
+        out.append(found)
     return np.concatenate(out)
