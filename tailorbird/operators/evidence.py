@@ -47,8 +47,8 @@ def _each_nfkc(texts: Column) -> Column:
     return F.split(nfkc(whole), _PART)
 
 
-def cleaned_blocks() -> Column:
-    """The array of a page's cleaned blocks: one for each bucket that isn't blank, and one for each line of its description."""
+def raw_blocks() -> Column:
+    """The array of a page's blocks before cleaning: one for each bucket that isn't blank, and one for each line of its description."""
 
     def block(source: str, kind: str, confidence: float, text: Column) -> Column:
         return F.struct(
@@ -63,7 +63,12 @@ def cleaned_blocks() -> Column:
             parts.append(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), partial(block, source, kind, confidence)))
         else:
             parts.append(F.array(block(source, kind, confidence, text)))
-    blocks = F.filter(F.concat(*parts), lambda b: b["raw"].rlike(r"(?U)\S"))
+    return F.filter(F.concat(*parts), lambda b: b["raw"].rlike(r"(?U)\S"))
+
+
+def cleaned_blocks(raw: Column | None = None) -> Column:
+    """The array of a page's cleaned blocks. `raw` is a column that holds raw_blocks(), which otherwise are made twice: for Python, and for what comes back."""
+    blocks = raw_blocks() if raw is None else raw
     texts = _each_nfkc(F.transform(blocks, lambda b: strip_tags(b["raw"])))
     # without blocks there still is one text, an empty one
     both = F.filter(F.arrays_zip(blocks.alias("b"), texts.alias("t")), lambda x: x["b"].isNotNull())
@@ -152,11 +157,19 @@ def build_package(captures: DataFrame) -> DataFrame:
     return captures.withColumns({"item_id": item_id(F.col("url")), "source_site": detect_site(F.col("url"))})
 
 
+def own_packages(signals: DataFrame) -> DataFrame:
+    """item_id and evidence_blocks, the stored form, of each row of signals within itself. A row without evidence has an empty array."""
+    there = F.filter(cleaned_blocks(F.col("raw")), lambda b: (b["source"] != "description") | (b["text"] != ""))
+    none = F.create_map().cast("map<string,string>").alias("metadata")
+    stored = F.transform(there, lambda b: F.struct(*[b[f].alias(f) for f in ("source", "text", "block_type", "confidence")], none))
+    return signals.select("item_id", raw_blocks().alias("raw")).select("item_id", stored.alias("evidence_blocks"))
+
+
 def nest_evidence(evidence: DataFrame) -> DataFrame:
-    """item_id and evidence_blocks in their order: the stored form."""
+    """item_id and evidence_blocks in their order, of long evidence that is gathered by item: the stored form."""
     block = F.struct("pos", "source", "text", "block_type", "confidence", F.map_entries("metadata").alias("entries"))
     plain = lambda b: F.struct(b["source"].alias("source"), b["text"].alias("text"), b["block_type"].alias("block_type"), b["confidence"].alias("confidence"), F.map_from_entries(b["entries"]).alias("metadata"))
-    return evidence.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(block)), plain).alias("evidence_blocks"))
+    return evidence.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(block)), plain).alias("evidence_blocks"))
 
 
 def flatten_packages(packages: DataFrame) -> DataFrame:

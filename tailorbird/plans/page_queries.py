@@ -11,7 +11,7 @@ from ..config import RULES
 from ..functions.html import elements
 from ..functions.text import cm_to_mm, mm_to_cm
 from ..operators import fill, frontier, rules, store, stored
-from ..operators.evidence import build_package, nest_evidence, signals_to_evidence, site_item_id
+from ..operators.evidence import build_package, own_packages, site_item_id
 from ..sources.captures import outcome_log, read_captures, read_evidence_packages
 from ..sources.scratch import shared_path
 from ..sources.sites import IMAGES, SELECTORS, captures_to_signals, selector_signals
@@ -154,7 +154,7 @@ def stored_packages(spark, sf_dir):
     """Packages written as JSON, read back and decided anew; every tenth lost its blocks."""
     path = shared_path(spark, "packages")
     signals = build_package(listing_signals(parts(spark, sf_dir)))
-    nested = nest_evidence(signals_to_evidence(signals.withColumn("item_id", _k().cast("string"))))
+    nested = own_packages(signals.withColumn("item_id", _k().cast("string")))
     nested.withColumn("evidence_blocks", F.when(F.col("item_id").cast("long") % 10 != 9, F.col("evidence_blocks"))).write.json(path)
     return reparse(read_evidence_packages(spark, path), distinct=False).select(F.col("item_id").cast("long").alias("k"), "verdict", "score", "error")
 
@@ -163,7 +163,7 @@ def broken_packages(spark, sf_dir):
     """Packages of which some lines are cut off: each gets an error of its own and keeps its text; the others are decided."""
     path = shared_path(spark, "packages")
     signals = build_package(listing_signals(parts(spark, sf_dir)))
-    nested = nest_evidence(signals_to_evidence(signals.withColumn("item_id", _k().cast("string"))))
+    nested = own_packages(signals.withColumn("item_id", _k().cast("string")))
     line, k = F.to_json(F.struct(*nested.columns)), F.col("item_id").cast("long")
     nested.select(F.when(k % 10 == 3, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).write.text(path)
     out = reparse(read_evidence_packages(spark, path), distinct=False)

@@ -5,8 +5,11 @@ import json
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from tailorbird.config import SIGNALS
 from tailorbird.operators import evidence, fill, frontier, rules, store
+from tailorbird.operators.evidence import build_package, nest_evidence, own_packages, signals_to_evidence
 from tailorbird.plans.decisions import decide_captures, reparse
+from tailorbird.plans.listings import listing_signals
 from tailorbird.sources import captures as C
 from tailorbird.sources.sites import captures_to_signals, selector_signals
 from tailorbird.streaming.decisions import stream_decisions
@@ -264,3 +267,22 @@ def test_a_filled_result_is_parsed_once_a_pass(spark):
     out = fill.ml_fill_join(attributes, results.select("item_id", "pass", F.parse_json("j").alias("result")), passes=("text",))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson(text#") == 1
     assert out.first()["size"]["pants"]["rise_cm"]["value"] == 25.0
+
+
+def test_packages_are_made_within_their_rows(spark):
+    """Packages were dealt out block by block and gathered again, and their blocks made twice."""
+    signals = build_package(listing_signals(spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(40)))
+    k = F.col("p_partkey")
+    odd = signals.withColumns(
+        {
+            "title_text": F.when(k % 3 == 0, "ＡＢ <b>袖丈</b>：６０cm").when(k % 3 == 1, F.col("title_text")),
+            "description_text": F.when(k % 4 == 0, F.concat(F.lit("<br>\n \n一 \x00 二\n"), F.col("description_text"))).when(k % 4 == 1, F.col("description_text")),
+        }
+    )
+    got = own_packages(odd)
+    gathered = nest_evidence(signals_to_evidence(odd))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, gathered.select(*got.columns).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan and plan.count("(?U)\\S") == 1
+    nothing = odd.select("item_id", *[F.lit(None).cast("string").alias(c) for _, c, _, _ in SIGNALS])
+    assert {tuple(r["evidence_blocks"]) for r in own_packages(nothing).collect()} == {()}
