@@ -4,15 +4,17 @@ Each block starts from an empty model of three orders.  Order 2 and order 1 know
 the last one, which id came next and how often in a row; order 0 is a distribution over the block's ids.  The
 three are mixed: P(x) = w2 [x is order 2's] + w1 [x is order 1's] + w0 P0(x).  The weights are chosen by how
 sure orders 2 and 1 are and whether they agree.  A range coder writes whether the id is one of the two guesses,
-by their mixed probabilities, and any other id by P0.
+by their mixed probabilities, and any other id by P0, in one narrowing of the range.
 
-Guesses follow from the ids before, so a block is looked through once without coding; then its weights and the
-counts of order 0, over the ids that weren't guessed, are known and stand in front of it.  Every id is unguessed
-where it first comes, so these counts name all ids of the block, and the model works on their numbers.
+Guesses follow from the ids before.  When writing, all of a block's are found by sorting its contexts; then its
+weights and the counts of order 0, over the ids that weren't guessed, are known and stand in front of it.  Every
+id is unguessed where it first comes, so these counts name all ids of the block, and the model works on their
+numbers.  What is left to do id by id is to narrow a range.
 
-The steps of one block depend on each other, those of different blocks don't: NumPy takes one step of all
-blocks at once, so a few hundred blocks share the cost of each call.  All arithmetic is on integers, so what
-one machine writes another one reads.
+A block's ids are cut into a few runs of about equal length.  They share its weights and its order 0, but have
+orders 1 and 2 and a range of their own, so that a block takes fewer steps.  The steps of a run depend on each
+other, those of different runs don't: NumPy takes one step of all runs at once, so thousands of runs share the
+cost of each call.  All arithmetic is on integers, so what one machine writes another one reads.
 """
 
 from __future__ import annotations
@@ -23,138 +25,128 @@ import zlib
 import numpy as np
 
 BLOCK = 8192
-LANES = 768
+#: Blocks at a time, and the runs that each is cut into.
+LANES, _RUNS = 768, 4
 #: Ids are below 2^BITS, blocks no longer than 2^20.
 BITS = 28
 _LONGEST = 1 << 20
-_SLOTS = 1 << 11
+#: Slots of orders 2 and 1 in a run.
+_SLOTS, _ONES = 1 << 9, 1 << 10
 _HEAD = struct.Struct("<III")
-_SHAPE = struct.Struct("<II")
+_SHAPE = struct.Struct(f"<III{_RUNS}I")
 #: Rows of weights: two confidences from 0 (no guess) to 3, and whether the guesses are alike.
 _ROWS = 32
-#: Probabilities are out of 2^16, weights of 2^8. A sixteenth of order 0's share is left for ids that aren't guesses.
-_ONE, _UNIT, _SHARE = 1 << 16, 1 << 8, 61_440
-#: Steps whose probabilities are worked out at a time.
+#: Probabilities are out of 2^32 - 1, made of weights of 2^24 each and of 2^16 of order 0; an eighth of order 0's share is left for
+#: ids that aren't guesses.
+_WHOLE, _UNIT, _SHARE = np.uint64((1 << 32) - 1), 1 << 8, 57_344
+#: Where ids begin in order 0 is out of 2^31.
+_PLACES, _UP = np.uint64(31), np.uint64((1 << 31) - 1)
+#: Steps that are taken from lanes' rows at a time.
 _STEPS = 64
-#: Ranges below this take in, or give out, a word. Where an id begins in order 0 and its count lie in one number.
-_FULL, _HIGH, _LOW = np.uint64(1 << 32), np.uint64(32), np.uint64(0xFFFFFFFF)
+#: Ranges below this take in, or give out, a word of 16 bits.
+_FULL, _WORD, _HALF = np.uint64(1 << 48), np.uint64(16), np.uint64(32)
 
 
 class BlockError(ValueError):
     """A block that doesn't hold the ids whose checksum it has."""
 
 
-class _Guesses:
-    """What orders 2 and 1 expect in each lane. An entry is a number times 4 plus its confidence; a lane's first number is none's."""
-
-    def __init__(self, starts: np.ndarray, numbers: int):
-        self.starts, self.base = starts, np.arange(len(starts)) * _SLOTS
-        none = (starts * 4).astype(np.int32)
-        self.entries2, self.entries1 = np.repeat(none, _SLOTS), np.repeat(none, np.diff(starts, append=numbers))
-        self.last, self.before = starts.copy(), np.zeros(len(starts), np.int64)
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of orders 2 and 1 in the first n lanes."""
-        self.at1 = self.last[:n]
-        own = self.at1 - self.starts[:n]
-        self.at2 = own * 0x9E5
-        self.at2 += self.before[:n]
-        self.at2 &= _SLOTS - 1
-        self.at2 += self.base[:n]
-        self.before = own
-        self.e2, self.e1 = self.entries2.take(self.at2).astype(np.int64), self.entries1.take(self.at1).astype(np.int64)
-        return self.e2, self.e1
-
-    def learn(self, now: np.ndarray) -> None:
-        fresh = now << 2
-        again = fresh | 2  # which came before as well: for the first time, or the second and later
-        fresh |= 1
-        for at, e, entries in ((self.at2, self.e2, self.entries2), (self.at1, self.e1, self.entries1)):
-            sure = e >= fresh
-            sure &= e < fresh + 3
-            entries[at] = np.where(sure, again + (e > fresh), fresh)
-        self.last = now
-
-
-def _rows(e2: np.ndarray, e1: np.ndarray, same: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The row of weights of each pair of entries."""
-    row = e2 & 3
-    row <<= 2
-    row |= e1 & 3
-    row <<= 1
-    row |= same
-    row += rows
-    return row
-
-
-class _Mix:
-    """Weights by row and order 0's probabilities by number, out of 2^16."""
-
-    def __init__(self, weights: np.ndarray, counts: np.ndarray, totals: np.ndarray):
-        self.w2, self.w1 = (np.ascontiguousarray(w, np.int64) * _UNIT for w in weights.T)
-        self.w0 = _ONE - self.w2 - self.w1
-        self.p0 = (counts * _SHARE // np.maximum(totals, 1)).astype(np.int32)
-
-    def ends(self, row: np.ndarray, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the probabilities of the guesses a and b end; b has none where it equals a."""
-        w0 = self.w0.take(row)
-        first = self.p0.take(a) * w0
-        first >>= 16
-        first += self.w2.take(row)
-        second = self.p0.take(b) * w0
-        second >>= 16
-        second += self.w1.take(row)
-        second *= ~same
-        second += first
-        return first, second
+def _expected(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What followed when each id's context came before, 0 if it never did, and how often in a row, up to 3."""
+    n = len(ids)
+    kind, bits = np.int32 if n <= 1 << 18 else np.int64, (n - 1).bit_length()  # contexts have 12 bits
+    keys = context.astype(kind) << bits
+    keys += np.arange(n, dtype=kind)
+    keys.sort()
+    order = (keys & ((1 << bits) - 1)).astype(np.int64)
+    keys >>= bits
+    followed, guess, sure = ids[order], np.zeros(n, np.int64), np.zeros(n, np.int64)
+    again = keys[1:] == keys[:-1]
+    guess[order[1:]] = followed[:-1] * again
+    # runs of like ids behind one context
+    alike = again & (followed[1:] == followed[:-1])
+    run = again.astype(np.int64)
+    run[1:] += alike[:-1] & again[1:]
+    run[2:] += alike[:-2] & alike[1:-1] & again[2:]
+    sure[order[1:]] = run
+    return guess, sure
+
+
+def _slot(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The slot of order 2 for two ids."""
+    return (last * 0x9E5 + before) & (_SLOTS - 1)
+
+
+class _Order0:
+    """Shares of a block's numbers by their counts; number 0 is none's, with the count 0."""
+
+    def __init__(self, counts: np.ndarray):
+        ends, total = np.cumsum(counts), int(counts.sum())
+        self.total = total
+        ends = -(-(ends << 31) // total)  # rounded up, so that the decoder finds a number by divisions
+        self.ends = ends.astype(np.uint32)
+        self.p = (counts * _SHARE // total).astype(np.uint16)
+
+
+
+def _part(space: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where numbers of order 0 begin and end in a space for all of them, rounded up."""
+    begin, end = ends.take(numbers - 1) * space, ends.take(numbers) * space
+    begin += _UP
+    begin >>= _PLACES
+    end += _UP
+    end >>= _PLACES
+    return begin, end
+
+
+def _mix(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of orders 2 and 1 out of 2^32, and of order 0 out of 2^16, by row."""
+    w2, w1 = (np.ascontiguousarray(w, np.uint64) * np.uint64(_UNIT) for w in weights.T)
+    return w2 << 16, w1 << 16, np.uint64(1 << 16) - w2 - w1
 
 
 class _Encoder:
-    """A low end of 64 bits and a range of 32 to 64 bits for each lane; words of 32 bits go out."""
+    """A low end of 64 bits and a range of 48 to 64 bits for each lane; words of 16 bits go out."""
 
     def __init__(self, lanes: int, words: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.words, self.used = np.zeros((lanes, words), np.int64), np.zeros(lanes, np.int64)
+        self.words, self.used = np.zeros((lanes, words), np.int32), np.zeros(lanes, np.int64)
 
     def reserve(self, words: int) -> None:
         """Make room for so many further words of each lane."""
         if self.used.max() + words > self.words.shape[1]:
             self.words = np.pad(self.words, ((0, 0), (0, words + self.words.shape[1] // 4)))
 
-    def put(self, begin: np.ndarray, end: np.ndarray, rare: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Narrow the first ranges to [begin, end) of 2^16, those of the rare lanes then to their ids."""
+    def put(self, begin: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the first ranges to [begin, begin + size) of 2^32."""
         n = len(begin)
         low, width = self.low[:n], self.range[:n]
-        part = width >> 16
+        part = width >> 32
         skip = begin * part
-        end = end * part
-        end[rare] = width[rare]
-        end -= skip
-        if len(rare):
-            part = end[rare] // total
-            skip[rare] += start * part
-            end[rare] = size * part
+        np.multiply(size, part, width)
         low += skip
-        width[:] = end
         over = (low < skip).nonzero()[0]
         if len(over):
             self.words[over, self.used[over] - 1] += 1  # settled in finish()
         small = (width < _FULL).nonzero()[0]
-        if len(small):
-            self.words[small, self.used[small]] = low[small] >> 32
-            self.used[small] += 1
-            low[small] <<= 32
-            width[small] <<= 32
+        while len(small):
+            at, least = self.used.take(small), low.take(small)
+            self.words[small, at] = least >> 48
+            self.used[small] = at + 1
+            low[small] = least << 16
+            least = width.take(small) << 16
+            width[small] = least
+            small = small[least < _FULL]
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        for _ in range(2):
-            self.words[every, self.used] = self.low >> 32
+        for _ in range(4):
+            self.words[every, self.used] = self.low >> 48
             self.used += 1
-            self.low = self.low << 32
+            self.low = self.low << 16
         for k in range(int(self.used.max()) - 1, 0, -1):
-            self.words[:, k - 1] += self.words[:, k] >> 32
-        return [(row[:n] & 0xFFFFFFFF).astype("<u4").tobytes() for row, n in zip(self.words, self.used)]
+            self.words[:, k - 1] += self.words[:, k] >> 16
+        return [(row[:n] & 0xFFFF).astype("<u2").tobytes() for row, n in zip(self.words, self.used)]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -166,86 +158,94 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
 
-def _numbered(ids: np.ndarray, lanes: int, block: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Each lane's ids as numbers, step by step, those lanes' distinct ids, and each lane's first number, which is none's."""
-    top = int(ids.max()) + 1
-    seen, number = (np.zeros(top, bool), np.zeros(top, np.int64)) if top <= 1 << 20 else (None, None)
-    grid, known, starts, at = np.zeros((lanes, block), np.int32), [], [], 0
-    for lane in range(lanes):
-        part = ids[lane * block : (lane + 1) * block]
-        if seen is None:
-            own, which = np.unique(part, return_inverse=True)
-        else:
-            seen[part] = True
-            own = np.flatnonzero(seen)
-            seen[own] = False
-            number[own] = np.arange(len(own))
-            which = number[part]
-        grid[lane] = at
-        grid[lane, : len(part)] = which + (at + 1)
-        known.append(own)
-        starts.append(at)
-        at += len(own) + 1
-    return np.ascontiguousarray(grid.T), known, np.array(starts)
-
-
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The blocks of a run of ids; give it about block * LANES of them at a time."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if not len(ids):
         return []
     if ids.min() < 0 or ids.max() >= 1 << BITS:
         raise ValueError("an id is out of range")
     if block > _LONGEST:
         raise ValueError("a block is too long")
-    lanes = -(-len(ids) // block)
-    sizes = [block] * (lanes - 1) + [len(ids) - block * (lanes - 1)]
-    longest = max(sizes)
-    steps, known, starts = _numbered(ids, lanes, longest if lanes == 1 else block)
-    distinct = np.array([len(k) for k in known])
-    numbers = int(distinct.sum()) + lanes
-    # the guesses of every step; behind the end of the last block, none is looked at
-    guesses, seen2, seen1 = _Guesses(starts, numbers), np.empty((longest, lanes), np.int32), np.empty((longest, lanes), np.int32)
-    for t in range(longest):
-        seen2[t], seen1[t] = guesses.look(lanes)
-        guesses.learn(steps[t].astype(np.int64))
-    rows, outcomes = np.arange(lanes) * _ROWS, np.empty((longest, lanes), np.int8)
-    came = np.zeros(lanes * _ROWS * 4, np.int64)
-    for t in range(0, longest, _STEPS):
-        e2, e1, now = (x[t : t + _STEPS] for x in (seen2, seen1, steps))
-        a, b = e2 >> 2, e1 >> 2
-        outcome = np.where(now == a, 0, np.where(now == b, 1, 2))
-        outcome[max(sizes[-1] - t, 0) :, -1] = 3
-        outcomes[t : t + _STEPS] = outcome
-        came += np.bincount((_rows(e2, e1, a == b, rows[None].astype(np.int32)) * 4 + outcome).ravel(), minlength=len(came))
-    counts = np.bincount(steps[outcomes == 2], minlength=numbers)
-    weights, totals, before = _weights(came.reshape(-1, 4)), np.add.reduceat(counts, starts), np.cumsum(counts) - counts
-    begins = before - np.repeat(before[starts], distinct + 1)
-    mix = _Mix(weights, counts, np.repeat(totals, distinct + 1))
-    coder, totals, spans = _Encoder(lanes, longest // 4 + 800), totals.astype(np.uint64), (begins << 32 | counts).astype(np.uint64)
+    parts = [ids[i : i + block] for i in range(0, len(ids), block)]
+    top = int(ids.max()) + 1
+    seen, number = (np.zeros(top, bool), np.zeros(top, np.int64)) if top <= 1 << 20 else (None, None)
+    sizes = _run_sizes(np.array([len(part) for part in parts]))
+    order, longest = np.argsort(-sizes, kind="stable"), int(sizes[0])  # longer runs first, so that lanes end from the back
+    lane = np.argsort(order)
+    begins, widths = (np.zeros((len(sizes), longest + 16), np.uint32) for _ in range(2))  # rows at distances that caches like
+    heads = []
+    for i, part in enumerate(parts):
+        distinct, model, begin, width = _modelled(part, seen, number)
+        heads.append((distinct, model))
+        for k in range(i * _RUNS, (i + 1) * _RUNS):
+            at = (k - i * _RUNS) * sizes[i * _RUNS]
+            begins[lane[k], : sizes[k]], widths[lane[k], : sizes[k]] = begin[at : at + sizes[k]], width[at : at + sizes[k]]
+    coder, active = _Encoder(len(sizes), longest * 3 // 4 + 400), _active(sizes, longest)
     for t in range(0, longest, _STEPS):
-        coder.reserve(_STEPS + 3)
-        e2, e1, now, outcome = (x[t : t + _STEPS] for x in (seen2, seen1, steps, outcomes))
-        a, b = e2 >> 2, e1 >> 2
-        same = a == b
-        first, second = mix.ends(_rows(e2, e1, same, rows[None]), a, b, same)
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, first, second)).view(np.uint64)
-        end = np.where(outcome == 0, first, second).view(np.uint64)
-        step, rare = np.nonzero(outcome == 2)
-        span, total, edges = spans.take(now[step, rare]), totals.take(rare), np.searchsorted(step, np.arange(len(now) + 1)).tolist()
-        start, size = span >> _HIGH, span & _LOW
-        for i, (x, y) in enumerate(zip(edges, edges[1:])):
-            n = lanes if t + i < sizes[-1] else lanes - 1  # only the last block may be shorter
-            coder.put(begin[i, :n], end[i, :n], rare[x:y], start[x:y], size[x:y], total[x:y])
-    out = []
-    for i, (n, own, start, data) in enumerate(zip(sizes, known, starts, coder.finish())):
-        model = weights[i * _ROWS : (i + 1) * _ROWS].tobytes() + _planes(np.diff(own, prepend=0)) + _planes(counts[start + 1 : start + 1 + len(own)])
-        model = zlib.compress(model, 4)
-        crc = zlib.crc32(ids[i * block : i * block + n].astype("<u4").tobytes())
-        out.append(_HEAD.pack(n, _SHAPE.size + len(model) + len(data), crc) + _SHAPE.pack(len(own), len(model)) + model + data)
+        coder.reserve(2 * _STEPS + 4)
+        begin, width = (x[:, t : min(t + _STEPS, longest)].T.astype(np.uint64, "C") for x in (begins, widths))
+        for x, y, n in zip(begin, width, active[t : t + _STEPS]):
+            coder.put(x[:n], y[:n])
+    coded, out = coder.finish(), []
+    for i, (part, (distinct, model)) in enumerate(zip(parts, heads)):
+        runs = [coded[k] for k in lane[i * _RUNS : (i + 1) * _RUNS]]
+        body = b"".join([model, *runs])
+        shape = _SHAPE.pack(distinct, len(model), zlib.crc32(body), *map(len, runs))
+        out.append(_HEAD.pack(len(part), len(shape) + len(body), zlib.crc32(part.astype("<u4", copy=False).tobytes())) + shape + body)
     return out
 
 
+def _run_sizes(sizes: np.ndarray) -> np.ndarray:
+    """The lengths of the runs of blocks of these sizes, one block after the other; the last runs may be shorter or empty."""
+    each = -(-sizes // _RUNS)
+    return np.clip(sizes[:, None] - each[:, None] * np.arange(_RUNS), 0, each[:, None]).ravel()
+
+
+def _active(sizes: np.ndarray, longest: int) -> list[int]:
+    """How many runs are longer than each step's number."""
+    return (len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), "right")).tolist()
+
+
+def _modelled(ids: np.ndarray, seen: np.ndarray | None, number: np.ndarray | None) -> tuple[int, bytes, np.ndarray, np.ndarray]:
+    """The number of a block's distinct ids, its model, and where each id begins in what the model expects and how wide it is there.
+    seen, number: room for a mark, which is taken back, and a number of each id."""
+    if seen is None:
+        own, now = np.unique(ids, return_inverse=True)
+        now += 1
+    else:
+        seen[ids] = True
+        own = np.flatnonzero(seen)
+        seen[own] = False
+        number[own] = np.arange(1, len(own) + 1)
+        now = number[ids]
+    last, before = np.zeros_like(now), np.zeros_like(now)
+    each = -(-len(ids) // _RUNS)
+    last[1:], before[2:] = now[:-1], now[:-2]
+    last[::each], before[::each], before[1::each] = 0, 0, 0
+    run = np.arange(len(ids)) // each
+    (a, sure2), (b, sure1) = _expected(_slot(last, before) + run * _SLOTS, now), _expected((last & (_ONES - 1)) + run * _ONES, now)
+    same = a == b
+    row = (sure2 * 4 + sure1) * 2 + same
+    outcome = np.where(now == a, 0, np.where(now == b, 1, 2))
+    weights = _weights(np.bincount(row * 4 + outcome, minlength=_ROWS * 4).reshape(-1, 4))
+    rare = np.flatnonzero(outcome == 2)
+    numbers = now[rare]
+    counts = np.bincount(numbers, minlength=len(own) + 1)
+    order0, (w2, w1, w0) = _Order0(counts), _mix(weights)
+    w = w0[row]
+    first = order0.p[a] * w + w2[row]
+    second = (order0.p[b] * w + w1[row]) * ~same + first
+    later = outcome > 0
+    begin, size = first * later, np.where(later, second - first, first)
+    second = second[rare]
+    space = _WHOLE - second
+    least, most = _part(space, order0.ends, numbers)
+    begin[rare] = second + least
+    size[rare] = most - least
+    return len(own), zlib.compress(weights.tobytes() + _planes(np.diff(own, prepend=0)) + _planes(counts[1:]), 4), begin, size
+
+
 def _weights(came: np.ndarray) -> np.ndarray:
     """Each row's weights of orders 2 and 1, by how often they were right; what came is never given none."""
     whole = np.maximum(came[:, :3].sum(1), 1)
@@ -263,14 +263,19 @@ def header(data: bytes) -> tuple[int, int]:
 HEADER = _HEAD.size
 
 
-def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's weights, distinct ids, their counts and its words."""
+def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A block's weights, distinct ids, their counts and the words of its runs."""
     try:
-        distinct, size = _SHAPE.unpack_from(block, HEADER)
+        distinct, size, crc, *lengths = _SHAPE.unpack_from(block, HEADER)
+        if zlib.crc32(memoryview(block)[HEADER + _SHAPE.size :]) != crc:
+            raise BlockError("a block is damaged")
         model = zlib.decompress(block[HEADER + _SHAPE.size : HEADER + _SHAPE.size + size])
         weights = np.frombuffer(model[: 2 * _ROWS], np.uint8).reshape(_ROWS, 2)
         ids, counts = (_from_planes(model[2 * _ROWS + k * 4 * distinct : 2 * _ROWS + (k + 1) * 4 * distinct]) for k in (0, 1))
-        words = np.frombuffer(block[HEADER + _SHAPE.size + size :], "<u4")
+        edges = np.cumsum([HEADER + _SHAPE.size + size, *lengths]).tolist()
+        if edges[-1] != len(block):
+            raise BlockError("a block's runs are damaged")
+        words = [np.frombuffer(block[x:y], "<u2") for x, y in zip(edges, edges[1:])]
     except (struct.error, zlib.error, ValueError) as broken:
         raise BlockError("a block's model is damaged") from broken
     n, ids = _HEAD.unpack(block[:HEADER])[0], np.cumsum(ids)
@@ -284,61 +289,108 @@ def decode(blocks: list[bytes]) -> np.ndarray:
     if not blocks:
         return np.zeros(0, np.uint32)
     heads = [_HEAD.unpack(b[:HEADER]) for b in blocks]
-    order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])  # longer ones first, so that lanes end from the back
-    sizes = [heads[i][0] for i in order]
-    weights, known, counted, data = zip(*(_opened(blocks[i]) for i in order))
-    lanes, longest, n = len(blocks), sizes[0], len(blocks)
-    none, distinct = np.zeros(1, np.int64), np.array([len(k) for k in known]) + 1
-    starts = np.cumsum(distinct) - distinct
-    ids, counts = (np.concatenate([x for part in parts for x in (none, part)]) for parts in (known, counted))
-    totals = np.add.reduceat(counts, starts)
-    places, slots = np.cumsum(totals) - totals, np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    begins = np.cumsum(counts) - counts - np.repeat(places, distinct)
-    mix, guesses = _Mix(np.concatenate(weights), counts, np.repeat(totals, distinct)), _Guesses(starts, len(counts))
-    words = np.zeros((lanes, max(map(len, data)) + 3), np.uint64)
-    for row, d in zip(words, data):
-        row[: len(d)] = d
-    code, width, used = words[:, 0] << 32 | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64), np.full(lanes, 2)
-    spans, most, rows = (begins << 32 | counts).astype(np.uint64), totals.astype(np.uint64), np.arange(lanes) * _ROWS
-    grid = np.zeros((longest, lanes), np.int32)
-    for t in range(longest):
-        while sizes[n - 1] <= t:
-            n -= 1
-            code, width = code[:n], width[:n]
-        e2, e1 = guesses.look(n)
-        a, b = e2 >> 2, e1 >> 2
+    weights, known, counted, data = zip(*map(_opened, blocks))
+    sizes = _run_sizes(np.array([n for n, _, _ in heads]))
+    order = np.argsort(-sizes, kind="stable")  # longer runs first, so that lanes end from the back
+    lanes, longest, of, data = len(order), int(sizes[order[0]]), order // _RUNS, [d for runs in data for d in runs]
+    # ids are numbers of their block, 0 for none; tables have all blocks' numbers one after the other
+    distinct = np.array([len(k) for k in known]) + 1
+    kind = np.uint16 if distinct.max() <= 1 << 14 else np.uint32
+    starts, models = np.cumsum(distinct) - distinct, [_Order0(np.append(0, c)) for c in counted]
+    p0, ends = (np.concatenate([getattr(m, k) for m in models]) for k in ("p", "ends"))
+    totals = np.array([m.total for m in models])
+    places, slots = np.cumsum(totals) - totals, np.concatenate([np.repeat(np.arange(1, len(c) + 1, dtype=kind), c) for c in counted])
+    w2, w1, w0 = _mix(np.concatenate(weights))
+    # what orders 2 and 1 expect: a number times 4 plus its confidence, for each slot and for each number
+    entries, base2 = np.zeros(lanes * (_SLOTS + _ONES), kind), np.arange(lanes) * (_SLOTS + _ONES)
+    base1, starts, totals, places = base2 + _SLOTS, starts[of], totals[of].astype(np.uint64), places[of]
+    longest_data = max(map(len, data)) + 5
+    words = np.zeros((lanes, longest_data), np.uint16)
+    for row, k in zip(words, order):
+        row[: len(data[k])] = data[k]
+    at, end = np.arange(lanes) * longest_data + 4, np.arange(1, lanes + 1) * longest_data - 1
+    code, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    for k in range(4):
+        code = code << 16 | words[:, k]
+    words = words.ravel()
+    now, before, rows, begins = np.zeros(lanes, kind), np.zeros(lanes, np.int64), of * _ROWS, np.append(starts, starts)
+    grid, seen, n = np.zeros((longest, lanes), kind), np.zeros(2 * lanes, np.int64), lanes
+    for t, active in enumerate(_active(sizes, longest)):
+        if active < n:
+            n = active
+            code, width, at, end, now, before, rows, base2, base1 = (x[:n] for x in (code, width, at, end, now, before, rows, base2, base1))
+            begins, seen = np.append(starts[:n], starts[:n]), np.zeros(2 * n, np.int64)
+        last = now.astype(np.int64)
+        np.add(_slot(last, before), base2, seen[:n])
+        np.add(last & (_ONES - 1), base1, seen[n:])
+        before = last
+        entry = entries.take(seen)
+        guess = entry >> 2
+        a, b = guess[:n], guess[n:]
         same = a == b
-        first, second = mix.ends(_rows(e2, e1, same, rows[:n]), a, b, same)
-        part = width >> 16
-        first, second = first.view(np.uint64) * part, second.view(np.uint64) * part
-        later, unknown = code >= first, code >= second
-        begin = np.where(unknown, second, first * later)
-        width = np.where(unknown, width, np.where(later, second, first))
+        row = entry & 3
+        row = ((row[:n] << 2 | row[n:]) << 1 | same) + rows
+        share = w0.take(row)
+        p = p0.take(guess + begins)
+        first = p[:n] * share
+        first += w2.take(row)
+        second = p[n:] * share
+        second += w1.take(row)
+        second *= ~same
+        second += first
+        part = width >> _HALF
+        begin, width = first * part, second * part
+        later, unknown = code >= begin, code >= width
+        width = np.where(later, width, begin)
+        begin *= later
         width -= begin
-        code -= begin
         now = np.where(later, b, a)
         rare = unknown.nonzero()[0]
         if len(rare):
-            left, total = code.take(rare), most.take(rare)
-            part = width.take(rare) // total
-            place = np.minimum(left // part, total - 1).view(np.int64)
-            number = slots.take(places.take(rare) + place)
-            span = spans.take(number)
-            code[rare] = left - (span >> _HIGH) * part
-            width[rare] = (span & _LOW) * part
-            now[rare] = number
-        small = (width < _FULL).nonzero()[0]
-        if len(small):
-            at = used.take(small)
-            code[small] = code.take(small) << 32 | words[small, np.minimum(at, words.shape[1] - 1)]
-            width[small] <<= 32
-            used[small] = at + 1
-        guesses.learn(now)
+            second, unit, place = second.take(rare), part.take(rare), code.take(rare)
+            space, total = _WHOLE - second, totals.take(rare)
+            place //= unit
+            place -= second
+            place <<= _PLACES
+            place //= space
+            place *= total
+            place >>= _PLACES
+            total -= np.uint64(1)
+            place = np.minimum(place, total).view(np.int64)  # a damaged block may lead anywhere
+            place += places.take(rare)
+            number = slots.take(place)
+            least, most = _part(space, ends, number + starts.take(rare))
+            most -= least
+            least += second
+            least *= unit
+            most *= unit
+            begin[rare], width[rare], now[rare] = least, most, number
+        code -= begin
+        short = width < _FULL
+        while short.any():
+            by = short * _WORD
+            width <<= by
+            code <<= by
+            code |= words.take(at) * short
+            at += short
+            np.minimum(at, end, at)
+            short = width < _FULL
+        # the numbers that came, with their confidence
+        fresh = now << 2
+        entry[:n] ^= fresh
+        entry[n:] ^= fresh
+        alike = entry < 4
+        np.minimum(entry, 2, entry)
+        entry *= alike
+        entry += 1
+        entry[:n] += fresh
+        entry[n:] += fresh
+        entries[seen] = entry
         grid[t, :n] = now
-    back = {i: k for k, i in enumerate(order)}
-    out = []
-    for i, (n, _, crc) in enumerate(heads):
-        found = ids[grid[:n, back[i]]].astype("<u4")
+    rows, lane, out = np.ascontiguousarray(grid.T), np.argsort(order), []
+    for i, (_, _, crc) in enumerate(heads):
+        numbers = np.concatenate([rows[lane[k], : sizes[k]] for k in range(i * _RUNS, (i + 1) * _RUNS)])
+        found = known[i].astype("<u4")[numbers.astype(np.int64) - 1]
         if zlib.crc32(found.tobytes()) != crc:
             raise BlockError("a block's checksum doesn't match its ids")
         out.append(found)

@@ -31,7 +31,7 @@ from .shared import cut
 from .tokens import CHUNK, crc32, encoder
 from .warc import file_system
 
-_MAGIC = b"TBIDS002"
+_MAGIC = b"TBIDS003"
 _FOOTER = "<QQQ"
 _SPAN = rangecoder.BLOCK * rangecoder.LANES
 

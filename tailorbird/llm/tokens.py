@@ -2,9 +2,9 @@
 
 A byte-level BPE never merges across the word boundaries of its pre-tokenizer, so a text's ids are the ids
 of its words one after the other.  `Encoder` cuts a batch of texts in front of every space that follows a
-character other than white space (always such a boundary), finds the distinct pieces with Arrow, has each
-one's words encoded by the tokenizers library's own model, and puts the ids together with NumPy: Python runs
-per distinct piece, not per word.  A vocabulary file whose pre-tokenizer, normalizer or model is of another
+character other than white space (always such a boundary), finds the distinct pieces with Arrow, looks them up among those
+that it remembers, has the others' words encoded by the tokenizers library's own model, and puts the ids together
+with NumPy: Python runs per new distinct piece, not per word.  A vocabulary file whose pre-tokenizer, normalizer or model is of another
 kind, and a text that holds the string of a special token, go through the library's whole-text call.
 
 Cases: a null text is an empty one; the string of a special token inside a text becomes that token, as in the
@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words that one Python worker remembers from batch to batch (about 200 bytes each).
-CACHE_SIZE = 100_000
+#: Distinct pieces that one Python worker remembers from batch to batch (about 50 bytes each), and the bytes of the longest.
+CACHE_SIZE, CACHE_LONGEST = 600_000, 48
 
 #: Bytes of text that go through at a time; a single larger text stays whole.
 CHUNK = 4 << 20
@@ -53,6 +53,10 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 _CLASS[[9, 10, 11, 12, 13, 32]] = 3
 
 
+#: Pieces that are one word in any version of Unicode: Latin letters, all of which are old.
+_ONE_WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+
+
 def _cuts(data: np.ndarray) -> np.ndarray:
     """A mark at every byte of UTF-8 text in front of which a word surely begins, whatever stands around.
 
@@ -73,15 +77,19 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     return marks
 
 
-class _Words(dict):
-    """Words to their numbers in the order in which they came; `new` are those that have no ids yet."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes of each of some large strings begin, with their end as the last, and the bytes."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return offsets - offsets[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
 
-    def __init__(self):
-        self.new: list[str] = []
+
+class _Words(dict):
+    """Words to their numbers in the order in which they came."""
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.new.append(word)
         return n
 
 
@@ -103,24 +111,44 @@ class Encoder:
         self._words_of = regex.compile(public_tokenizers.PATTERN).findall
         self._letters = _byte_letters()
         self._capacity = capacity
-        self._forget()
-
-    def _forget(self) -> None:
-        self._words, self._ids, self._sizes = _Words(), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+        # the pieces that are remembered, how often later batches had them, and their ids one after the other
+        self._known, self._hits = pa.array([], pa.large_string()), np.zeros(0, np.int32)
+        self._ids, self._sizes = np.zeros(0, "<u4"), np.zeros(0, np.int32)
 
     def _split(self, piece: str) -> list[str]:
         """A piece's words; most pieces are one."""
         return [piece] if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()) else self._words_of(piece)
 
-    def _learn(self) -> None:
-        """Encode the words that are new. Byte 255 never stands in UTF-8, so it can part them."""
-        words, self._words.new = self._words.new, []
-        if not words:
-            return
-        letters = b"\xff".join([w.encode("utf-8", "replace") for w in words]).decode("latin-1").translate(self._letters).split("\xff")
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and each one's number of ids. Byte 255 never stands in UTF-8, so it can part words."""
+        simple = pc.match_substring_regex(pieces, _ONE_WORD).to_numpy(zero_copy_only=False)
+        ones, split, known = pieces.filter(pa.array(simple)), list(map(self._split, pieces.filter(pa.array(~simple)).to_pylist())), _Words()
+        of_piece, words = np.ones(len(pieces), np.int64), np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
+        of_piece[~simple] = np.fromiter(map(len, split), np.int64, len(split))
+        offsets, data = _bytes(ones)
+        parted = [np.insert(data, offsets[1:-1], 255).tobytes()] * (len(ones) > 0) + [w.encode("utf-8", "replace") for w in known]
+        if not parted:
+            return np.zeros(0, "<u4"), np.zeros(len(pieces), np.int32)
+        letters = b"\xff".join(parted).decode("latin-1").translate(self._letters).split("\xff")
         found = [[t.id for t in tokens] for tokens in map(self._model.tokenize, letters)]
-        self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, found), np.int32, len(found))])
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        one = np.repeat(simple, of_piece)
+        which = np.zeros(len(one), np.int64)
+        which[one], which[~one] = np.arange(len(ones)), words + len(ones)
+        ids, ends = _runs(np.fromiter(chain.from_iterable(found), np.uint32), sizes, which)
+        return ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(of_piece))]).astype(np.int32)
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep short new pieces; once there are too many, the three quarters of them that came most often, of equals the newest."""
+        short = pc.less_equal(pc.binary_length(pieces), CACHE_LONGEST)
+        keep = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+        self._known = pa.concat_arrays([self._known, pieces.filter(short)])
+        self._hits = np.append(self._hits, np.zeros(len(keep), np.int32))
+        self._ids, self._sizes = np.append(self._ids, _runs(ids, sizes, keep)[0]), np.append(self._sizes, sizes[keep])
+        if len(self._known) > self._capacity:
+            best = np.sort(np.argsort(self._hits, kind="stable")[-(self._capacity * 3 // 4) :])
+            self._known, self._hits = self._known.take(pa.array(best)), self._hits[best] // 2
+            self._ids, self._sizes = _runs(self._ids, self._sizes, best)[0], self._sizes[best]
 
     def encode(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with the ids of `end` behind it; and where each text's begin,
@@ -130,38 +158,39 @@ class Encoder:
         for token in self._special:
             odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if odd.any():
-            return self._each(texts.to_pylist(), odd, end)
-        n, offsets = len(texts), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] if n else 0 : offsets[-1] if n else 0]
-        offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
+            return self._mixed(texts, odd, end)
+        n, (offsets, data) = len(texts), _bytes(texts)
         marks = _cuts(data)
         marks[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         edges = np.append(np.flatnonzero(marks), len(data))
         first = np.searchsorted(edges[:-1], offsets)  # the first piece of each text
         pieces = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        split = list(map(self._split, coded.dictionary.to_pylist()))
-        of_piece = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter(map(self._words.__getitem__, chain.from_iterable(split)), np.int64)
-        self._learn()
-        # the ids of each distinct piece, then those of the end, in one table
-        table = np.append(_runs(self._ids, self._sizes, words)[0], np.array(end, np.uint32))
-        word_ends = np.append(0, np.cumsum(self._sizes[words], dtype=np.int64))
-        piece_ends = word_ends[np.append(0, np.cumsum(of_piece))]
-        sizes = np.append(np.diff(piece_ends), len(end)).astype(np.int32)
-        which = np.insert(coded.indices.to_numpy(), first[1:], len(sizes) - 1)
+        number = pc.fill_null(pc.index_in(coded.dictionary, value_set=self._known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        self._hits[number[number >= 0]] += 1
+        fresh = coded.dictionary.take(pa.array(new))
+        fresh_ids, fresh_sizes = self._coded(fresh)
+        number[new] = np.arange(len(new)) + len(self._known)
+        # the ids of each known piece, then those of the new ones, then those of the end, in one table
+        table = np.concatenate([self._ids, fresh_ids, np.array(end, np.uint32)])
+        sizes = np.concatenate([self._sizes, fresh_sizes, np.array([len(end)], np.int32)])
+        which = np.insert(number[coded.indices.to_numpy()], first[1:], len(sizes) - 1)
+        self._remember(fresh, fresh_ids, fresh_sizes)
         ids, ends = _runs(table, sizes, which)
-        if len(self._words) > self._capacity:
-            self._forget()
         return ids, np.append(0, ends[first[1:] + np.arange(n)])
 
-    def _each(self, texts: list[str], odd: np.ndarray, end: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """The same, text by text, odd ones by the library's whole-text call."""
-        found = []
-        for text, whole in zip(texts, odd.tolist()):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if whole else self.encode(pa.array([text]))[0]
-            found.append(np.append(np.array(ids, "<u4"), np.array(end, "<u4")))
-        return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])
+    def _mixed(self, texts: pa.Array, odd: np.ndarray, end: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, odd texts one by one by the library's whole-text call."""
+        ids, at = self.encode(texts.filter(pa.array(~odd)), end) if not odd.all() else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        plain, found = zip(at[:-1].tolist(), at[1:].tolist()), []
+        for i, whole in enumerate(odd.tolist()):
+            if whole:
+                own = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+                found.append(np.array([*own, *end], "<u4"))
+            else:
+                found.append(ids[slice(*next(plain))])
+        return np.concatenate(found), np.cumsum([0, *map(len, found)])
 
 
 def _runs(table: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

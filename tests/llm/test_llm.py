@@ -78,6 +78,32 @@ def test_tokens_equal_whole_texts():
     assert encoder.encode(pa.array([], pa.string()), (2,))[1].tolist() == [0]
 
 
+def test_frequent_pieces_are_remembered():
+    """They are encoded once, however many others come between; a worker forgot all of its words before."""
+    encoder, often = tokens.Encoder(VOCABULARY, capacity=100), [f"word{'abcdefghij'[i]}" for i in range(10)]
+    model, calls = encoder._model, []
+
+    class Counting:
+        def tokenize(self, word):
+            calls.append(word)
+            return model.tokenize(word)
+
+    encoder._model = Counting()
+    for batch in range(8):
+        texts = [" ".join(["start", *often, prose(8, f"new {batch}"), f"x{batch}é mangé, {batch}"])]
+        texts += ["a" + "b" * i + chr(97 + batch) for i in range(20)]
+        ids, at = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == whole(texts)
+    assert len(encoder._known) <= 100
+    assert all(calls.count("Ġ" + w) == 1 for w in often)
+
+
+def test_texts_with_special_tokens_among_others():
+    texts = ["plain one", "a<|endoftext|>b", None, "", "another plain", "<|endoftext|>"]
+    ids, at = tokens.Encoder(VOCABULARY).encode(pa.array(texts), (2,))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*w, 2] for w in whole(texts)]
+
+
 def test_special_tokens_as_in_the_library_or_as_text():
     text = ["a<|endoftext|>b", "plain text"]
     assert tokens.Encoder(VOCABULARY).encode(pa.array(text))[0].tolist() == [64, 50256, 65, *whole(text)[1]]
@@ -146,6 +172,28 @@ def test_range_coder_takes_few_steps_of_numpy():
     assert coded / 512 < 900 * min(cpu(gathers) for _ in range(3)) / 20_000
 
 
+def test_range_coder_takes_a_step_for_a_few_ids_of_a_block(monkeypatch):
+    """A block's runs are coded at once; a step was taken for each of a block's ids before."""
+    put, steps = rangecoder._Encoder.put, []
+    monkeypatch.setattr(rangecoder._Encoder, "put", lambda self, *x: (steps.append(1), put(self, *x)))
+    ids = np.random.default_rng(5).zipf(1.3, 4096) % 40_000
+    assert rangecoder.decode(rangecoder.encode(ids, 2048)).tolist() == ids.tolist()
+    assert len(steps) <= 2048 // 4
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5, 9, 10, 20])
+def test_runs_may_be_short_or_empty(block):
+    for n in range(1, 20):
+        ids = np.arange(n) * 7 % 3
+        assert rangecoder.decode(rangecoder.encode(ids, block)).tolist() == ids.tolist()
+
+
+def test_long_blocks_and_many_distinct_ids():
+    r = np.random.default_rng(6)
+    for ids in (r.permutation(70_000), r.integers(0, 1 << 28, 70_000), np.resize(r.integers(0, 30_000, 40_000), 300_000)):
+        assert rangecoder.decode(rangecoder.encode(ids, 1 << 20)).tolist() == ids.tolist()
+
+
 def test_range_coder_tells_any_damage():
     r = np.random.default_rng(4)
     ids = np.resize(np.array(whole([prose(900, 3)])[0]), 1500)
