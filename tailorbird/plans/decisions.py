@@ -52,8 +52,26 @@ def decide_signals(signals: DataFrame, rules: Rules = RULES, distinct: bool = Tr
     return _decide_rows(build_package(signals), page_blocks(), rules, distinct)
 
 
+def _once(rows: DataFrame, moments: Column) -> DataFrame:
+    """Rows alike but for retrieved_at as one, with all their moments; moments is an array of them, each in a struct.
+
+    Rows without a url stay apart by their moments, so that no group grows beyond the captures of one page.
+    """
+    alike = [c for c in rows.columns if c != "retrieved_at"]
+    apart = F.when(F.col("url").isNull(), F.col("retrieved_at"))
+    out = rows.groupBy(*alike, apart.alias("_apart")).agg(F.array_distinct(F.flatten(F.collect_set(moments))).alias("retrieved_at"))
+    return out.select(*rows.columns)
+
+
 def decide_captures(captures: DataFrame, rules: Rules = RULES, distinct: bool = True) -> DataFrame:
-    return decide_signals(captures_to_signals(captures), rules, distinct)
+    """captures (url, html, retrieved_at) with the decision of each. What a page says and what is decided of it doesn't
+    depend on when it was captured, so with `distinct` that is found once for all captures of a page that are alike."""
+    if not distinct:
+        return decide_signals(captures_to_signals(captures), rules, False)
+    pages = _once(captures.select("url", "html", "retrieved_at"), F.array(F.struct("retrieved_at")))
+    decided = decide_signals(_once(captures_to_signals(pages), F.col("retrieved_at")), rules, False)
+    each = decided.withColumn("retrieved_at", F.explode("retrieved_at"))
+    return each.withColumn("retrieved_at", F.col("retrieved_at")["retrieved_at"])
 
 
 def reparse(packages: DataFrame, rules: Rules = RULES, distinct: bool = True) -> DataFrame:

@@ -54,6 +54,18 @@ def test_captures_of_one_url_are_decided_apart(spark):
     assert brief[None, "2024-06-01"][2] is None and brief[None, "None"][2] == "no evidence"
 
 
+def test_alike_captures_of_a_page_are_taken_to_pieces_once(spark):
+    page = '<h1 class="x">紺スーツ</h1><span data-testid="price">¥5,037</span>'
+    rows = [("https://jp.mercari.com/item/m1", page + "<br>" * (k % 2), k % 10 or None) for k in range(40)]
+    moments = F.lit("2024-06-01").cast("timestamp") + F.make_dt_interval(days=F.col("day"))
+    found = decide_captures(spark.createDataFrame(rows, "url string, html string, day int").withColumn("retrieved_at", moments))
+    got = [(r["url"], r["retrieved_at"], r["price"]["buy_now_price_jpy"], r["verdict"]) for r in found.collect()]
+    assert len(got) == len({r[1] for r in got}) == 10 and {(r[0], r[2]) for r in got} == {(rows[0][0], 5037)}
+    assert found.select("retrieved_at").schema[0].dataType.simpleString() == "timestamp"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and plan.index("Generate explode") < plan.index("collect_set")  # decided first, then dealt out to the moments
+
+
 def test_other_columns_pass_and_results_replace_their_namesakes(spark):
     signals = spark.createDataFrame(
         [("u", "紺スーツ", "即決 9,000円", "x", 7)],
