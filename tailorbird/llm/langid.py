@@ -240,7 +240,12 @@ def predicted(docs: DataFrame, per_language: int = 1200) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, least_score: float = 0.0, per_language: int = 1200) -> DataFrame:
-    """The rows whose text has a language: not `und`, and a score of at least `least_score`."""
-    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    out = identify(docs, learn(docs, per_language), lang, score)
+    """The rows whose text has a language: not `und`, and a score of at least `least_score`.
+
+    Where no row teaches a language, none can be told to be unknown: all texts with a letter stay, at a `least_score` of 0.
+    """
+    lang, score, model = free_name(docs, "lang_pred"), free_name(docs, "lang_score"), learn(docs, per_language)
+    if not model.families and least_score <= 0:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    out = identify(docs, model, lang, score)
     return out.filter((F.col(lang) != "und") & (F.col(score) >= least_score)).drop(lang, score)

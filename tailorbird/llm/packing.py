@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2,
                 yield pa.RecordBatch.from_arrays(
                     columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(columns)],
                 )
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

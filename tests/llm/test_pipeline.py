@@ -41,3 +41,11 @@ def test_empty(spark, tmp_path):
     ).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = spark.createDataFrame(
+        [(1, "some text", None, "s", 9), (2, "été", None, "s", 3), (3, "12 !²", None, "s", 5), (4, None, None, "s", 0)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 2]
